@@ -48,10 +48,12 @@ class Scratch:
         self.spark = spark
         self.root = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
         self.paths: list[str] = []
+        self.made = 0
         atexit.register(self._at_exit)
 
     def path(self) -> str:
-        self.paths.append(f"{self.root}/{len(self.paths):03d}")
+        self.paths.append(f"{self.root}/{self.made:03d}")
+        self.made += 1
         return self.paths[-1]
 
     def keep(self, frame: DataFrame) -> DataFrame:
