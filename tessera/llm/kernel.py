@@ -47,9 +47,15 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
 
 def words(raw: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every word."""
+    return word_spans(raw, at, lower)[:2]
+
+
+def word_spans(raw: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, first byte, number of bytes) of every word."""
     n = len(raw)
+    none = np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, U), np.zeros(0, np.int64)
+        return np.zeros(0, U), none, none, none
     solid = ~_IS_SPACE[raw]
     first = np.empty(n, bool)
     first[0] = True
@@ -60,14 +66,15 @@ def words(raw: np.ndarray, at: np.ndarray, lower: bool) -> tuple[np.ndarray, np.
     body = raw[solid]
     starts = np.flatnonzero(first[solid])
     if not len(starts):
-        return np.zeros(0, U), np.zeros(0, np.int64)
+        return np.zeros(0, U), none, none, none
     lengths = np.diff(np.append(starts, len(body)))
     place = np.arange(len(body)) - np.repeat(starts, lengths)
     powers = np.multiply.accumulate(np.full(int(lengths.max()), _BASE, U))
     values = (_BYTE_LOWER if lower else _BYTE)[body]
     values *= powers[place]
     hashes = mix(np.add.reduceat(values, starts) + lengths.astype(U))
-    return hashes, np.searchsorted(at, np.flatnonzero(first), side="right") - 1
+    begin = np.flatnonzero(first)
+    return hashes, np.searchsorted(at, begin, side="right") - 1, begin, lengths
 
 
 def windows(hashes: np.ndarray, rows: np.ndarray, n_rows: int, width: int, short: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

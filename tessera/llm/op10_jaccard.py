@@ -12,9 +12,9 @@ A document is its set of word n-grams, held as 64-bit hashes. Sets link when the
 3. Pivots. In each region the smallest id is the pivot. Members are compared with pivots, nearest first: those they share most regions with.
    Tasks combine before they shuffle: they send one member of a region on, as their own pivot for those that stay. A region whose members are
    all of one component is done.
-4. Recursion. Each other region is joined in a task: pivots form Voronoi cells, a set goes to its nearest pivot's cell and also to
-   every cell whose pivot is at most 2 eps farther, which is what the triangle inequality asks for, and cells are joined by the same rule
-   until they are small. Regions of more than region_cap sets are dealt as pairs of blocks, so that a task's memory is bounded and no pair is lost.
+4. Recursion. The other regions are joined in tasks, those with one pivot together: pivots form Voronoi cells, a set goes to its nearest pivot's cell
+   and also to every cell whose pivot is at most 2 eps farther, which is what the triangle inequality asks for, and cells are joined by the same rule
+   until they are small. More than cell_cap sets are dealt as pairs of blocks, so that a task's memory is bounded and no pair is lost.
 
 Components follow from the links by distributed label propagation (tessera.llm.components).
 
@@ -253,14 +253,36 @@ def shared(p: np.ndarray, q: np.ndarray) -> int:
     return int((q[np.searchsorted(q, p).clip(max=len(q) - 1)] == p).sum())
 
 
-def voronoi_links(sets: list[np.ndarray], part: np.ndarray, num: int, den: int, leaf: int = 24, n_pivots: int = 8) -> list[tuple[int, int]]:
+def overlaps(sets: list[np.ndarray], at_once: int = 1 << 24) -> np.ndarray:
+    """|A & B| of all pairs of a bounded number of sets, as products of their incidence matrix."""
+    n = len(sets)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate([np.zeros(0, U), *sets]), return_inverse=True, return_counts=True)
+    often = times[column] > 1  # what one set alone holds adds nothing
+    owner, column = owner[often], np.unique(column[often], return_inverse=True)[1]
+    out = np.diag([float(len(s)) for s in sets]).astype(np.float32)
+    step = max(1, at_once // max(n, 1))
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared_ = np.zeros((n, n), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        x, y = np.searchsorted(column, [first, first + step])
+        part = np.zeros((n, min(step, int(column[-1]) + 1 - first)), np.float32)
+        part[owner[x:y], column[x:y] - first] = 1
+        shared_ += part @ part.T
+    np.fill_diagonal(shared_, out.diagonal())
+    return shared_
+
+
+def voronoi_links(sets: list[np.ndarray], part: np.ndarray, num: int, den: int, leaf: int = 96, n_pivots: int = 8) -> list[tuple[int, int]]:
     """Links between sets of different parts, by recursive Voronoi cells; enough of them to join all parts that any links join.
 
-    Members are compared with pivots; a set is copied to each cell whose pivot is at most 2 eps farther than its nearest one. A cell that all
-    members of its parent fell into is joined pair by pair.
+    Members are compared with pivots; a set is copied to each cell whose pivot is at most 2 eps farther than its nearest one: if A lies in the cell
+    of p and B in that of q and they link, then d(B, p) <= d(A, p) + eps <= d(A, q) + eps <= d(B, q) + 2 eps. Cells are joined by the same rule as long
+    as that halves the pairs to compare; else, and when they are small, all their pairs are compared at once.
     """
     eps = 1 - num / den
-    sizes = np.array([len(s) for s in sets])
+    sizes = np.array([len(s) for s in sets], np.int64)
     leader = {int(p): int(p) for p in np.unique(part)}
     found: list[tuple[int, int]] = []
 
@@ -273,41 +295,41 @@ def voronoi_links(sets: list[np.ndarray], part: np.ndarray, num: int, den: int,
     def one(i: int) -> int:
         return root(int(part[i]))
 
-    def both(i: int, j: int) -> int:
-        n = shared(sets[i], sets[j])
-        if n and one(i) != one(j) and den * n >= num * (sizes[i] + sizes[j] - n):
+    def link(i: int, j: int) -> None:
+        if one(i) != one(j):
             found.append((i, j))
             leader[one(i)] = one(j)
-        return n
 
     def join(members: np.ndarray) -> None:
         if len({one(i) for i in members.tolist()}) < 2:
             return
-        pivots = members[:: max(1, len(members) // n_pivots)][:n_pivots]
-        cells: list[np.ndarray] = []
         if len(members) > leaf:
-            near = np.array([[both(int(i), int(p)) if i != p else sizes[i] for p in pivots] for i in members], float)
+            pivots = members[:: max(1, len(members) // n_pivots)][:n_pivots]
+            near = np.array([[shared(sets[i], sets[p]) for p in pivots.tolist()] for i in members.tolist()], float)
             distance = 1 - near / (sizes[members][:, None] + sizes[pivots][None, :] - near)
+            for i, k in zip(*np.nonzero(distance <= eps + 1e-12)):
+                i, p, n = int(members[i]), int(pivots[k]), int(near[i, k])
+                if i != p and den * n >= num * int(sizes[i] + sizes[p] - n):
+                    link(i, p)
             within = distance <= distance.min(1, keepdims=True) + 2 * eps + 1e-9
-            cells = [members[within[:, k]] for k in range(len(pivots))]
-        if cells and max(map(len, cells)) < len(members):
-            for cell in {c.tobytes(): c for c in cells}.values():
-                join(cell)
-            return
-        order = members[np.argsort(sizes[members], kind="stable")]
-        for x, i in enumerate(order.tolist()):
-            for j in order[x + 1 :].tolist():
-                if num * sizes[j] > den * sizes[i]:
-                    break
-                if one(i) != one(j):
-                    both(i, j)
+            if 2 * (within.sum(0) ** 2).sum() <= len(members) ** 2:
+                for k in range(len(pivots)):
+                    join(members[within[:, k]])
+                return
+        both = overlaps([sets[i] for i in members.tolist()]).astype(np.int64)
+        union = sizes[members][:, None] + sizes[members][None, :] - both
+        for i, j in zip(*np.nonzero(np.triu((den * both >= num * union) & (both > 0), 1))):
+            link(int(members[i]), int(members[j]))
 
     join(np.arange(len(sets)))
     return found
 
 
-def _open_regions(texts: DataFrame, parts: DataFrame, width: int, rings: Rings) -> DataFrame:
-    """(region, id) of the regions whose members are of two components at least. parts: (id, part)."""
+def _open_cells(texts: DataFrame, parts: DataFrame, width: int, rings: Rings) -> DataFrame:
+    """(pivot, id, part): the sets that share with a pivot a region whose members are of two components at least. parts: (id, part).
+
+    Any two members of such a region are in its pivot's cell together; taking a pivot's regions as one cell sends each set to a pivot once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -318,31 +340,33 @@ def _open_regions(texts: DataFrame, parts: DataFrame, width: int, rings: Rings)
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("doc_id").take(pa.array(row)), part.column("part").take(pa.array(row))], ["region", "id", "part"])
 
     members = texts.join(parts.select(F.col("id").alias("doc_id"), "part"), "doc_id").mapInArrow(run, "region long, id long, part long")
-    mixed = members.groupBy("region").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("region")
-    return members.join(mixed, "region")
+    mixed = members.groupBy("region").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("id").alias("pivot")).where("lo < hi").select("region", "pivot")
+    return members.join(mixed, "region").select("pivot", "id", "part").distinct()
 
 
-def _join_regions(open_: DataFrame, texts: DataFrame, width: int, num: int, den: int, region_cap: int) -> DataFrame:
-    """Links between the members of each region, of different parts, each region (or pair of its blocks) in a task of bounded size."""
-    sizes = open_.groupBy("region").agg(F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(20,0)")).alias("members"))
-    once = sizes.groupBy("n", "members").agg(F.min("region").alias("region"))  # regions with the same members are joined once
-    dealt = open_.join(once.select("region", F.ceil(F.col("n") / (region_cap // 2)).cast("int").alias("blocks")), "region")
-    block = F.pmod(F.xxhash64("id", "region"), F.col("blocks"))
+def _join_cells(open_: DataFrame, texts: DataFrame, width: int, num: int, den: int, cell_cap: int) -> DataFrame:
+    """Links between the members of each cell, of different parts, each cell (or pair of its blocks) in a task of bounded size."""
+    sizes = open_.groupBy("pivot").agg(F.ceil(F.count("*") / (cell_cap // 2)).cast("int").alias("blocks"))
+    dealt = open_.join(sizes, "pivot")
+    block = F.pmod(F.xxhash64("id", "pivot"), F.col("blocks"))
     # blocks i <= j meet in task (i, j): a member of block k goes to (k, k..) and (..k, k)
     tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(other, block).alias("i"), F.greatest(other, block).alias("j")))
-    placed = dealt.select("region", "id", "part", F.explode(tasks).alias("t")).select("region", "t.i", "t.j", "id", "part")
+    placed = dealt.select("pivot", "id", "part", F.explode(tasks).alias("t")).select("pivot", "t.i", "t.j", "id", "part")
 
     def run(group: pa.Table) -> pa.Table:
         column = group.column("text").combine_chunks()
-        h, at = kernel.shingle_sets(column, width)
+        sets: list[np.ndarray] = []
+        for a, b in kernel.by_bytes(column):
+            h, at = kernel.shingle_sets(column.slice(a, b - a), width)
+            sets += [h[at[k] : at[k + 1]] for k in range(b - a)]
         ids = group.column("id").to_numpy()
-        links = voronoi_links([h[at[k] : at[k + 1]] for k in range(len(ids))], group.column("part").to_numpy(), num, den)
+        links = voronoi_links(sets, group.column("part").to_numpy(), num, den)
         return pa.table({"a": pa.array([int(ids[x]) for x, _ in links], pa.int64()), "b": pa.array([int(ids[y]) for _, y in links], pa.int64())})
 
-    return placed.join(texts.withColumnRenamed("doc_id", "id"), "id").groupBy("region", "i", "j").applyInArrow(run, "a long, b long")
+    return placed.join(texts.withColumnRenamed("doc_id", "id"), "id").groupBy("pivot", "i", "j").applyInArrow(run, "a long, b long")
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, region_cap: int = 512, bucket_docs: int = 1500) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, cell_cap: int = 512, bucket_docs: int = 1500) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text); links at similarity num / den or more."""
     scratch = Scratch(spark, "jaccard")
     rings = Rings(num, den)
@@ -370,8 +394,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, num
     left = candidates.join(nearest, ["a", "b"], "left_anti").join(parts.select(F.col("id").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b").where("pa <> pb")
     links = scratch.keep(links.unionByName(_verified(left, texts, width, num, den)))
     parts = parts_of(links)
-    open_ = scratch.keep(_open_regions(texts, parts, width, rings))
-    links = scratch.keep(links.unionByName(_join_regions(open_, texts, width, num, den, region_cap)))
+    open_ = scratch.keep(_open_cells(texts, parts, width, rings))
+    links = scratch.keep(links.unionByName(_join_cells(open_, texts, width, num, den, cell_cap)))
     all_ = scratch.keep(components(links.unionByName(alias), scratch))
     out = scratch.keep(same.join(all_, same["doc_id"] == all_["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
     scratch.drop(*scratch.paths[:-1])

@@ -171,6 +171,21 @@ def identify(docs: DataFrame, net: Net | None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, net: Net | None, min_score: float) -> DataFrame:
+    """The rows of docs, whatever their columns, whose language is not "und" and has a probability of min_score or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in kernel.by_bytes(batch.column("text")):
+                part = batch.slice(a, b - a)
+                lettered = np.array([bool(t and _LETTER.search(t)) for t in part.column("text").to_pylist()], bool)
+                if net is not None:
+                    lettered &= predict_texts(net, part.column("text"))[1] >= min_score
+                    yield part.filter(pa.array(lettered))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(remainder() == 1, F.lit(False))

@@ -91,16 +91,16 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """docs's doc_id with COUNTS, all long."""
+    """docs's doc_id and a hash of its text with COUNTS, all long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in kernel.by_bytes(batch.column("text")):
                 part = batch.slice(a, b - a)
                 found = counts(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(found[c], pa.int64()) for c in COUNTS)], ["doc_id", *COUNTS])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *(pa.array(found[c], pa.int64()) for c in COUNTS)], ["doc_id", "text_hash", *COUNTS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def rules() -> dict[str, Column]:
@@ -166,7 +166,7 @@ def posterior(votes: np.ndarray, good: float, chance: np.ndarray) -> np.ndarray:
 
 
 def judge(spark: SparkSession, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, the five base counts, base_failed, p_good, kept."""
+    """doc_id, a hash of its text, the five base counts, base_failed, p_good, kept."""
     voted = rules()
     measured = Scratch(spark, "quality").keep(measure(docs).withColumns({f"v_{k}": v.cast("tinyint") for k, v in voted.items()}).withColumn("base_failed", base_failed()))
     names = [f"v_{k}" for k in voted]
@@ -174,8 +174,14 @@ def judge(spark: SparkSession, docs: DataFrame, threshold: float = 0.5) -> DataF
     pattern = np.array([[r[n] for n in names] for r in seen], np.int64).reshape(-1, len(names))
     base, odds_of = weights(*estimate(pattern, np.array([r["count"] for r in seen], float)))
     odds = reduce(lambda x, y: x + y, [F.element_at(F.array(*[F.lit(float(x)) for x in row]), F.col(n).cast("int") + 2) for n, row in zip(names, odds_of)], F.lit(base))
-    return measured.withColumn("p_good", 1 / (1 + F.exp(-odds))).select("doc_id", *COUNTS[:5], "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept"))
+    return measured.withColumn("p_good", 1 / (1 + F.exp(-odds))).select("doc_id", "text_hash", *COUNTS[:5], "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept"))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, whatever their columns, that judge() keeps."""
+    kept = judge(spark, docs, threshold).where("kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_semi")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark, table(spark, sf_dir, "documents"))
+    return judge(spark, table(spark, sf_dir, "documents")).drop("text_hash")

@@ -1,10 +1,10 @@
 """Common words of the corpus's languages."""
 
 #: Frequent function words of English, French, German and Spanish.
-COMMON_WORDS = (
-    "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which "
-    "de la le et les des en un une du que est pour qui dans par sur au plus ne se ce il pas avec son "
-    "der die und den von zu das mit sich dem ein eine nicht im auf ist es auch als an er hat aus bei "
-    "el los las y del una con no su para al lo como más o pero sus ha sin este"
-).split()
-COMMON_WORDS = tuple(dict.fromkeys(COMMON_WORDS))
+BY_LANGUAGE = {
+    "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which",
+    "fr": "de la le et les des en un une du que est pour qui dans par sur au plus ne se ce il pas avec son",
+    "de": "der die und den von zu das mit sich dem ein eine nicht im auf ist es auch als an er hat aus bei",
+    "es": "de la el y en los las que se del un una con no su por para al lo como más o pero sus ha sin este",
+}
+COMMON_WORDS = tuple(dict.fromkeys(" ".join(BY_LANGUAGE.values()).split()))
