@@ -80,7 +80,7 @@ def build_dataset(spark: SparkSession, config: BuildConfig, factory: ClientFacto
         report(Event("generation_started", {"chunks": n_chunks, "concurrency": g.concurrency}))
         retries, calls = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
         cache = cache_directory(config.repository, config.cache.directory) if config.cache.enabled else None
-        answers = keep(ask(chunks, factory, cache, g.concurrency, g.max_retries, g.model, g.temperature, questions_schema(g.questions_per_chunk), parse_questions, retries, calls))
+        answers = keep(ask(chunks, factory, cache, g.concurrency, g.max_retries, g.model, g.temperature, questions_schema(g.questions_per_chunk), parse_questions, [F.split("path", "/").alias("p"), F.col("chunk_ord")], retries, calls))
         items = keep(qa.explode_batches(generated_batches(chunks, answers), g.model))
         report(Event("generation_finished", {"model_calls": calls.value, "retries": retries.value}))
         valid, _ = qa.validate(items)

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.cache import FileCache
@@ -19,10 +19,10 @@ def now() -> str:
     return datetime.datetime.now(datetime.timezone.utc).isoformat().replace("+00:00", "Z")
 
 
-def ask(requests: DataFrame, factory: ClientFactory, cache_dir: str | None, concurrency: int, max_retries: int, model: str, temperature: float, schema: dict[str, Any], parse: Callable[[str], Any], retries=None, calls=None) -> DataFrame:
+def ask(requests: DataFrame, factory: ClientFactory, cache_dir: str | None, concurrency: int, max_retries: int, model: str, temperature: float, schema: dict[str, Any], parse: Callable[[str], Any], order: list[Column], retries=None, calls=None) -> DataFrame:
     """(key, answer, answered_at, cached) of each distinct key in requests (key, prompt); answer is the parsed completion as JSON.
 
-    At most `concurrency` calls run at once: there are so many tasks, and each asks one after another. A task that is run again after a lost
+    Each task asks in the given order of the requests. At most `concurrency` calls run at once: there are so many tasks, and each asks one after another. A task that is run again after a lost
     executor finds what the first run stored. retries, calls: accumulators that count these.
     """
 
@@ -48,8 +48,8 @@ def ask(requests: DataFrame, factory: ClientFactory, cache_dir: str | None, conc
                 rows.append((key, json.dumps(entry["answer"], ensure_ascii=False), entry["answered_at"], cached))
             yield pd.DataFrame(rows, columns=["key", "answer", "answered_at", "cached"])
 
-    distinct = requests.select("key", "prompt").dropDuplicates(["key"])
-    return distinct.repartition(concurrency).mapInPandas(run, "key string, answer string, answered_at string, cached boolean")
+    distinct = requests.groupBy("key").agg(F.first("prompt").alias("prompt"), F.min(F.struct(*order)).alias("_order"))
+    return distinct.repartition(concurrency).sortWithinPartitions("_order").select("key", "prompt").mapInPandas(run, "key string, answer string, answered_at string, cached boolean")
 
 
 def typed(answers: DataFrame, schema: str) -> DataFrame:

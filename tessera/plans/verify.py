@@ -83,7 +83,7 @@ def verify_dataset(spark: SparkSession, config: VerificationConfig, factory: Cli
         requests = wanted.withColumn("prompt", verification_prompt(prompt.template, "chunk."))
         retries, calls = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
         cache = cache_directory(config.repository, config.cache.directory, verify=True) if config.cache.enabled else None
-        answers = keep(ask(requests, factory, cache, v.concurrency, v.max_retries, v.model, v.temperature, decision_schema(), parse_decision, retries, calls))
+        answers = keep(ask(requests, factory, cache, v.concurrency, v.max_retries, v.model, v.temperature, decision_schema(), parse_decision, [F.col("item_ord")], retries, calls))
         decisions = typed(answers, DECISION).select("key", F.struct(F.col("answer.checks").alias("checks"), F.col("answer.evidence").alias("evidence"), F.col("answered_at").alias("verified_at")).alias("decision"))
         judged = rebuilt.join(decisions, "key", "left").withColumn("decision", F.when(F.col("unverifiable_reason").isNull(), F.col("decision")))
         found = keep(judging.records(judged, v.provider, v.model, "item_ord"))
