@@ -83,6 +83,8 @@ def parse(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if stop < 0:
         raise _Bad("header without end")
     first, *lines = raw[at:stop].split(b"\r\n")
+    if first not in (b"WARC/1.0", b"WARC/1.1"):
+        raise _Bad("no version line")
     headers: dict[str, str] = {}
     for line in lines:
         name, colon, value = line.partition(b":")

@@ -42,13 +42,14 @@ def dropped_positions(docs: DataFrame, min_chars: int = 10, min_documents: int =
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_documents: int = 2) -> DataFrame:
-    """docs with n_lines, n_dropped and kept_text."""
+    """docs with n_lines, n_dropped and kept_text, in place of columns of these names."""
     gone = dropped_positions(docs, min_chars, min_documents)
-    joined = docs.withColumn("_text_hash", F.xxhash64("text")).join(gone, (F.col("doc_id") == F.col("_doc")) & (F.col("_text_hash") == F.col("_text")), "left")
-    split = lines(F.col("text"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_dropped"))
-    kept = F.when(F.col("_dropped").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
-    return joined.select(*[docs[c] for c in docs.columns], F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    joined = docs.join(gone, (docs["doc_id"] == gone["_doc"]) & (F.xxhash64(docs["text"]) == gone["_text"]), "left")
+    split, dropped = lines(docs["text"]), gone["_dropped"]
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), dropped)
+    kept = F.when(dropped.isNull(), F.coalesce(docs["text"], F.lit(""))).otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
+    made = {"n_lines": F.size(split).cast("long"), "n_dropped": F.coalesce(F.size(dropped), F.lit(0)).cast("long"), "kept_text": kept}
+    return joined.select(*[docs[c] for c in docs.columns if c not in made], *[c.alias(n) for n, c in made.items()])
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

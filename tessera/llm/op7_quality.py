@@ -180,7 +180,7 @@ def judge(spark: SparkSession, docs: DataFrame, threshold: float = 0.5) -> DataF
 def keep_good(spark: SparkSession, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs, whatever their columns, that judge() keeps."""
     kept = judge(spark, docs, threshold).where("kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_doc"]) & (F.xxhash64(docs["text"]) == kept["_hash"]), "left_semi")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
