@@ -25,10 +25,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines that are in several documents from all but the smallest doc_id; text and n_chars are those of what is left."""
-    cleaned = op3_lines.dedup_lines(docs)
+    whole = docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))  # so that no column of docs meets one of ours
+    cleaned = op3_lines.dedup_lines(whole)
     changed = F.col("n_dropped") > 0
-    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return cleaned.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("row.n_chars"))
+    return cleaned.select(*[new[c].alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
