@@ -9,7 +9,7 @@ A document is its set of word n-grams, held as 64-bit hashes. Sets link when the
    In a ring the space of hashes is cut into m slices, D is the sum of the slices' own D, and as m exceeds every D of a linked pair, such
    sets agree on a slice: a region holds the sets of a ring that have the same content of one slice. Sets that might agree on
    empty slices alone share a region for that.
-3. Pivots. In each region the smallest id is the pivot. Members are compared with pivots, nearest first: those they share most regions with.
+3. Pivots. In each region the smallest id is the pivot. A member is first compared with its nearest pivot, the one it shares most regions with.
    Tasks combine before they shuffle: they send one member of a region on, as their own pivot for those that stay. A region whose members are
    all of one component is done.
 4. Recursion. The other regions are joined in tasks, those with one pivot together: pivots form Voronoi cells, a set goes to its nearest pivot's cell
@@ -24,6 +24,7 @@ set; they share that id's links. Rows with a null doc_id get a null component. A
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -103,13 +104,14 @@ def _spokes(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return order, new, np.cumsum(new) - 1
 
 
-def _pairs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (member, pivot), their number of shared regions; then the regions and their pivots."""
+def _pairs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (member, pivot), their number of shared regions; then the regions, their pivots, and whether they have other members."""
     order, new, number = _spokes(key, node)
     k, v = key[order], node[order]
     pivot = v[new][number] if len(v) else v
     other = v != pivot
     a, b = v[other], pivot[other]
+    shared_ = np.bincount(number[other], minlength=int(new.sum())) > 0
     if len(a):
         o = np.lexsort((b, a))
         a, b = a[o], b[o]
@@ -118,7 +120,7 @@ def _pairs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
         a, b = a[first], b[first]
     else:
         times = np.zeros(0, np.int64)
-    return a, b, times, k[new], v[new]
+    return a, b, times, k[new], v[new], shared_
 
 
 MIXED = "bucket int, kind int, a long, b long, c long, d long, payload binary"
@@ -141,7 +143,7 @@ def _set_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_pass(docs: DataFrame, width: int, rings: Rings, buckets: int, flush: int = 1_500_000) -> DataFrame:
-    """Kind 0: (doc_id, size, set key); kind 1: (member, pivot, shared regions); one shuffle of packed (region, id)."""
+    """Kind 0: (doc_id, size, set key); kind 1: (member, pivot, shared regions); kind 3: packed regions of several members. One shuffle of packed (region, id)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -150,9 +152,10 @@ def _first_pass(docs: DataFrame, width: int, rings: Rings, buckets: int, flush:
         def combined() -> Iterator[pa.RecordBatch]:
             key, node = np.concatenate(keys), np.concatenate(nodes)
             keys.clear(), nodes.clear()
-            a, b, times, region, pivot = _pairs(key, node)
+            a, b, times, region, pivot, others = _pairs(key, node)
             if len(a):
                 yield _rows(a % buckets, 1, a, b, times)
+                yield _rows([int(a[0]) % buckets], 3, payload=[region[others].tobytes()])
             place = (region % U(buckets)).astype(np.int64)
             order = np.argsort(place, kind="stable")
             place, region, pivot = place[order], region[order], pivot[order]
@@ -182,44 +185,57 @@ def _first_pass(docs: DataFrame, width: int, rings: Rings, buckets: int, flush:
 
     def gather(group: pa.Table) -> pa.Table:
         kinds = group.column("kind").to_numpy()
-        packed = [p for p in group.column("payload").to_pylist() if p is not None]
+        packed = [p for p, k in zip(group.column("payload").to_pylist(), kinds.tolist()) if k == 2]
         out = group.filter(pa.array(kinds != 2))
         if packed:
             key = np.concatenate([np.frombuffer(p, U, len(p) // 16) for p in packed])
             node = np.concatenate([np.frombuffer(p, np.int64, len(p) // 16, len(p) // 2) for p in packed])
-            a, b, times, _, _ = _pairs(key, node)
-            more = pa.Table.from_batches([_rows(np.zeros(len(a), np.int32), 1, a, b, times)]).cast(out.schema)
+            a, b, times, region, _, others = _pairs(key, node)
+            more = pa.Table.from_batches([_rows(np.zeros(len(a), np.int32), 1, a, b, times), _rows([0], 3, payload=[region[others].tobytes()])]).cast(out.schema)
             out = pa.concat_tables([out, more])
         return out
 
     return docs.select("doc_id", "text").mapInArrow(spread, MIXED).groupBy("bucket").applyInArrow(gather, MIXED)
 
 
-def _only(docs: DataFrame, ids: DataFrame, bits: int = 26) -> DataFrame:
-    """docs whose doc_id is in ids (id). A bit table of fixed size keeps most others from the shuffle; the join keeps out the rest."""
-    size = 1 << bits
+class _Marks:
+    """A table of fixed size with a bit for each value's hash; it only saves work, as it may also hold bits of values that were never added."""
 
-    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = np.zeros(size // 8, np.uint8)
-        for batch in batches:
-            place = (kernel.mix(batch.column("id").to_numpy().astype(U)) % U(size)).astype(np.int64)
-            np.bitwise_or.at(table_, place >> 3, (1 << (place & 7)).astype(np.uint8))
-        import zlib
+    def __init__(self, frame: DataFrame, column: str, bits: int = 26):
+        """Adds a column's 64-bit values, or those packed in a binary column."""
+        size = 1 << bits
+
+        def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table_ = np.zeros(size, bool)
+            for batch in batches:
+                values = batch.column(0)
+                found = [np.frombuffer(x, U) for x in values.to_pylist() if x] if pa.types.is_binary(values.type) else [values.to_numpy().view(U)]
+                for x in found:
+                    table_[_Marks.place(x, size)] = True
+            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(table_).tobytes(), 1)], pa.binary())], ["t"])
+
+        whole = np.zeros(size // 8, np.uint8)
+        for row in frame.select(column).coalesce(8).mapInArrow(marks, "t binary").toLocalIterator():
+            whole |= np.frombuffer(zlib.decompress(row["t"]), np.uint8)
+        self.size, self.sent = size, frame.sparkSession.sparkContext.broadcast(zlib.compress(whole.tobytes(), 1))
 
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(table_.tobytes(), 1)], pa.binary())], ["t"])
+    @staticmethod
+    def place(values: np.ndarray, size: int) -> np.ndarray:
+        return (kernel.mix(values) % U(size)).astype(np.int64)
 
-    import zlib
+    def load(self) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(zlib.decompress(self.sent.value), np.uint8)).view(bool)
 
-    whole = np.zeros(size // 8, np.uint8)
-    for row in ids.select("id").coalesce(8).mapInArrow(marks, "t binary").toLocalIterator():
-        whole |= np.frombuffer(zlib.decompress(row["t"]), np.uint8)
-    sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(whole.tobytes(), 1))
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs whose doc_id is in ids (id). The marks keep most others from the shuffle; the join keeps out the rest."""
+    marks = _Marks(ids, "id")
+    size, sent = marks.size, marks
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.frombuffer(zlib.decompress(sent.value), np.uint8)
+        known = sent.load()
         for batch in batches:
-            place = (kernel.mix(batch.column("doc_id").fill_null(0).to_numpy().astype(U)) % U(size)).astype(np.int64)
-            yield batch.filter(pa.array((known[place >> 3] >> (place & 7)) & 1 == 1))
+            yield batch.filter(pa.array(known[_Marks.place(batch.column("doc_id").fill_null(0).to_numpy().view(U), size)]))
 
     return docs.select("doc_id", "text").mapInArrow(likely, "doc_id long, text string").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
 
@@ -325,18 +341,21 @@ def voronoi_links(sets: list[np.ndarray], part: np.ndarray, num: int, den: int,
     return found
 
 
-def _open_cells(texts: DataFrame, parts: DataFrame, width: int, rings: Rings) -> DataFrame:
+def _open_cells(texts: DataFrame, parts: DataFrame, marks: _Marks, width: int, rings: Rings) -> DataFrame:
     """(pivot, id, part): the sets that share with a pivot a region whose members are of two components at least. parts: (id, part).
 
     Any two members of such a region are in its pivot's cell together; taking a pivot's regions as one cell sends each set to a pivot once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = marks.load()
         for batch in batches:
             for x, y in kernel.by_bytes(batch.column("text")):
                 part = batch.slice(x, y - x)
                 h, at = kernel.shingle_sets(part.column("text"), width)
                 key, row = regions(h, at, rings)
+                several = known[_Marks.place(key, marks.size)]
+                key, row = key[several], row[several]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("doc_id").take(pa.array(row)), part.column("part").take(pa.array(row))], ["region", "id", "part"])
 
     members = texts.join(parts.select(F.col("id").alias("doc_id"), "part"), "doc_id").mapInArrow(run, "region long, id long, part long")
@@ -384,17 +403,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, num
     alias = name.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
 
     def parts_of(links: DataFrame) -> DataFrame:
-        known = components(links, scratch)
-        return scratch.keep(ids.join(known, "id", "left").select("id", F.coalesce("component", "id").alias("part")))
-
-    # the pivot that a member shares most regions with; then the pivots it is not yet joined to
-    nearest = candidates.groupBy("a").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("x"))).alias("b"))
+        """(id, part): the end of the path of smallest links from each id, as far as a few doublings reach. Parts only save comparisons: sets of one
+        part are surely joined, others may be too."""
+        parts = ids.join(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("part")), "id", "left").select("id", F.coalesce("part", "id").alias("part"))
+        for _ in range(2):
+            parts = scratch.keep(parts)
+            parts = parts.join(parts.select(F.col("id").alias("part"), F.col("part").alias("next")), "part").select("id", F.col("next").alias("part"))
+        return scratch.keep(parts)
+
+    # of the pivots that could link by their size, the one that a member shares most regions with
+    sizes = same.where("rep = doc_id").groupBy("doc_id").agg(F.max("n").alias("n"))
+    sized = candidates.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
+    nearest = sized.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).groupBy("a").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("x"))).alias("b"))
     links = scratch.keep(_verified(nearest, texts, width, num, den))
     parts = parts_of(links)
-    left = candidates.join(nearest, ["a", "b"], "left_anti").join(parts.select(F.col("id").alias("a"), F.col("part").alias("pa")), "a").join(parts.select(F.col("id").alias("b"), F.col("part").alias("pb")), "b").where("pa <> pb")
-    links = scratch.keep(links.unionByName(_verified(left, texts, width, num, den)))
-    parts = parts_of(links)
-    open_ = scratch.keep(_open_cells(texts, parts, width, rings))
+    open_ = scratch.keep(_open_cells(texts, parts, _Marks(found.where("kind = 3"), "payload"), width, rings))
     links = scratch.keep(links.unionByName(_join_cells(open_, texts, width, num, den, cell_cap)))
     all_ = scratch.keep(components(links.unionByName(alias), scratch))
     out = scratch.keep(same.join(all_, same["doc_id"] == all_["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
