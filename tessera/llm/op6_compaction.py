@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import Scratch, table
 
 
+#: Shards of a round, about 100 bytes each, up to which their groups are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_SHARDS = 50_000
+
+
 class CommitConflict(RuntimeError):
     """Another writer committed this version first."""
 
@@ -108,6 +112,8 @@ class ShardedTable:
 
     def append_arrivals(self, rows: DataFrame, arrival: str) -> Manifest:
         """Appends what rows hold for each value of a column, one after another, each as a version; the data are written in one job."""
+        if clash := {"_group", "_tail"} & set(rows.columns):
+            raise ValueError(f"the table keeps these column names for itself: {', '.join(sorted(clash))}")
         below = f"data/{uuid.uuid4().hex}"
         rows.write.partitionBy(arrival).option("compression", "zstd").parquet(f"{self.root}/{below}")
         by: dict[str, list[Shard]] = {}
@@ -156,7 +162,9 @@ class ShardedTable:
         if not groups:
             return None
         tail = lambda path: "/".join(path.rsplit("/", 3)[1:])
-        names = self.spark.createDataFrame([(tail(s.path), k) for k, g in enumerate(groups) for s in g], "_tail string, _group int")
+        listed = [(tail(s.path), k) for k, g in enumerate(groups) for s in g]
+        names = self.spark.createDataFrame(listed, "_tail string, _group int")
+        names = F.broadcast(names) if len(listed) <= BROADCAST_SHARDS else names
         merged = self.spark.read.parquet(*(f"{self.root}/{s.path}" for g in groups for s in g)).withColumn("_tail", F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+/[^/]+)$", 1))
         below = f"data/{uuid.uuid4().hex}"
         merged.join(names, "_tail").drop("_tail").repartition(len(groups), "_group").write.partitionBy("_group").option("compression", "zstd").parquet(f"{self.root}/{below}")
