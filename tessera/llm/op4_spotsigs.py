@@ -56,6 +56,28 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(every == 0, 1.0).otherwise(both / every)
 
 
+def length_partition(n: Column, threshold: float) -> Column:
+    """Sets of this similarity or more are of one partition or of neighbours: the bounds grow by 1 / threshold."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1 / threshold)) + 1e-9)
+
+
+def search(queries: DataFrame, everything: DataFrame, name: str, threshold: float = 0.8) -> DataFrame:
+    """(query_id, doc_id, likeness) of all rows whose signature set (column name) is as like a stated query's as the threshold asks, itself left out.
+
+    Sets are partitioned by length; a query looks into its partition and the neighbours. There, sets that are alike share one of their smallest
+    n - ceil(threshold * n) + 1 hashes at least, and their lengths bound their similarity, so most pairs are pruned before sets are intersected.
+    """
+    size = F.size(name)
+    first = F.slice(F.col(name), F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)
+    usable = lambda frame, id_: frame.where(size > 0).select(F.col("doc_id").alias(id_), F.col(name).alias(f"{id_}_set"), size.alias(f"{id_}_n"), length_partition(size, threshold).alias("part"), first.alias("first"))
+    asked = usable(queries, "query_id").withColumn("part", F.explode(F.array(F.col("part") - 1, F.col("part"), F.col("part") + 1))).withColumn("token", F.explode("first"))
+    there = usable(everything, "doc_id").withColumn("token", F.explode("first"))
+    fits = F.least("query_id_n", "doc_id_n") >= threshold * F.greatest("query_id_n", "doc_id_n") - 1e-9
+    pairs = asked.select("query_id", "query_id_n", "part", "token").join(there.select("doc_id", "doc_id_n", "part", "token"), ["part", "token"]).where(fits & (F.col("query_id") != F.col("doc_id"))).select("query_id", "doc_id").distinct()
+    sets = pairs.join(queries.select(F.col("doc_id").alias("query_id"), F.col(name).alias("a")), "query_id").join(everything.select("doc_id", F.col(name).alias("b")), "doc_id")
+    return sets.select("query_id", "doc_id", likeness(F.col("a"), F.col("b")).alias("likeness")).where(F.col("likeness") >= threshold)
+
+
 def edit(text: Column, next_text: Column) -> Column:
     half = F.floor(F.length(text) / 2).cast("int")
     return F.concat(F.substring(text, F.lit(1), F.length(text) - half), F.substring(next_text, F.lit(1), half))

@@ -182,6 +182,22 @@ def test_signatures(spark):
     assert set(made["s"]) == hashes and made["s"] == sorted(made["s"])
 
 
+def test_search(spark):
+    r = np.random.default_rng(4)
+    bases, made = [r.integers(-(1 << 62), 1 << 62, int(n)) for n in (5, 20, 60, 200)], []
+    for k in range(120):
+        own = bases[k % 4].copy()
+        swap = r.integers(0, 1 + len(own) // 6)
+        own[r.choice(len(own), swap, replace=False)] = r.integers(-(1 << 62), 1 << 62, swap)
+        made.append((k, sorted(set(own.tolist()))))
+    made.append((200, []))
+    table = spark.createDataFrame(made, "doc_id long, s array<long>")
+    got = {(x.query_id, x.doc_id): x.likeness for x in spots.search(table.where("doc_id % 5 = 0"), table, "s").collect()}
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = {(i, j): like(a, b) for i, a in made for j, b in made if i % 5 == 0 and i != j and a and b and like(a, b) >= 0.8}
+    assert got == pytest.approx(want) and len(want) > 20
+
+
 # 5
 
 def test_language(spark, empty):
