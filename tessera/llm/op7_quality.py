@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import kernel
 from tessera.llm.common import SPACE, Scratch, table
@@ -90,17 +91,18 @@ def counts(column: pa.Array) -> dict[str, np.ndarray]:
     return out
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """docs's doc_id and a hash of its text with COUNTS, all long."""
+def measure(rows: DataFrame) -> DataFrame:
+    """rows, which have a column text, with COUNTS, all long, in its place."""
+    others = [f for f in rows.schema if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b in kernel.by_bytes(batch.column("text")):
                 part = batch.slice(a, b - a)
                 found = counts(part.column("text"))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), *(pa.array(found[c], pa.int64()) for c in COUNTS)], ["doc_id", "text_hash", *COUNTS])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in others), *(pa.array(found[c], pa.int64()) for c in COUNTS)], [*(f.name for f in others), *COUNTS])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.mapInArrow(run, T.StructType([*others, *(T.StructField(c, T.LongType()) for c in COUNTS)]))
 
 
 def rules() -> dict[str, Column]:
@@ -165,23 +167,33 @@ def posterior(votes: np.ndarray, good: float, chance: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(base + odds[np.arange(votes.shape[1]), votes + 1].sum(1))))
 
 
-def judge(spark: SparkSession, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, a hash of its text, the five base counts, base_failed, p_good, kept."""
-    voted = rules()
-    measured = Scratch(spark, "quality").keep(measure(docs).withColumns({f"v_{k}": v.cast("tinyint") for k, v in voted.items()}).withColumn("base_failed", base_failed()))
-    names = [f"v_{k}" for k in voted]
-    seen = measured.where(~F.col("base_failed")).groupBy(*names).count().collect()  # 3**len(rules) rows at most
+def _voted(measured: DataFrame) -> DataFrame:
+    return measured.withColumns({f"v_{k}": v.cast("tinyint") for k, v in rules().items()}).withColumn("base_failed", base_failed())
+
+
+def _learned(voted: DataFrame) -> Column:
+    """The posterior as a column of the votes, from the votes of all documents."""
+    names = [f"v_{k}" for k in rules()]
+    seen = voted.where(~F.col("base_failed")).groupBy(*names).count().collect()  # 3**len(rules) rows at most
     pattern = np.array([[r[n] for n in names] for r in seen], np.int64).reshape(-1, len(names))
     base, odds_of = weights(*estimate(pattern, np.array([r["count"] for r in seen], float)))
     odds = reduce(lambda x, y: x + y, [F.element_at(F.array(*[F.lit(float(x)) for x in row]), F.col(n).cast("int") + 2) for n, row in zip(names, odds_of)], F.lit(base))
-    return measured.withColumn("p_good", 1 / (1 + F.exp(-odds))).select("doc_id", "text_hash", *COUNTS[:5], "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept"))
+    return 1 / (1 + F.exp(-odds))
+
+
+def judge(spark: SparkSession, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """doc_id, the five base counts, base_failed, p_good, kept."""
+    voted = Scratch(spark, "quality").keep(_voted(measure(docs.select("doc_id", "text"))))
+    return voted.withColumn("p_good", _learned(voted)).select("doc_id", *COUNTS[:5], "base_failed", "p_good", (~F.col("base_failed") & (F.col("p_good") >= threshold)).alias("kept"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs, whatever their columns, that judge() keeps."""
-    kept = judge(spark, docs, threshold).where("kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_doc"]) & (F.xxhash64(docs["text"]) == kept["_hash"]), "left_semi")
+    """The rows of docs, whatever their columns, that judge() keeps. Texts are measured twice, once to learn and once to filter, and never shuffled."""
+    p_good = _learned(_voted(measure(docs.select("text"))))
+    whole = _voted(measure(docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))))
+    kept = whole.where(~F.col("base_failed") & (p_good >= threshold))
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark, table(spark, sf_dir, "documents")).drop("text_hash")
+    return judge(spark, table(spark, sf_dir, "documents"))
