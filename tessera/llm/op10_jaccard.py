@@ -425,5 +425,23 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, num
     return out
 
 
+def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs, whatever their columns, whose doc_id is not in gone (id); a null doc_id stays. Most rows pass by the marks alone; the few that
+    may be in gone are joined with it, so that other texts are not shuffled."""
+    marks = _Marks(gone, "id")
+
+    def part(maybe: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = marks.load()
+            for batch in batches:
+                ids = batch.column("doc_id")
+                found = known[_Marks.place(ids.fill_null(0).to_numpy().view(U), marks.size)] & np.array(ids.is_valid())
+                yield batch.filter(pa.array(found if maybe else ~found))
+
+        return docs.mapInArrow(run, docs.schema)
+
+    return part(False).unionByName(part(True).join(gone.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti").select(*docs.columns))
+
+
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, table(spark, sf_dir, "documents"))

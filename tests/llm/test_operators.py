@@ -23,7 +23,7 @@ from tessera.llm.op3_lines import dedup_lines
 from tessera.llm.op6_compaction import CommitConflict, Shard, ShardedTable
 from tessera.llm.op8_packing import best_fit, cut, public_vocabulary, sum_of_squares
 from tessera.llm.op9_byte_bpe import decode, digests, encode, public_ranks
-from tessera.llm.op10_jaccard import jaccard_components, overlaps, voronoi_links
+from tessera.llm.op10_jaccard import drop_ids, jaccard_components, overlaps, voronoi_links
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 rnd = np.random.default_rng(3)
@@ -425,6 +425,12 @@ def test_jaccard_join(spark, docs, empty):
     assert rows(jaccard_components(spark, empty)) == []
 
 
+def test_dropping_ids(spark, docs):
+    gone = spark.createDataFrame([(1,), (20,), (20,), (777,)], "id long")
+    left = drop_ids(docs, gone)
+    assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(d) for d, _ in ROWS if d not in (1, 20))
+
+
 def test_voronoi_cells_lose_no_link():
     r = np.random.default_rng(2)
     draw = lambda n: r.integers(1, 1 << 60, n).astype(np.uint64)
