@@ -44,7 +44,7 @@ _K = [kernel.mix(np.array([i], U) * U(0x9E3779B97F4A7C15))[0] | U(1) for i in ra
 class Rings:
     """Rings of set sizes and their slices, for links of similarity num / den or more."""
 
-    def __init__(self, num: int, den: int, ratio: float = 1.7, first: int = 2, last: int = 1 << 40):
+    def __init__(self, num: int, den: int, ratio: float = 1.25, first: int = 2, last: int = 1 << 40):
         self.num, self.den = num, den
         bounds = [first]
         while bounds[-1] < last:
