@@ -95,6 +95,15 @@ def test_probabilities_of_words_sum_to_less_than_one(spark):
     assert got[1000] > got[1006]
 
 
+def test_order_of_words_counts(spark):
+    r = np.random.default_rng(4)
+    verse = " ".join("".join(r.choice(SYLLABLES, 3)) for _ in range(30))
+    texts = [(k, verse) for k in range(20)] + [(100, verse), (101, " ".join(r.permutation(verse.split())))]
+    got = by_id(score(spark, spark.createDataFrame(texts, "doc_id long, text string"), bits=14))
+    assert got[100]["base_score"] == pytest.approx(got[101]["base_score"]) and got[100]["n_tokens"] == 31
+    assert got[100]["score"] > got[101]["score"] + 10
+
+
 # 2
 
 def test_archives(spark, tmp_path):
