@@ -104,6 +104,15 @@ def test_order_of_words_counts(spark):
     assert got[100]["score"] > got[101]["score"] + 10
 
 
+def test_late_bytes_of_words_count(spark):
+    address = "https://" + "ab" * 40 + "/page/" + "cd" * 40
+    other, late = address[:64] + address[64:].translate(str.maketrans("abcdpge", "zyxwvut")), address[:-1] + "q"
+    texts = [(k, f"see {address}") for k in range(20)] + [(102, address), (103, other), (104, late)]
+    got = by_id(score(spark, spark.createDataFrame(texts, "doc_id long, text string"), bits=14))
+    assert got[102]["n_tokens"] == 2
+    assert got[102]["score"] > got[104]["score"] + 0.1 > got[103]["score"] + 10
+
+
 # 2
 
 def test_archives(spark, tmp_path):
