@@ -79,7 +79,7 @@ def parse(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """(headers, block, end) of the record at that place of plain bytes; raises if any check fails."""
     if not raw.startswith(b"WARC/1.", at):
         raise _Bad("no version line")
-    stop = raw.find(b"\r\n\r\n", at, at + (1 << 16))
+    stop = raw.find(b"\r\n\r\n", at)  # headers have no greatest length, as urls have none
     if stop < 0:
         raise _Bad("header without end")
     first, *lines = raw[at:stop].split(b"\r\n")

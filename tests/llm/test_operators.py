@@ -129,6 +129,16 @@ def test_archives(spark, tmp_path):
     assert rows(warc.read_archives(scratch.keep(warc.write_archives(spark, pages.limit(0), scratch.path())), 1)) == []
 
 
+@pytest.mark.parametrize("packed", [True, False])
+def test_long_addresses(packed):
+    made = [warc.record(k, "data:," + "é" * n, b"payload", None) for k, n in enumerate([5, 40_000, 300_000])]
+    whole = b"".join(warc.member(r) if packed else r for r in made)
+    found = list(warc.salvage(whole))
+    assert [warc.described(r).get("page_id") for r in found] == [0, 1, 2] and found[2].headers["warc-target-uri"] == "data:," + "é" * 300_000
+    broken = list(warc.salvage(whole[: -len(made[2]) // 2] if not packed else whole[:-20]))
+    assert [warc.described(r).get("page_id") for r in broken] == [0, 1, None] and isinstance(broken[2], warc.Gap)
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_salvage(packed):
     made = [warc.record(k, "u", b"payload %d " % k * 50, None) for k in range(6)]
