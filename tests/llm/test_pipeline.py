@@ -32,6 +32,20 @@ def test_stages(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/4").select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
 
 
+def test_near_duplicates_between_thresholds(spark):
+    word = lambda k: f"w{k}"
+    base = [word(k) for k in range(200)]
+    more = base + [word(k) for k in range(1000, 1040)]  # 196 of 236 windows
+    rewritten = [word(k + 2000) if 100 <= k < 118 else w for k, w in enumerate(base)]  # 174 of 218
+    far = base + [word(k) for k in range(3000, 3060)]  # 196 of 256
+    rows = [(k + 1, " ".join(w)) for k, w in enumerate([base, more, rewritten, far])]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+    rows[2] = (3, " ".join(word(k + 2000) if 100 <= k < 117 else w for k, w in enumerate(base)))  # 175 of 217
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), DATA)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
