@@ -179,6 +179,27 @@ def completion_parse(spark, sf_dir):
     return files(spark, sf_dir).withColumn("v", T.parsed_json(_completion())).groupBy((F.col("doc_id") % 4).alias("kind")).agg(F.count("*").alias("n"), F.count("v").alias("parsed"))
 
 
+def _whole_completion() -> Column:
+    """As above, of the whole text; every fourth is cut before its last two characters, so that it is no JSON."""
+    body = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 40).alias("question"), F.substring(F.col("text"), F.lit(41), F.length("text")).alias("answer"))).alias("items")))
+    k = F.col("doc_id") % 4
+    return F.when(k == 0, body).when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone."))).when(k == 2, F.concat(F.lit(" \n"), body, F.lit("\n"))).otherwise(F.concat(F.lit("```"), F.substring(body, F.lit(1), F.length(body) - 2)))
+
+
+_WHOLE = "'{\"items\":[{\"question\":' || to_json(substr(text, 1, 40)) || ',\"answer\":' || to_json(substr(text, 41)) || '}]}'"
+
+
+@query(f"SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 3 THEN trim(substr(body, 1, length(body) - 2), {WS_SQL}) ELSE body END) AS candidate_sha256 FROM (SELECT doc_id, {_WHOLE} AS body FROM documents)")
+def json_candidate_whole(spark, sf_dir):
+    return files(spark, sf_dir).select("doc_id", F.sha2(T.json_candidate(_whole_completion()), 256).alias("candidate_sha256"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN sha256(substr(text, 1, 40) || chr(0) || substr(text, 41)) END AS items_sha256 FROM documents")
+def completion_parse_whole(spark, sf_dir):
+    item = lambda name: F.variant_get("v", f"$.items[0].{name}", "string")
+    return files(spark, sf_dir).withColumn("v", T.parsed_json(_whole_completion())).select("doc_id", F.sha2(F.concat(item("question"), F.lit("\0"), item("answer")), 256).alias("items_sha256"))
+
+
 @query("SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS excerpt FROM documents")
 def excerpt_500(spark, sf_dir):
     return files(spark, sf_dir).select("doc_id", T.excerpt(F.col("text")).alias("excerpt"))
@@ -243,11 +264,13 @@ def qa_duplicate_count(spark, sf_dir):
     return keyed.groupBy("k").agg(F.count("*").alias("n")).agg(F.sum("n").alias("valid"), F.count("*").alias("accepted"), (F.sum("n") - F.count("*")).alias("duplicates"))
 
 
-def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two items from each chunk, made without a model: the chunk's first characters, and a question that all chunks of a file share."""
+def _items(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Two items from each chunk, made without a model: the chunk's first characters, and a question that all chunks of a file share. whole: their answers
+    are the rest of the chunk, and the chunk."""
     item = lambda q, a, tags, c: F.struct(q.alias("question"), a.alias("answer"), tags.alias("tags"), c.cast("float").alias("confidence"))
     head = F.substring("text", 1, 30)
-    items = F.array(item(F.concat(F.lit(" "), head, F.lit(" ?")), F.substring("text", 31, 40), F.array(F.lit(" a "), F.lit("  "), F.lit("b")), F.lit(0.5)), item(F.concat(F.lit("About "), "path", F.lit("?")), head, F.array().cast("array<string>"), F.lit(None)))
+    rest, all_ = (F.substring(F.col("text"), F.lit(31), F.length("text")), F.col("text")) if whole else (F.substring("text", 31, 40), head)
+    items = F.array(item(F.concat(F.lit(" "), head, F.lit(" ?")), rest, F.array(F.lit(" a "), F.lit("  "), F.lit("b")), F.lit(0.5)), item(F.concat(F.lit("About "), "path", F.lit("?")), all_, F.array().cast("array<string>"), F.lit(None)))
     made = chunks(spark, sf_dir).select("chunk_id", "path", "start_line", "end_line", "chunk_ord", F.lit("2024-01-01T00:00:00Z").alias("generated_at"), items.alias("items"))
     return qa.explode_batches(made, "stub")
 
@@ -257,11 +280,19 @@ SELECT path, start_line, end_line, chunk_id, k AS item_ord, trim(CASE k WHEN 0 T
        trim(CASE k WHEN 0 THEN substr(body, 31, 40) ELSE substr(body, 1, 30) END, {WS_SQL}) AS answer, CASE k WHEN 0 THEN 2 ELSE 0 END AS n_tags, CASE k WHEN 0 THEN 0.5::FLOAT END AS confidence FROM ids, (VALUES (0), (1)) AS v(k)"""
 
 
+_WHOLE_ITEMS = _ITEMS_SELECT.replace("substr(body, 31, 40) ELSE substr(body, 1, 30) END", "substr(body, 31) ELSE body END")
+
+
 @query(chunk_sql(4_000, f"SELECT sha256(chunk_id || chr(0) || {NORM_SQL.format('question')}) AS id, question, answer, path, start_line, end_line, item_ord, n_tags, confidence FROM ({_ITEMS_SELECT})"))
 def qa_explode(spark, sf_dir):
     return _items(spark, sf_dir).select("id", "question", "answer", "source.path", "source.start_line", "source.end_line", "item_ord", F.size("tags").alias("n_tags"), "confidence")
 
 
+@query(chunk_sql(4_000, f"SELECT sha256(chunk_id || chr(0) || {NORM_SQL.format('question')}) AS id, question, answer, path, start_line, end_line, item_ord, n_tags, confidence FROM ({_WHOLE_ITEMS})"))
+def qa_explode_whole(spark, sf_dir):
+    return _items(spark, sf_dir, whole=True).select("id", "question", "answer", "source.path", "source.start_line", "source.end_line", "item_ord", F.size("tags").alias("n_tags"), "confidence")
+
+
 @query(chunk_sql(4_000, f"""SELECT count(DISTINCT chunk_id || path || start_line)::BIGINT AS chunks, count(DISTINCT CASE WHEN answer <> '' AND question <> '' THEN {NORM_SQL.format('question')} END)::BIGINT AS generated_items,
   count(*) FILTER (WHERE answer = '' OR question = '')::BIGINT AS rejected_items, (count(*) FILTER (WHERE answer <> '' AND question <> '') - count(DISTINCT CASE WHEN answer <> '' AND question <> '' THEN {NORM_SQL.format('question')} END))::BIGINT AS duplicate_items FROM ({_ITEMS_SELECT})"""))
 def build_stats(spark, sf_dir):
@@ -271,6 +302,15 @@ def build_stats(spark, sf_dir):
     return items.agg(F.countDistinct("chunk_id", "source.path", "source.start_line").alias("chunks"), accepted.alias("generated_items"), F.count_if(~valid).alias("rejected_items"), (F.count_if(valid) - accepted).alias("duplicate_items"))
 
 
+@query(chunk_sql(4_000, f"""SELECT count(DISTINCT chunk_id || path || start_line)::BIGINT AS chunks, count(DISTINCT CASE WHEN answer <> '' AND question <> '' THEN {NORM_SQL.format('question')} END)::BIGINT AS generated_items,
+  count(*) FILTER (WHERE answer = '' OR question = '')::BIGINT AS rejected_items, (count(*) FILTER (WHERE answer <> '' AND question <> '') - count(DISTINCT CASE WHEN answer <> '' AND question <> '' THEN {NORM_SQL.format('question')} END))::BIGINT AS duplicate_items FROM ({_WHOLE_ITEMS})"""))
+def build_stats_whole(spark, sf_dir):
+    items = _items(spark, sf_dir, whole=True).withColumn("reject_reason", qa.reject_reason())
+    valid = F.col("reject_reason").isNull()
+    accepted = F.countDistinct(F.when(valid, T.normalize_question(F.col("question"))))
+    return items.agg(F.countDistinct("chunk_id", "source.path", "source.start_line").alias("chunks"), accepted.alias("generated_items"), F.count_if(~valid).alias("rejected_items"), (F.count_if(valid) - accepted).alias("duplicate_items"))
+
+
 _JSON_SQL = """'{"instruction":' || to_json(question) || ',"input":"","output":' || to_json(answer) || ',"metadata":{"id":"' || sha256(chunk_id || chr(0) || """ + NORM_SQL.format("question") + """) || '","source":{"path":"' || path || '","start_line":' || start_line || ',"end_line":' || end_line
   || '},"chunk_id":"' || chunk_id || '","model":"stub","generated_at":"2024-01-01T00:00:00Z"' || CASE WHEN n_tags > 0 THEN ',"tags":["a","b"],"confidence":0.5' ELSE '' END || '}}'"""
 
@@ -280,6 +320,11 @@ def alpaca_export(spark, sf_dir):
     return qa.json_lines(qa.alpaca(_items(spark, sf_dir)), ["instruction", "input", "output", "metadata"]).select(F.sha2("value", 256).alias("line_sha256"))
 
 
+@query(chunk_sql(4_000, f"SELECT sha256({_JSON_SQL}) AS line_sha256 FROM ({_WHOLE_ITEMS})"))
+def alpaca_export_whole(spark, sf_dir):
+    return qa.json_lines(qa.alpaca(_items(spark, sf_dir, whole=True)), ["instruction", "input", "output", "metadata"]).select(F.sha2("value", 256).alias("line_sha256"))
+
+
 @query(chunk_sql(4_000, f"SELECT sha256(chunk_id || chr(0) || {NORM_SQL.format('question')}) AS id, question, answer, path, n_tags, confidence FROM ({_ITEMS_SELECT})"))
 def dataset_roundtrip(spark, sf_dir):
     from tessera import schemas
@@ -289,6 +334,15 @@ def dataset_roundtrip(spark, sf_dir):
     return read.select("id", "question", "answer", "source.path", F.size("tags").alias("n_tags"), "confidence")
 
 
+@query(chunk_sql(4_000, f"SELECT sha256(chunk_id || chr(0) || {NORM_SQL.format('question')}) AS id, question, answer, path, n_tags, confidence FROM ({_WHOLE_ITEMS})"))
+def dataset_roundtrip_whole(spark, sf_dir):
+    from tessera import schemas
+
+    lines = qa.json_lines(qa.alpaca(_items(spark, sf_dir, whole=True)), ["instruction", "input", "output", "metadata"])
+    read = qa.from_alpaca(lines.select(F.from_json("value", schemas.ALPACA).alias("r")).select("r.*"))
+    return read.select("id", "question", "answer", "source.path", F.size("tags").alias("n_tags"), "confidence")
+
+
 # caches
 
 @query(chunk_sql(4_000, "SELECT count(*)::BIGINT AS chunks, count(DISTINCT chunk_id)::BIGINT AS keys, count(DISTINCT chunk_id) FILTER (WHERE ascii(chunk_id) < 56)::BIGINT AS hits, count(DISTINCT chunk_id) FILTER (WHERE ascii(chunk_id) >= 56)::BIGINT AS misses FROM ids"))
