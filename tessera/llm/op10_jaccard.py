@@ -7,14 +7,15 @@ A document is its set of word n-grams, held as 64-bit hashes. Sets link when the
    two other reference points of the symmetric-difference metric D(A, B) = |A xor B|. Around the empty set, D is the set's size: sizes form rings,
    and by the triangle inequality sets that link differ in size by at most D, so a set near its ring's rim is replicated to the next ring.
    In a ring the space of hashes is cut into m slices, D is the sum of the slices' own D, and as m exceeds every D of a linked pair, such
-   sets agree on a slice: a region holds the sets of a ring that have the same content of one slice. Sets that might agree on
-   empty slices alone share a region for that.
-3. Pivots. In each region the smallest id is the pivot. A member is first compared with its nearest pivot, the one it shares most regions with.
-   Tasks combine before they shuffle: they send one member of a region on, as their own pivot for those that stay. A region whose members are
-   all of one component is done.
-4. Recursion. The other regions are joined in tasks, those with one pivot together: pivots form Voronoi cells, a set goes to its nearest pivot's cell
-   and also to every cell whose pivot is at most 2 eps farther, which is what the triangle inequality asks for, and cells are joined by the same rule
-   until they are small. More than cell_cap sets are dealt as pairs of blocks, so that a task's memory is bounded and no pair is lost.
+   sets agree on a slice: a region holds the sets of a ring that have the same content of one slice. Sets so small that they
+   might agree on empty slices alone also get regions by their first hashes, of which linked sets have one in common.
+3. Pivots. In each region the smallest id is the pivot. The regions of the first NAMING slices name a set's pivots, and it is compared with the
+   nearest, the one it shares most of these with. Tasks combine before they shuffle: they send one member of a region on, as their own
+   pivot for those that stay. This labels most copies; a region whose members have one label is done. NAMING only decides who is compared first.
+4. Recursion. All regions of sets with two labels at least are joined in tasks, those with one pivot together: pivots form Voronoi cells, a set
+   goes to its nearest pivot's cell and also to every cell whose pivot is at most 2 eps farther, which is what the triangle inequality asks for,
+   and cells are joined by the same rule until they are small. More than cell_cap sets are dealt as pairs of blocks, those of one label alone left
+   out, so that a task's memory is bounded and no pair is lost.
 
 Components follow from the links by distributed label propagation (tessera.llm.components).
 
@@ -38,6 +39,8 @@ from tessera.llm.common import Scratch, table
 from tessera.llm.components import components
 
 U = np.uint64
+NAMING = 6
+MARK_PARTS = 64
 _K = [kernel.mix(np.array([i], U) * U(0x9E3779B97F4A7C15))[0] | U(1) for i in range(101, 107)]
 
 
@@ -65,7 +68,11 @@ class Rings:
 
 
 def regions(h: np.ndarray, at: np.ndarray, rings: Rings) -> tuple[np.ndarray, np.ndarray]:
-    """(region, row) of each set, sets being ascending hashes h[at[i]:at[i + 1]]."""
+    """(region, row) of each set, sets being ascending hashes h[at[i]:at[i + 1]]. The regions of the first NAMING slices are odd numbers.
+
+    Linked sets that agree on empty slices alone differ on all others, so each has at most as many of those as a linked pair can differ by; such sets
+    are small, and of their first n - ceil(similarity * n) + 1 hashes the other has one at least among its own.
+    """
     size = np.diff(at)
     apart = rings.most_apart(size)
     home, rim = rings.ring(size), rings.ring(rings.largest_partner(size))
@@ -86,11 +93,14 @@ def regions(h: np.ndarray, at: np.ndarray, rings: Rings) -> tuple[np.ndarray, np
         starts = np.flatnonzero(first)
         content = np.add.reduceat(kernel.mix(own ^ _K[0]), starts)
         o, s = owner[starts], slice_[starts]
-        out_key.append(kernel.mix(content + ring.astype(U)[o] * _K[1] + s * _K[2] + _K[3]))
+        key = kernel.mix(content + ring.astype(U)[o] * _K[1] + s * _K[2] + _K[3])
+        out_key.append(np.where(s < U(NAMING), key | U(1), key & ~U(1)))
         out_row.append(rows[o])
-        few = np.flatnonzero(np.bincount(o, minlength=len(rows)) <= apart[rows])
-        out_key.append(kernel.mix(ring.astype(U)[few] * _K[1] + _K[4]))
-        out_row.append(rows[few])
+        few = rows[np.bincount(o, minlength=len(rows)) <= apart[rows]]
+        n = size[few] - (size[few] * rings.num + rings.den - 1) // rings.den + 1
+        owner, begin = np.repeat(few, n), np.repeat(np.cumsum(n) - n, n)
+        out_key.append(kernel.mix(h[at[:-1][owner] + np.arange(len(owner)) - begin] + (home[owner] + step).astype(U) * _K[1] + _K[4]) & ~U(1))
+        out_row.append(owner)
     if not out_key:
         return np.zeros(0, U), np.zeros(0, np.int64)
     return np.concatenate(out_key), np.concatenate(out_row)
@@ -105,12 +115,13 @@ def _spokes(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _pairs(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (member, pivot), their number of shared regions; then the regions, their pivots, and whether they have other members."""
+    """Distinct (member, pivot) of naming regions, how many of these they share; then all regions, their pivots, whether they have other members."""
     order, new, number = _spokes(key, node)
     k, v = key[order], node[order]
     pivot = v[new][number] if len(v) else v
     other = v != pivot
-    a, b = v[other], pivot[other]
+    named = other & ((k & U(1)) == 1)
+    a, b = v[named], pivot[named]
     shared_ = np.bincount(number[other], minlength=int(new.sum())) > 0
     if len(a):
         o = np.lexsort((b, a))
@@ -143,7 +154,8 @@ def _set_keys(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_pass(docs: DataFrame, width: int, rings: Rings, buckets: int, flush: int = 1_500_000) -> DataFrame:
-    """Kind 0: (doc_id, size, set key); kind 1: (member, pivot, shared regions); kind 3: packed regions of several members. One shuffle of packed (region, id)."""
+    """Kind 0: (doc_id, size, set key); kind 1: (member, pivot, shared naming regions), so at most NAMING for a member and task; kind 3: packed regions
+    of several members. One shuffle of packed (region, id)."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -155,7 +167,8 @@ def _first_pass(docs: DataFrame, width: int, rings: Rings, buckets: int, flush:
             a, b, times, region, pivot, others = _pairs(key, node)
             if len(a):
                 yield _rows(a % buckets, 1, a, b, times)
-                yield _rows([int(a[0]) % buckets], 3, payload=[region[others].tobytes()])
+            if others.any():
+                yield _rows([int(region[0] % U(buckets))], 3, payload=[region[others].tobytes()])
             place = (region % U(buckets)).astype(np.int64)
             order = np.argsort(place, kind="stable")
             place, region, pivot = place[order], region[order], pivot[order]
@@ -212,11 +225,17 @@ class _Marks:
                 found = [np.frombuffer(x, U) for x in values.to_pylist() if x] if pa.types.is_binary(values.type) else [values.to_numpy().view(U)]
                 for x in found:
                     table_[_Marks.place(x, size)] = True
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(table_).tobytes(), 1)], pa.binary())], ["t"])
+            parts = np.packbits(table_).reshape(MARK_PARTS, -1)
+            some = np.flatnonzero(parts.any(1))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())], ["part", "t"])
 
-        whole = np.zeros(size // 8, np.uint8)
-        for row in frame.select(column).coalesce(8).mapInArrow(marks, "t binary").toLocalIterator():
-            whole |= np.frombuffer(zlib.decompress(row["t"]), np.uint8)
+        def either(group: pa.Table) -> pa.Table:
+            found = np.bitwise_or.reduce([np.frombuffer(zlib.decompress(x), np.uint8) for x in group.column("t").to_pylist()])
+            return pa.table([group.column("part").slice(0, 1), pa.array([zlib.compress(found.tobytes(), 1)], pa.binary())], ["part", "t"])
+
+        whole = np.zeros((MARK_PARTS, size // 8 // MARK_PARTS), np.uint8)
+        for row in frame.select(column).mapInArrow(marks, "part int, t binary").groupBy("part").applyInArrow(either, "part int, t binary").collect():  # MARK_PARTS rows
+            whole[row["part"]] = np.frombuffer(zlib.decompress(row["t"]), np.uint8)
         self.size, self.sent = size, frame.sparkSession.sparkContext.broadcast(zlib.compress(whole.tobytes(), 1))
 
     @staticmethod
@@ -341,8 +360,9 @@ def voronoi_links(sets: list[np.ndarray], part: np.ndarray, num: int, den: int,
     return found
 
 
-def _open_cells(texts: DataFrame, parts: DataFrame, marks: _Marks, width: int, rings: Rings) -> DataFrame:
-    """(pivot, id, part): the sets that share with a pivot a region whose members are of two components at least. parts: (id, part).
+def _open_cells(docs: DataFrame, reps: DataFrame, parts: DataFrame, marks: _Marks, width: int, rings: Rings) -> DataFrame:
+    """(pivot, id, part): the sets that share with a pivot a region whose members are of two components at least. reps: (id) of the classes; parts:
+    (id, part) of those that are not their own part. Texts are read where they are; each id's regions of several members are shuffled.
 
     Any two members of such a region are in its pivot's cell together; taking a pivot's regions as one cell sends each set to a pivot once.
     """
@@ -356,9 +376,14 @@ def _open_cells(texts: DataFrame, parts: DataFrame, marks: _Marks, width: int, r
                 key, row = regions(h, at, rings)
                 several = known[_Marks.place(key, marks.size)]
                 key, row = key[several], row[several]
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column("doc_id").take(pa.array(row)), part.column("part").take(pa.array(row))], ["region", "id", "part"])
-
-    members = texts.join(parts.select(F.col("id").alias("doc_id"), "part"), "doc_id").mapInArrow(run, "region long, id long, part long")
+                order = np.argsort(row, kind="stable")
+                own, first = np.unique(row[order], return_index=True)
+                lists = pa.ListArray.from_arrays(np.append(first, len(row)).astype(np.int32), pa.array(key[order].view(np.int64)))
+                found = pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(own)), lists], ["id", "regions"])
+                yield found.filter(found.column("id").is_valid())
+
+    lists = docs.select("doc_id", "text").mapInArrow(run, "id long, regions array<long>").join(reps, "id", "left_semi").join(parts, "id", "left")
+    members = lists.select("id", F.coalesce("part", "id").alias("part"), F.explode("regions").alias("region"))
     mixed = members.groupBy("region").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.min("id").alias("pivot")).where("lo < hi").select("region", "pivot")
     return members.join(mixed, "region").select("pivot", "id", "part").distinct()
 
@@ -366,11 +391,13 @@ def _open_cells(texts: DataFrame, parts: DataFrame, marks: _Marks, width: int, r
 def _join_cells(open_: DataFrame, texts: DataFrame, width: int, num: int, den: int, cell_cap: int) -> DataFrame:
     """Links between the members of each cell, of different parts, each cell (or pair of its blocks) in a task of bounded size."""
     sizes = open_.groupBy("pivot").agg(F.ceil(F.count("*") / (cell_cap // 2)).cast("int").alias("blocks"))
-    dealt = open_.join(sizes, "pivot")
-    block = F.pmod(F.xxhash64("id", "pivot"), F.col("blocks"))
-    # blocks i <= j meet in task (i, j): a member of block k goes to (k, k..) and (..k, k)
-    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda other: F.struct(F.least(other, block).alias("i"), F.greatest(other, block).alias("j")))
-    placed = dealt.select("pivot", "id", "part", F.explode(tasks).alias("t")).select("pivot", "t.i", "t.j", "id", "part")
+    dealt = open_.join(sizes, "pivot").withColumn("block", F.pmod(F.xxhash64("id", "pivot"), F.col("blocks")).cast("int"))
+    # blocks i <= j meet in task (i, j), unless all their members are of one part
+    of = dealt.groupBy("pivot", "block").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+    one, two = (of.select("pivot", *[F.col(c).alias(f"{c}_{n}") for c in ("block", "lo", "hi")]) for n in "ij")
+    meet = one.join(two, "pivot").where("block_i <= block_j AND least(lo_i, lo_j) < greatest(hi_i, hi_j)").select("pivot", F.col("block_i").alias("i"), F.col("block_j").alias("j"))
+    ends = meet.select("pivot", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    placed = dealt.select("pivot", "block", "id", "part").join(ends, ["pivot", "block"]).select("pivot", "i", "j", "id", "part")
 
     def run(group: pa.Table) -> pa.Table:
         column = group.column("text").combine_chunks()
@@ -398,27 +425,27 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, num
     candidates = found.where("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("times"))
     candidates = candidates.join(name.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(name.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
     candidates = scratch.keep(candidates.where("ra <> rb").groupBy(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).agg(F.max("times").alias("times")))
-    ids = scratch.keep(candidates.select(F.col("a").alias("id")).unionByName(candidates.select(F.col("b").alias("id"))).distinct())
-    texts = scratch.keep(_only(docs, ids))
     alias = name.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    ends_of = lambda pairs: pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
     def parts_of(links: DataFrame) -> DataFrame:
-        """(id, part): the end of the path of smallest links from each id, as far as a few doublings reach. Parts only save comparisons: sets of one
-        part are surely joined, others may be too."""
-        parts = ids.join(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("part")), "id", "left").select("id", F.coalesce("part", "id").alias("part"))
+        """(id, part): the end of the path of smallest links from each linked id, as far as a few doublings reach. Parts only save comparisons: sets of
+        one part are surely joined, others may be too."""
+        parts = ends_of(links).join(links.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("part")), "id", "left").select("id", F.coalesce("part", "id").alias("part"))
         for _ in range(2):
             parts = scratch.keep(parts)
             parts = parts.join(parts.select(F.col("id").alias("part"), F.col("part").alias("next")), "part").select("id", F.col("next").alias("part"))
         return scratch.keep(parts)
 
-    # of the pivots that could link by their size, the one that a member shares most regions with
+    # of the pivots that could link by their size, the one that a member shares most naming regions with
     sizes = same.where("rep = doc_id").groupBy("doc_id").agg(F.max("n").alias("n"))
     sized = candidates.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb")), "b")
-    nearest = sized.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).groupBy("a").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("x"))).alias("b"))
-    links = scratch.keep(_verified(nearest, texts, width, num, den))
+    nearest = scratch.keep(sized.where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num).groupBy("a").agg(F.max_by("b", F.struct("times", (-F.col("b")).alias("x"))).alias("b")))
+    links = scratch.keep(_verified(nearest, _only(docs, ends_of(nearest)), width, num, den))
     parts = parts_of(links)
-    open_ = scratch.keep(_open_cells(texts, parts, _Marks(found.where("kind = 3"), "payload"), width, rings))
-    links = scratch.keep(links.unionByName(_join_cells(open_, texts, width, num, den, cell_cap)))
+    reps = same.where("rep = doc_id").select(F.col("doc_id").alias("id")).distinct()
+    open_ = scratch.keep(_open_cells(docs, reps, parts, _Marks(found.where("kind = 3"), "payload"), width, rings))
+    links = scratch.keep(links.unionByName(_join_cells(open_, _only(docs, open_.select("id").distinct()), width, num, den, cell_cap)))
     all_ = scratch.keep(components(links.unionByName(alias), scratch))
     out = scratch.keep(same.join(all_, same["doc_id"] == all_["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")))
     scratch.drop(*scratch.paths[:-1])
