@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, kernel
+from tessera.llm import op1_mixing as mixing
 from tessera.llm import op2_warc as warc
 from tessera.llm import op4_spotsigs as spots
 from tessera.llm import op5_language as language
@@ -72,7 +73,7 @@ def by_id(frame):
 # 1
 
 def test_scores(spark, docs, empty):
-    got = rows(score(spark, docs, chunk_bytes=60_000, bits=14))
+    got = rows(score(spark, docs, chunk_bytes=60_000, slice_pairs=3_000))
     texts = collections.Counter((d, t) for d, t in ROWS)
     tokens = lambda t: [w for w in WORD.findall(lower(t or ""))] + [""]
     trained = collections.Counter(w for (d, t), k in texts.items() if d is None or zlib.crc32(str(d).encode()) % 10 for w in tokens(t) * k)
@@ -86,31 +87,76 @@ def test_scores(spark, docs, empty):
     assert rows(score(spark, empty)) == []
 
 
-def test_probabilities_of_words_sum_to_less_than_one(spark):
-    texts = spark.createDataFrame([(k, " ".join(["ab", "a", "b", "abc"][: 1 + k % 4])) for k in range(200)], "doc_id long, text string")
-    probe = spark.createDataFrame([(1000 + k, w) for k, w in enumerate(["a", "b", "ab", "abc", "c", "ba", "zz", ""])], "doc_id long, text string")
-    got = {r["doc_id"]: r["score"] for r in rows(score(spark, texts.unionByName(probe), bits=14))}
-    end = got[1007]
-    assert sum(10 ** (got[1000 + k] - end) for k in range(7)) + 10**end < 1
-    assert got[1000] > got[1006]
+def test_probabilities_of_texts_sum_to_less_than_one(spark):
+    known, other = ["a", "b", "ab", "abc", "a b", "b ab", "abc a b", ""], ["c", "ba", "zz", "a zz", "zz a", "aba", "abcd", "é"]
+    texts = spark.createDataFrame([(k, known[k % 4] if k % 2 else " ".join(["ab", "a", "b", "abc"][: 1 + k % 4])) for k in range(200)], "doc_id long, text string")
+    probe = spark.createDataFrame([(-1 - k, w) for k, w in enumerate(known + other)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in rows(score(spark, texts.unionByName(probe)))}
+    assert 0.01 < sum(10 ** got[-1 - k] for k in range(len(known + other))) < 1
+    assert got[-1] > got[-1 - len(known)]
+
+
+def test_decisions_sum_to_one():
+    import itertools
+
+    r = np.random.default_rng(6)
+    codes, n = np.sort(r.choice(1 << mixing.BITS, 300, replace=False)).astype(np.uint64), r.integers(1, 9, 300)
+    leaves = np.zeros(1 << mixing.BITS, np.int64)
+    np.add.at(leaves, codes.astype(np.int64), n * 3)
+    words = mixing.Words(24, np.zeros(0, np.uint64), np.zeros((0, 512), np.int64), mixing._tree(leaves), mixing._tree(np.ones((256, 1 << mixing.CLASS_BITS), np.int64)), mixing.Mixer(3))
+    words.learn(codes[::2], n[::2])
+    # one context that was followed by every other code; of each node that has both children, the two decisions' probabilities sum to one
+    key, count = np.concatenate([codes, codes ^ np.uint64(1)]), np.concatenate([np.where(np.arange(300) % 2, 0, n), np.zeros(300, np.int64)])
+    order = np.argsort(key)
+    key, count = key[order], count[order]
+    last = None
+    for last in words.ready().levels(key, words.paths(key, count), 0):
+        pass
+    cost = words.mixer.bits(*last)
+    at = {k: i for i, k in enumerate(key.tolist())}
+    assert all(abs(2 ** -cost[at[k]] + 2 ** -cost[at[k ^ 1]] - 1) < 1e-6 for k in itertools.islice(at, 400) if k ^ 1 in at)
+
+
+def test_hot_contexts_change_nothing(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, prose(60, 700 + k)) for k in range(60)], "doc_id long, text string")
+    plain = by_id(score(spark, texts))
+    few = by_id(score(spark, texts.repartition(7), chunk_bytes=3_000, slice_pairs=400))
+    monkeypatch.setattr(mixing, "HOT_SHARE", 1.0)
+    cold = by_id(score(spark, texts))
+    assert {d: r["score"] for d, r in plain.items()} == pytest.approx({d: r["score"] for d, r in few.items()}, abs=1e-9)
+    assert {d: r["score"] for d, r in plain.items()} == pytest.approx({d: r["score"] for d, r in cold.items()}, rel=0.1)
+
+
+def test_counts_of_paths():
+    r = np.random.default_rng(8)
+    key = np.unique((r.integers(0, 5, 2000).astype(np.uint64) << np.uint64(mixing.BITS)) | r.integers(0, 1 << mixing.BITS, 2000).astype(np.uint64))
+    n = r.integers(0, 4, len(key))
+    words = mixing.Words(24, np.zeros(0, np.uint64), np.zeros((0, 512), np.int64), None, None, None)
+    paths = words.paths(key, n)
+    for level in range(mixing.BITS + 1):
+        brute = collections.Counter()
+        for k, c in zip((key >> np.uint64(mixing.BITS - level)).tolist(), n.tolist()):
+            brute[k] += c
+        assert paths[level].tolist() == [brute[k] for k in (key >> np.uint64(mixing.BITS - level)).tolist()]
 
 
 def test_order_of_words_counts(spark):
     r = np.random.default_rng(4)
     verse = " ".join("".join(r.choice(SYLLABLES, 3)) for _ in range(30))
     texts = [(k, verse) for k in range(20)] + [(100, verse), (101, " ".join(r.permutation(verse.split())))]
-    got = by_id(score(spark, spark.createDataFrame(texts, "doc_id long, text string"), bits=14))
+    got = by_id(score(spark, spark.createDataFrame(texts, "doc_id long, text string")))
     assert got[100]["base_score"] == pytest.approx(got[101]["base_score"]) and got[100]["n_tokens"] == 31
     assert got[100]["score"] > got[101]["score"] + 10
 
 
 def test_late_bytes_of_words_count(spark):
     address = "https://" + "ab" * 40 + "/page/" + "cd" * 40
-    other, late = address[:64] + address[64:].translate(str.maketrans("abcdpge", "zyxwvut")), address[:-1] + "q"
-    texts = [(k, f"see {address}") for k in range(20)] + [(102, address), (103, other), (104, late)]
-    got = by_id(score(spark, spark.createDataFrame(texts, "doc_id long, text string"), bits=14))
-    assert got[102]["n_tokens"] == 2
-    assert got[102]["score"] > got[104]["score"] + 0.1 > got[103]["score"] + 10
+    late = address[:-1] + "q"
+    held_out = [k for k in range(1000) if zlib.crc32(str(k).encode()) % 10 == 0][:2]
+    texts = [(k, f"see {address}") for k in range(20) if zlib.crc32(str(k).encode()) % 10] + list(zip(held_out, [address, late]))
+    got = by_id(score(spark, spark.createDataFrame([x for x in texts if x[0] not in held_out] + texts[-2:], "doc_id long, text string")))
+    assert got[held_out[0]]["n_tokens"] == 2 and got[held_out[0]]["n_known"] == 2 and got[held_out[1]]["n_known"] == 1
+    assert got[held_out[0]]["score"] > got[held_out[1]]["score"] + 1
 
 
 # 2
