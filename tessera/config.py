@@ -70,7 +70,7 @@ class BuildConfig:
             raise ConfigError(f"include {self.include!r} is not supported; only docs is")
         for name, value in (("max_characters", self.chunking.max_characters), ("questions_per_chunk", self.generation.questions_per_chunk), ("concurrency", self.generation.concurrency)):
             if value <= 0:
-                raise ConfigError(f"{name} must be greater than zero")
+                raise ConfigError(f"{name} is {value}; it takes 1 at least")
         _check_model(self.generation.model, self.generation.temperature)
 
 
@@ -96,7 +96,7 @@ class VerificationConfig:
 
     def check(self) -> None:
         if self.verifier.concurrency <= 0:
-            raise ConfigError("concurrency must be greater than zero")
+            raise ConfigError(f"concurrency is {self.verifier.concurrency}; it takes 1 at least")
         _check_model(self.verifier.model, self.verifier.temperature)
 
 

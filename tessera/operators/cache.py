@@ -7,7 +7,7 @@ import os
 import uuid
 from typing import Any
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import GenerationConfig, VerifierConfig
@@ -46,6 +46,25 @@ class FileCache:
             raise CacheError(f"cannot write the cache entry {self.path(key)}: {e}") from e
 
 
+def parsed(key: str, raw: str) -> dict[str, Any]:
+    """The entry of a key as its file holds it."""
+    try:
+        entry = json_loads(raw)
+    except ValueError as e:
+        raise CacheError(f"cannot read the cache entry of {key}: {e}") from e
+    if type(entry) is not dict or "answer" not in entry or type(entry.get("answered_at")) is not str:
+        raise CacheError(f"the cache entry of {key} holds no answer")
+    return entry
+
+
+def stored(spark: SparkSession, directory: str) -> DataFrame | None:
+    """(key, raw) of all entries, read in tasks by size; None if there are none."""
+    if not os.path.isdir(directory) or not any(e.name.endswith(".json") for e in os.scandir(directory)):
+        return None
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"file://{os.path.abspath(directory)}")
+    return files.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("key"), F.col("content").cast("string").alias("raw"))
+
+
 def cache_directory(repository: str, directory: str, verify: bool = False) -> str:
     where = os.path.join(repository, directory)
     return os.path.join(where, "verify") if verify else where

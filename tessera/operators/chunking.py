@@ -36,7 +36,7 @@ def split_span(text: str, start: int, end: int, most: int) -> Iterator[tuple[int
 def chunk_text(path: str, text: str, max_characters: int) -> list[dict]:
     """The chunks of one document, in order; pieces of white space alone are left out."""
     if max_characters <= 0:
-        raise ChunkError("max_characters must be greater than zero")
+        raise ChunkError(f"chunks of {max_characters} characters cannot hold text")
     out = []
     line, counted = 1, 0
     for a, b in section_spans(text):
@@ -61,7 +61,7 @@ _ARROW = pa.schema([("chunk_id", pa.string()), ("path", pa.string()), ("language
 def chunk_documents(documents: DataFrame, max_characters: int = 4_000) -> DataFrame:
     """CHUNK of every document (path, text): a flat map without a shuffle, batch by batch."""
     if max_characters <= 0:
-        raise ChunkError("max_characters must be greater than zero")
+        raise ChunkError(f"chunks of {max_characters} characters cannot hold text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -19,7 +19,7 @@ from tessera.operators.clients import ClientFactory
 from tessera.operators.completions import parse_questions, questions_schema
 from tessera.operators.prompts import QA_VERSION, load_prompt, qa_prompt
 from tessera.plans.files import Written, create_parent, write_json, write_lines
-from tessera.plans.model_stage import ask, now, typed
+from tessera.plans.model_stage import ask, now, report_answers, typed
 from tessera.progress import Event, Reporter, silent
 from tessera.sources.repository import documents, scan
 
@@ -81,11 +81,13 @@ def build_dataset(spark: SparkSession, config: BuildConfig, factory: ClientFacto
         retries, calls = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
         cache = cache_directory(config.repository, config.cache.directory) if config.cache.enabled else None
         answers = keep(ask(chunks, factory, cache, g.concurrency, g.max_retries, g.model, g.temperature, questions_schema(g.questions_per_chunk), parse_questions, [F.split("path", "/").alias("p"), F.col("chunk_ord")], retries, calls))
+        report_answers(chunks.select("key", "path", "start_line", "end_line", F.split("path", "/").alias("_p"), F.col("chunk_ord").alias("_o")), answers, [F.col("_p"), F.col("_o")], "chunk", g.max_retries, report)
         items = keep(qa.explode_batches(generated_batches(chunks, answers), g.model))
         report(Event("generation_finished", {"model_calls": calls.value, "retries": retries.value}))
         valid, _ = qa.validate(items)
         accepted = qa.first_per_question(valid).orderBy(*qa.ORDER)
         stats = qa.build_stats(items, n_chunks, counted["n"], counted["read"], counted["n"] - counted["read"])
+        report(Event("validation_finished", {"accepted": stats["generated_items"], "rejected": stats["rejected_items"], "duplicates": stats["duplicate_items"]}))
         manifest = {
             "schema_version": SCHEMA_VERSION, "generated_at": now(), "repository": {"root": config.repository, "commit": git_commit(config.repository)}, "config": to_json(config),
             "prompt": {"version": prompt.version, "template": prompt.template}, "stats": stats,

@@ -19,6 +19,8 @@ class Written:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not root and not spark.sparkContext.master.startswith("local"):
+            raise ExportError("spark.checkpoint.dir must name a folder that all machines share")
         self.root = f"{root.rstrip('/') if root else 'file://' + tempfile.gettempdir()}/tessera-{uuid.uuid4().hex}"
         self.count = 0
 

@@ -11,8 +11,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.cache import FileCache
+from tessera.functions.text import py_retry_delay
+from tessera.operators.cache import FileCache, parsed, stored
 from tessera.operators.clients import ClientFactory, with_retries
+from tessera.progress import Event, Reporter, silent
+
+ANSWERS = "key string, answer string, answered_at string, cached boolean, retries int"
 
 
 def now() -> str:
@@ -20,10 +24,11 @@ def now() -> str:
 
 
 def ask(requests: DataFrame, factory: ClientFactory, cache_dir: str | None, concurrency: int, max_retries: int, model: str, temperature: float, schema: dict[str, Any], parse: Callable[[str], Any], order: list[Column], retries=None, calls=None) -> DataFrame:
-    """(key, answer, answered_at, cached) of each distinct key in requests (key, prompt); answer is the parsed completion as JSON.
+    """ANSWERS of each distinct key in requests (key, prompt); answer is the parsed completion as JSON, retries how often it was asked for again.
 
-    Each task asks in the given order of the requests. At most `concurrency` calls run at once: there are so many tasks, and each asks one after another. A task that is run again after a lost
-    executor finds what the first run stored. retries, calls: accumulators that count these.
+    Answers that the cache holds are found by a join and read in as many tasks as their size takes. At most `concurrency` calls run at once: the other
+    keys are dealt to so many tasks, and each asks one after another in the given order of the requests. A task that is run again after
+    a lost executor finds what the first run stored. retries, calls: accumulators that count these.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -32,7 +37,7 @@ def ask(requests: DataFrame, factory: ClientFactory, cache_dir: str | None, conc
         for batch in batches:
             rows = []
             for key, prompt in zip(batch["key"], batch["prompt"]):
-                entry = cache.load(key) if cache else None
+                entry, again = cache.load(key) if cache else None, 0
                 cached = entry is not None
                 if entry is None:
 
@@ -41,15 +46,46 @@ def ask(requests: DataFrame, factory: ClientFactory, cache_dir: str | None, conc
                             calls.add(1)
                         return parse(client.complete(prompt, model, temperature, schema))
 
-                    answer = with_retries(once, max_retries, (lambda n, e: retries.add(1)) if retries is not None else None)
+                    def count(n: int, error: Exception) -> None:
+                        nonlocal again
+                        again = n
+                        if retries is not None:
+                            retries.add(1)
+
+                    answer = with_retries(once, max_retries, count)
                     entry = {"answer": answer, "answered_at": now()}
                     if cache:
                         cache.store(key, entry)
-                rows.append((key, json.dumps(entry["answer"], ensure_ascii=False), entry["answered_at"], cached))
-            yield pd.DataFrame(rows, columns=["key", "answer", "answered_at", "cached"])
+                rows.append((key, json.dumps(entry["answer"], ensure_ascii=False), entry["answered_at"], cached, again))
+            yield pd.DataFrame(rows, columns=["key", "answer", "answered_at", "cached", "retries"])
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            entries = [parsed(key, raw) for key, raw in zip(batch["key"], batch["raw"])]
+            yield pd.DataFrame({"key": batch["key"], "answer": [json.dumps(e["answer"], ensure_ascii=False) for e in entries], "answered_at": [e["answered_at"] for e in entries], "cached": True, "retries": 0})
 
     distinct = requests.groupBy("key").agg(F.first("prompt").alias("prompt"), F.min(F.struct(*order)).alias("_order"))
-    return distinct.repartition(concurrency).sortWithinPartitions("_order").select("key", "prompt").mapInPandas(run, "key string, answer string, answered_at string, cached boolean")
+    held = stored(requests.sparkSession, cache_dir) if cache_dir else None
+    missing = distinct if held is None else distinct.join(held.select("key"), "key", "left_anti")
+    asked = missing.repartition(concurrency).sortWithinPartitions("_order").select("key", "prompt").mapInPandas(run, ANSWERS)
+    if held is None:
+        return asked
+    return held.join(distinct.select("key"), "key", "left_semi").select("key", "raw").mapInPandas(found, ANSWERS).unionByName(asked)
+
+
+def report_answers(places: DataFrame, answers: DataFrame, order: list[Column], kind: str, max_retries: int, report: Reporter) -> None:
+    """For each of places (key and what an event tells of it), in order: that it began, each retry with its delay, and that it was finished."""
+    if report is silent:
+        return
+    joined = places.join(answers.select("key", "cached", "retries", F.when(F.col("answer").startswith("["), F.expr("json_array_length(answer)")).alias("items")), "key", "left").orderBy(*order)
+    total = places.count()
+    for index, row in enumerate(joined.toLocalIterator()):
+        about = {k: v for k, v in row.asDict().items() if k not in ("key", "cached", "retries", "items") and not k.startswith("_")}
+        source = {True: "cache", False: "model", None: None}[row["cached"]]
+        report(Event(f"{kind}_started", {"index": index, "total": total, "source": source} | about))
+        for attempt in range(1, (row["retries"] or 0) + 1):
+            report(Event("retry_scheduled", {"index": index, "attempt": attempt, "max_retries": max_retries, "delay_ms": int(1000 * py_retry_delay(attempt))}))
+        report(Event(f"{kind}_finished", {"index": index, "source": source} | ({"generated_items": row["items"]} if kind == "chunk" else {}) | about))
 
 
 def typed(answers: DataFrame, schema: str) -> DataFrame:

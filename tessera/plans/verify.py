@@ -21,7 +21,7 @@ from tessera.operators.completions import decision_schema, parse_decision
 from tessera.operators.prompts import VERIFY_VERSION, load_prompt, verification_prompt
 from tessera.operators.qa import json_lines
 from tessera.plans.files import Written, create_parent, write_json, write_lines
-from tessera.plans.model_stage import ask, now, typed
+from tessera.plans.model_stage import ask, now, report_answers, typed
 from tessera.progress import Event, Reporter, silent
 from tessera.sources.dataset import read_dataset, read_manifest
 
@@ -86,7 +86,8 @@ def verify_dataset(spark: SparkSession, config: VerificationConfig, factory: Cli
         answers = keep(ask(requests, factory, cache, v.concurrency, v.max_retries, v.model, v.temperature, decision_schema(), parse_decision, [F.col("item_ord")], retries, calls))
         decisions = typed(answers, DECISION).select("key", F.struct(F.col("answer.checks").alias("checks"), F.col("answer.evidence").alias("evidence"), F.col("answered_at").alias("verified_at")).alias("decision"))
         judged = rebuilt.join(decisions, "key", "left").withColumn("decision", F.when(F.col("unverifiable_reason").isNull(), F.col("decision")))
-        found = keep(judging.records(judged, v.provider, v.model, "item_ord"))
+        found = keep(judging.records(judged, v.provider, v.model, "item_ord", "key"))
+        report_answers(found.select("key", "qa_id", "verdict", F.col("item_ord").alias("_o")), answers, [F.col("_o")], "item", v.max_retries, report)
         stats = judging.stats(found).first().asDict()
         report(Event("verification_finished", stats | {"model_calls": calls.value}))
         create_parent(config.output)

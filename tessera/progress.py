@@ -9,8 +9,9 @@ from typing import Any
 
 @dataclass(frozen=True)
 class Event:
-    """kind: discovery_started, discovery_finished, file_chunked, generation_started, generation_finished, retry, export_started, finished; for
-    verification: verification_started, reconstructed, verification_finished, report_written."""
+    """kind: discovery_started, discovery_finished, file_chunked, generation_started, chunk_started, retry_scheduled, chunk_finished, generation_finished,
+    validation_finished, export_started, finished; for verification: verification_started, reconstructed, item_started, retry_scheduled,
+    item_finished, verification_finished, report_written. Events of chunks and items are told in order once their stage has ended, as tasks run elsewhere."""
 
     kind: str
     details: dict[str, Any] = field(default_factory=dict)

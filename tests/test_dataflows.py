@@ -84,6 +84,36 @@ def test_build_and_cache(spark, tmp_path):
     assert build_dataset(spark, config(root, out, model="other"), client()).model_calls == 2
 
 
+def test_events_of_chunks_and_items(spark, tmp_path):
+    log = tmp_path / "log"
+    log.mkdir()
+    root, out, events = repo(tmp_path / "r", {"a.md": "# A\nx", "b.md": "# B\ny"}), tmp_path / "d.jsonl", []
+    build_dataset(spark, config(root, out, max_retries=1), client(str(log), fail_times=1), events.append)
+    told = [e for e in events if e.kind in ("chunk_started", "retry_scheduled", "chunk_finished", "validation_finished")]
+    assert [e.kind for e in told] == ["chunk_started", "retry_scheduled", "chunk_finished", "chunk_started", "chunk_finished", "validation_finished"]
+    assert told[0].details == {"index": 0, "total": 2, "source": "model", "path": "a.md", "start_line": 1, "end_line": 2}
+    assert told[1].details == {"index": 0, "attempt": 1, "max_retries": 1, "delay_ms": 500} and told[2].details["generated_items"] == 2
+    assert told[-1].details == {"accepted": 3, "rejected": 0, "duplicates": 1}
+    again = []
+    build_dataset(spark, config(root, out), client(), again.append)
+    assert [e.details["source"] for e in again if e.kind == "chunk_finished"] == ["cache", "cache"]
+    seen = []
+    verify_dataset(spark, VerificationConfig(str(out), str(tmp_path / "manifest.json"), root, str(tmp_path / "v.jsonl")), client(), seen.append)
+    items = [e.details for e in seen if e.kind == "item_finished"]
+    assert [i["index"] for i in items] == [0, 1, 2] and {i["verdict"] for i in items} == {"accepted", "rejected"} and sum(e.kind == "item_started" for e in seen) == 3
+
+
+def test_cached_answers_are_joined(spark, tmp_path):
+    root, out = repo(tmp_path / "r", {f"{k}.md": f"# T{k}\nx" for k in range(5)}), tmp_path / "d.jsonl"
+    build_dataset(spark, config(root, out), client())
+    (tmp_path / "r" / "5.md").write_text("# T5\nnew")
+    assert build_dataset(spark, config(root, out), client()).model_calls == 1
+    entry = sorted((tmp_path / "r" / ".tessera").glob("*.json"))[0]
+    entry.write_text("[1")
+    with pytest.raises(Exception, match="cache entry"):
+        build_dataset(spark, config(root, out), client())
+
+
 def test_output_folder_and_custom_prompt(spark, tmp_path):
     root = repo(tmp_path / "r", {"a.md": "# A\ntext", "my-prompt.md": "{{path}}\n<source>\n{{chunk_text}}\n</source>"})
     out = tmp_path / "out"
