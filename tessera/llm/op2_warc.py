@@ -8,7 +8,8 @@ Reader: a record must have its version line, its length, the separator behind it
 After a failed check the reader searches for the next member or version line at which a whole valid record begins, goes on from there, and
 logs the bytes between as a quarantined gap.
 
-A null html is an empty payload. A null page_id is written as none and read back as null. Repeated rows of one page are one page written as
+A null html is an empty payload. A null page_id is written as none and read back as null; such a page revisits any page with an id and an equal payload,
+and where all pages of a payload are without id they are responses. Repeated rows of one page are one page written as
 often as it is there; the largest page_id of equal payloads is the response, so such rows are all responses. No pages give no archives.
 """
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,6 +31,7 @@ from tessera.llm.common import Scratch, table
 
 VERSION = b"WARC/1.1\r\n"
 _ID = "urn:page:"
+STEP = 1 << 16  # bytes that are unpacked at a time
 
 
 def digest(raw: bytes) -> str:
@@ -75,26 +78,34 @@ class _Bad(Exception):
     reason: str = field(default="")
 
 
+class _Short(_Bad):
+    """The bytes end before the check does: it fails if there are no more."""
+
+
 def parse(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     """(headers, block, end) of the record at that place of plain bytes; raises if any check fails."""
     if not raw.startswith(b"WARC/1.", at):
         raise _Bad("no version line")
-    stop = raw.find(b"\r\n\r\n", at)  # headers have no greatest length, as urls have none
-    if stop < 0:
-        raise _Bad("header without end")
-    first, *lines = raw[at:stop].split(b"\r\n")
-    if first not in (b"WARC/1.0", b"WARC/1.1"):
+    first = raw[at : at + 10]
+    if len(first) == 10 and first not in (b"WARC/1.0\r\n", VERSION):
         raise _Bad("no version line")
     headers: dict[str, str] = {}
-    for line in lines:
-        name, colon, value = line.partition(b":")
+    place = at + 10
+    while raw[place : place + 2] != b"\r\n":  # line by line, so that what is no header costs no search of all that follows
+        stop = raw.find(b"\r\n", place)
+        if stop < 0:
+            raise _Short("header without end")
+        name, colon, value = raw[place:stop].partition(b":")
         if not colon:
             raise _Bad("header line without colon")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+        place = stop + 2
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise _Bad("no length")
-    begin, end = stop + 4, stop + 4 + int(length)
+    begin, end = place + 2, place + 2 + int(length)
+    if end + 4 > len(raw):
+        raise _Short("truncated, or length differs")
     if raw[end : end + 4] != b"\r\n\r\n":
         raise _Bad("truncated, or length differs")
     block = raw[begin:end]
@@ -104,47 +115,86 @@ def parse(raw: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, end + 4
 
 
-def _at(raw: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the gzip member or the plain record at that place, and its end."""
+def _at(raw: bytes, at: int, base: int) -> tuple[list[Record], int]:
+    """The records of the gzip member or the plain record at that place, and its end. base: where raw begins in the archive."""
     if raw.startswith(b"\x1f\x8b\x08", at):
-        opened = zlib.decompressobj(31)
+        opened, parts, end = zlib.decompressobj(31), [], at
         try:
-            inner = opened.decompress(memoryview(raw)[at:])
+            while not opened.eof and end < len(raw):
+                parts.append(opened.decompress(raw[end : end + STEP]))
+                end += STEP
         except zlib.error as e:
             raise _Bad("gzip member is damaged") from e
         if not opened.eof:
-            raise _Bad("gzip member is truncated")
-        end = len(raw) - len(opened.unused_data)
-        found, place = [], 0
+            raise _Short("gzip member is truncated")
+        end = min(end, len(raw)) - len(opened.unused_data)
+        inner, found, place = b"".join(parts), [], 0
         while place < len(inner) or not found:
-            headers, block, place = parse(inner, place)
-            found.append(Record(at, end, headers, block))
+            try:
+                headers, block, place = parse(inner, place)
+            except _Short as e:
+                raise _Bad(e.reason) from e
+            found.append(Record(base + at, base + end, headers, block))
         return found, end
     headers, block, end = parse(raw, at)
-    return [Record(at, end, headers, block)], end
+    return [Record(base + at, base + end, headers, block)], end
 
 
-def salvage(raw: bytes) -> Iterator[Record | Gap]:
-    """Every record of an archive that can be read, and the gaps between them."""
-    at = 0
-    while at < len(raw):
+def salvage(source, window: int = 4 << 20) -> Iterator[Record | Gap]:
+    """Every record of an archive that can be read, and the gaps between them. source: bytes, or a file that is read on as its records are passed.
+
+    What is held at once is the record in work, or a window where no record is found, and up to twice as much read ahead.
+    """
+    source = io.BytesIO(source) if isinstance(source, (bytes, bytearray)) else source
+    raw, base, ended = b"", 0, False
+
+    def more(keep: int) -> None:
+        """Reads on, and forgets what lies before a place."""
+        nonlocal raw, base, ended
+        new = source.read(max(window, len(raw) - keep))
+        raw, base, ended = raw[keep:] + new, base + keep, not new
+
+    def tried(at: int) -> tuple[list[Record], int] | str | None:
+        """What is found at a place, or why nothing is; None if that takes more bytes."""
         try:
-            found, end = _at(raw, at)
-        except _Bad as bad:
-            place, found = at, []
-            while not found:
-                options = [p for p in (raw.find(b"\x1f\x8b\x08", place + 1), raw.find(b"WARC/1.", place + 1)) if p >= 0]
-                if not options:
-                    yield Gap(at, len(raw), bad.reason)
+            return _at(raw, at, base)
+        except _Short as e:
+            return e.reason if ended else None
+        except _Bad as e:
+            return e.reason
+
+    at = 0
+    lost: tuple[int, str] | None = None  # where a gap began, and why
+    while True:
+        if lost is not None:
+            options = [p for p in (raw.find(b"\x1f\x8b\x08", at), raw.find(b"WARC/1.", at)) if p >= 0]
+            if not options:
+                if ended:
+                    yield Gap(lost[0], base + len(raw), lost[1])
                     return
-                place = min(options)
-                try:
-                    found, end = _at(raw, place)
-                except _Bad:
-                    continue
-            yield Gap(at, place, bad.reason)
-        yield from found
-        at = end
+                more(max(at, len(raw) - 6))  # a version line may have been cut
+                at = 0
+                continue
+            at = min(options)
+        elif at >= len(raw):
+            if ended:
+                return
+            more(at)
+            at = 0
+            continue
+        found = tried(at)
+        if found is None:
+            more(at)
+            at = 0
+        elif isinstance(found, str):
+            lost = lost or (base + at, found)
+            at += 1
+        else:
+            if lost is not None:
+                yield Gap(lost[0], base + at, lost[1])
+                lost = None
+            yield from found[0]
+            at = found[1]
 
 
 def write_archives(spark: SparkSession, pages: DataFrame, folder: str, min_revisit_bytes: int = 0, archive_bytes: int = 32 << 20) -> DataFrame:
@@ -152,8 +202,8 @@ def write_archives(spark: SparkSession, pages: DataFrame, folder: str, min_revis
     full = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     keyed = full.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     largest = keyed.where(F.octet_length("html") >= min_revisit_bytes).groupBy("sha").agg(F.max("page_id").alias("response_id"))
-    revisits = keyed.select("page_id", "sha").join(largest, "sha").where("page_id < response_id").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "response_id").distinct()
-    wanted = keyed.join(revisits, (F.col("page_id") == F.col("p")) & (F.col("sha") == F.col("s")), "left").select("page_id", "url", "html", "response_id")
+    revisits = keyed.select("page_id", "sha").join(largest, "sha").where("page_id < response_id OR page_id IS NULL AND response_id IS NOT NULL").select(F.col("page_id").alias("p"), F.col("sha").alias("s"), "response_id").distinct()
+    wanted = keyed.join(revisits, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("sha") == F.col("s")), "left").select("page_id", "url", "html", "response_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -214,14 +264,13 @@ def read_archives(archives: DataFrame, tasks: int) -> DataFrame:
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 files, place = fs.FileSystem.from_uri(path)
-                with files.open_input_stream(place, compression=None) as stream:
-                    raw = stream.read()
                 rows = []
-                for found in salvage(raw):
-                    rows.append({"path": path} | described(found))
-                    if len(rows) == 5000:
-                        yield pa.RecordBatch.from_pylist(rows, kinds)
-                        rows = []
+                with files.open_input_stream(place, compression=None) as stream:
+                    for found in salvage(stream):
+                        rows.append({"path": path} | described(found))
+                        if len(rows) == 5000:
+                            yield pa.RecordBatch.from_pylist(rows, kinds)
+                            rows = []
                 yield pa.RecordBatch.from_pylist(rows, kinds)
 
     return archives.select("path").repartition(max(1, tasks)).mapInArrow(run, READ)
@@ -242,7 +291,7 @@ WITH p AS (
 SELECT p.page_id, strlen(p.html)::BIGINT AS payload_bytes,
        array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (1 + 16 * substr(bits, 5 * i + 1, 1)::INT
          + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT)::BIGINT, 1)), '') AS payload_digest,
-       CASE WHEN p.page_id = r.response_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN p.page_id = r.response_id OR r.response_id IS NULL THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN p.page_id = r.response_id THEN NULL ELSE r.response_id END AS refers_to
 FROM p JOIN r ON p.sha = r.sha
 """
