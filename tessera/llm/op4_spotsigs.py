@@ -1,8 +1,8 @@
 """Operator 4: SpotSigs fingerprints, native: DataFrame functions alone.
 
-A signature is a common word (the anchor) with the two content words that follow it, common words between these left out; of anchors in a row
-the last one counts. A text with fewer than eight signatures also has each of its words as one, so that short texts and texts
-without common words are told apart; a text with no word is its own signature, the empty text has none. The fingerprint is the sorted set of the
+A signature is an anchor, which is a common word or the beginning of the text, with the two content words that follow it, common words between these
+left out; of anchors in a row the last one counts, and at the text's end there may be one content word alone. So every text with a content
+word has a signature, by one rule for all lengths; a text of common words alone has these, a text with no word is its own signature, the empty text has none. The fingerprint is the sorted set of the
 signatures' hashes. Sets are compared by Jaccard similarity; two empty sets are equal (1.0).
 
 Equal texts have equal fingerprints. A null text is an empty one. Rows with a null doc_id come last in descending order, rows that repeat a doc_id are
@@ -17,9 +17,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 from tessera.llm.wordlists import COMMON_WORDS
 
-FEW = 8
-
-
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[\s\p{Punct}]+"), lambda w: w != "")
 
@@ -36,12 +33,12 @@ def with_signatures(frame: DataFrame, text: str, name: str) -> DataFrame:
     word = lambda i: F.get(F.col(w), i)
     place = lambda j: F.get(F.col(at), j)
     chains = F.transform(
-        F.filter(F.sequence(F.lit(0), F.greatest(F.size(at) - 2, F.lit(0))), lambda j: (j < F.size(at) - 1) & F.coalesce(_is_common(word(place(j) - 1)), F.lit(False))),
-        lambda j: F.xxhash64(word(place(j) - 1), word(place(j)), word(place(j + 1))),
+        F.filter(F.sequence(F.lit(0), F.greatest(F.size(at) - 1, F.lit(0))), lambda j: (j < F.size(at)) & ((place(j) == 0) | F.coalesce(_is_common(word(place(j) - 1)), F.lit(False)))),
+        lambda j: F.xxhash64(F.when(place(j) > 0, word(place(j) - 1)).otherwise(""), word(place(j)), F.coalesce(word(place(j + 1)), F.lit(""))),
     )
     frame = frame.withColumn(spots, F.array_distinct(chains))
     single = F.when(F.size(w) > 0, F.transform(F.col(w), lambda x: F.xxhash64(x))).when(F.col(text) != "", F.array(F.xxhash64(F.lit("text"), F.col(text)))).otherwise(F.array().cast("array<bigint>"))
-    all_ = F.when(F.size(spots) >= FEW, F.col(spots)).otherwise(F.array_union(F.col(spots), single))
+    all_ = F.when(F.size(spots) > 0, F.col(spots)).otherwise(F.array_distinct(single))
     return frame.withColumn(name, F.array_sort(all_)).drop(w, at, spots)
 
 
@@ -93,16 +90,18 @@ def with_next(docs: DataFrame, per_bucket: int = 2000, max_bounds: int = 1024) -
     buckets = max(1, -(-n // per_bucket))
     bounds = min(buckets, max_bounds)
     steps = -(-buckets // bounds)
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / bounds for k in range(1, bounds)] or [0.5], 10_000).alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / bounds for k in range(1, bounds)] or [0.5], 10_000).alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     edges = sorted({cuts["lo"], *(cuts["c"] if bounds > 1 else [])}) if cuts["lo"] is not None else [0]
     upper = [*edges[1:], (cuts["hi"] if cuts["hi"] is not None else 0) + 1]
     array = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
     which = F.greatest(F.lit(1), F.size(F.filter(array(edges), lambda e: e <= F.col("doc_id"))))
     low, high = F.element_at(array(edges), which), F.element_at(array(upper), which)
     sub = F.floor((F.col("doc_id") - low) * steps / F.greatest(F.lit(1), high - low))
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(which.cast("long") * steps + sub)
+    null_buckets = max(1, -(-cuts["nulls"] // per_bucket))  # ranges of hashes, which order these rows
+    hashed = F.floor((F.shiftright(F.col("_hash"), 32) + F.lit(1 << 31)) * null_buckets / F.lit(1 << 32))
+    bucket = F.when(F.col("doc_id").isNull(), -1 - hashed).otherwise(which.cast("long") * steps + sub)
     order = [F.desc_nulls_last("doc_id"), F.col("_hash")]
-    ready = docs.withColumns({"text": F.coalesce("text", F.lit("")), "_bucket": bucket}).withColumn("_hash", F.xxhash64("text"))
+    ready = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_hash", F.xxhash64("text")).withColumn("_bucket", bucket)
     firsts = ready.groupBy("_bucket").agg(F.min(F.struct((-F.col("doc_id")).alias("d"), F.col("_hash").alias("h"))).alias("f")).select("_bucket", "f")
     line = Window.orderBy(F.desc("_bucket"))  # one row per bucket
     ahead = firsts.select("_bucket", F.lead("f").over(line).alias("g"), F.first("f").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("all")).select(F.col("_bucket").alias("_to"), F.coalesce("g", "all").alias("g"))
