@@ -4,19 +4,19 @@ Bytes are embedded; filters of several widths run over fixed-length windows, the
 in numpy on windows of labelled texts and applied to all windows of every whole text in batches; a document's probabilities are
 the mean over its windows, weighted by their bytes.
 
-The training sample is bounded: at most max_sample documents in all, shared evenly by the languages and chosen by a hash of doc_id, four
-windows of each. It is the only thing that reaches the driver. A null text, or one without a letter, is "und" with score 0, and so is every text
+The training sample is bounded: at most max_sample documents in all (one of each where there are more languages), shared evenly by the languages and
+chosen by a hash of doc_id, four windows of each. It is the only thing that reaches the driver. A null text, or one without a letter (category L), is "und" with score 0, and so is every text
 when nothing is labelled. Repeated rows get equal answers; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +24,7 @@ from tessera.llm import kernel
 from tessera.llm.common import table
 
 WINDOW = 256
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -106,7 +106,7 @@ def remainder() -> Column:
 def sample(docs: DataFrame, max_sample: int = 1600) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows of at most max_sample labelled texts, their labels, and the languages."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 1))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_sample).collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
     languages = sorted(sizes)
     if not languages:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
@@ -114,7 +114,7 @@ def sample(docs: DataFrame, max_sample: int = 1600) -> tuple[np.ndarray, np.ndar
     order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     wanted = F.coalesce(*[F.when(F.col("lang") == k, int(min(1.0, 1.5 * each / n) * (1 << 30))) for k, n in sizes.items()])
     at = lambda j: F.substring("text", 1 + F.pmod(F.xxhash64("doc_id", F.lit(j)), F.greatest(F.lit(1), F.length("text") - 200)).cast("int"), F.lit(WINDOW))
-    rows = labelled.where(order < wanted).select("lang", order.alias("o"), "doc_id", F.array(*[at(j) for j in range(4)]).alias("parts")).sort("o", "doc_id").limit(2 * max_sample).collect()
+    rows = labelled.where(order < wanted).select("lang", order.alias("o"), "doc_id", F.array(*[at(j) for j in range(4)]).alias("parts")).sort("o", "doc_id").limit(2 * max(max_sample, len(languages))).collect()
     taken: dict[str, int] = {}
     windows, labels = [], []
     for r in rows:
