@@ -2,21 +2,25 @@
 
 Arrivals are appended as small shards. A shard's tier is the logarithm of its size; where a tier holds fanout shards or more below the target size,
 similarly sized neighbours are merged into files of about the target size: all merges of a round are one Spark job, in which each group of
-shards is one task, so no task ever holds more than a target-sized file. Readers see only what a manifest names. A manifest is written beside
-its place and then renamed to its version number, which fails if another writer took that number first; merged shards of older versions
-stay until vacuum(). Only DataFrame operations and Hadoop's file system calls are used.
+shards has a partition of its own, so no task ever holds more than a target-sized file. Readers see only what a manifest names. A manifest is
+written beside its place and then renamed to its version number, which fails if another writer took that number first; the writer then tries again on
+top of what the other one wrote. Merged shards of older versions stay until vacuum(), which spares files that may belong to a
+writer at work. Only DataFrame operations and Hadoop's file system calls are used.
 
-Rows pass through whole whatever they hold: nulls, empty and very long texts, repeats, and any columns; an empty arrival adds no shard.
+Rows pass through whole whatever they hold: nulls, empty and very long texts, repeats, and any columns, as our own are named anew each time; an empty
+arrival adds no shard. A row of a merged shard that no group claims is an error, not a loss.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, table
@@ -36,6 +40,11 @@ class Shard:
     bytes: int
 
 
+def _own_name(kind: str) -> str:
+    """A column name that no table has."""
+    return f"{kind}_{uuid.uuid4().hex}"
+
+
 @dataclass(frozen=True)
 class Manifest:
     version: int
@@ -96,6 +105,17 @@ class ShardedTable:
             raise
         return made
 
+    def _commit_anew(self, operation: str, change: Callable[[tuple[Shard, ...]], tuple[Shard, ...]], attempts: int = 20) -> Manifest:
+        """Commits a change of the newest version's shards, again from the newest version where another writer was first."""
+        for attempt in range(attempts):
+            now = self.manifest()
+            try:
+                return self._commit(now, operation, change(now.shards))
+            except CommitConflict:
+                if attempt + 1 == attempts:
+                    raise
+        raise AssertionError
+
     # shards
 
     def _listed(self, below: str) -> list[Shard]:
@@ -108,20 +128,20 @@ class ShardedTable:
         return sorted(found, key=lambda s: s.path)
 
     def append(self, rows: DataFrame) -> Manifest:
-        return self.append_arrivals(rows.withColumn("_arrival", F.lit(0)), "_arrival")
-
-    def append_arrivals(self, rows: DataFrame, arrival: str) -> Manifest:
-        """Appends what rows hold for each value of a column, one after another, each as a version; the data are written in one job."""
-        if clash := {"_group", "_tail"} & set(rows.columns):
-            raise ValueError(f"the table keeps these column names for itself: {', '.join(sorted(clash))}")
-        below = f"data/{uuid.uuid4().hex}"
-        rows.write.partitionBy(arrival).option("compression", "zstd").parquet(f"{self.root}/{below}")
+        return self.append_arrivals(rows, F.lit(0))
+
+    def append_arrivals(self, rows: DataFrame, arrival: Column) -> Manifest:
+        """Appends what rows hold for each value of an expression, one after another, each as a version; the data are written in one job. All columns of rows
+        are kept."""
+        below, name = f"data/{uuid.uuid4().hex}", _own_name("arrival")
+        named = rows.withColumn(name, F.coalesce(F.hex(arrival.cast("string")), F.lit("none")))
+        named.write.partitionBy(name).option("compression", "zstd").parquet(f"{self.root}/{below}")
         by: dict[str, list[Shard]] = {}
         for shard in self._listed(below):
             by.setdefault(shard.path.rsplit("/", 2)[1], []).append(shard)
         now = self.manifest()
         for name in sorted(by):
-            now = self._commit(now, f"append {name}", now.shards + tuple(by[name]))
+            now = self._commit_anew(f"append {name}", lambda shards, new=tuple(by[name]): shards + new)
         return now
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -163,13 +183,21 @@ class ShardedTable:
             return None
         tail = lambda path: "/".join(path.rsplit("/", 3)[1:])
         listed = [(tail(s.path), k) for k, g in enumerate(groups) for s in g]
-        names = self.spark.createDataFrame(listed, "_tail string, _group int")
+        file, group = _own_name("file"), _own_name("group")
+        names = self.spark.createDataFrame(listed, f"{file} string, {group} int")
         names = F.broadcast(names) if len(listed) <= BROADCAST_SHARDS else names
-        merged = self.spark.read.parquet(*(f"{self.root}/{s.path}" for g in groups for s in g)).withColumn("_tail", F.regexp_extract("_metadata.file_path", r"([^/]+/[^/]+/[^/]+)$", 1))
+        merged = self.spark.read.parquet(*(f"{self.root}/{s.path}" for g in groups for s in g)).withColumn(file, F.regexp_extract(F.input_file_name(), r"([^/]+/[^/]+/[^/]+)$", 1))
         below = f"data/{uuid.uuid4().hex}"
-        merged.join(names, "_tail").drop("_tail").repartition(len(groups), "_group").write.partitionBy("_group").option("compression", "zstd").parquet(f"{self.root}/{below}")
-        gone = {s.path for g in groups for s in g}
-        return self._commit(now, f"merge {len(gone)} shards", tuple(s for s in now.shards if s.path not in gone) + tuple(self._listed(below)))
+        dealt = merged.join(names, file, "left").withColumn(group, F.coalesce(group, F.raise_error(F.concat(F.lit("no group has the shard "), file)).cast("int"))).drop(file)
+        dealt.repartitionById(len(groups), F.col(group)).write.partitionBy(group).option("compression", "zstd").parquet(f"{self.root}/{below}")
+        gone, made = {s.path for g in groups for s in g}, tuple(self._listed(below))
+
+        def replaced(shards: tuple[Shard, ...]) -> tuple[Shard, ...]:
+            if not gone <= {s.path for s in shards}:
+                raise RuntimeError("another writer merged the same shards")
+            return tuple(s for s in shards if s.path not in gone) + made
+
+        return self._commit_anew(f"merge {len(gone)} shards", replaced)
 
     def compact(self) -> Manifest:
         """Rounds until no tier is full; each round has fewer shards than the one before."""
@@ -179,12 +207,13 @@ class ShardedTable:
             if made is None or len(made.shards) >= before:
                 return self.manifest()
 
-    def vacuum(self) -> int:
-        """Deletes shards that the newest manifest does not name, and older manifests."""
+    def vacuum(self, older_than: float = 86_400) -> int:
+        """Deletes shards that the newest manifest does not name, and older manifests. Files that were written in the last older_than seconds stay, as a
+        writer may be about to commit them; 0 is for a table without other writers."""
         now = self.manifest()
-        live, gone = {s.path for s in now.shards}, 0
+        live, gone, before = {s.path for s in now.shards}, 0, 1000 * (time.time() - older_than)
         for s in self._listed("data"):
-            if s.path not in live:
+            if s.path not in live and self._files.getFileStatus(self._path(s.path)).getModificationTime() <= before:
                 self._files.delete(self._path(s.path), False)
                 gone += 1
         for v in self.versions():
@@ -197,9 +226,9 @@ def op6_compaction(spark: SparkSession, sf_dir: str, arrivals: int = 4, target_b
     """Every document as read from the compacted table: doc_id, n_bytes, text_sha256."""
     store = ShardedTable(spark, Scratch(spark, "shards").path(), target_bytes)
     documents = table(spark, sf_dir, "documents")
-    store.append_arrivals(documents.withColumn("_arrival", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(arrivals))), "_arrival")
+    store.append_arrivals(documents, F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(arrivals)))
     store.compact()
-    store.vacuum()
+    store.vacuum(0)
     return store.read().select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
