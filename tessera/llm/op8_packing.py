@@ -2,7 +2,7 @@
 
 A piece goes where the sum over residual gaps g of N(g)**2 becomes smallest, N(g) being the number of open sequences with g free places;
 ties go to the smallest gap. Only lengths matter, so pieces are tokenised and measured first, and then packed in groups of about
-group_pieces pieces that are dealt by a hash of (doc_id, piece): each group is one task of bounded size, and a group wastes a few
+group_pieces pieces that are dealt by a hash of their place in the table of pieces, so that null and repeated ids meet no limit: each group is one task of bounded size, and a group wastes a few
 part-filled sequences at most, which is little beside thousands of full ones. Full pieces need no search: each is a sequence. Within a
 group longer pieces go first, which packs tighter and makes the result independent of the order of rows.
 
@@ -117,7 +117,7 @@ def pack(found: DataFrame, capacity: int = 2048, group_pieces: int = 20_000, n_p
         number = int(group["_group"].iloc[0])
         return group.assign(sequence_id=bins + (number << 32), offset=offsets)[columns]
 
-    dealt = found.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_groups)))
+    dealt = found.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n_groups)))
     full = found.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return dealt.where(F.col("length") < capacity).groupBy("_group").applyInPandas(run, schema).unionByName(full)
 
