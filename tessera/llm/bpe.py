@@ -1,13 +1,15 @@
 """Byte-level BPE over whole Arrow batches: overlapping chunks are split into pre-tokens, stitched, and the distinct pre-tokens encoded once.
 
 The split follows the public pattern of byte-level BPE (contractions; runs of letters, numbers or other marks, each
-with one space before it; white space that leaves its last character to what follows). Code points whose class is not the same in
-old and new Unicode tables are left to the tokenizer library, which then encodes that whole text.
+with one space before it; white space that leaves its last character to what follows). Code points that this interpreter's Unicode table does not
+assign, or whose class has changed, are left to the tokenizer library, which then encodes that whole text.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
+import itertools
 import re
 import unicodedata
 from collections.abc import Callable, Iterable
@@ -25,15 +27,16 @@ _classes: np.ndarray | None = None
 
 
 def classes() -> np.ndarray:
-    """The class of each code point; UNSURE where Unicode 3.2 and today's table differ."""
+    """The class of each code point; UNSURE where it is not assigned, or was of another class in Unicode 3.2."""
     global _classes
     if _classes is None:
         old = unicodedata.ucd_3_2_0
+        of = lambda kind: {"L": LETTER, "N": NUMBER}.get(kind[0], OTHER)
         kinds = np.full(0x110000, UNSURE, np.uint8)
         for point in range(0x110000):
-            kind = unicodedata.category(chr(point))
-            if kind in ("Co", "Cs") or kind == old.category(chr(point)) != "Cn":
-                kinds[point] = {"L": LETTER, "N": NUMBER}.get(kind[0], OTHER)
+            now, then = unicodedata.category(chr(point)), old.category(chr(point))
+            if now in ("Co", "Cs") or now != "Cn" and (then == "Cn" or of(then) == of(now)):
+                kinds[point] = of(now)
         kinds[WHITE_SPACE] = BLANK
         kinds[[0x180E]] = UNSURE
         _classes = kinds
@@ -110,9 +113,9 @@ def stitched_starts(texts: list[str], chunk: int = 1 << 16, overlap: int = 512)
     for k, (s, e) in enumerate(spans):
         out[s:e] = flags[where[k] : where[k + 1]]
     parts = [(i, s, e, flags[where[len(spans) + k] : where[len(spans) + k + 1]]) for k, (i, s, e) in enumerate(pieces)]
-    for i in long_rows:
-        mine = [p for p in parts if p[0] == i]
-        row, done, end, now = mine[0]
+    for _, group in itertools.groupby(parts, key=lambda p: p[0]):
+        mine = list(group)
+        _, done, end, now = mine[0]
         out[done:end] = now
         for _, s, e, nxt in mine[1:]:
             common = np.flatnonzero(now[s - done : max(s - done, end - done - 8)] & nxt[: max(0, end - s - 8)])
@@ -220,6 +223,50 @@ class PieceCache:
         return ids, tokens_before
 
 
+def merged(piece: bytes, ranks: dict[bytes, int], short: int = 40) -> list[int]:
+    """Ids of a pre-token: of neighbours whose union has a rank, those with the lowest are joined, the first of equal ones, until none has one.
+
+    Short pieces look at all neighbours each time; longer ones keep them in a heap, so that very long ones take n log n steps.
+    """
+    whole = ranks.get(piece)
+    if whole is not None:
+        return [whole]
+    n = len(piece)
+    if n <= short:
+        parts = [piece[i : i + 1] for i in range(n)]
+        found = [ranks.get(piece[i : i + 2]) for i in range(n - 1)]
+        while True:
+            best = min((r for r in found if r is not None), default=None)
+            if best is None:
+                return [ranks[x] for x in parts]
+            i = found.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del found[i]
+            if i:
+                found[i - 1] = ranks.get(parts[i - 1] + parts[i])
+            if i + 1 < len(parts):
+                found[i] = ranks.get(parts[i] + parts[i + 1])
+    end, before, ahead = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))  # by where a part begins
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    alive = [True] * n
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = ahead[i] if alive[i] else n
+        if j >= n or end[j] != stop:
+            continue  # one of the two has been joined since
+        end[i], alive[j], ahead[i] = stop, False, ahead[j]
+        if ahead[j] < n:
+            before[ahead[j]] = i
+        for left in (before[i], i):
+            if left >= 0 and ahead[left] < n:
+                to = end[ahead[left]]
+                rank = ranks.get(piece[left:to])
+                if rank is not None:
+                    heapq.heappush(heap, (rank, left, to))
+    return [ranks[piece[i : end[i]]] for i in range(n) if alive[i]]
+
+
 _SURE_CUT = re.compile(r"(?<=[a-z])(?= [a-z])")
 
 

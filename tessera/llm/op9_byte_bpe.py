@@ -1,7 +1,8 @@
 """Operator 9: byte-level BPE encoding and decoding by overlapping chunks.
 
-Texts are cut into overlapping chunks that are pre-tokenised side by side, stitched where their pre-token boundaries fall into step
-(tessera.llm.bpe), and the pre-tokens are encoded by the ranks; decoding concatenates the tokens' raw bytes.
+Texts are cut into overlapping chunks of CHUNK characters that are pre-tokenised side by side, stitched where their pre-token boundaries fall into
+step (tessera.llm.bpe), and the pre-tokens are merged by the ranks; decoding concatenates the tokens' raw bytes. Only a text with code points that
+the interpreter's Unicode table does not assign is left to the library whole.
 
 A null text is an empty one and has no ids. Rows keep their own results, repeated ones too; no row is grouped with another, so neither hot
 keys nor copies matter. Memory in a Python worker is bounded by a batch of texts, about a million characters in work, and the cache of
@@ -20,20 +21,20 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.llm import bpe
 from tessera.llm.common import table
 
+CHUNK, OVERLAP = 2000, 64
 _made: dict = {}
 
 
 class ByteBpe:
     """Encodes as the tiktoken library's encode_ordinary does with the same ranks and pattern; decodes ids to bytes."""
 
-    def __init__(self, ranks_path: str, pattern: str, chunk: int = 1 << 16, overlap: int = 512):
+    def __init__(self, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP):
         import tiktoken
 
         ranks = bpe.read_ranks(ranks_path)
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.chunk, self.overlap = chunk, overlap
-        one = self.library._core_bpe.encode_single_piece
-        self.cache = bpe.PieceCache(lambda pieces: [one(p.encode("utf-8", "surrogatepass")) for p in pieces])
+        self.cache = bpe.PieceCache(lambda pieces: [bpe.merged(p.encode("utf-8", "surrogatepass"), ranks) for p in pieces])
         tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             tokens[rank] = token
@@ -77,7 +78,7 @@ def public_ranks() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 1 << 16, overlap: int = 512) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, ids): the token ids of each whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +98,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """(doc_id, bytes): the raw bytes that the ids stand for; of null ids, none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(ranks_path, pattern, 1 << 16, 512)
+        coder = _coder(ranks_path, pattern, CHUNK, OVERLAP)
         for batch in batches:
             raw = [coder.decode(np.array(x or [], np.int32)) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(raw, pa.binary())], ["doc_id", "bytes"])
@@ -105,7 +106,7 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
 
 
-def digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = 1 << 16, overlap: int = 512) -> DataFrame:
+def digests(docs: DataFrame, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): what encode() gives and what decode() makes of it, digested where they are made."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

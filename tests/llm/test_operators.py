@@ -175,6 +175,43 @@ def test_archives(spark, tmp_path):
     assert rows(warc.read_archives(scratch.keep(warc.write_archives(spark, pages.limit(0), scratch.path())), 1)) == []
 
 
+def test_pages_without_id(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    made = [(None, "u", "same"), (5, "u", "same"), (9, "u", "same"), (None, "u", "alone"), (None, "u", "alone"), (3, None, None), (None, None, None)]
+    spark.createDataFrame(made, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    result = db.execute(warc.ORACLE_SQL)
+    columns = [c[0] for c in result.description]
+    plain = lambda xs: sorted(tuple(map(str, x)) for x in xs)
+    got = plain(warc.op2_warc(spark, str(tmp_path)).select(*columns).collect())
+    assert got == plain(result.fetchall()) and sum("'9'" in str(x) and "revisit" in str(x) for x in got) == 2
+
+
+def test_salvage_reads_on_and_takes_linear_time():
+    import io
+    import time
+
+    class Slow(io.BytesIO):
+        most = 0
+
+        def read(self, n=-1):
+            Slow.most = max(Slow.most, n)
+            return super().read(n)
+
+    one = warc.member(warc.record(1, "u", bytes(rnd.integers(0, 256, 3000).astype(np.uint8)), None))
+    noise = b"WARC/1.1\r\nno header here\r\n" * 40 + b"\x1f\x8b\x08 none"
+    whole = (one * 20 + noise) * 100
+    took = []
+    for times in (1, 8):
+        began = time.process_time()
+        found = list(warc.salvage(Slow(whole * times), window=1 << 16))
+        took.append(time.process_time() - began)
+        assert sum(isinstance(x, warc.Record) for x in found) == 2000 * times and sum(isinstance(x, warc.Gap) for x in found) == 100 * times
+        assert sum(x.end - x.start for x in found) == len(whole) * times
+    assert Slow.most <= 1 << 18 and took[1] < 20 * took[0]
+
+
 @pytest.mark.parametrize("packed", [True, False])
 def test_long_addresses(packed):
     made = [warc.record(k, "data:," + "é" * n, b"payload", None) for k, n in enumerate([5, 40_000, 300_000])]
@@ -248,6 +285,25 @@ def test_next_and_edit(docs, empty, spark):
         assert r["edited_sha256"] == hashlib.sha256((own[: len(own) - half] + dict(ROWS)[nxt][:half]).encode()).hexdigest()
 
 
+def test_many_rows_without_id_have_bounded_buckets(spark):
+    made = [(None, f"the null {k} row") for k in range(300)] + [(k, f"the row {k} here") for k in range(50)]
+    got = rows(spots.with_next(spark.createDataFrame(made, "doc_id long, text string"), per_bucket=10))
+    nulls, next_of = {t for d, t in made if d is None}, {r["text"]: r["next_text"] for r in got}
+    assert len(got) == 350 and next_of["the row 7 here"] == "the row 6 here" and next_of["the row 0 here"] in nulls
+    chain, at = [], next_of["the row 0 here"]
+    while at in nulls:
+        chain.append(at)
+        at = next_of[at]
+    assert len(chain) == len(set(chain)) == 300 and at == "the row 49 here"
+
+
+def test_one_rule_for_all_lengths(spark):
+    texts = ["the cat sat of the dog ran", "the cat sat of the dog", "cat sat", "cat", "the of", "!?", "", "the cat sat", "cat sat the dog ran the cow ate the hen"]
+    made = {r["t"]: set(r["s"]) for r in rows(spots.with_signatures(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "s"))}
+    assert [len(made[t]) for t in texts] == [2, 2, 1, 1, 2, 1, 0, 1, 4]
+    assert made["the cat sat"] < made["the cat sat of the dog ran"] and made["cat sat"] < made["cat sat the dog ran the cow ate the hen"]
+
+
 def test_signatures(spark):
     frame = spark.createDataFrame([(1, "The Cat sat, of the big dog ran. " * 1 + " ".join(f"the w{k} v{k}" for k in range(10)))], "doc_id long, text string")
     made = spots.with_signatures(frame, "text", "s").first()
@@ -278,7 +334,8 @@ def test_language(spark, empty):
     r = np.random.default_rng(0)
     kinds = {"aa": ["ba", "na", "ka", "the"], "bb": ["zü", "ßt", "öm", "der"]}
     made = [(k, " ".join(r.choice(kinds[lang], 60)), lang) for k in range(200) for lang in [("aa", "bb")[k % 2]]]
-    odd = [(900, None, "aa"), (901, "12 !?", "bb"), (902, "", None), (903, "ba na ka the " * 9_000, None), (None, "zü ßt der", None)]
+    assert not any(language._LETTER.search(t) for t in ("½", "²", "①", "Ⅷ", "12 !?_", "́")) and all(language._LETTER.search(t) for t in ("ª", "中", "é", "1a"))
+    odd = [(900, None, "aa"), (901, "12 ½ ² Ⅷ !?", "bb"), (902, "", None), (903, "ba na ka the " * 9_000, None), (None, "zü ßt der", None)]
     table = spark.createDataFrame(made + odd, "doc_id long, text string, lang string").withColumn("score", F.lit(1))
     net = language.learn(table)
     got = rows(language.identify(table, net))
@@ -308,7 +365,7 @@ def test_compaction(spark, docs, tmp_path):
     for k in range(4):
         table.append(plain.withColumn("batch", F.lit(k)).coalesce(1))
     before, version = len(table.manifest().shards), table.manifest().version
-    table.append(plain.limit(0).withColumn("batch", F.lit(0)))
+    table.append(plain.limit(0).withColumn("batch", F.lit(0)).coalesce(1))
     stale = table.manifest()
     after = table.compact()
     count = lambda frame: collections.Counter((r["doc_id"], r["text"], r["batch"]) for r in rows(frame))
@@ -316,7 +373,34 @@ def test_compaction(spark, docs, tmp_path):
     assert len(after.shards) < before and count(table.read()) == want == count(table.read(version))
     with pytest.raises(CommitConflict):
         table._commit(stale, "late", ())
-    assert table.vacuum() >= before and count(table.read()) == want and table.versions() == [after.version]
+    assert table.vacuum() == 0 and count(table.read()) == want
+    assert table.vacuum(0) >= before and count(table.read()) == want and table.versions() == [after.version]
+
+
+def test_compaction_keeps_any_column(spark, tmp_path):
+    table = ShardedTable(spark, f"file://{tmp_path}/c", target_bytes=100_000, small_bytes=500, fanout=2)
+    odd = spark.createDataFrame([(k, "t" * k, k % 3, "m", k, "g") for k in range(40)], "doc_id long, text string, _arrival int, _metadata string, _group long, _tail string")
+    for k in range(3):
+        table.append(odd.where(f"doc_id % 3 = {k}").coalesce(2))
+    table.append_arrivals(odd, F.col("_arrival"))
+    made = table.compact()
+    assert len(made.shards) < 9 and set(table.read().columns) == set(odd.columns)
+    assert collections.Counter(rows_of(table.read(), odd.columns)) == collections.Counter(rows_of(odd.unionAll(odd), odd.columns))
+
+
+def rows_of(frame, columns):
+    return [tuple(r) for r in frame.select(*columns).collect()]
+
+
+def test_writers_try_again(spark, tmp_path):
+    table = ShardedTable(spark, f"file://{tmp_path}/w")
+    stale = table.manifest()
+    newest = [stale, stale]
+    table._commit(stale, "other", (Shard("a", 1),))
+    real = table.manifest
+    table.manifest = lambda version=None: newest.pop() if newest else real(version)
+    made = table._commit_anew("mine", lambda shards: shards + (Shard("b", 1),))
+    assert [s.path for s in made.shards] == ["a", "b"] and made.version == 2
 
 
 def test_compaction_plan(spark, tmp_path):
@@ -390,6 +474,16 @@ def test_packing(spark, docs, empty):
     assert len(bins) <= 1 + -(-sum(r["length"] for r in got) // 2048) and rows(best_fit(spark, empty, public_vocabulary())) == []
 
 
+def test_rows_without_id_fill_many_groups(spark):
+    from tessera.llm.op8_packing import pack
+
+    made = [(None, 0, 0, 1 + k % 700, k) for k in range(3000)]
+    found = Scratch(spark, "pack").keep(spark.createDataFrame(made, "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    got = rows(pack(found, group_pieces=300))
+    groups = collections.Counter(r["sequence_id"] >> 32 for r in got)
+    assert len(got) == 3000 and len(groups) == 10 and max(groups.values()) < 450
+
+
 def test_cut():
     assert cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and cut(4096, 2048) == [(0, 2048), (2048, 2048)] and cut(1, 2048) == [(0, 1)]
 
@@ -449,6 +543,37 @@ def test_chunks_fall_into_step(chunk, overlap):
     assert [list(x) for x in got] == [own.encode_ordinary(t) for t in texts]
 
 
+def brute_merge(piece, ranks):
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while True:
+        found = [(ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks]
+        if not found:
+            return [ranks[x] for x in parts]
+        _, i = min(found)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+
+def test_merges():
+    ranks = bpe.read_ranks(public_ranks()[0])
+    texts = ["", "a", "the", "x" * 300, *("".join(rnd.choice(["the", "an", "é", "ing", "1", "x", "中", " ", "tion"], rnd.integers(1, 60))) for _ in range(400))]
+    for raw in (t.encode() for t in texts if t):
+        want = brute_merge(raw, ranks)
+        whole = [ranks[raw]] if raw in ranks else want
+        assert bpe.merged(raw, ranks) == bpe.merged(raw, ranks, short=0) == whole
+
+
+def test_code_points_split_as_the_library_does():
+    from tessera.llm.op9_byte_bpe import ByteBpe
+
+    coder = ByteBpe(*public_ranks())
+    points = [p for p in [*range(0x80, 0x3000), *rnd.integers(0x3000, 0x110000, 4000).tolist(), 0x1F600, 0x1F9CB] if not 0xD800 <= p < 0xE000]
+    texts = [f"a{chr(p)}b1{chr(p)}2 {chr(p)}!{chr(p)}" for p in points]
+    assert [list(x) for x in coder.encode(texts)] == [coder.library.encode_ordinary(t) for t in texts]
+    assert (bpe.classes()[[0x1F600, 0x1F9CB]] == bpe.OTHER).all()
+    long = "".join(texts)[:9000] + prose(800, 3)
+    assert list(coder.encode([long])[0]) == coder.library.encode_ordinary(long)
+
+
 def test_segments():
     text = "ab cd " * 50
     assert "".join(bpe.segments(text, 20)) == text and len(bpe.segments(text, 20)) > 5 and bpe.segments("x" * 99, 20) == ["x" * 99]
