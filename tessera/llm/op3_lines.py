@@ -2,8 +2,9 @@
 
 Lines are exploded and normalised to keys, keys are hashed (two 64-bit hashes with different seeds, 128 bits), and a partial aggregation
 finds for each hash the smallest and largest document that holds it: it is in two documents where these differ. Lines with such a key go
-from every document but the smallest; what is left is put together by position. Only (document, position, hash) is shuffled by hash, and
-a hot line meets a single row of the aggregate in a join that adaptive execution may split; texts are shuffled once, by document.
+from every document but the smallest; what is left is put together by position. Only (document, position, hash) is shuffled by hash. Lines that are
+HOT_SHARE of all lines or more, at most 1 / HOT_SHARE keys, are looked up in a broadcast table and then dealt evenly, so that no task gets
+all rows of a hot line; texts are shuffled once, by document.
 
 A null or empty text is one empty line. Rows with a null doc_id count for no document and lose nothing. Rows that repeat a doc_id count as one
 document, and each loses its own lines. Other columns pass by untouched.
@@ -16,7 +17,9 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACE, table
+from tessera.llm.common import SPACE, Scratch, table
+
+HOT_SHARE = 1 / 2000
 
 
 def lines(text: Column) -> Column:
@@ -32,12 +35,18 @@ def dropped_positions(docs: DataFrame, min_chars: int = 10, min_documents: int =
     exploded = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_text"), F.posexplode(lines(F.col("text"))).alias("_at", "_line"))
     key = line_key(F.col("_line"))
     keyed = exploded.where(F.length(key) >= min_chars).select("_doc", "_text", "_at", F.xxhash64(key).alias("_h1"), F.xxhash64(F.lit(1), key).alias("_h2"))
-    found = keyed.groupBy("_h1", "_h2")
+    by_key = keyed.groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last"), F.count("*").alias("_n"))
     if min_documents == 2:
-        common = found.agg(F.min("_doc").alias("_first"), F.max("_doc").alias("_last")).where("_first < _last")
+        common = by_key.where("_first < _last")
     else:
-        common = keyed.select("_h1", "_h2", "_doc").distinct().groupBy("_h1", "_h2").agg(F.min("_doc").alias("_first"), F.count("*").alias("_n")).where(F.col("_n") >= min_documents)
-    gone = keyed.join(common.select("_h1", "_h2", "_first"), ["_h1", "_h2"]).where("_doc <> _first")
+        holders = keyed.select("_h1", "_h2", "_doc").distinct().groupBy("_h1", "_h2").agg(F.count("*").alias("_docs")).where(F.col("_docs") >= min_documents)
+        common = by_key.join(holders.select("_h1", "_h2"), ["_h1", "_h2"], "left_semi")
+    common = Scratch(docs.sparkSession, "lines").keep(common.select("_h1", "_h2", "_first", "_n"))
+    least = F.lit(HOT_SHARE * (common.agg(F.sum("_n")).first()[0] or 0))
+    hot = common.where(F.col("_n") >= least).select("_h1", "_h2", F.col("_first").alias("_hot"))
+    cold = common.where(F.col("_n") < least).select(F.col("_h1").alias("_k"), "_h2", "_first")
+    dealt = keyed.join(F.broadcast(hot), ["_h1", "_h2"], "left").withColumn("_k", F.when(F.col("_hot").isNull(), F.col("_h1")).otherwise(F.xxhash64("_doc", "_at")))
+    gone = dealt.join(cold, ["_k", "_h2"], "left").withColumn("_first", F.coalesce("_hot", "_first")).where("_doc <> _first")
     return gone.groupBy("_doc", "_text").agg(F.collect_set("_at").alias("_dropped"))
 
 

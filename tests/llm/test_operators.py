@@ -260,6 +260,18 @@ def test_lines(docs, empty):
     assert sum(r["n_dropped"] for r in rows(dedup_lines(docs.drop("n_lines"), min_documents=3))) == 0
 
 
+def test_hot_lines_change_nothing(spark, monkeypatch):
+    from tessera.llm import op3_lines
+
+    made = [(k, f"a line that is everywhere\nown line number {k}\na line of {k % 7} and others\n{k}") for k in range(80)]
+    table = spark.createDataFrame(made, "doc_id long, text string")
+    found = []
+    for share in (1e-9, 0.3, 2.0):
+        monkeypatch.setattr(op3_lines, "HOT_SHARE", share)
+        found.append(sorted((r["doc_id"], r["n_dropped"], r["kept_text"]) for r in rows(dedup_lines(table))))
+    assert found[0] == found[1] == found[2] and sum(r[1] for r in found[0]) == 79 + 73
+
+
 # 4
 
 def test_next_and_edit(docs, empty, spark):

@@ -32,6 +32,39 @@ def test_stages(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/4").select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
 
 
+def odd_rows(n=60):
+    import random
+
+    def text(k):
+        r = random.Random(k)
+        word = lambda: r.choice(["the", "of", "and", "is"]) if r.random() < 0.4 else "".join(r.choice(["ba", "do", "ki", "lu", "me", "no", "ra", "si"]) for _ in range(r.randint(2, 4)))
+        return " ".join(word() for _ in range(60)).capitalize() + "."
+
+    made = [(k, text(k), "en", "s") for k in range(n)] + [(k, text(k), "en", "s") for k in (3, 3)]
+    return made + [(None, text(99), "en", None), (None, None, None, None), (70, None, "en", "s"), (71, "", None, "s"), (72, "x" * 50_000, "fr", "s"), (73, text(5), "fr", None), (74, " \n\t", "en", "s")]
+
+
+CLASHES = ["row", "chunk", "id", "rep", "part", "n", "n_lines", "n_dropped", "kept_text", "region", "score", "length", "_doc", "_text", "_h1", "_k", "_hot"]
+
+
+def test_odd_rows_empty_tables_and_clashing_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    plain = spark.createDataFrame(odd_rows(), "doc_id long, text string, lang string, source string")
+    whole = plain.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES])
+    for name, first in (("odd", whole), ("empty", whole.limit(0)), ("null", whole.where("doc_id IS NULL AND text IS NULL"))):
+        before = first
+        for k, (stage, function) in enumerate(corpus_pipeline.STAGES):
+            function(spark, before, DATA).write.parquet(f"{tmp_path}/{name}{k}")
+            after = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            if k < 4:
+                assert after.columns == whole.columns, stage
+                assert after.where(" OR ".join(f"{c} <> 'own {c}'" for c in CLASHES)).count() == 0, stage
+            before = after
+        ids = [r["doc_id"] for r in before.collect()]
+        assert name == "odd" and None in ids and not {70, 71, 72, 74} & set(ids) or name != "odd" and ids == []
+
+
 def test_near_duplicates_between_thresholds(spark):
     word = lambda k: f"w{k}"
     base = [word(k) for k in range(200)]
