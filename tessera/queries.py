@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 
 from tessera.config import DiscoveryConfig, GenerationConfig
 from tessera.functions import text as T
-from tessera.operators import judging, prompts, qa
+from tessera.operators import completions, judging, prompts, qa
 from tessera.operators.cache import generation_key
 from tessera.operators.chunking import chunk_documents, chunks_per_file, unique_chunks
+from tessera.plans.files import Written
+from tessera.plans.model_stage import ask, typed
 from tessera.sources.repository import select_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -353,6 +355,36 @@ def cache_hits_misses(spark, sf_dir):
     return found.agg(F.count("*").alias("chunks"), F.countDistinct("key").alias("keys"), F.countDistinct(F.when(F.col("cached"), F.col("key"))).alias("hits"), F.countDistinct(F.when(F.col("cached").isNull(), F.col("key"))).alias("misses"))
 
 
+class Echo:
+    """A stand-in model: it answers each prompt with an item that holds it."""
+
+    def complete(self, prompt: str, model: str, temperature: float, schema: dict) -> str:
+        import hashlib
+        import json
+
+        return "Here it is:\n```json\n" + json.dumps({"items": [{"question": "q " + hashlib.sha256(prompt.encode()).hexdigest(), "answer": prompt, "tags": ["t"]}]}) + "\n```"
+
+
+@query(chunk_sql(4_000, "SELECT chunk_id, ascii(chunk_id) < 56 AS cached, 'q ' || content_hash AS question, content_hash AS answer_hash, 1::BIGINT AS n_items FROM ids"))
+def answers_cold_and_warm(spark, sf_dir):
+    """Asks for some chunks, then for all: the first answers come out of the cache, the others from the model, all through strict parsing."""
+    keyed = chunks(spark, sf_dir).withColumn("key", generation_key(GenerationConfig(), "{{chunk_text}}")).withColumn("prompt", prompts.qa_prompt("{{chunk_text}}", 1))
+    keep = Written(spark)
+    folder = f"{keep.root.removeprefix('file://')}/cache"
+    answers = lambda requests: keep(ask(requests, Echo, folder, 8, 0, "echo", 0.0, completions.questions_schema(1), completions.parse_questions, [F.col("path"), F.col("chunk_ord")]))
+    answers(keyed.where("ascii(chunk_id) < 56"))
+    found = typed(answers(keyed), "array<struct<question: string, answer: string, tags: array<string>, confidence: float>>")
+    item = F.get("answer", F.lit(0))
+    return keyed.select("chunk_id", "key").join(found, "key").select("chunk_id", "cached", item["question"].alias("question"), F.sha2(item["answer"], 256).alias("answer_hash"), F.size("answer").cast("long").alias("n_items"))
+
+
+@query(chunk_sql(4_000, "SELECT chunk_id, sha256('is ' || 'about ' || path || ' answered by ' || content_hash || ' in ' || path || ':' || start_line || '-' || end_line || ': ' || body || '?') AS prompt_hash FROM ids"))
+def verification_prompts(spark, sf_dir):
+    pairs = chunks(spark, sf_dir).withColumns({"question": F.concat(F.lit("about "), F.col("path")), "answer": F.col("content_hash")})
+    prompt = prompts.verification_prompt("is {{question}} answered by {{answer}} in {{path}}:{{start_line}}-{{end_line}}: {{chunk_text}}?", "")
+    return pairs.select("chunk_id", F.sha2(prompt, 256).alias("prompt_hash"))
+
+
 @query(chunk_sql(4_000, """SELECT chunk_id, sha256('{"chunk_id":"' || chunk_id || '","prompt_hash":"' || sha256('t {{chunk_text}}') || '","provider":"ollama","model":"llama3.2","endpoint":null,"questions_per_chunk":3,"temperature":0.2}') AS key FROM ids"""))
 def cache_key(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", generation_key(GenerationConfig(), "t {{chunk_text}}").alias("key"))
