@@ -119,10 +119,10 @@ def test_decisions_sum_to_one():
 
 def test_hot_contexts_change_nothing(spark, monkeypatch):
     texts = spark.createDataFrame([(k, prose(60, 700 + k)) for k in range(60)], "doc_id long, text string")
-    plain = by_id(score(spark, texts))
-    few = by_id(score(spark, texts.repartition(7), chunk_bytes=3_000, slice_pairs=400))
+    plain = by_id(score(spark, texts, learn_tokens=1_500))
+    few = by_id(score(spark, texts.repartition(7), chunk_bytes=3_000, slice_pairs=400, learn_tokens=1_500))
     monkeypatch.setattr(mixing, "HOT_SHARE", 1.0)
-    cold = by_id(score(spark, texts))
+    cold = by_id(score(spark, texts, learn_tokens=1_500))
     assert {d: r["score"] for d, r in plain.items()} == pytest.approx({d: r["score"] for d, r in few.items()}, abs=1e-9)
     assert {d: r["score"] for d, r in plain.items()} == pytest.approx({d: r["score"] for d, r in cold.items()}, rel=0.1)
 
