@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--max-retries", type=int, default=2)
         p.add_argument("--cache-dir", default=CACHE_DIRECTORY)
         p.add_argument("--no-cache", action="store_true")
+        p.add_argument("--parts", action="store_true", help="write a folder of part files, by tasks")
     build.add_argument("--out", default="dataset.jsonl")
     build.add_argument("--ignore-file", action="append", default=[], dest="ignore_files")
     build.add_argument("--max-files", type=int)
@@ -54,12 +55,12 @@ def provider_name(given: str) -> str:
 def build_config(args: argparse.Namespace, model: str, endpoint: str | None) -> BuildConfig:
     return BuildConfig(
         args.repo, "docs", args.prompt_file, DiscoveryConfig(not args.no_gitignore, tuple(args.ignore_files), args.max_files, args.max_bytes_per_file), ChunkConfig(args.max_characters),
-        GenerationConfig(provider_name(args.provider), model, endpoint, args.questions_per_chunk, args.temperature, args.concurrency, args.max_retries), ExportConfig("alpaca", args.out), CacheConfig(not args.no_cache, args.cache_dir),
+        GenerationConfig(provider_name(args.provider), model, endpoint, args.questions_per_chunk, args.temperature, args.concurrency, args.max_retries), ExportConfig("alpaca", args.out, args.parts), CacheConfig(not args.no_cache, args.cache_dir),
     )
 
 
 def verification_config(args: argparse.Namespace, model: str, endpoint: str | None) -> VerificationConfig:
-    return VerificationConfig(args.dataset, args.manifest, args.repo, args.out, args.prompt_file, VerifierConfig(provider_name(args.provider), model, endpoint, args.temperature, args.concurrency, args.max_retries), CacheConfig(not args.no_cache, args.cache_dir))
+    return VerificationConfig(args.dataset, args.manifest, args.repo, args.out, args.prompt_file, VerifierConfig(provider_name(args.provider), model, endpoint, args.temperature, args.concurrency, args.max_retries), CacheConfig(not args.no_cache, args.cache_dir), args.parts)
 
 
 def show(event: Event) -> None:

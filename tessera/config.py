@@ -46,6 +46,7 @@ class GenerationConfig:
 class ExportConfig:
     format: str = "alpaca"
     output: str = "dataset.jsonl"
+    parts: bool = False  # a folder of part files, each written by a task, in place of one file that the driver writes
 
 
 @dataclass(frozen=True)
@@ -93,6 +94,7 @@ class VerificationConfig:
     prompt_file: str | None = None
     verifier: VerifierConfig = field(default_factory=VerifierConfig)
     cache: CacheConfig = field(default_factory=CacheConfig)
+    parts: bool = False  # as in ExportConfig
 
     def check(self) -> None:
         if self.verifier.concurrency <= 0:
@@ -108,8 +110,11 @@ def _check_model(model: str, temperature: float) -> None:
 
 
 def to_json(config: Any) -> dict[str, Any]:
-    """As manifests record it; an unset prompt_file is left out, other unset options are null."""
+    """As manifests record it; an unset prompt_file and parts are left out, other unset options are null."""
     raw = dataclasses.asdict(config)
+    for holder in (raw, raw.get("export", {})):
+        if not holder.get("parts", True):
+            del holder["parts"]
     raw.get("discovery", {}).pop("excluded_names", None)
     if raw.get("prompt_file", 0) is None:
         del raw["prompt_file"]

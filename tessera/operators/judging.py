@@ -14,11 +14,14 @@ OTHER_PLACE = "dataset provenance does not match the reconstructed source chunk"
 
 def reconstruct(items: DataFrame, chunks: DataFrame) -> DataFrame:
     """items with their rebuilt chunk, and unverifiable_reason where it is missing or lies elsewhere; the two reasons differ, so place is no join key."""
-    found = unique_chunks(chunks).select("chunk_id", F.struct("path", "start_line", "end_line", "text").alias("chunk"))
+    fields = ("path", "start_line", "end_line", "text")
+    found = unique_chunks(chunks).select("chunk_id", *[F.col(f).alias(f"_chunk_{f}") for f in fields])
     joined = items.join(found, "chunk_id", "left")
-    c, s = F.col("chunk"), F.col("source")
+    c, s = {f: F.col(f"_chunk_{f}") for f in fields}, F.col("source")
+    missing = c["path"].isNull()
     elsewhere = (c["path"] != s["path"]) | (c["start_line"] != s["start_line"]) | (c["end_line"] != s["end_line"])
-    return joined.withColumn("unverifiable_reason", F.when(c.isNull(), NO_CHUNK).when(elsewhere, OTHER_PLACE))
+    chunk = F.when(~missing, F.struct(*[c[f].alias(f) for f in fields]))
+    return joined.select(*[items[k] for k in items.columns], chunk.alias("chunk"), F.when(missing, NO_CHUNK).when(elsewhere, OTHER_PLACE).alias("unverifiable_reason"))
 
 
 def verdict(checks: Column) -> Column:

@@ -54,11 +54,18 @@ def first_per_question(valid: DataFrame, order: list[str] = ORDER) -> DataFrame:
     return valid.groupBy(key.alias("_question")).agg(F.min_by(row, F.struct(*order)).alias("_row")).select("_row.*")
 
 
+def item_counts(items: DataFrame) -> DataFrame:
+    """One row: generated_items, rejected_items, duplicate_items. Items are counted by question first, rejected ones together under none."""
+    valid = reject_reason().isNull()
+    by_question = items.groupBy(F.when(valid, normalize_question(F.col("question"))).alias("q")).agg(F.count("*").alias("n"))
+    accepted, n_valid = F.count("q"), F.coalesce(F.sum(F.when(F.col("q").isNotNull(), F.col("n"))), F.lit(0))
+    rejected = F.coalesce(F.sum(F.when(F.col("q").isNull(), F.col("n"))), F.lit(0))
+    return by_question.agg(accepted.alias("generated_items"), rejected.alias("rejected_items"), (n_valid - accepted).alias("duplicate_items"))
+
+
 def build_stats(items: DataFrame, n_chunks: int, discovered: int, processed: int, skipped: int) -> dict[str, int]:
     """Counts of a build from one aggregation over the generated items."""
-    judged = items.withColumn("reject_reason", reject_reason())
-    r = judged.agg(F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"), F.count_if(F.col("reject_reason").isNull()).alias("valid"), F.countDistinct(F.when(F.col("reject_reason").isNull(), normalize_question(F.col("question")))).alias("accepted")).first()
-    return {"discovered_files": discovered, "processed_files": processed, "skipped_files": skipped, "chunks": n_chunks, "generated_items": r["accepted"], "rejected_items": r["rejected"], "duplicate_items": r["valid"] - r["accepted"]}
+    return {"discovered_files": discovered, "processed_files": processed, "skipped_files": skipped, "chunks": n_chunks} | item_counts(items).first().asDict()
 
 
 def alpaca(items: DataFrame, *keep: str) -> DataFrame:

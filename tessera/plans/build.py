@@ -35,9 +35,9 @@ class BuildResult:
     retries: int
 
 
-def output_paths(output: str) -> tuple[str, str]:
-    """(dataset, manifest): an existing folder holds dataset.jsonl; the manifest lies beside the dataset."""
-    dataset = os.path.join(output, "dataset.jsonl") if os.path.isdir(output) else output
+def output_paths(output: str, parts: bool = False) -> tuple[str, str]:
+    """(dataset, manifest): an existing folder holds dataset.jsonl, unless the dataset is a folder of parts; the manifest lies beside the dataset."""
+    dataset = output.rstrip("/") if parts else os.path.join(output, "dataset.jsonl") if os.path.isdir(output) else output
     return dataset, os.path.join(os.path.dirname(dataset), "manifest.json")
 
 
@@ -59,7 +59,7 @@ def build_dataset(spark: SparkSession, config: BuildConfig, factory: ClientFacto
     """Writes the dataset and its manifest. Model answers are kept in a table before anything reads them twice."""
     config.check()
     prompt = load_prompt(QA_VERSION, config.repository, config.prompt_file)
-    output, manifest_path = output_paths(config.export.output)
+    output, manifest_path = output_paths(config.export.output, config.export.parts)
     create_parent(output)
     report(Event("discovery_started", {"repository": config.repository}))
     keep = Written(spark)
@@ -93,7 +93,7 @@ def build_dataset(spark: SparkSession, config: BuildConfig, factory: ClientFacto
             "prompt": {"version": prompt.version, "template": prompt.template}, "stats": stats,
         }
         report(Event("export_started", {"output": output}))
-        write_lines(qa.json_lines(qa.alpaca(accepted, *qa.ORDER), ["instruction", "input", "output", "metadata"], *qa.ORDER).orderBy(*qa.ORDER).select("value"), output)
+        write_lines(qa.json_lines(qa.alpaca(accepted, *qa.ORDER), ["instruction", "input", "output", "metadata"], *qa.ORDER).orderBy(*qa.ORDER).select("value"), output, config.export.parts)
         write_json(manifest, manifest_path)
         report(Event("finished", {"output": output, "stats": stats}))
         return BuildResult(manifest, output, manifest_path, calls.value, retries.value)

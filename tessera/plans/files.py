@@ -42,8 +42,11 @@ def create_parent(path: str) -> None:
         raise ExportError(f"cannot create the folder of {path}: {e}") from e
 
 
-def write_lines(ordered: DataFrame, path: str) -> int:
-    """Writes the column value, a line per row in the frame's order, partition by partition; the number of lines."""
+def write_lines(ordered: DataFrame, path: str, parts: bool = False) -> int:
+    """Writes the column value, a line per row in the frame's order, partition by partition; the number of lines. parts: by write_folder, then -1."""
+    if parts:
+        write_folder(ordered, path)
+        return -1
     n = 0
     try:
         with open(path, "w", encoding="utf-8", newline="") as f:
@@ -55,6 +58,13 @@ def write_lines(ordered: DataFrame, path: str) -> int:
     return n
 
 
+def write_folder(ordered: DataFrame, path: str) -> None:
+    """Writes the column value as a folder of text files, each by a task of its own; the frame's order is that of their names and lines."""
+    if os.path.isfile(path):
+        raise ExportError(f"{path} is a file, and a folder of part files was asked for")
+    ordered.select("value").write.mode("overwrite").option("lineSep", "\n").text("file://" + os.path.abspath(path))
+
+
 def write_json(value: dict[str, Any], path: str) -> None:
     try:
         with open(path, "w", encoding="utf-8") as f:

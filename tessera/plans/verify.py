@@ -71,9 +71,10 @@ def verify_dataset(spark: SparkSession, config: VerificationConfig, factory: Cli
     source_build = read_manifest(config.build_manifest)
     build = build_config_from_json(source_build["config"])
     v = config.verifier
+    output = config.output.rstrip("/") if config.parts else config.output
     keep = Written(spark)
     try:
-        items = keep(read_dataset(spark, config.dataset))
+        items = keep(read_dataset(spark, config.dataset, keep))
         prompt = load_prompt(VERIFY_VERSION, config.repository, config.prompt_file)
         report(Event("verification_started", {"dataset": config.dataset}))
         chunks = chunk_documents(referenced_documents(items, config.repository, build.discovery.max_bytes_per_file), build.chunking.max_characters)
@@ -90,13 +91,13 @@ def verify_dataset(spark: SparkSession, config: VerificationConfig, factory: Cli
         report_answers(found.select("key", "qa_id", "verdict", F.col("item_ord").alias("_o")), answers, [F.col("_o")], "item", v.max_retries, report)
         stats = judging.stats(found).first().asDict()
         report(Event("verification_finished", stats | {"model_calls": calls.value}))
-        create_parent(config.output)
-        write_lines(json_lines(found, judging.RECORD_COLUMNS, "item_ord").orderBy("item_ord").select("value"), config.output)
-        manifest_path = os.path.join(os.path.dirname(config.output), "verification-manifest.json")
+        create_parent(output)
+        write_lines(json_lines(found, judging.RECORD_COLUMNS, "item_ord").orderBy("item_ord").select("value"), output, config.parts)
+        manifest_path = os.path.join(os.path.dirname(output), "verification-manifest.json")
         manifest: dict[str, Any] = {"schema_version": SCHEMA_VERSION, "verified_at": now(), "config": to_json(config), "prompt": {"version": prompt.version, "template": prompt.template}, "source_build": source_build, "stats": stats}
         write_json(manifest, manifest_path)
-        report(Event("report_written", {"output": config.output}))
-        return VerificationOutcome(stats, config.output, manifest_path, calls.value, retries.value)
+        report(Event("report_written", {"output": output}))
+        return VerificationOutcome(stats, output, manifest_path, calls.value, retries.value)
     finally:
         keep.close()
 

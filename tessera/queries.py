@@ -6,19 +6,23 @@ check results (quality: grounded, toxic: not relevant).
 
 from __future__ import annotations
 
+import shutil
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.config import DiscoveryConfig, GenerationConfig
+from tessera.config import BuildConfig, CacheConfig, DiscoveryConfig, ExportConfig, GenerationConfig, VerificationConfig, VerifierConfig
 from tessera.functions import text as T
 from tessera.operators import completions, judging, prompts, qa
 from tessera.operators.cache import generation_key
 from tessera.operators.chunking import chunk_documents, chunks_per_file, unique_chunks
-from tessera.plans.files import Written
+from tessera.plans.build import build_dataset
+from tessera.plans.files import Written, write_folder
 from tessera.plans.model_stage import ask, typed
-from tessera.sources.repository import select_files
+from tessera.plans.verify import verify_dataset
+from tessera.sources.dataset import read_dataset
+from tessera.sources.repository import scan, select_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -298,19 +302,15 @@ def qa_explode_whole(spark, sf_dir):
 @query(chunk_sql(4_000, f"""SELECT count(DISTINCT chunk_id || path || start_line)::BIGINT AS chunks, count(DISTINCT CASE WHEN answer <> '' AND question <> '' THEN {NORM_SQL.format('question')} END)::BIGINT AS generated_items,
   count(*) FILTER (WHERE answer = '' OR question = '')::BIGINT AS rejected_items, (count(*) FILTER (WHERE answer <> '' AND question <> '') - count(DISTINCT CASE WHEN answer <> '' AND question <> '' THEN {NORM_SQL.format('question')} END))::BIGINT AS duplicate_items FROM ({_ITEMS_SELECT})"""))
 def build_stats(spark, sf_dir):
-    items = _items(spark, sf_dir).withColumn("reject_reason", qa.reject_reason())
-    valid = F.col("reject_reason").isNull()
-    accepted = F.countDistinct(F.when(valid, T.normalize_question(F.col("question"))))
-    return items.agg(F.countDistinct("chunk_id", "source.path", "source.start_line").alias("chunks"), accepted.alias("generated_items"), F.count_if(~valid).alias("rejected_items"), (F.count_if(valid) - accepted).alias("duplicate_items"))
+    own = chunks(spark, sf_dir).groupBy("chunk_id", "path", "start_line").count().agg(F.count("*").alias("chunks"))
+    return qa.item_counts(_items(spark, sf_dir)).withColumn("chunks", own.scalar())
 
 
 @query(chunk_sql(4_000, f"""SELECT count(DISTINCT chunk_id || path || start_line)::BIGINT AS chunks, count(DISTINCT CASE WHEN answer <> '' AND question <> '' THEN {NORM_SQL.format('question')} END)::BIGINT AS generated_items,
   count(*) FILTER (WHERE answer = '' OR question = '')::BIGINT AS rejected_items, (count(*) FILTER (WHERE answer <> '' AND question <> '') - count(DISTINCT CASE WHEN answer <> '' AND question <> '' THEN {NORM_SQL.format('question')} END))::BIGINT AS duplicate_items FROM ({_WHOLE_ITEMS})"""))
 def build_stats_whole(spark, sf_dir):
-    items = _items(spark, sf_dir, whole=True).withColumn("reject_reason", qa.reject_reason())
-    valid = F.col("reject_reason").isNull()
-    accepted = F.countDistinct(F.when(valid, T.normalize_question(F.col("question"))))
-    return items.agg(F.countDistinct("chunk_id", "source.path", "source.start_line").alias("chunks"), accepted.alias("generated_items"), F.count_if(~valid).alias("rejected_items"), (F.count_if(valid) - accepted).alias("duplicate_items"))
+    own = chunks(spark, sf_dir).groupBy("chunk_id", "path", "start_line").count().agg(F.count("*").alias("chunks"))
+    return qa.item_counts(_items(spark, sf_dir, whole=True)).withColumn("chunks", own.scalar())
 
 
 _JSON_SQL = """'{"instruction":' || to_json(question) || ',"input":"","output":' || to_json(answer) || ',"metadata":{"id":"' || sha256(chunk_id || chr(0) || """ + NORM_SQL.format("question") + """) || '","source":{"path":"' || path || '","start_line":' || start_line || ',"end_line":' || end_line
@@ -474,4 +474,182 @@ def verify_no_fanout(spark, sf_dir):
     """A join of items with chunks gives one row per item, though ids repeat."""
     own = chunks(spark, sf_dir, 400)
     joined = own.select("chunk_id").join(unique_chunks(own).select("chunk_id"), "chunk_id").agg(F.count("*").alias("items"))
-    return joined.crossJoin(own.agg(F.count("*").alias("chunks")))
+    return joined.withColumn("chunks", own.agg(F.count("*").alias("chunks")).scalar())
+
+
+# whole dataflows over files
+
+def _tree(spark: SparkSession, root: str, rows: DataFrame) -> str:
+    """Writes rows (path, content) as files below root, each by the task that holds it; root must be a folder that all machines mount."""
+
+    def write(batches):
+        import os
+
+        import pandas as pd
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                full = os.path.join(root, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                with open(full, "wb") as f:
+                    f.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    rows.select("path", "content").mapInPandas(write, "n long").agg(F.sum("n")).first()
+    return root
+
+
+def _mixed_tree(spark: SparkSession, sf_dir: str, root: str) -> str:
+    """Documents as Markdown and other files, some with CR LF, some that are not UTF-8, with ignore rules."""
+    docs = files(spark, sf_dir).where("text IS NOT NULL")
+    k = F.col("doc_id") % 10
+    path = F.when(k == 9, F.replace("path", F.lit(".md"), F.lit(".txt"))).when(k == 2, F.replace("path", F.lit(".md"), F.lit(".MD"))).otherwise(F.col("path"))
+    text = F.when(k == 1, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
+    content = F.when(k == 4, F.concat(F.unhex(F.lit("FF")), F.encode(text, "UTF-8"))).otherwise(F.encode(text, "UTF-8"))
+    rules = spark.createDataFrame([(".gitignore", b"*7.md\n!*77.md\nsrc3/\n"), ("src5/.gitignore", b"*0.md\n"), (".git/info/exclude", b"src7/**\n"), (".git/x.md", b"x"), ("own-rules", b"src1/**6.md\n")], "path string, content binary")
+    return _tree(spark, root, docs.select(path.alias("path"), content.alias("content")).unionByName(rules))
+
+
+SCAN_LIMITS = DiscoveryConfig(max_files=400, max_bytes_per_file=4_000)
+_SCAN_SQL = f"""
+SELECT path, n - 1 AS file_ord, reason, CASE WHEN reason = 'too_large' THEN bytes END AS bytes, CASE WHEN reason IS NULL THEN sha256(text) END AS text_sha256 FROM (
+  SELECT *, CASE WHEN n > {SCAN_LIMITS.max_files} THEN 'file_limit' WHEN bytes > {SCAN_LIMITS.max_bytes_per_file} THEN 'too_large' WHEN doc_id % 10 = 4 THEN 'invalid_utf8' END AS reason FROM (
+    SELECT doc_id, text, source || '/' || name AS path, row_number() OVER (ORDER BY source, name) AS n,
+           (strlen(text) + CASE doc_id % 10 WHEN 4 THEN 1 WHEN 1 THEN length(text) - length(replace(text, chr(10), '')) ELSE 0 END)::BIGINT AS bytes
+    FROM (SELECT *, doc_id || CASE doc_id % 10 WHEN 2 THEN '.MD' ELSE '.md' END AS name FROM documents WHERE text IS NOT NULL AND doc_id % 10 <> 9)
+    WHERE (doc_id % 10 <> 7 OR doc_id % 100 = 77) AND source NOT IN ('src3', 'src7') AND NOT (source = 'src5' AND doc_id % 10 = 0) AND NOT (source = 'src1' AND doc_id % 10 = 6)))"""
+
+
+@query(_SCAN_SQL)
+def scan_repository(spark, sf_dir):
+    """The data source over files of every kind: extensions, ignore rules of all sorts, order, limits, encoding, line ends."""
+    keep = Written(spark)
+    root = _mixed_tree(spark, sf_dir, f"{keep.root.removeprefix('file://')}/tree")
+    settings = DiscoveryConfig(SCAN_LIMITS.respect_gitignore, (f"{root}/own-rules",), SCAN_LIMITS.max_files, SCAN_LIMITS.max_bytes_per_file)
+    found = keep(scan(spark, root, settings))
+    shutil.rmtree(root)
+    return found.select("path", "file_ord", "reason", "bytes", F.sha2("text", 256).alias("text_sha256"))
+
+
+class Judge:
+    """A stand-in model for verification: whether an item is grounded hangs on the prompt's hash."""
+
+    def complete(self, prompt: str, model: str, temperature: float, schema: dict) -> str:
+        import hashlib
+        import json
+
+        check = lambda passed: {"passed": passed, "reason": "by its hash"}
+        return json.dumps({"grounded": check(hashlib.sha256(prompt.encode()).hexdigest() < "8"), "self_contained": check(True), "answer_relevant": check(True), "evidence": None})
+
+
+def _built(spark: SparkSession, sf_dir: str, keep: Written, folder: str) -> str:
+    """A dataset of all documents below folder, built with Echo; the manifest lies beside it."""
+    root = _tree(spark, f"{folder}/tree", files(spark, sf_dir).where("text IS NOT NULL").select("path", F.encode("text", "UTF-8").alias("content")))
+    with open(f"{folder}/ask", "w", encoding="utf-8") as f:
+        f.write("{{path}}:{{start_line}} {{chunk_text}}")
+    settings = BuildConfig(root, prompt_file=f"{folder}/ask", export=ExportConfig(output=f"{folder}/dataset", parts=True), generation=GenerationConfig(model="echo", questions_per_chunk=1, concurrency=8), cache=CacheConfig(False))
+    return build_dataset(spark, settings, Echo).output
+
+
+_BUILT = "SELECT DISTINCT chunk_id, path, start_line, end_line, body, path || ':' || start_line || ' ' || body AS answer FROM ids"
+
+
+@query(chunk_sql(4_000, f"SELECT sha256(chunk_id || chr(0) || 'q ' || sha256(answer)) AS id, 'q ' || sha256(answer) AS question, sha256(answer) AS answer_sha256, path, start_line, end_line, 1 AS n_tags FROM ({_BUILT})"))
+def build_whole(spark, sf_dir):
+    """A whole build over files, from scan to export, and the strict reader over what it wrote."""
+    keep = Written(spark)
+    folder = f"{keep.root.removeprefix('file://')}/build"
+    items = keep(read_dataset(spark, f"file://{_built(spark, sf_dir, keep, folder)}", keep))
+    shutil.rmtree(folder)
+    return items.select("id", "question", F.sha2("answer", 256).alias("answer_sha256"), "source.path", "source.start_line", "source.end_line", F.size("tags").alias("n_tags"))
+
+
+_VERIFIED = f"""
+SELECT sha256(chunk_id || chr(0) || question) AS qa_id, CASE WHEN gone THEN 'unverifiable' WHEN sha256(question || '|' || answer || '|' || body) < '8' THEN 'accepted' ELSE 'rejected' END AS verdict,
+       CASE WHEN gone THEN '{judging.NO_CHUNK}' END AS reason
+FROM (SELECT *, 'q ' || sha256(answer) AS question, doc_id % 7 = 0 OR doc_id % 10 = 3 AS gone FROM (SELECT *, regexp_extract(path, '([0-9]+)\\.md$', 1)::BIGINT AS doc_id FROM ({_BUILT})))"""
+
+
+@query(chunk_sql(4_000, _VERIFIED))
+def verify_whole(spark, sf_dir):
+    """A whole verification of such a dataset, after some files have gone and some have changed."""
+    keep = Written(spark)
+    folder = f"{keep.root.removeprefix('file://')}/verify"
+    dataset = _built(spark, sf_dir, keep, folder)
+    now = files(spark, sf_dir).where("text IS NOT NULL AND doc_id % 7 <> 0").select("path", F.encode(F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("new\n"), "text")).otherwise(F.col("text")), "UTF-8").alias("content"))
+    root = _tree(spark, f"{folder}/now", now)
+    with open(f"{folder}/judge", "w", encoding="utf-8") as f:
+        f.write("{{question}}|{{answer}}|{{chunk_text}}")
+    settings = VerificationConfig(f"file://{dataset}", f"{folder}/manifest.json", root, f"{folder}/report", f"{folder}/judge", VerifierConfig(model="judge", concurrency=8), CacheConfig(False), parts=True)
+    output = verify_dataset(spark, settings, Judge).output
+    found = keep(spark.read.schema("qa_id string, verdict string, reason string").json(f"file://{output}"))
+    shutil.rmtree(folder)
+    return found
+
+
+# strict parsing
+
+def _parsed(docs: DataFrame, parse: Callable[[str], object]) -> DataFrame:
+    """docs (doc_id, completion) parsed in tasks: outcome, and the parsed value as JSON where it is ok."""
+
+    def run(batches):
+        import json
+
+        import pandas as pd
+
+        from tessera.errors import InvalidJson, UnexpectedSchema
+
+        for batch in batches:
+            rows = []
+            for doc_id, completion in zip(batch["doc_id"], batch["completion"]):
+                try:
+                    rows.append((doc_id, "ok", json.dumps(parse(completion), ensure_ascii=False)))
+                except InvalidJson:
+                    rows.append((doc_id, "invalid_json", None))
+                except UnexpectedSchema:
+                    rows.append((doc_id, "unexpected_schema", None))
+            yield pd.DataFrame(rows, columns=["doc_id", "outcome", "value"])
+
+    return docs.mapInPandas(run, "doc_id long, outcome string, value string")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 8 < 4 THEN 'ok' WHEN doc_id % 8 < 6 THEN 'invalid_json' ELSE 'unexpected_schema' END AS outcome,
+  CASE WHEN doc_id % 8 < 4 THEN sha256(substr(text, 1, 40) || chr(0) || substr(text, 41)) END AS items_sha256 FROM documents""")
+def strict_questions(spark, sf_dir):
+    """Completions of all shapes: items, questions in a fence, a bare list, white space around; cut short, NaN; a number for text, an object for a list."""
+    pair = F.to_json(F.struct(F.substring("text", 1, 40).alias("question"), F.substring(F.col("text"), F.lit(41), F.length("text")).alias("answer")))
+    wrap = lambda before, after: F.concat(F.lit(before), pair, F.lit(after))
+    shapes = [wrap('{"items":[', "]}"), wrap('Here:\n```json\n{"questions":[', "]}\n```\nDone."), wrap("[", "]"), wrap(' \n{"n":1,"items":[', "]}\n"), wrap('{"items":[', "]"), wrap('{"items":[{"confidence":NaN},', "]}"), wrap('[{"question":1,"answer":"a"},', "]"), wrap('{"items":', "}")]
+    k, completion = F.col("doc_id") % len(shapes), F.lit(None).cast("string")
+    for i, shape in enumerate(shapes):
+        completion = F.when(k == i, shape).otherwise(completion)
+    found = _parsed(files(spark, sf_dir).select("doc_id", completion.alias("completion")), completions.parse_questions)
+    item = F.from_json("value", "array<struct<question: string, answer: string>>")[0]
+    return found.select("doc_id", "outcome", F.sha2(F.concat(item["question"], F.lit("\0"), item["answer"]), 256).alias("items_sha256"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 6 < 2 THEN 'ok' WHEN doc_id % 6 = 2 THEN 'invalid_json' ELSE 'unexpected_schema' END AS outcome,
+  CASE WHEN doc_id % 6 < 2 THEN sha256('r ' || text || chr(0) || CASE doc_id % 6 WHEN 1 THEN 'e ' || text ELSE '' END) END AS decision_sha256 FROM documents""")
+def strict_decisions(spark, sf_dir):
+    """Decisions: evidence null, evidence given; no JSON; passed as text, a blank reason, blank evidence."""
+    k = F.col("doc_id") % 6
+    quoted = lambda prefix: F.expr(f"substring(to_json(array(concat('{prefix} ', text))), 2, length(to_json(array(concat('{prefix} ', text)))) - 2)")
+    check = lambda passed, reason: F.concat(F.lit('{"passed":'), passed, F.lit(',"reason":'), reason, F.lit("}"))
+    first = check(F.when(k == 3, '"true"').otherwise("true"), quoted("r"))
+    second = check(F.lit("false"), F.when(k == 4, '" \\n"').otherwise('"so"'))
+    evidence = F.when(k == 1, quoted("e")).when(k == 5, '" "').otherwise("null")
+    completion = F.concat(F.lit('{"grounded":'), first, F.lit(',"self_contained":'), second, F.lit(',"answer_relevant":'), second, F.lit(',"evidence":'), evidence, F.when(k == 2, "").otherwise("}"))
+    found = _parsed(files(spark, sf_dir).select("doc_id", completion.alias("completion")), completions.parse_decision)
+    decision = F.from_json("value", "struct<checks: struct<grounded: struct<reason: string>>, evidence: string>")
+    return found.select("doc_id", "outcome", F.sha2(F.when(decision.isNotNull(), F.concat(decision["checks"]["grounded"]["reason"], F.lit("\0"), F.coalesce(decision["evidence"], F.lit("")))), 256).alias("decision_sha256"))
+
+
+@query(chunk_sql(4_000, f"""SELECT row_number() OVER (ORDER BY chunk_id, item_ord) - 1 AS item_ord, sha256(chunk_id || chr(0) || {NORM_SQL.format('question')}) AS id, sha256(question) AS question_sha256, sha256(answer) AS answer_sha256, path, n_tags, confidence
+  FROM ({_WHOLE_ITEMS})"""))
+def dataset_strict_read(spark, sf_dir):
+    """A dataset written as a folder of parts in order, and read strictly: numbers of lines across files."""
+    keep = Written(spark)
+    lines = qa.json_lines(qa.alpaca(_items(spark, sf_dir, whole=True), "chunk_id", "item_ord"), ["instruction", "input", "output", "metadata"], "chunk_id", "item_ord")
+    folder = f"{keep.root.removeprefix('file://')}/lines"
+    write_folder(lines.orderBy("chunk_id", "item_ord"), folder)
+    return read_dataset(spark, f"file://{folder}", keep).select("item_ord", "id", F.sha2("question", 256).alias("question_sha256"), F.sha2("answer", 256).alias("answer_sha256"), "source.path", F.size("tags").alias("n_tags"), "confidence")

@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.errors import DatasetError
 from tessera.operators.completions import json_loads, number, text_of, texts_of
 
-PARSED = "line long, error string, record struct<" + ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in schemas.ALPACA) + ">"
+PARSED = "file string, block long, at long, error string, record struct<" + ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in schemas.ALPACA) + ">"
 
 
 def parse_record(line: str) -> dict[str, Any]:
@@ -37,40 +38,38 @@ def parse_record(line: str) -> dict[str, Any]:
     }
 
 
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+def read_dataset(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The dataset's QA items with item_ord, the number of the line before; a blank or malformed line, or no line, is an error with its number.
 
-    Lines get their numbers from the file: spark.read.text keeps whole files in order within a partition only, so the single file is read as one
-    stream per partition of known offsets, which the count of lines before it turns into numbers.
+    path is one file, or a folder of part files, which follow one another by the lengths of their names, then by name. Every split is parsed once and kept (keep writes a table and reads it again);
+    lines are numbered within their split, and splits, a row each, are counted, put in order and joined, to tell how many lines lie before.
     """
-    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    counted = lines.groupBy("block").agg(F.count("*").alias("n"), F.min("at").alias("first_at")).sort("block").collect()  # a row per file split
-    if not counted:
-        raise DatasetError("the dataset has no records")
-    before, starts = 0, []
-    for r in counted:
-        starts.append((r["block"], before - r["first_at"]))
-        before += r["n"]
-    shift = F.coalesce(*[F.when(F.col("block") == b, F.lit(s)) for b, s in starts])
+    read = spark.read.option("lineSep", "\n").text(path)
+    lines = read.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
 
     def parse(batches):
         for batch in batches:
             rows = []
-            for value, line in zip(batch["value"], batch["line"]):
+            for value, *place in zip(batch["value"], batch["file"], batch["block"], batch["at"]):
                 try:
                     if not value.strip():
                         raise ValueError("blank line")
-                    rows.append((line, None, parse_record(value)))
+                    rows.append((*place, None, parse_record(value)))
                 except ValueError as e:
-                    rows.append((line, str(e) or "malformed", None))
-            yield pd.DataFrame(rows, columns=["line", "error", "record"])
-
-    parsed = lines.select("value", (F.col("at") + shift + 1).alias("line")).mapInPandas(parse, PARSED)
-    bad = parsed.where("error IS NOT NULL").orderBy("line").limit(1).collect()
+                    rows.append((*place, str(e) or "malformed", None))
+            yield pd.DataFrame(rows, columns=["file", "block", "at", "error", "record"])
+
+    parsed = keep(lines.mapInPandas(parse, PARSED))
+    splits = parsed.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.length("file"), "file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = parsed.join(splits.select("file", "block", (before - F.col("first_at")).alias("shift")), ["file", "block"]).withColumn("line", F.col("at") + F.col("shift") + 1)
+    bad = numbered.where("error IS NOT NULL").orderBy("line").select("error", "line").limit(1).collect()
     if bad:
         raise DatasetError(bad[0]["error"], bad[0]["line"])
+    if parsed.isEmpty():
+        raise DatasetError("the dataset has no records")
     meta = F.col("record.metadata")
-    return parsed.select(
+    return numbered.select(
         (F.col("line") - 1).alias("item_ord"), meta["id"].alias("id"), F.col("record.instruction").alias("question"), F.col("record.output").alias("answer"), meta["source"].alias("source"), meta["chunk_id"].alias("chunk_id"),
         meta["model"].alias("model"), meta["generated_at"].alias("generated_at"), F.coalesce(meta["tags"], F.array().cast("array<string>")).alias("tags"), meta["confidence"].alias("confidence"),
     )

@@ -179,7 +179,8 @@ def skipped(scanned: DataFrame) -> DataFrame:
 def select_files(files: DataFrame, config: DiscoveryConfig = DiscoveryConfig(), size: str = "bytes") -> DataFrame:
     """files (path, bytes) that are Markdown, with file_ord by path components and the reason for which a file is skipped.
 
-    The order is global, as the limit asks for, but it is of metadata only and without a limit none is made.
+    With a limit, the first max_files are found by a sort with a limit and numbered; the files beyond it have no number and are never brought together.
+    Without one no order is made. Paths must differ.
     """
     from pyspark.sql import Window
 
@@ -188,8 +189,10 @@ def select_files(files: DataFrame, config: DiscoveryConfig = DiscoveryConfig(),
         ordered = named.withColumn("file_ord", F.lit(None).cast("long"))
         over = F.lit(False)
     else:
-        ordered = named.withColumn("file_ord", F.row_number().over(Window.orderBy(F.split("path", "/"))).cast("long") - 1)
-        over = F.col("file_ord") >= config.max_files
+        parts = F.split("path", "/")
+        first = named.select("path").orderBy(parts).limit(config.max_files).select("path", (F.row_number().over(Window.orderBy(parts)).cast("long") - 1).alias("file_ord"))
+        ordered = named.join(first, "path", "left")
+        over = F.col("file_ord").isNull()
     large = F.col(size) > config.max_bytes_per_file
     reason = F.when(over, FILE_LIMIT).when(large, TOO_LARGE)
     return ordered.withColumns({"reason": reason, "max_bytes": F.when(reason == TOO_LARGE, F.lit(config.max_bytes_per_file).cast("long"))})

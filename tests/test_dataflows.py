@@ -1,3 +1,4 @@
+import dataclasses
 import json
 import os
 import time
@@ -6,7 +7,8 @@ import pytest
 
 from tessera import cli
 from tessera.config import BuildConfig, CacheConfig, ChunkConfig, DiscoveryConfig, ExportConfig, GenerationConfig, VerificationConfig, build_config_from_json, to_json
-from tessera.errors import ConfigError, DatasetError, NoChunks, NoDocuments
+from tessera.errors import ConfigError, DatasetError, ExportError, NoChunks, NoDocuments
+from tessera.plans.files import Written
 from tessera.plans.build import build_dataset, git_commit, output_paths
 from tessera.plans.verify import fails_gate, source_path, verify_dataset
 from tessera.sources.dataset import read_dataset, read_manifest
@@ -186,15 +188,32 @@ def test_dataset_is_read_strictly(spark, tmp_path):
     out = tmp_path / "d.jsonl"
     build_dataset(spark, config(root, out), client())
     lines = out.read_text().splitlines()
-    assert [r.item_ord for r in read_dataset(spark, str(out)).orderBy("item_ord").collect()] == [0, 1]
+    assert [r.item_ord for r in read_dataset(spark, str(out), Written(spark)).orderBy("item_ord").collect()] == [0, 1]
     for body, line in ((lines[0] + "\n\n" + lines[1] + "\n", 2), (lines[0] + "\n{bad\n", 2), ('{"instruction":1}\n', 1)):
         out.write_text(body)
         with pytest.raises(DatasetError) as e:
-            read_dataset(spark, str(out))
+            read_dataset(spark, str(out), Written(spark))
         assert e.value.line == line
     out.write_text("")
     with pytest.raises(DatasetError):
-        read_dataset(spark, str(out))
+        read_dataset(spark, str(out), Written(spark))
+
+
+def test_folders_of_parts(spark, tmp_path):
+    root = repo(tmp_path / "r", {f"{k}.md": f"# S{k}\ntext {k}" for k in range(9)})
+    out = tmp_path / "o" / "d"
+    one = tmp_path / "d.jsonl"
+    build_dataset(spark, config(root, one), client())
+    for _ in range(2):  # a second run takes the first one's place
+        done = build_dataset(spark, dataclasses.replace(config(root, out), export=ExportConfig(output=f"{out}/", parts=True)), client())
+    assert out.is_dir() and done.output == str(out) and done.manifest_path == str(tmp_path / "o" / "manifest.json") and done.manifest["config"]["export"]["parts"] is True
+    read = lambda path: [(r.item_ord, r.id, r.question) for r in read_dataset(spark, str(path), Written(spark)).orderBy("item_ord").collect()]
+    assert read(out) == read(one) and len(read(out)) == 10
+    settings = VerificationConfig(str(out), done.manifest_path, root, str(tmp_path / "v"), parts=True)
+    outcome = verify_dataset(spark, settings, client())
+    assert outcome.stats["total_items"] == 10 == spark.read.json(str(tmp_path / "v")).count()
+    with pytest.raises(ExportError):
+        build_dataset(spark, dataclasses.replace(config(root, one), export=ExportConfig(output=str(one), parts=True)), client())
 
 
 def test_paths_stay_inside(tmp_path):
