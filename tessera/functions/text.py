@@ -15,11 +15,11 @@ _PLACEHOLDER = re.compile(r"\{\{([a-z_]+)\}\}")
 
 def trim(text: Column) -> Column:
     """text without the white space of Unicode at both ends."""
-    return F.regexp_replace(text, rf"^{_W}+|{_W}+\z", "")
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def is_blank(text: Column) -> Column:
-    return trim(text) == ""
+    return ~text.rlike(r"\P{IsWhite_Space}")
 
 
 def normalize_newlines(text: Column) -> Column:
