@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm import op2_warc as warc
 from tessera.llm import op3_lines as line_dedup
 from tessera.llm import op6_compaction as compaction
+from tessera.llm import op12_filters as filters
 from tessera.llm.op1_mixing import op1_mixing
 from tessera.llm.op2_warc import op2_warc
 from tessera.llm.op3_lines import op3_lines
@@ -15,7 +16,8 @@ from tessera.llm.op7_quality import op7_quality
 from tessera.llm.op8_packing import op8_packing
 from tessera.llm.op9_byte_bpe import op9_byte_bpe
 from tessera.llm.op10_jaccard import op10_jaccard
+from tessera.llm.op12_filters import op12_filters
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_lines, op4_spotsigs, op5_language, op6_compaction, op7_quality, op8_packing, op9_byte_bpe, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_warc, op3_lines, op4_spotsigs, op5_language, op6_compaction, op7_quality, op8_packing, op9_byte_bpe, op10_jaccard, op12_filters)}
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op3_lines": line_dedup.ORACLE_SQL, "op6_compaction": compaction.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.ORACLE_SQL, "op3_lines": line_dedup.ORACLE_SQL, "op6_compaction": compaction.ORACLE_SQL, "op12_filters": filters.ORACLE_SQL}
