@@ -68,6 +68,9 @@ class TransportError(ModelError):
         super().__init__(message)
         self.retryable = retryable
 
+    def __reduce__(self):
+        return TransportError, (str(self), self.retryable)
+
 
 class InvalidJson(ModelError):
     retryable = True
@@ -79,3 +82,15 @@ class UnexpectedSchema(ModelError):
 
 class MissingCompletion(ModelError):
     retryable = True
+
+
+def to_record(error: ModelError) -> dict:
+    """A model error as plain values, for another process."""
+    return {"kind": type(error).__name__, "message": str(error), "retryable": error.retryable} | ({"status": error.status, "body": error.body} if isinstance(error, ApiError) else {})
+
+
+def from_record(record: dict) -> ModelError:
+    kind = {c.__name__: c for c in (ModelError, ApiError, TransportError, InvalidJson, UnexpectedSchema, MissingCompletion)}.get(record["kind"], ModelError)
+    if kind is ApiError:
+        return ApiError(record["status"], record["body"])
+    return TransportError(record["message"], record["retryable"]) if kind is TransportError else kind(record["message"])

@@ -1,68 +1,13 @@
-"""A cache of model answers: one JSON file per key, written at once and whole, so that finished work survives a failed run."""
+"""Keys of cached model answers, and where the cache lies."""
 
 from __future__ import annotations
 
-import json
 import os
-import uuid
-from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.config import GenerationConfig, VerifierConfig
-from tessera.errors import CacheError
-from tessera.operators.completions import json_loads
-
-
-class FileCache:
-    def __init__(self, directory: str):
-        self.directory = directory
-
-    def path(self, key: str) -> str:
-        return os.path.join(self.directory, f"{key}.json")
-
-    def load(self, key: str) -> dict[str, Any] | None:
-        """The entry, or None; a damaged entry is an error."""
-        try:
-            with open(self.path(key), encoding="utf-8") as f:
-                raw = json_loads(f.read())
-        except FileNotFoundError:
-            return None
-        except (OSError, ValueError) as e:
-            raise CacheError(f"cannot read the cache entry {self.path(key)}: {e}") from e
-        if type(raw) is not dict:
-            raise CacheError(f"the cache entry {self.path(key)} is not an object")
-        return raw
-
-    def store(self, key: str, entry: dict[str, Any]) -> None:
-        beside = f"{self.path(key)}.{uuid.uuid4().hex}.tmp"
-        try:
-            os.makedirs(self.directory, exist_ok=True)
-            with open(beside, "w", encoding="utf-8") as f:
-                f.write(json.dumps(entry, ensure_ascii=False))
-            os.replace(beside, self.path(key))
-        except OSError as e:
-            raise CacheError(f"cannot write the cache entry {self.path(key)}: {e}") from e
-
-
-def parsed(key: str, raw: str) -> dict[str, Any]:
-    """The entry of a key as its file holds it."""
-    try:
-        entry = json_loads(raw)
-    except ValueError as e:
-        raise CacheError(f"cannot read the cache entry of {key}: {e}") from e
-    if type(entry) is not dict or "answer" not in entry or type(entry.get("answered_at")) is not str:
-        raise CacheError(f"the cache entry of {key} holds no answer")
-    return entry
-
-
-def stored(spark: SparkSession, directory: str) -> DataFrame | None:
-    """(key, raw) of all entries, read in tasks by size; None if there are none."""
-    if not os.path.isdir(directory) or not any(e.name.endswith(".json") for e in os.scandir(directory)):
-        return None
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"file://{os.path.abspath(directory)}")
-    return files.select(F.regexp_extract("path", r"([^/]+)\.json$", 1).alias("key"), F.col("content").cast("string").alias("raw"))
 
 
 def cache_directory(repository: str, directory: str, verify: bool = False) -> str:

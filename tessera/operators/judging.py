@@ -29,6 +29,11 @@ def verdict(checks: Column) -> Column:
     return F.when(checks.isNull(), UNVERIFIABLE).when(passed, ACCEPTED).otherwise(REJECTED)
 
 
+def py_verdict(checks: dict[str, dict]) -> str:
+    """The same of a decision's checks in a task."""
+    return ACCEPTED if all(check["passed"] for check in checks.values()) else REJECTED
+
+
 def records(judged: DataFrame, provider: str, model: str, *keep: str) -> DataFrame:
     """Report records from items with decision (checks, evidence, verified_at) or unverifiable_reason."""
     d = F.col("decision")

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.functions.text import is_blank, normalize_question, sha256_joined, trim
+from tessera.operators.order import order_number
 
-ORDER = ["path_parts", "chunk_ord", "item_ord"]
+#: Items in order: the number of their chunk, then their place in its batch.
+ORDER = ["ord", "item_ord"]
 REASONS = ("empty_question", "empty_answer", "empty_source_path", "invalid_source_range", "empty_chunk_id", "invalid_confidence")
 
 
@@ -17,13 +19,14 @@ def qa_id(chunk_id: Column, question: Column) -> Column:
 
 
 def explode_batches(batches: DataFrame, model: str) -> DataFrame:
-    """QA with its order, from chunks with their batch (generated_at, items)."""
-    rows = batches.select("chunk_id", "path", "start_line", "end_line", "chunk_ord", "generated_at", F.posexplode("items").alias("item_ord", "item"))
+    """QA with its order, from chunks with their batch (generated_at, items), and their number (ord) if they have one."""
+    known = [c for c in ("ord",) if c in batches.columns]
+    rows = batches.select("chunk_id", "path", "start_line", "end_line", *known, "generated_at", F.posexplode("items").alias("item_ord", "item"))
     question = trim(F.col("item.question"))
     tags = F.filter(F.transform("item.tags", trim), lambda t: t != "")
     return rows.select(
         qa_id(F.col("chunk_id"), question).alias("id"), question.alias("question"), trim(F.col("item.answer")).alias("answer"), F.struct("path", "start_line", "end_line").alias("source"), "chunk_id", F.lit(model).alias("model"),
-        "generated_at", tags.alias("tags"), F.col("item.confidence").alias("confidence"), F.split("path", "/").alias("path_parts"), "chunk_ord", "item_ord",
+        "generated_at", tags.alias("tags"), F.col("item.confidence").alias("confidence"), *known, "item_ord",
     )
 
 
@@ -47,11 +50,15 @@ def validate(items: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def first_per_question(valid: DataFrame, order: list[str] = ORDER) -> DataFrame:
-    """The first item of each normalised question over the whole corpus. Partial aggregation keeps one candidate per question and task, so not even a
-    question that everyone asks makes a hot task."""
+    """The first item of each normalised question over the whole corpus. order: integer columns that tell items apart, all but the first from 0 to 2**32 - 1.
+
+    First, 128-bit hashes of questions and a number of fixed width are aggregated by hash, which keeps one number for each question and task; then items are
+    joined with the numbers that are left. No item is in an aggregation buffer, and a question that everyone asks makes no hot task in either step.
+    """
     key = normalize_question(F.col("question"))
-    row = F.struct(*[F.col(c) for c in valid.columns])
-    return valid.groupBy(key.alias("_question")).agg(F.min_by(row, F.struct(*order)).alias("_row")).select("_row.*")
+    keyed = valid.withColumns({"_h1": F.xxhash64(key), "_h2": F.xxhash64(F.lit(1), key), "_number": order_number(order)})
+    first = keyed.groupBy("_h1", "_h2").agg(F.min("_number").alias("_number"))
+    return keyed.join(first, ["_number", "_h1", "_h2"], "left_semi").select(*valid.columns)
 
 
 def item_counts(items: DataFrame) -> DataFrame:

@@ -17,9 +17,10 @@ from tessera.operators.cache import cache_directory, generation_key
 from tessera.operators.chunking import chunk_documents, chunks_per_file
 from tessera.operators.clients import ClientFactory
 from tessera.operators.completions import parse_questions, questions_schema
+from tessera.operators.order import numbered
 from tessera.operators.prompts import QA_VERSION, load_prompt, qa_prompt
-from tessera.plans.files import Written, create_parent, write_json, write_lines
-from tessera.plans.model_stage import ask, now, report_answers, typed
+from tessera.plans.files import Written, check_folder, create_parent, write_json, write_lines
+from tessera.plans.model_stage import Call, ask, now, report_others, typed
 from tessera.progress import Event, Reporter, silent
 from tessera.sources.repository import documents, scan
 
@@ -61,31 +62,37 @@ def build_dataset(spark: SparkSession, config: BuildConfig, factory: ClientFacto
     prompt = load_prompt(QA_VERSION, config.repository, config.prompt_file)
     output, manifest_path = output_paths(config.export.output, config.export.parts)
     create_parent(output)
+    if config.export.parts:
+        check_folder(output)
     report(Event("discovery_started", {"repository": config.repository}))
     keep = Written(spark)
     try:
-        scanned = keep(scan(spark, config.repository, config.discovery, (prompt.path,) if prompt.path else ()))
+        scanned = keep(scan(spark, config.repository, config.discovery, (prompt.path,) if prompt.path else (), keep))
         counted = scanned.agg(F.count("*").alias("n"), F.count_if(F.col("reason").isNull()).alias("read")).first()
         if not counted["read"]:
             raise NoDocuments(f"no Markdown documents in {config.repository}")
         report(Event("discovery_finished", {"discovered": counted["n"], "skipped": counted["n"] - counted["read"]}))
         docs = documents(scanned)
         g = config.generation
-        chunks = keep(chunk_documents(docs, config.chunking.max_characters).withColumn("key", generation_key(g, prompt.template)).withColumn("prompt", qa_prompt(prompt.template, g.questions_per_chunk)))
+        ordered = numbered(chunk_documents(docs, config.chunking.max_characters), [F.split("path", "/"), F.col("chunk_ord")], "ord", keep)
+        chunks = ordered.withColumn("key", generation_key(g, prompt.template)).withColumn("prompt", qa_prompt(prompt.template, g.questions_per_chunk))
         n_chunks = chunks.count()
-        for row in chunks_per_file(docs, chunks).orderBy(F.split("path", "/")).toLocalIterator():
-            report(Event("file_chunked", row.asDict()))
+        if report is not silent:
+            for row in chunks_per_file(docs, chunks).orderBy(F.split("path", "/")).toLocalIterator():
+                report(Event("file_chunked", row.asDict()))
         if not n_chunks:
             raise NoChunks("the documents have no text")
         report(Event("generation_started", {"chunks": n_chunks, "concurrency": g.concurrency}))
-        retries, calls = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
         cache = cache_directory(config.repository, config.cache.directory) if config.cache.enabled else None
-        answers = keep(ask(chunks, factory, cache, g.concurrency, g.max_retries, g.model, g.temperature, questions_schema(g.questions_per_chunk), parse_questions, [F.split("path", "/").alias("p"), F.col("chunk_ord")], retries, calls))
-        report_answers(chunks.select("key", "path", "start_line", "end_line", F.split("path", "/").alias("_p"), F.col("chunk_ord").alias("_o")), answers, [F.col("_p"), F.col("_o")], "chunk", g.max_retries, report)
-        items = keep(qa.explode_batches(generated_batches(chunks, answers), g.model))
-        report(Event("generation_finished", {"model_calls": calls.value, "retries": retries.value}))
+        call = Call(factory, g.model, g.temperature, questions_schema(g.questions_per_chunk), parse_questions, g.concurrency, g.max_retries, "chunk", lambda answer: {"generated_items": len(answer)})
+        places = ("path", "start_line", "end_line")
+        answers = ask(chunks, call, cache, keep, report, places)
+        report_others(chunks.select("key", "ord", *places), answers, "chunk", n_chunks, report, {"generated_items": "items"})
+        calls, retries = answers.counts()
+        items = keep(qa.explode_batches(generated_batches(chunks, answers.rows), g.model))
+        report(Event("generation_finished", {"model_calls": calls, "retries": retries}))
         valid, _ = qa.validate(items)
-        accepted = qa.first_per_question(valid).orderBy(*qa.ORDER)
+        accepted = qa.first_per_question(valid)
         stats = qa.build_stats(items, n_chunks, counted["n"], counted["read"], counted["n"] - counted["read"])
         report(Event("validation_finished", {"accepted": stats["generated_items"], "rejected": stats["rejected_items"], "duplicates": stats["duplicate_items"]}))
         manifest = {
@@ -93,9 +100,9 @@ def build_dataset(spark: SparkSession, config: BuildConfig, factory: ClientFacto
             "prompt": {"version": prompt.version, "template": prompt.template}, "stats": stats,
         }
         report(Event("export_started", {"output": output}))
-        write_lines(qa.json_lines(qa.alpaca(accepted, *qa.ORDER), ["instruction", "input", "output", "metadata"], *qa.ORDER).orderBy(*qa.ORDER).select("value"), output, config.export.parts)
+        write_lines(qa.json_lines(qa.alpaca(accepted, *qa.ORDER), ["instruction", "input", "output", "metadata"], *qa.ORDER), [F.col(c) for c in qa.ORDER], output, config.export.parts)
         write_json(manifest, manifest_path)
         report(Event("finished", {"output": output, "stats": stats}))
-        return BuildResult(manifest, output, manifest_path, calls.value, retries.value)
+        return BuildResult(manifest, output, manifest_path, calls, retries)
     finally:
         keep.close()

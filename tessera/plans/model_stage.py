@@ -2,90 +2,208 @@
 
 from __future__ import annotations
 
+import contextlib
 import datetime
 import json
+import threading
+import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.errors import CacheError, ModelError
 from tessera.functions.text import py_retry_delay
-from tessera.operators.cache import FileCache, parsed, stored
+from tessera.operators.answers import AnswerStore
 from tessera.operators.clients import ClientFactory, with_retries
+from tessera.plans.channel import Channel, Line, Stopped
 from tessera.progress import Event, Reporter, silent
 
 ANSWERS = "key string, answer string, answered_at string, cached boolean, retries int"
+#: Requests for which a task is worth starting; answers that a task hands on at a time.
+TASK_REQUESTS, HANDED_ON = 256, 64
 
 
 def now() -> str:
     return datetime.datetime.now(datetime.timezone.utc).isoformat().replace("+00:00", "Z")
 
 
-def ask(requests: DataFrame, factory: ClientFactory, cache_dir: str | None, concurrency: int, max_retries: int, model: str, temperature: float, schema: dict[str, Any], parse: Callable[[str], Any], order: list[Column], retries=None, calls=None) -> DataFrame:
-    """ANSWERS of each distinct key in requests (key, prompt); answer is the parsed completion as JSON, retries how often it was asked for again.
+@dataclass(frozen=True)
+class Call:
+    """How a model is asked. parse: of a completion, its answer as plain values; kind: what its events are about (chunk, item); finished: what the last event tells of an answer."""
 
-    Answers that the cache holds are found by a join and read in as many tasks as their size takes. At most `concurrency` calls run at once: the other
-    keys are dealt to so many tasks, and each asks one after another in the given order of the requests. A task that is run again after
-    a lost executor finds what the first run stored. retries, calls: accumulators that count these.
-    """
+    factory: ClientFactory
+    model: str
+    temperature: float
+    schema: dict[str, Any]
+    parse: Callable[[str], Any]
+    concurrency: int = 1
+    max_retries: int = 2
+    kind: str = "chunk"
+    finished: Callable[[Any], dict[str, Any]] = field(default=lambda answer: {})
+
+
+@dataclass(frozen=True)
+class Answers:
+    """rows: ANSWERS of each distinct key; told: the indices of requests whose events have been reported."""
+
+    rows: DataFrame
+    told: set[int]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = factory()
-        cache = FileCache(cache_dir) if cache_dir else None
-        for batch in batches:
-            rows = []
-            for key, prompt in zip(batch["key"], batch["prompt"]):
-                entry, again = cache.load(key) if cache else None, 0
-                cached = entry is not None
-                if entry is None:
-
-                    def once() -> Any:
-                        if calls is not None:
-                            calls.add(1)
-                        return parse(client.complete(prompt, model, temperature, schema))
-
-                    def count(n: int, error: Exception) -> None:
-                        nonlocal again
-                        again = n
-                        if retries is not None:
-                            retries.add(1)
-
-                    answer = with_retries(once, max_retries, count)
-                    entry = {"answer": answer, "answered_at": now()}
-                    if cache:
-                        cache.store(key, entry)
-                rows.append((key, json.dumps(entry["answer"], ensure_ascii=False), entry["answered_at"], cached, again))
-            yield pd.DataFrame(rows, columns=["key", "answer", "answered_at", "cached", "retries"])
-
-    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            entries = [parsed(key, raw) for key, raw in zip(batch["key"], batch["raw"])]
-            yield pd.DataFrame({"key": batch["key"], "answer": [json.dumps(e["answer"], ensure_ascii=False) for e in entries], "answered_at": [e["answered_at"] for e in entries], "cached": True, "retries": 0})
-
-    distinct = requests.groupBy("key").agg(F.first("prompt").alias("prompt"), F.min(F.struct(*order)).alias("_order"))
-    held = stored(requests.sparkSession, cache_dir) if cache_dir else None
-    missing = distinct if held is None else distinct.join(held.select("key"), "key", "left_anti")
-    asked = missing.repartition(concurrency).sortWithinPartitions("_order").select("key", "prompt").mapInPandas(run, ANSWERS)
-    if held is None:
-        return asked
-    return held.join(distinct.select("key"), "key", "left_semi").select("key", "raw").mapInPandas(found, ANSWERS).unionByName(asked)
-
-
-def report_answers(places: DataFrame, answers: DataFrame, order: list[Column], kind: str, max_retries: int, report: Reporter) -> None:
-    """For each of places (key and what an event tells of it), in order: that it began, each retry with its delay, and that it was finished."""
+    def counts(self) -> tuple[int, int]:
+        """(model calls, retries), from the answers themselves: a call that a lost task had finished counts once, one that it had not counts not at all."""
+        row = self.rows.where("NOT cached").agg(F.coalesce(F.sum(F.col("retries") + 1), F.lit(0)), F.coalesce(F.sum("retries"), F.lit(0))).first()
+        return row[0], row[1]
+
+
+def ask(requests: DataFrame, call: Call, directory: str | None, keep: Callable[[DataFrame], DataFrame], report: Reporter = silent, about: tuple[str, ...] = ()) -> Answers:
+    """The answers to requests (key, prompt, ord, and what events tell, the columns about); ord is a number of its own for each request and their order.
+
+    Equal keys are asked once, for the first of them. What the store in directory holds is found by a join; the other keys are dealt to tasks in
+    their order, and each task has a pool of threads and hands on answers in order. However many tasks there are, `concurrency` calls run at once. Keys and numbers
+    are grouped and joined, prompts only follow the keys that are asked. An error that no retry mends ends the stage at once.
+    """
+    spark = requests.sparkSession
+    keys = keep(requests.groupBy("key").agg(F.min("ord").alias("ord")))
+    store = AnswerStore(directory) if directory else None
+    held = None
+    if store:
+        try:
+            store.recover(spark)
+            held = store.lookup(keys)
+            held = keep(held) if held is not None else None
+        except CacheError:
+            raise
+        except Exception as e:
+            raise CacheError(f"a cache entry in {directory} cannot be read: {str(e).splitlines()[0][:500]}") from e
+    missing = keep(keys if held is None else keys.join(held.select("key"), "key", "left_anti"))
+    n = missing.count()
+    told: set[int] = set()
+    asked = None
+    if n:
+        asked, told = _ask(missing, n, requests, call, store, keep, report, about)
+    cached = None if held is None else held.select("key", "answer", "answered_at", F.lit(True).alias("cached"), F.lit(0).alias("retries"))
+    frames = [f for f in (cached, asked) if f is not None]
+    rows = frames[0] if frames else spark.createDataFrame([], ANSWERS)
+    return Answers(rows.unionByName(frames[1]) if len(frames) == 2 else rows, told)
+
+
+def _ask(missing: DataFrame, n: int, requests: DataFrame, call: Call, store: AnswerStore | None, keep: Callable[[DataFrame], DataFrame], report: Reporter, about: tuple[str, ...]) -> tuple[DataFrame, set[int]]:
+    spark = requests.sparkSession
+    tasks = min(-(-n // TASK_REQUESTS), max(int(spark.conf.get("spark.sql.shuffle.partitions")), call.concurrency))
+    at_once = min(tasks, max(1, spark.sparkContext.defaultParallelism))
+    pool = -(-call.concurrency // at_once) + (tasks > 1)  # a thread more, so that no call waits for a task that has run out of requests
+    total = requests.count() if report is not silent else 0
+    run_id, loud = uuid.uuid4().hex, report is not silent
+    place = F.to_json(F.struct(*about)) if about else F.lit("{}")
+    dealt = missing.join(requests.select("ord", "prompt", place.alias("about")), "ord").repartitionByRange(tasks, "ord").sortWithinPartitions("ord").select("key", "ord", "prompt", "about")
+
+    with Channel(spark, call.concurrency, report) as channel:
+        address, secret = channel.address, channel.secret
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            log = store.log(run_id) if store else None
+            before = log.earlier() if log else {}  # there is something if this task has been lost before
+            own, lines = threading.local(), []
+
+            def one(key: str, order: int, prompt: str, place: str) -> tuple:
+                if entry := before.get(key):
+                    return key, entry["answer"], entry["answered_at"], False, entry["retries"]
+                if not hasattr(own, "line"):
+                    own.line, own.client = Line(address, secret), call.factory()
+                    lines.append(own.line)
+                line, again = own.line, 0
+                details = {"index": order, "source": "model"} | json.loads(place)
+                if loud:
+                    line.tell(f"{call.kind}_started", {"total": total} | details)
+
+                def once() -> Any:
+                    line.begin(order)
+                    try:
+                        answer = call.parse(own.client.complete(prompt, call.model, call.temperature, call.schema))
+                    except ModelError as e:
+                        if not e.retryable or again >= call.max_retries:
+                            line.fail(e)  # while the call still counts, so that no other begins
+                            raise Stopped from e
+                        line.end()
+                        raise
+                    except BaseException:
+                        line.end()
+                        raise
+                    line.end()
+                    return answer
+
+                def retry(attempt: int, error: ModelError) -> None:
+                    nonlocal again
+                    again = attempt
+                    if loud:
+                        line.tell("retry_scheduled", {"index": order, "attempt": attempt, "max_retries": call.max_retries, "delay_ms": int(1000 * py_retry_delay(attempt))})
+
+                answer = with_retries(once, call.max_retries, retry)
+                entry = {"key": key, "answer": json.dumps(answer, ensure_ascii=False), "answered_at": now(), "retries": again}
+                if log:
+                    log.append(entry)
+                if loud:
+                    line.tell(f"{call.kind}_finished", details | call.finished(answer))
+                return key, entry["answer"], entry["answered_at"], False, again
+
+            threads = ThreadPoolExecutor(pool)
+            try:
+                with contextlib.suppress(Stopped):
+                    for batch in batches:
+                        rows, pending = [], deque()
+                        for row in zip(batch["key"].tolist(), batch["ord"].tolist(), batch["prompt"].tolist(), batch["about"].tolist()):
+                            pending.append(threads.submit(one, *row))
+                            if len(pending) > 2 * pool:
+                                rows.append(pending.popleft().result())
+                            if len(rows) >= HANDED_ON:
+                                yield pd.DataFrame(rows, columns=["key", "answer", "answered_at", "cached", "retries"])
+                                rows = []
+                        rows += [p.result() for p in pending]
+                        yield pd.DataFrame(rows, columns=["key", "answer", "answered_at", "cached", "retries"])
+            finally:
+                threads.shutdown(wait=True, cancel_futures=True)
+                for line in lines:
+                    line.close()
+                if log:
+                    log.close()
+
+        asked = None
+        try:
+            asked = keep(dealt.mapInPandas(run, ANSWERS))
+        except Exception:
+            if channel.error is None:
+                if store:
+                    store.seal(spark, run_id)
+                raise
+    if channel.error is not None:
+        if store:
+            store.seal(spark, run_id)
+        raise channel.error
+    if store:
+        store.add(asked.select("key", "answer", "answered_at", "retries"))
+        store.forget(run_id)
+    return asked, channel.finished
+
+
+def report_others(places: DataFrame, answers: Answers, kind: str, total: int, report: Reporter, finished: dict[str, str]) -> None:
+    """Events of the requests of which the stage told none itself, cached ones, further ones of a key, and those without a key, in order. places: key, ord and what events tell; finished:
+    what the last event tells besides, by the column of places or of answers that holds it."""
     if report is silent:
         return
-    joined = places.join(answers.select("key", "cached", "retries", F.when(F.col("answer").startswith("["), F.expr("json_array_length(answer)")).alias("items")), "key", "left").orderBy(*order)
-    total = places.count()
-    for index, row in enumerate(joined.toLocalIterator()):
-        about = {k: v for k, v in row.asDict().items() if k not in ("key", "cached", "retries", "items") and not k.startswith("_")}
+    joined = places.join(answers.rows.select("key", "cached", F.when(F.col("answer").startswith("["), F.expr("json_array_length(answer)")).alias("items")), "key", "left").orderBy("ord")
+    for row in joined.toLocalIterator():
+        if row["ord"] in answers.told:
+            continue
         source = {True: "cache", False: "model", None: None}[row["cached"]]
-        report(Event(f"{kind}_started", {"index": index, "total": total, "source": source} | about))
-        for attempt in range(1, (row["retries"] or 0) + 1):
-            report(Event("retry_scheduled", {"index": index, "attempt": attempt, "max_retries": max_retries, "delay_ms": int(1000 * py_retry_delay(attempt))}))
-        report(Event(f"{kind}_finished", {"index": index, "source": source} | ({"generated_items": row["items"]} if kind == "chunk" else {}) | about))
+        about = {"index": row["ord"], "source": source} | {k: v for k, v in row.asDict().items() if k not in ("key", "ord", "cached", "items", *finished.values())}
+        report(Event(f"{kind}_started", {"total": total} | about))
+        report(Event(f"{kind}_finished", about | {name: row[column] for name, column in finished.items()}))
 
 
 def typed(answers: DataFrame, schema: str) -> DataFrame:

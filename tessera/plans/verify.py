@@ -20,8 +20,8 @@ from tessera.operators.clients import ClientFactory
 from tessera.operators.completions import decision_schema, parse_decision
 from tessera.operators.prompts import VERIFY_VERSION, load_prompt, verification_prompt
 from tessera.operators.qa import json_lines
-from tessera.plans.files import Written, create_parent, write_json, write_lines
-from tessera.plans.model_stage import ask, now, report_answers, typed
+from tessera.plans.files import Written, check_folder, create_parent, write_json, write_lines
+from tessera.plans.model_stage import Call, ask, now, report_others, typed
 from tessera.progress import Event, Reporter, silent
 from tessera.sources.dataset import read_dataset, read_manifest
 
@@ -72,6 +72,8 @@ def verify_dataset(spark: SparkSession, config: VerificationConfig, factory: Cli
     build = build_config_from_json(source_build["config"])
     v = config.verifier
     output = config.output.rstrip("/") if config.parts else config.output
+    if config.parts:
+        check_folder(output)
     keep = Written(spark)
     try:
         items = keep(read_dataset(spark, config.dataset, keep))
@@ -81,23 +83,24 @@ def verify_dataset(spark: SparkSession, config: VerificationConfig, factory: Cli
         rebuilt = keep(judging.reconstruct(items, chunks).withColumn("key", verification_key(v, prompt.template)))
         wanted = rebuilt.where("unverifiable_reason IS NULL")
         report(Event("reconstructed", {"items": wanted.count()}))
-        requests = wanted.withColumn("prompt", verification_prompt(prompt.template, "chunk."))
-        retries, calls = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+        requests = wanted.select("key", "item_ord", F.col("id").alias("qa_id"), verification_prompt(prompt.template, "chunk.").alias("prompt")).withColumnRenamed("item_ord", "ord")
         cache = cache_directory(config.repository, config.cache.directory, verify=True) if config.cache.enabled else None
-        answers = keep(ask(requests, factory, cache, v.concurrency, v.max_retries, v.model, v.temperature, decision_schema(), parse_decision, [F.col("item_ord")], retries, calls))
-        decisions = typed(answers, DECISION).select("key", F.struct(F.col("answer.checks").alias("checks"), F.col("answer.evidence").alias("evidence"), F.col("answered_at").alias("verified_at")).alias("decision"))
+        call = Call(factory, v.model, v.temperature, decision_schema(), parse_decision, v.concurrency, v.max_retries, "item", lambda answer: {"verdict": judging.py_verdict(answer["checks"])})
+        answers = ask(requests, call, cache, keep, report, ("qa_id",))
+        calls, retries = answers.counts()
+        decisions = typed(answers.rows, DECISION).select("key", F.struct(F.col("answer.checks").alias("checks"), F.col("answer.evidence").alias("evidence"), F.col("answered_at").alias("verified_at")).alias("decision"))
         judged = rebuilt.join(decisions, "key", "left").withColumn("decision", F.when(F.col("unverifiable_reason").isNull(), F.col("decision")))
         found = keep(judging.records(judged, v.provider, v.model, "item_ord", "key"))
-        report_answers(found.select("key", "qa_id", "verdict", F.col("item_ord").alias("_o")), answers, [F.col("_o")], "item", v.max_retries, report)
         stats = judging.stats(found).first().asDict()
-        report(Event("verification_finished", stats | {"model_calls": calls.value}))
+        report_others(found.select("key", F.col("item_ord").alias("ord"), "qa_id", "verdict"), answers, "item", stats["total_items"], report, {"verdict": "verdict"})
+        report(Event("verification_finished", stats | {"model_calls": calls}))
         create_parent(output)
-        write_lines(json_lines(found, judging.RECORD_COLUMNS, "item_ord").orderBy("item_ord").select("value"), output, config.parts)
+        write_lines(json_lines(found, judging.RECORD_COLUMNS, "item_ord"), [F.col("item_ord")], output, config.parts)
         manifest_path = os.path.join(os.path.dirname(output), "verification-manifest.json")
         manifest: dict[str, Any] = {"schema_version": SCHEMA_VERSION, "verified_at": now(), "config": to_json(config), "prompt": {"version": prompt.version, "template": prompt.template}, "source_build": source_build, "stats": stats}
         write_json(manifest, manifest_path)
         report(Event("report_written", {"output": output}))
-        return VerificationOutcome(stats, output, manifest_path, calls.value, retries.value)
+        return VerificationOutcome(stats, output, manifest_path, calls, retries)
     finally:
         keep.close()
 

@@ -11,7 +11,8 @@ from typing import Any
 class Event:
     """kind: discovery_started, discovery_finished, file_chunked, generation_started, chunk_started, retry_scheduled, chunk_finished, generation_finished,
     validation_finished, export_started, finished; for verification: verification_started, reconstructed, item_started, retry_scheduled,
-    item_finished, verification_finished, report_written. Events of chunks and items are told in order once their stage has ended, as tasks run elsewhere."""
+    item_finished, verification_finished, report_written. Events of chunks and items that a model is asked about are told while it is,
+    those of one in order; of the others, which the cache answers or which cannot be verified, in order after them."""
 
     kind: str
     details: dict[str, Any] = field(default_factory=dict)

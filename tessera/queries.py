@@ -17,9 +17,10 @@ from tessera.functions import text as T
 from tessera.operators import completions, judging, prompts, qa
 from tessera.operators.cache import generation_key
 from tessera.operators.chunking import chunk_documents, chunks_per_file, unique_chunks
+from tessera.operators.order import numbered
 from tessera.plans.build import build_dataset
 from tessera.plans.files import Written, write_folder
-from tessera.plans.model_stage import ask, typed
+from tessera.plans.model_stage import Call, ask, typed
 from tessera.plans.verify import verify_dataset
 from tessera.sources.dataset import read_dataset
 from tessera.sources.repository import scan, select_files
@@ -81,7 +82,7 @@ LIMITS = DiscoveryConfig(max_files=700, max_bytes_per_file=4_000)
 
 
 def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select_files(files(spark, sf_dir).select("path", F.octet_length("text").cast("long").alias("bytes")), LIMITS)
+    return select_files(files(spark, sf_dir).select("path", F.octet_length("text").cast("long").alias("bytes")), LIMITS, keep=Written(spark))
 
 
 _SELECTED_SQL = f"""
@@ -375,9 +376,10 @@ def answers_cold_and_warm(spark, sf_dir):
     keyed = chunks(spark, sf_dir).withColumn("key", generation_key(GenerationConfig(), "{{chunk_text}}")).withColumn("prompt", prompts.qa_prompt("{{chunk_text}}", 1))
     keep = Written(spark)
     folder = f"{keep.root.removeprefix('file://')}/cache"
-    answers = lambda requests: keep(ask(requests, Echo, folder, 8, 0, "echo", 0.0, completions.questions_schema(1), completions.parse_questions, [F.col("path"), F.col("chunk_ord")]))
-    answers(keyed.where("ascii(chunk_id) < 56"))
-    found = typed(answers(keyed), "array<struct<question: string, answer: string, tags: array<string>, confidence: float>>")
+    keyed = numbered(keyed, [F.split("path", "/"), F.col("chunk_ord")], "ord", keep)
+    call = Call(Echo, "echo", 0.0, completions.questions_schema(1), completions.parse_questions, 8, 0)
+    ask(keyed.where("ascii(chunk_id) < 56"), call, folder, keep)
+    found = typed(ask(keyed, call, folder, keep).rows, "array<struct<question: string, answer: string, tags: array<string>, confidence: float>>")
     item = F.get("answer", F.lit(0))
     return keyed.select("chunk_id", "key").join(found, "key").select("chunk_id", "cached", item["question"].alias("question"), F.sha2(item["answer"], 256).alias("answer_hash"), F.size("answer").cast("long").alias("n_items"))
 
@@ -530,7 +532,7 @@ def scan_repository(spark, sf_dir):
     keep = Written(spark)
     root = _mixed_tree(spark, sf_dir, f"{keep.root.removeprefix('file://')}/tree")
     settings = DiscoveryConfig(SCAN_LIMITS.respect_gitignore, (f"{root}/own-rules",), SCAN_LIMITS.max_files, SCAN_LIMITS.max_bytes_per_file)
-    found = keep(scan(spark, root, settings))
+    found = keep(scan(spark, root, settings, keep=keep))
     shutil.rmtree(root)
     return found.select("path", "file_ord", "reason", "bytes", F.sha2("text", 256).alias("text_sha256"))
 

@@ -1,16 +1,20 @@
-"""A repository of Markdown files as a Spark data source.
+"""A repository of Markdown files as a table.
 
-The driver walks the folder tree with ignore rules, prunes it, sorts and limits it by metadata alone, and plans groups of files; tasks read them. With
-more than one machine the folder must be on a file system that all of them mount.
+scan() lists folders in tasks, level by level, orders and limits files by metadata alone, and reads them in tasks. The data source of the same rows, for a tree that
+is small enough for it, lists on the driver. With more than one machine the folder must be on a file system that all of them mount.
 """
 
 from __future__ import annotations
 
+import atexit
+import functools
 import json
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -19,6 +23,7 @@ from pyspark.sql.types import StructType
 from tessera import schemas
 from tessera.config import DiscoveryConfig
 from tessera.errors import DiscoveryError
+from tessera.operators.order import numbered
 from tessera.sources.ignore import Rules, custom_rules
 
 FILE_LIMIT, TOO_LARGE, INVALID_UTF8 = "file_limit", "too_large", "invalid_utf8"
@@ -47,42 +52,78 @@ def _read_lines(path: str) -> list[str]:
         return []
 
 
-def walk(root: str, config: DiscoveryConfig) -> Iterator[str]:
-    """Relative paths of the Markdown files that no rule excludes. Symbolic links are not followed."""
+@dataclass(frozen=True)
+class Ignored:
+    """What is ignored in a whole repository, besides the .gitignore files that lie in its folders: names, lines of extra ignore files, lines of .git/info/exclude."""
+
+    names: tuple[str, ...]
+    gitignore: bool
+    extra: tuple[str, ...]
+    exclude: tuple[str, ...]
+
+
+def ignored(root: str, config: DiscoveryConfig) -> Ignored:
     try:
-        extra = custom_rules([open(p, encoding="utf-8").read() for p in config.ignore_files])
+        extra = tuple(open(p, encoding="utf-8").read() for p in config.ignore_files)
     except OSError as e:
         raise DiscoveryError(f"cannot read an ignore file: {e}") from e
-    exclude = Rules(_read_lines(os.path.join(root, ".git", "info", "exclude"))) if config.respect_gitignore else None
-
-    def below(folder: str, chain: list[tuple[str, Rules]]) -> Iterator[str]:
-        if config.respect_gitignore:
-            own = Rules(_read_lines(os.path.join(root, folder, ".gitignore")))
-            chain = [*chain, (folder, own)] if own.rules else chain
-        try:
-            entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
-        except OSError as e:
-            raise DiscoveryError(f"cannot list {folder or root}: {e}") from e
-        for entry in entries:
-            path = f"{folder}/{entry.name}" if folder else entry.name
-            is_dir = entry.is_dir(follow_symlinks=False)
-            if entry.name in config.excluded_names or any(r.ignores_or_a_parent(path, is_dir) for r in extra):
-                continue
-            said = None
-            for base, rules in reversed(chain):
-                said = rules.verdict(path[len(base) + 1 :] if base else path, is_dir)
-                if said is not None:
-                    break
-            if said is None and exclude:
-                said = exclude.verdict(path, is_dir)
-            if said:
-                continue
+    return Ignored(config.excluded_names, config.respect_gitignore, extra, tuple(_read_lines(os.path.join(root, ".git", "info", "exclude"))) if config.respect_gitignore else ())
+
+
+@functools.lru_cache(1024)
+def _rules(lines: tuple[str, ...]) -> Rules:
+    return Rules(list(lines))
+
+
+@functools.lru_cache(16)
+def _extra_rules(texts: tuple[str, ...]) -> list[Rules]:
+    return custom_rules(list(texts))
+
+
+#: The .gitignore files above and in a folder: the folder of each, and its lines.
+Chain = tuple[tuple[str, tuple[str, ...]], ...]
+
+
+def list_folder(root: str, folder: str, chain: Chain, rules: Ignored) -> tuple[Chain, list[tuple[str, bool]]]:
+    """The chain of a folder's own entries, and its folders (true) and Markdown files that no rule excludes, by name. Symbolic links are not followed."""
+    if rules.gitignore:
+        own = tuple(_read_lines(os.path.join(root, folder, ".gitignore")))
+        chain = (*chain, (folder, own)) if _rules(own).rules else chain
+    try:
+        entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
+    except OSError as e:
+        raise DiscoveryError(f"cannot list {folder or root}: {e}") from e
+    found = []
+    for entry in entries:
+        path = f"{folder}/{entry.name}" if folder else entry.name
+        is_dir = entry.is_dir(follow_symlinks=False)
+        if entry.name in rules.names or any(r.ignores_or_a_parent(path, is_dir) for r in _extra_rules(rules.extra)):
+            continue
+        said = None
+        for base, lines in reversed(chain):
+            said = _rules(lines).verdict(path[len(base) + 1 :] if base else path, is_dir)
+            if said is not None:
+                break
+        if said is None and rules.exclude:
+            said = _rules(rules.exclude).verdict(path, is_dir)
+        if not said and (is_dir or entry.is_file(follow_symlinks=False) and is_markdown(entry.name)):
+            found.append((path, is_dir))
+    return chain, found
+
+
+def walk(root: str, config: DiscoveryConfig) -> Iterator[str]:
+    """Relative paths of the Markdown files that no rule excludes."""
+    rules = ignored(root, config)
+
+    def below(folder: str, chain: Chain) -> Iterator[str]:
+        chain, found = list_folder(root, folder, chain, rules)
+        for path, is_dir in found:
             if is_dir:
                 yield from below(path, chain)
-            elif entry.is_file(follow_symlinks=False) and is_markdown(entry.name):
+            else:
                 yield path
 
-    yield from below("", [])
+    yield from below("", ())
 
 
 def plan(root: str, config: DiscoveryConfig, excluded_paths: tuple[str, ...] = ()) -> list[Candidate]:
@@ -156,14 +197,77 @@ class _Reader(DataSourceReader):
             yield c.path, c.ord, text.replace("\r\n", "\n").replace("\r", "\n"), None, None, None
 
 
-def scan(spark: SparkSession, root: str, config: DiscoveryConfig = DiscoveryConfig(), excluded_paths: tuple[str, ...] = ()) -> DataFrame:
-    """SCANNED: every candidate, with its text or the reason why it has none."""
-    import dataclasses
-
+LISTED = "path string, chain string, folder boolean, bytes long"
+
+
+def list_files(spark: SparkSession, root: str, config: DiscoveryConfig, keep: Callable[[DataFrame], DataFrame], excluded_paths: tuple[str, ...] = ()) -> DataFrame:
+    """(path, bytes) of the Markdown files that no rule excludes. Folders are rows, which tasks list, level by level, each with the ignore rules above it;
+    what one level finds is kept, and its folders are the next. The driver learns only whether there are any."""
+    rules, hidden = ignored(root, config), {os.path.realpath(p) for p in excluded_paths}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for folder, above in zip(batch["path"], batch["chain"]):
+                chain, found = list_folder(root, folder, tuple((base, tuple(lines)) for base, lines in json.loads(above)), rules)
+                told = json.dumps(chain)
+                for path, is_dir in found:
+                    full = os.path.join(root, path)
+                    if is_dir:
+                        rows.append((path, told, True, None))
+                    elif not hidden or os.path.realpath(full) not in hidden:
+                        rows.append((path, None, False, os.stat(full).st_size))
+            yield pd.DataFrame(rows, columns=["path", "chain", "folder", "bytes"]).astype({"bytes": "Int64"})
+
+    level, found = spark.createDataFrame([("", "[]")], "path string, chain string"), []
+    while True:
+        listed = keep(level.repartition("path").mapInPandas(run, LISTED))
+        found.append(listed.where("NOT folder").select("path", "bytes"))
+        level = listed.where("folder").select("path", "chain")
+        if level.isEmpty():
+            return functools.reduce(DataFrame.unionByName, found)
+
+
+def scan(spark: SparkSession, root: str, config: DiscoveryConfig = DiscoveryConfig(), excluded_paths: tuple[str, ...] = (), keep: Callable[[DataFrame], DataFrame] | None = None, group_bytes: int = 8 << 20) -> DataFrame:
+    """SCANNED: every candidate, with its text or the reason why it has none. Listing, order and limits are of rows, and tasks read about group_bytes of files each.
+    keep writes a table and reads it again; without one, tables live as long as the driver."""
     if not os.path.isdir(root):
         raise DiscoveryError(f"{root} is not a directory")
-    spark.dataSource.register(RepositorySource)
-    return spark.read.format(FORMAT).option("path", root).option("config", json.dumps(dataclasses.asdict(config))).option("excluded", json.dumps(list(excluded_paths))).load()
+    if keep is None:
+        from tessera.plans.files import Written
+
+        keep = Written(spark)
+        atexit.register(keep.close)
+    root = os.path.abspath(root)
+    listed = numbered(list_files(spark, root, config, keep, excluded_paths), [F.split("path", "/")], "file_ord", keep)
+    over = F.lit(False) if config.max_files is None else F.col("file_ord") >= config.max_files
+    large = F.col("bytes") > config.max_bytes_per_file
+    judged = listed.withColumn("reason", F.when(over, FILE_LIMIT).when(large, TOO_LARGE))
+    size = judged.where("reason IS NULL").agg(F.sum("bytes")).first()[0] or 0
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for row in batch.to_pylist():
+                text, reason, sized = None, row["reason"], row["reason"] == TOO_LARGE
+                if reason is None:
+                    with open(os.path.join(root, row["path"]), "rb") as f:
+                        raw = f.read()
+                    held += len(raw)
+                    try:
+                        text = raw.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n")
+                    except UnicodeDecodeError:
+                        reason = INVALID_UTF8
+                rows.append({"path": row["path"], "file_ord": row["file_ord"], "text": text, "reason": reason, "bytes": row["bytes"] if sized else None, "max_bytes": config.max_bytes_per_file if sized else None})
+                if held > 4 << 20:
+                    yield pa.RecordBatch.from_pylist(rows, _ARROW)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, _ARROW)
+
+    return judged.repartition(max(1, -(-size // group_bytes)), "file_ord").mapInArrow(read, schemas.SCANNED)
+
+
+_ARROW = pa.schema([("path", pa.string()), ("file_ord", pa.int64()), ("text", pa.string()), ("reason", pa.string()), ("bytes", pa.int64()), ("max_bytes", pa.int64())])
 
 
 def documents(scanned: DataFrame) -> DataFrame:
@@ -176,23 +280,19 @@ def skipped(scanned: DataFrame) -> DataFrame:
 
 # the same rules for a corpus that is a table already: (path, text)
 
-def select_files(files: DataFrame, config: DiscoveryConfig = DiscoveryConfig(), size: str = "bytes") -> DataFrame:
+def select_files(files: DataFrame, config: DiscoveryConfig = DiscoveryConfig(), size: str = "bytes", keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """files (path, bytes) that are Markdown, with file_ord by path components and the reason for which a file is skipped.
 
-    With a limit, the first max_files are found by a sort with a limit and numbered; the files beyond it have no number and are never brought together.
-    Without one no order is made. Paths must differ.
+    With a limit, files are numbered range by range, which needs keep (it writes a table and reads it again). Rows of one path count one by one, in any
+    order. Without a limit no order is made.
     """
-    from pyspark.sql import Window
-
     named = files.where(F.col("path").rlike(r"(^|/)[^/]+\.[mM][dD]$"))
     if config.max_files is None:
-        ordered = named.withColumn("file_ord", F.lit(None).cast("long"))
-        over = F.lit(False)
+        ordered, over = named.withColumn("file_ord", F.lit(None).cast("long")), F.lit(False)
     else:
-        parts = F.split("path", "/")
-        first = named.select("path").orderBy(parts).limit(config.max_files).select("path", (F.row_number().over(Window.orderBy(parts)).cast("long") - 1).alias("file_ord"))
-        ordered = named.join(first, "path", "left")
-        over = F.col("file_ord").isNull()
+        if keep is None:
+            raise DiscoveryError("a limit on the number of files needs somewhere to keep their order")
+        ordered, over = numbered(named, [F.split("path", "/")], "file_ord", keep), F.col("file_ord") >= config.max_files
     large = F.col(size) > config.max_bytes_per_file
     reason = F.when(over, FILE_LIMIT).when(large, TOO_LARGE)
     return ordered.withColumns({"reason": reason, "max_bytes": F.when(reason == TOO_LARGE, F.lit(config.max_bytes_per_file).cast("long"))})

@@ -7,7 +7,7 @@ import pytest
 
 from tessera import cli
 from tessera.config import BuildConfig, CacheConfig, ChunkConfig, DiscoveryConfig, ExportConfig, GenerationConfig, VerificationConfig, build_config_from_json, to_json
-from tessera.errors import ConfigError, DatasetError, ExportError, NoChunks, NoDocuments
+from tessera.errors import CacheError, ConfigError, DatasetError, ExportError, NoChunks, NoDocuments
 from tessera.plans.files import Written
 from tessera.plans.build import build_dataset, git_commit, output_paths
 from tessera.plans.verify import fails_gate, source_path, verify_dataset
@@ -110,9 +110,8 @@ def test_cached_answers_are_joined(spark, tmp_path):
     build_dataset(spark, config(root, out), client())
     (tmp_path / "r" / "5.md").write_text("# T5\nnew")
     assert build_dataset(spark, config(root, out), client()).model_calls == 1
-    entry = sorted((tmp_path / "r" / ".tessera").glob("*.json"))[0]
-    entry.write_text("[1")
-    with pytest.raises(Exception, match="cache entry"):
+    sorted((tmp_path / "r" / ".tessera" / "segments").glob("*/*.parquet"))[0].write_bytes(b"[1")
+    with pytest.raises(CacheError, match="cache entry"):
         build_dataset(spark, config(root, out), client())
 
 
@@ -147,7 +146,7 @@ def test_finished_work_survives(spark, tmp_path):
     root = repo(tmp_path / "r", {"a.md": "# One\nx", "b.md": "# Two\ny"})
     with pytest.raises(Exception, match="401"):
         build_dataset(spark, config(root, tmp_path / "d.jsonl"), client(fail_on="Two", delays={"Two": 1.0}))
-    assert len(os.listdir(os.path.join(root, ".tessera"))) == 1
+    assert spark.read.parquet(os.path.join(root, ".tessera", "segments")).count() == 1
     assert build_dataset(spark, config(root, tmp_path / "d.jsonl"), client()).model_calls == 1
 
 

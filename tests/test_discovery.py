@@ -4,6 +4,7 @@ import pytest
 
 from tessera.config import DiscoveryConfig
 from tessera.errors import DiscoveryError
+from tessera.plans.files import Written
 from tessera.sources.ignore import Rules, custom_rules, expand_recursive_suffix
 from tessera.sources.repository import documents, is_markdown, plan, scan, select_files, skipped
 
@@ -81,5 +82,25 @@ def test_missing_root(spark):
 
 def test_table_of_files(spark):
     files = spark.createDataFrame([("a/b.md", 9), ("a-b.MD", 1), ("c.txt", 1), ("z.md", 2)], "path string, bytes long")
-    found = {r.path: r.reason for r in select_files(files, DiscoveryConfig(max_files=2, max_bytes_per_file=5)).collect()}
+    settings, keep = DiscoveryConfig(max_files=2, max_bytes_per_file=5), Written(spark)
+    found = {r.path: r.reason for r in select_files(files, settings, keep=keep).collect()}
     assert found == {"a/b.md": "too_large", "a-b.MD": None, "z.md": "file_limit"}
+    twice = select_files(files.unionByName(files), settings, keep=keep).collect()
+    assert sorted(r.file_ord for r in twice) == list(range(6)) and [r.path for r in twice if r.file_ord < 2] == ["a/b.md"] * 2
+    assert {r.reason for r in select_files(files, DiscoveryConfig()).collect()} == {None}
+    with pytest.raises(DiscoveryError):
+        select_files(files, settings)
+
+
+def test_tasks_list_what_the_driver_lists(spark, tmp_path):
+    files = {f"d{k % 5}/e{k % 3}/{k}.md": f"{k}" for k in range(60)} | {".gitignore": "*7.md\n/d4/\n", "d1/.gitignore": "!17.md\ne2/*1.md\n", ".git/info/exclude": "d2/e0/\n", "d3/x.txt": "", "top.md": "t", "d0/deep/er/still/a.md": "x" * 50}
+    root = tree(tmp_path / "r", files)
+    rules = tmp_path / "rules"
+    rules.write_text("d3/**8.md\n")
+    for settings in (DiscoveryConfig(), DiscoveryConfig(ignore_files=(str(rules),), max_files=20, max_bytes_per_file=9), DiscoveryConfig(respect_gitignore=False)):
+        want = [(c.path, c.ord, c.reason) for c in plan(root, settings, (f"{root}/top.md",))]
+        found = scan(spark, root, settings, (f"{root}/top.md",), group_bytes=40).collect()
+        assert sorted((r.path, r.file_ord, r.reason) for r in found) == sorted(want) and len(want) > 20
+        assert all(r.text == files[r.path] for r in found if r.reason is None)
+    (tmp_path / "empty").mkdir()
+    assert scan(spark, str(tmp_path / "empty")).count() == 0
