@@ -6,11 +6,12 @@ group_pieces pieces that are dealt by a hash of their place in the table of piec
 part-filled sequences at most, which is little beside thousands of full ones. Full pieces need no search: each is a sequence. Within a
 group longer pieces go first, which packs tighter and makes the result independent of the order of rows.
 
-A null text is an empty one: its document is the separator alone. Repeated rows are packed each on its own. No documents give no pieces.
+A null text is an empty one: its document is the separator alone. A text that spells out an added token of the vocabulary gets that token's id. Repeated rows are packed each on its own. No documents give no pieces.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,8 @@ def public_vocabulary() -> str:
 
 
 def _coder(path: str):
-    """One for each Python worker: the tokenizers library encodes each distinct pre-token, and whole texts whose split is unsure."""
+    """One for each Python worker: the tokenizers library encodes each distinct pre-token, and whole texts whose split is unsure; ids of the vocabulary's
+    added tokens, and what finds them in a text."""
     if path not in _made:
         import os
 
@@ -43,12 +45,26 @@ def _coder(path: str):
         from tokenizers import Tokenizer
 
         library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
+        added = {t.content: i for i, t in library.get_added_tokens_decoder().items()}
+        plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in library.get_added_tokens_decoder().values())
+        finder = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         many = lambda pieces: [e.ids for e in library.encode_batch_fast(pieces, add_special_tokens=False)]
-        _made[path] = (bpe.PieceCache(many), lambda text: library.encode(text, add_special_tokens=False).ids)
+        _made[path] = (bpe.PieceCache(many), lambda text: library.encode(text, add_special_tokens=False).ids, added, finder, plain)
     return _made[path]
 
 
+def encoded(vocabulary: str, texts: list[str]) -> list[np.ndarray]:
+    """Ids of each text as the library gives them. An added token that a text spells out is its own id, and what lies around it is encoded apart."""
+    cache, whole, added, finder, plain = _coder(vocabulary)
+    if finder is None or not any(map(finder.search, texts)):
+        return bpe.batch_ids(cache, whole, texts)
+    if not plain:  # such tokens also take or need what is beside them
+        return [np.array(whole(t), np.int32) if finder.search(t) else bpe.batch_ids(cache, whole, [t])[0] for t in texts]
+    parts = [finder.split(t) for t in texts]
+    between = iter(bpe.batch_ids(cache, whole, [x for p in parts for x in p[::2]]))
+    return [np.concatenate([np.array([added[x]], np.int32) if k % 2 else next(between) for k, x in enumerate(p)]) for p in parts]
+
+
 def cut(n_ids: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of a document's pieces: all of capacity but the first, which may be shorter."""
     first = n_ids % capacity or min(n_ids, capacity)
@@ -59,13 +75,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, separator: in
     """(doc_id, piece, start, length, ids_crc32) of each document's ids, with the separator after them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, whole = _coder(vocabulary)
         for batch in batches:
             rows: list[tuple] = []
             for a in range(0, len(batch), 500):
                 part = batch.slice(a, 500)
-                encoded = bpe.batch_ids(cache, whole, [t or "" for t in part.column("text").to_pylist()])
-                for doc_id, ids in zip(part.column("doc_id").to_pylist(), encoded):
+                found = encoded(vocabulary, [t or "" for t in part.column("text").to_pylist()])
+                for doc_id, ids in zip(part.column("doc_id").to_pylist(), found):
                     ids = np.append(ids, separator).astype("<u4")
                     rows += [(doc_id, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), capacity))]
             columns = list(zip(*rows)) or [[]] * 5

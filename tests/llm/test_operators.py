@@ -22,7 +22,7 @@ from tessera.llm.common import Scratch
 from tessera.llm.op1_mixing import score
 from tessera.llm.op3_lines import dedup_lines
 from tessera.llm.op6_compaction import CommitConflict, Shard, ShardedTable
-from tessera.llm.op8_packing import best_fit, cut, public_vocabulary, sum_of_squares
+from tessera.llm.op8_packing import best_fit, cut, encoded, public_vocabulary, sum_of_squares
 from tessera.llm.op9_byte_bpe import decode, digests, encode, public_ranks
 from tessera.llm.op10_jaccard import drop_ids, jaccard_components, overlaps, voronoi_links
 
@@ -466,7 +466,6 @@ def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(public_vocabulary())
-    library.encode_special_tokens = True
     got = rows(best_fit(spark, docs, public_vocabulary()))
     want = collections.Counter()
     for d, t in ROWS:
@@ -486,6 +485,17 @@ def test_packing(spark, docs, empty):
     assert len(bins) <= 1 + -(-sum(r["length"] for r in got) // 2048) and rows(best_fit(spark, empty, public_vocabulary())) == []
 
 
+def test_added_tokens_are_as_in_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library, mark = Tokenizer.from_file(public_vocabulary()), "<|endoftext|>"
+    texts = [f"x {mark} y", mark, mark * 3, f"{mark}a", f"it's  {mark}  'S", "<|endoftext", "|>", f"\u0378 {mark} z", "plain text", "", f"<|{mark}|>", "l" * 5000 + mark + " 12\n" * 700]
+    assert [list(x) for x in encoded(public_vocabulary(), texts)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = rows(best_fit(spark, spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string"), public_vocabulary()))
+    ids = {k: library.encode(t, add_special_tokens=False).ids + [0] for k, t in enumerate(texts)}
+    assert all(r["ids_crc32"] == zlib.crc32(np.array(ids[r["doc_id"]][r["start"] : r["start"] + r["length"]], "<u4").tobytes()) for r in got) and len(got) >= len(texts)
+
+
 def test_rows_without_id_fill_many_groups(spark):
     from tessera.llm.op8_packing import pack
 
