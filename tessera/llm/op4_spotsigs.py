@@ -1,9 +1,10 @@
 """Operator 4: SpotSigs fingerprints, native: DataFrame functions alone.
 
-A signature is an anchor, which is a common word or the beginning of the text, with the two content words that follow it, common words between these
-left out; of anchors in a row the last one counts, and at the text's end there may be one content word alone. So every text with a content
-word has a signature, by one rule for all lengths; a text of common words alone has these, a text with no word is its own signature, the empty text has none. The fingerprint is the sorted set of the
-signatures' hashes. Sets are compared by Jaccard similarity; two empty sets are equal (1.0).
+A signature is an anchor with the two content words that follow it. Anchors are common words, the beginning of the text, and a quarter of all other words, chosen
+by their hashes, so that texts in any language, tables and lists have signatures in proportion to their words, by one rule for all. Common words between an anchor
+and its content words are left out; of common words in a row the last one counts, and at the text's end there may be one content word alone. Scripts
+that put no spaces between words are taken character by character. A text of common words alone has these as signatures, a text with no word is its own signature, the empty
+text has none. The fingerprint is the sorted set of the signatures' hashes. Sets are compared by Jaccard similarity; two empty sets are equal (1.0).
 
 Equal texts have equal fingerprints. A null text is an empty one. Rows with a null doc_id come last in descending order, rows that repeat a doc_id are
 ordered by their text's hash. One document is its own next document; no documents give no rows.
@@ -17,14 +18,24 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 from tessera.llm.wordlists import COMMON_WORDS
 
+#: Scripts without spaces between words, as classes of a regular expression.
+UNSPACED = "".join(f"\\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+#: One in so many words is an anchor by its hash.
+SAMPLED = 4
+
+
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[\s\p{Punct}]+"), lambda w: w != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{UNSPACED}]|[^\s\p{{Punct}}{UNSPACED}]+"), F.lit(0))
 
 
 def _is_common(word: Column) -> Column:
     return word.isin(*COMMON_WORDS)
 
 
+def _is_anchor(word: Column) -> Column:
+    return _is_common(word) | (F.pmod(F.xxhash64(word), F.lit(SAMPLED)) == 0)
+
+
 def with_signatures(frame: DataFrame, text: str, name: str) -> DataFrame:
     """frame with the signature set of a text column (not null) as sorted hashes."""
     w, at, spots = f"_{name}_words", f"_{name}_at", f"_{name}_spots"
@@ -33,7 +44,7 @@ def with_signatures(frame: DataFrame, text: str, name: str) -> DataFrame:
     word = lambda i: F.get(F.col(w), i)
     place = lambda j: F.get(F.col(at), j)
     chains = F.transform(
-        F.filter(F.sequence(F.lit(0), F.greatest(F.size(at) - 1, F.lit(0))), lambda j: (j < F.size(at)) & ((place(j) == 0) | F.coalesce(_is_common(word(place(j) - 1)), F.lit(False)))),
+        F.filter(F.sequence(F.lit(0), F.greatest(F.size(at) - 1, F.lit(0))), lambda j: (j < F.size(at)) & ((place(j) == 0) | F.coalesce(_is_anchor(word(place(j) - 1)), F.lit(False)))),
         lambda j: F.xxhash64(F.when(place(j) > 0, word(place(j) - 1)).otherwise(""), word(place(j)), F.coalesce(word(place(j + 1)), F.lit(""))),
     )
     frame = frame.withColumn(spots, F.array_distinct(chains))
