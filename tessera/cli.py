@@ -10,9 +10,10 @@ from pyspark.sql import SparkSession
 from tessera.config import CACHE_DIRECTORY, FAIL_ON, BuildConfig, CacheConfig, ChunkConfig, DiscoveryConfig, ExportConfig, GenerationConfig, VerificationConfig, VerifierConfig
 from tessera.errors import EngineError
 from tessera.operators.clients import resolve_provider
-from tessera.plans.build import build_dataset
-from tessera.plans.verify import fails_gate, verify_dataset
-from tessera.progress import Event
+from tessera.operators.judging import ACCEPTED, REJECTED, UNVERIFIABLE
+from tessera.plans.build import BuildResult, build_dataset
+from tessera.plans.verify import VerificationOutcome, fails_gate, verify_dataset
+from tessera.progress import Event, describe
 
 
 def parser() -> argparse.ArgumentParser:
@@ -64,7 +65,19 @@ def verification_config(args: argparse.Namespace, model: str, endpoint: str | No
 
 
 def show(event: Event) -> None:
-    print(event.kind.replace("_", " "), *(f"{k}={v}" for k, v in event.details.items()), file=sys.stderr)
+    print(describe(event), file=sys.stderr, flush=True)
+
+
+def built(done: BuildResult) -> str:
+    stats = done.manifest["stats"]
+    lines = [f"{stats['generated_items']} items from {stats['chunks']} chunks of {stats['processed_files']} files in {done.output}", f"manifest in {done.manifest_path}"]
+    left = [f"{stats[k]} {name}" for k, name in (("skipped_files", "files"), ("rejected_items", "rejected items"), ("duplicate_items", "repeated questions")) if stats[k]]
+    return "\n".join(lines + ([f"left out: {', '.join(left)}"] if left else []))
+
+
+def verified(done: VerificationOutcome) -> str:
+    verdicts = ", ".join(f"{done.stats[f'{v}_items']} {v}" for v in (ACCEPTED, REJECTED, UNVERIFIABLE))
+    return f"{done.stats['total_items']} items: {verdicts}\nreport in {done.output}\nmanifest in {done.manifest_path}"
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -74,10 +87,10 @@ def main(argv: list[str] | None = None) -> int:
         spark = SparkSession.builder.appName("tessera").config("spark.speculation", "false").getOrCreate()
         if args.command == "build":
             done = build_dataset(spark, build_config(args, model, endpoint), factory, show)
-            print(f"{done.manifest['stats']['generated_items']} items in {done.output}")
+            print(built(done))
             return 0
         outcome = verify_dataset(spark, verification_config(args, model, endpoint), factory, show)
-        print(", ".join(f"{k} {v}" for k, v in outcome.stats.items()))
+        print(verified(outcome))
         return int(fails_gate(outcome.stats, args.fail_on))
     except EngineError as e:
         print(f"error: {e}", file=sys.stderr)

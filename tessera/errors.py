@@ -84,6 +84,14 @@ class MissingCompletion(ModelError):
     retryable = True
 
 
+class StageFailed(EngineError):
+    """A run that ended because the model failed for good; what it was asked about is in the message, cause is the model's error."""
+
+    def __init__(self, about: str, cause: ModelError):
+        super().__init__(f"no answer about {about}: {cause}")
+        self.cause = cause
+
+
 def to_record(error: ModelError) -> dict:
     """A model error as plain values, for another process."""
     return {"kind": type(error).__name__, "message": str(error), "retryable": error.retryable} | ({"status": error.status, "body": error.body} if isinstance(error, ApiError) else {})

@@ -66,8 +66,12 @@ def json_candidate(completion: Column) -> Column:
 
 
 def parsed_json(completion: Column) -> Column:
-    """The completion's JSON as a variant, null where it is malformed."""
-    return F.try_parse_json(json_candidate(completion))
+    """The completion's JSON as a variant, null where it is malformed. The JVM's parser stops after the first value; so the value is parsed as a field,
+    followed by a field whose name, the digest of the text, no text can hold, and nothing may come between."""
+    text = json_candidate(completion)
+    mark = F.sha2(text, 256)
+    fields = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(',"'), mark, F.lit('":0}'))), "$", "map<string,variant>")
+    return F.when(F.map_contains_key(fields, mark), F.try_element_at(fields, F.lit("value")))
 
 
 def retry_delay_ms(attempt: Column) -> Column:

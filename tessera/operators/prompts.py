@@ -34,11 +34,11 @@ Its author worked from {{path}}:{{start_line}}-{{end_line}}, which reads:
 {{chunk_text}}
 </source>
 
-Settle three things, none of which may sway another:
+Decide on each of these by itself:
 
-- answer_relevant: is what Q asks also what A tells, with nothing needed left out?
-- self_contained: could a person who never saw the passage say what Q is about?
-- grounded: can each assertion of A be traced to the passage? What is merely well known does not count.
+- grounded: go through what A says, claim by claim. It passes if the passage supports every one; what you know from elsewhere supports nothing.
+- self_contained: read Q alone. It passes if it names what it is about, so that nobody has to ask "which file?" or "what does this refer to?".
+- answer_relevant: lay A beside Q. It passes if A settles what Q wants to know and leaves out nothing that Q asks for.
 
 Send back a JSON object and no other text. Under each of these three names put an object with "passed" (true or false) and "reason" (one sentence). Under "evidence" quote the words of the passage that settled the matter, or put null.
 """

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.config import SCHEMA_VERSION, BuildConfig, to_json
-from tessera.errors import NoChunks, NoDocuments
+from tessera.errors import ModelError, NoChunks, NoDocuments, StageFailed
 from tessera.operators import qa
 from tessera.operators.cache import cache_directory, generation_key
 from tessera.operators.chunking import chunk_documents, chunks_per_file
@@ -86,7 +86,10 @@ def build_dataset(spark: SparkSession, config: BuildConfig, factory: ClientFacto
         cache = cache_directory(config.repository, config.cache.directory) if config.cache.enabled else None
         call = Call(factory, g.model, g.temperature, questions_schema(g.questions_per_chunk), parse_questions, g.concurrency, g.max_retries, "chunk", lambda answer: {"generated_items": len(answer)})
         places = ("path", "start_line", "end_line")
-        answers = ask(chunks, call, cache, keep, report, places)
+        try:
+            answers = ask(chunks, call, cache, keep, report, places)
+        except ModelError as e:
+            raise StageFailed("{path}:{start_line}-{end_line}".format(**e.about), e) from e
         report_others(chunks.select("key", "ord", *places), answers, "chunk", n_chunks, report, {"generated_items": "items"})
         calls, retries = answers.counts()
         items = keep(qa.explode_batches(generated_batches(chunks, answers.rows), g.model))

@@ -52,8 +52,8 @@ class Line:
     def tell(self, kind: str, details: dict[str, Any]) -> None:
         self._send(op="event", kind=kind, details=details)
 
-    def fail(self, error: ModelError) -> None:
-        self._send(op="fail", error=to_record(error))
+    def fail(self, error: ModelError, about: dict[str, Any]) -> None:
+        self._send(op="fail", error=to_record(error), about=about)
 
     def close(self) -> None:
         self.replies.close()
@@ -61,7 +61,7 @@ class Line:
 
 
 class Channel:
-    """The driver's end, open for the length of a with block. error: what ended the stage; finished: the indices of the events that say so."""
+    """The driver's end, open for the length of a with block. error: what ended the stage (its about: what the model was asked about); finished: the indices of the events that say so."""
 
     def __init__(self, spark: SparkSession, most: int, report: Reporter = silent):
         self.context, self.free, self.report = spark.sparkContext, most, report
@@ -132,7 +132,9 @@ class Channel:
                         self._end(e)
                 elif op in ("end", "fail"):
                     if op == "fail":
-                        self._end(from_record(message["error"]))
+                        error = from_record(message["error"])
+                        error.about = message["about"]
+                        self._end(error)
                     self.free += holds
                     holds = False
                     self._next()

@@ -38,6 +38,13 @@ class Written:
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
+    def folder(self, name: str) -> str:
+        """A folder beside the tables for files that tasks open themselves, which takes a file system that all machines mount."""
+        scheme, _, path = self.root.rpartition(":")
+        if scheme not in ("", "file"):
+            raise ExportError(f"files cannot be opened below {self.root}; spark.checkpoint.dir must be a mounted folder for this")
+        return os.path.join("/" + path.lstrip("/"), name)
+
     def close(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

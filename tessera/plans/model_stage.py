@@ -66,7 +66,8 @@ def ask(requests: DataFrame, call: Call, directory: str | None, keep: Callable[[
 
     Equal keys are asked once, for the first of them. What the store in directory holds is found by a join; the other keys are dealt to tasks in
     their order, and each task has a pool of threads and hands on answers in order. However many tasks there are, `concurrency` calls run at once. Keys and numbers
-    are grouped and joined, prompts only follow the keys that are asked. An error that no retry mends ends the stage at once.
+    are grouped and joined, prompts only follow the keys that are asked. An error that no retry mends ends the stage at once; it is raised with the columns
+    about of its request as its attribute of that name.
     """
     spark = requests.sparkSession
     keys = keep(requests.groupBy("key").agg(F.min("ord").alias("ord")))
@@ -128,7 +129,7 @@ def _ask(missing: DataFrame, n: int, requests: DataFrame, call: Call, store: Ans
                         answer = call.parse(own.client.complete(prompt, call.model, call.temperature, call.schema))
                     except ModelError as e:
                         if not e.retryable or again >= call.max_retries:
-                            line.fail(e)  # while the call still counts, so that no other begins
+                            line.fail(e, json.loads(place))  # while the call still counts, so that no other begins
                             raise Stopped from e
                         line.end()
                         raise

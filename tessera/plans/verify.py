@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera import schemas
 from tessera.config import SCHEMA_VERSION, VerificationConfig, build_config_from_json, to_json
+from tessera.errors import ModelError, StageFailed
 from tessera.operators import judging
 from tessera.operators.cache import cache_directory, verification_key
 from tessera.operators.chunking import chunk_documents
@@ -86,7 +87,10 @@ def verify_dataset(spark: SparkSession, config: VerificationConfig, factory: Cli
         requests = wanted.select("key", "item_ord", F.col("id").alias("qa_id"), verification_prompt(prompt.template, "chunk.").alias("prompt")).withColumnRenamed("item_ord", "ord")
         cache = cache_directory(config.repository, config.cache.directory, verify=True) if config.cache.enabled else None
         call = Call(factory, v.model, v.temperature, decision_schema(), parse_decision, v.concurrency, v.max_retries, "item", lambda answer: {"verdict": judging.py_verdict(answer["checks"])})
-        answers = ask(requests, call, cache, keep, report, ("qa_id",))
+        try:
+            answers = ask(requests, call, cache, keep, report, ("qa_id",))
+        except ModelError as e:
+            raise StageFailed(f"item {e.about['qa_id']}", e) from e
         calls, retries = answers.counts()
         decisions = typed(answers.rows, DECISION).select("key", F.struct(F.col("answer.checks").alias("checks"), F.col("answer.evidence").alias("evidence"), F.col("answered_at").alias("verified_at")).alias("decision"))
         judged = rebuilt.join(decisions, "key", "left").withColumn("decision", F.when(F.col("unverifiable_reason").isNull(), F.col("decision")))

@@ -23,3 +23,31 @@ Reporter = Callable[[Event], None]
 
 def silent(event: Event) -> None:
     """Reports nothing."""
+
+
+#: What a line on a screen says of each kind of event.
+LINES = {
+    "discovery_started": "looking for Markdown files in {repository}",
+    "discovery_finished": "{discovered} files, {skipped} of them left out",
+    "file_chunked": "{path}: {chunks} chunks",
+    "generation_started": "{chunks} chunks to ask about, {concurrency} at a time",
+    "chunk_started": "[{number}/{total}] {path}:{start_line}-{end_line}",
+    "chunk_finished": "[{number}] {path}:{start_line}-{end_line}: {generated_items} items{from_cache}",
+    "retry_scheduled": "[{number}] again in {delay_ms} ms, attempt {attempt} of {max_retries}",
+    "generation_finished": "{model_calls} calls of the model, {retries} of them again",
+    "validation_finished": "{accepted} items good, {rejected} rejected, {duplicates} asked before",
+    "export_started": "writing {output}",
+    "verification_started": "checking {dataset}",
+    "reconstructed": "{items} items have their source",
+    "item_started": "[{number}/{total}] {qa_id}",
+    "item_finished": "[{number}] {qa_id}: {verdict}{from_cache}",
+    "verification_finished": "{accepted_items} accepted, {rejected_items} rejected, {unverifiable_items} unverifiable of {total_items} items; {model_calls} calls of the model",
+    "report_written": "wrote {output}",
+    "finished": "wrote {output}",
+}
+
+
+def describe(event: Event) -> str:
+    """The event as a line for a screen."""
+    known = event.details | {"number": event.details.get("index", 0) + 1, "from_cache": " (from the cache)" if event.details.get("source") == "cache" else ""}
+    return LINES[event.kind].format(**known)

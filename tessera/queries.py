@@ -14,15 +14,16 @@ from pyspark.sql import functions as F
 
 from tessera.config import BuildConfig, CacheConfig, DiscoveryConfig, ExportConfig, GenerationConfig, VerificationConfig, VerifierConfig
 from tessera.functions import text as T
+from tessera.functions import variants
 from tessera.operators import completions, judging, prompts, qa
-from tessera.operators.cache import generation_key
+from tessera.operators.cache import cache_directory, generation_key, verification_key
 from tessera.operators.chunking import chunk_documents, chunks_per_file, unique_chunks
 from tessera.operators.order import numbered
 from tessera.plans.build import build_dataset
-from tessera.plans.files import Written, write_folder
+from tessera.plans.files import Written, write_lines
 from tessera.plans.model_stage import Call, ask, typed
 from tessera.plans.verify import verify_dataset
-from tessera.sources.dataset import read_dataset
+from tessera.sources.dataset import numbered_records, read_dataset
 from tessera.sources.repository import scan, select_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -119,14 +120,14 @@ def chunk_small_400(spark, sf_dir):
 
 
 def _headed(text: Column) -> Column:
-    return F.concat(F.lit("# One\n\n"), F.regexp_replace(text, "[#=~`>*+<|_-]", ""), F.lit("\n\n## Two\n\n"), F.substring(F.regexp_replace(text, "[#=~`>*+<|_\n-]", ""), 1, 90))
+    return F.concat(F.lit("# One\n\n"), F.regexp_replace(text, "[#=~`>*+<|_-]", ""), F.lit("\n\n## Two\n\n"), F.regexp_replace(text, "[#=~`>*+<|_\n-]", ""))
 
 
 _HEADED_SQL = f"""
 SELECT {PATH_SQL} AS path, part, lead AS start_line, (lead + length(body) - length(replace(body, chr(10), '')))::BIGINT AS end_line, sha256(body) AS content_hash FROM (
   SELECT source, doc_id, 0 AS part, 1::BIGINT AS lead, rtrim('# One' || chr(10) || chr(10) || clean, {WS_SQL}) AS body FROM (SELECT *, regexp_replace(text, '[#=~`>*+<|_-]', '', 'g') AS clean FROM documents)
   UNION ALL
-  SELECT source, doc_id, 1, (5 + length(clean) - length(replace(clean, chr(10), '')))::BIGINT, rtrim('## Two' || chr(10) || chr(10) || substr(replace(clean, chr(10), ''), 1, 90), {WS_SQL}) FROM (SELECT *, regexp_replace(text, '[#=~`>*+<|_-]', '', 'g') AS clean FROM documents)
+  SELECT source, doc_id, 1, (5 + length(clean) - length(replace(clean, chr(10), '')))::BIGINT, rtrim('## Two' || chr(10) || chr(10) || replace(clean, chr(10), ''), {WS_SQL}) FROM (SELECT *, regexp_replace(text, '[#=~`>*+<|_-]', '', 'g') AS clean FROM documents)
 )"""
 
 
@@ -167,44 +168,24 @@ def prompt_no_rescan(spark, sf_dir):
 
 
 def _completion() -> Column:
-    body = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 40).alias("question"), F.substring("text", 41, 60).alias("answer"))).alias("items")))
-    k = F.col("doc_id") % 4
-    return F.when(k == 0, body).when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone."))).when(k == 2, F.concat(F.lit(" \n"), body, F.lit("\n"))).otherwise(F.concat(F.lit("```"), F.substring(body, 1, 30)))
-
-
-
-_BODY = "'{\"items\":[{\"question\":' || to_json(substr(text, 1, 40)) || ',\"answer\":' || to_json(substr(text, 41, 60)) || '}]}'"
-
-
-@query(f"SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 3 THEN trim(substr({_BODY}, 1, 30), {WS_SQL}) ELSE {_BODY} END) AS candidate_sha256 FROM documents")
-def json_candidate(spark, sf_dir):
-    return files(spark, sf_dir).select("doc_id", F.sha2(T.json_candidate(_completion()), 256).alias("candidate_sha256"))
-
-
-@query("SELECT doc_id % 4 AS kind, count(*)::BIGINT AS n, count(*) FILTER (WHERE doc_id % 4 <> 3)::BIGINT AS parsed FROM documents GROUP BY 1")
-def completion_parse(spark, sf_dir):
-    return files(spark, sf_dir).withColumn("v", T.parsed_json(_completion())).groupBy((F.col("doc_id") % 4).alias("kind")).agg(F.count("*").alias("n"), F.count("v").alias("parsed"))
-
-
-def _whole_completion() -> Column:
-    """As above, of the whole text; every fourth is cut before its last two characters, so that it is no JSON."""
+    """A whole text as a completion, bare, in a fence with words around it, or in white space; every fourth is cut before its last two characters, so that it is no JSON."""
     body = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 40).alias("question"), F.substring(F.col("text"), F.lit(41), F.length("text")).alias("answer"))).alias("items")))
     k = F.col("doc_id") % 4
     return F.when(k == 0, body).when(k == 1, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone."))).when(k == 2, F.concat(F.lit(" \n"), body, F.lit("\n"))).otherwise(F.concat(F.lit("```"), F.substring(body, F.lit(1), F.length(body) - 2)))
 
 
-_WHOLE = "'{\"items\":[{\"question\":' || to_json(substr(text, 1, 40)) || ',\"answer\":' || to_json(substr(text, 41)) || '}]}'"
+_BODY = "'{\"items\":[{\"question\":' || to_json(substr(text, 1, 40)) || ',\"answer\":' || to_json(substr(text, 41)) || '}]}'"
 
 
-@query(f"SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 3 THEN trim(substr(body, 1, length(body) - 2), {WS_SQL}) ELSE body END) AS candidate_sha256 FROM (SELECT doc_id, {_WHOLE} AS body FROM documents)")
-def json_candidate_whole(spark, sf_dir):
-    return files(spark, sf_dir).select("doc_id", F.sha2(T.json_candidate(_whole_completion()), 256).alias("candidate_sha256"))
+@query(f"SELECT doc_id, sha256(CASE WHEN doc_id % 4 = 3 THEN trim(substr(body, 1, length(body) - 2), {WS_SQL}) ELSE body END) AS candidate_sha256 FROM (SELECT doc_id, {_BODY} AS body FROM documents)")
+def json_candidate(spark, sf_dir):
+    return files(spark, sf_dir).select("doc_id", F.sha2(T.json_candidate(_completion()), 256).alias("candidate_sha256"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN sha256(substr(text, 1, 40) || chr(0) || substr(text, 41)) END AS items_sha256 FROM documents")
-def completion_parse_whole(spark, sf_dir):
+def completion_parse(spark, sf_dir):
     item = lambda name: F.variant_get("v", f"$.items[0].{name}", "string")
-    return files(spark, sf_dir).withColumn("v", T.parsed_json(_whole_completion())).select("doc_id", F.sha2(F.concat(item("question"), F.lit("\0"), item("answer")), 256).alias("items_sha256"))
+    return files(spark, sf_dir).withColumn("v", T.parsed_json(_completion())).select("doc_id", F.sha2(F.concat(item("question"), F.lit("\0"), item("answer")), 256).alias("items_sha256"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS excerpt FROM documents")
@@ -271,23 +252,20 @@ def qa_duplicate_count(spark, sf_dir):
     return keyed.groupBy("k").agg(F.count("*").alias("n")).agg(F.sum("n").alias("valid"), F.count("*").alias("accepted"), (F.sum("n") - F.count("*")).alias("duplicates"))
 
 
-def _items(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Two items from each chunk, made without a model: the chunk's first characters, and a question that all chunks of a file share. whole: their answers
-    are the rest of the chunk, and the chunk."""
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two items from each chunk, made without a model: its first characters as a question and the rest as the answer, and a question that all chunks of a file
+    share with the whole chunk as the answer."""
     item = lambda q, a, tags, c: F.struct(q.alias("question"), a.alias("answer"), tags.alias("tags"), c.cast("float").alias("confidence"))
-    head = F.substring("text", 1, 30)
-    rest, all_ = (F.substring(F.col("text"), F.lit(31), F.length("text")), F.col("text")) if whole else (F.substring("text", 31, 40), head)
-    items = F.array(item(F.concat(F.lit(" "), head, F.lit(" ?")), rest, F.array(F.lit(" a "), F.lit("  "), F.lit("b")), F.lit(0.5)), item(F.concat(F.lit("About "), "path", F.lit("?")), all_, F.array().cast("array<string>"), F.lit(None)))
-    made = chunks(spark, sf_dir).select("chunk_id", "path", "start_line", "end_line", "chunk_ord", F.lit("2024-01-01T00:00:00Z").alias("generated_at"), items.alias("items"))
+    head, rest = F.substring("text", 1, 30), F.substring(F.col("text"), F.lit(31), F.length("text"))
+    items = F.array(item(F.concat(F.lit(" "), head, F.lit(" ?")), rest, F.array(F.lit(" a "), F.lit("  "), F.lit("b")), F.lit(0.5)), item(F.concat(F.lit("About "), "path", F.lit("?")), F.col("text"), F.array().cast("array<string>"), F.lit(None)))
+    made = chunks(spark, sf_dir).select("chunk_id", "path", "start_line", "end_line", F.lit("2024-01-01T00:00:00Z").alias("generated_at"), items.alias("items"))
     return qa.explode_batches(made, "stub")
 
 
 _ITEMS_SELECT = f"""
 SELECT path, start_line, end_line, chunk_id, k AS item_ord, trim(CASE k WHEN 0 THEN ' ' || substr(body, 1, 30) || ' ?' ELSE 'About ' || path || '?' END, {WS_SQL}) AS question,
-       trim(CASE k WHEN 0 THEN substr(body, 31, 40) ELSE substr(body, 1, 30) END, {WS_SQL}) AS answer, CASE k WHEN 0 THEN 2 ELSE 0 END AS n_tags, CASE k WHEN 0 THEN 0.5::FLOAT END AS confidence FROM ids, (VALUES (0), (1)) AS v(k)"""
-
+       trim(CASE k WHEN 0 THEN substr(body, 31) ELSE body END, {WS_SQL}) AS answer, CASE k WHEN 0 THEN 2 ELSE 0 END AS n_tags, CASE k WHEN 0 THEN 0.5::FLOAT END AS confidence FROM ids, (VALUES (0), (1)) AS v(k)"""
 
-_WHOLE_ITEMS = _ITEMS_SELECT.replace("substr(body, 31, 40) ELSE substr(body, 1, 30) END", "substr(body, 31) ELSE body END")
 
 
 @query(chunk_sql(4_000, f"SELECT sha256(chunk_id || chr(0) || {NORM_SQL.format('question')}) AS id, question, answer, path, start_line, end_line, item_ord, n_tags, confidence FROM ({_ITEMS_SELECT})"))
@@ -295,27 +273,15 @@ def qa_explode(spark, sf_dir):
     return _items(spark, sf_dir).select("id", "question", "answer", "source.path", "source.start_line", "source.end_line", "item_ord", F.size("tags").alias("n_tags"), "confidence")
 
 
-@query(chunk_sql(4_000, f"SELECT sha256(chunk_id || chr(0) || {NORM_SQL.format('question')}) AS id, question, answer, path, start_line, end_line, item_ord, n_tags, confidence FROM ({_WHOLE_ITEMS})"))
-def qa_explode_whole(spark, sf_dir):
-    return _items(spark, sf_dir, whole=True).select("id", "question", "answer", "source.path", "source.start_line", "source.end_line", "item_ord", F.size("tags").alias("n_tags"), "confidence")
+_ACCEPTED_SQL = f"count(DISTINCT CASE WHEN answer <> '' AND question <> '' THEN {NORM_SQL.format('question')} END)"
 
 
-@query(chunk_sql(4_000, f"""SELECT count(DISTINCT chunk_id || path || start_line)::BIGINT AS chunks, count(DISTINCT CASE WHEN answer <> '' AND question <> '' THEN {NORM_SQL.format('question')} END)::BIGINT AS generated_items,
-  count(*) FILTER (WHERE answer = '' OR question = '')::BIGINT AS rejected_items, (count(*) FILTER (WHERE answer <> '' AND question <> '') - count(DISTINCT CASE WHEN answer <> '' AND question <> '' THEN {NORM_SQL.format('question')} END))::BIGINT AS duplicate_items FROM ({_ITEMS_SELECT})"""))
+@query(chunk_sql(4_000, f"""SELECT (SELECT count(*) FROM documents)::BIGINT AS discovered_files, (SELECT count(text) FROM documents)::BIGINT AS processed_files, (SELECT count(*) - count(text) FROM documents)::BIGINT AS skipped_files, (SELECT count(*) FROM ids)::BIGINT AS chunks,
+  {_ACCEPTED_SQL}::BIGINT AS generated_items, count(*) FILTER (WHERE answer = '' OR question = '')::BIGINT AS rejected_items, (count(*) FILTER (WHERE answer <> '' AND question <> '') - {_ACCEPTED_SQL})::BIGINT AS duplicate_items FROM ({_ITEMS_SELECT})"""))
 def build_stats(spark, sf_dir):
-    items = _items(spark, sf_dir).withColumn("reject_reason", qa.reject_reason())
-    valid = F.col("reject_reason").isNull()
-    accepted = F.countDistinct(F.when(valid, T.normalize_question(F.col("question"))))
-    return items.agg(F.countDistinct("chunk_id", "source.path", "source.start_line").alias("chunks"), accepted.alias("generated_items"), F.count_if(~valid).alias("rejected_items"), (F.count_if(valid) - accepted).alias("duplicate_items"))
-
-
-@query(chunk_sql(4_000, f"""SELECT count(DISTINCT chunk_id || path || start_line)::BIGINT AS chunks, count(DISTINCT CASE WHEN answer <> '' AND question <> '' THEN {NORM_SQL.format('question')} END)::BIGINT AS generated_items,
-  count(*) FILTER (WHERE answer = '' OR question = '')::BIGINT AS rejected_items, (count(*) FILTER (WHERE answer <> '' AND question <> '') - count(DISTINCT CASE WHEN answer <> '' AND question <> '' THEN {NORM_SQL.format('question')} END))::BIGINT AS duplicate_items FROM ({_WHOLE_ITEMS})"""))
-def build_stats_whole(spark, sf_dir):
-    items = _items(spark, sf_dir, whole=True).withColumn("reject_reason", qa.reject_reason())
-    valid = F.col("reject_reason").isNull()
-    accepted = F.countDistinct(F.when(valid, T.normalize_question(F.col("question"))))
-    return items.agg(F.countDistinct("chunk_id", "source.path", "source.start_line").alias("chunks"), accepted.alias("generated_items"), F.count_if(~valid).alias("rejected_items"), (F.count_if(valid) - accepted).alias("duplicate_items"))
+    seen = files(spark, sf_dir).agg(F.count("*").alias("n"), F.count("text").alias("read")).first()
+    stats = qa.build_stats(_items(spark, sf_dir), chunks(spark, sf_dir).count(), seen["n"], seen["read"], seen["n"] - seen["read"])
+    return spark.createDataFrame([stats], ", ".join(f"{name} long" for name in stats))
 
 
 _JSON_SQL = """'{"instruction":' || to_json(question) || ',"input":"","output":' || to_json(answer) || ',"metadata":{"id":"' || sha256(chunk_id || chr(0) || """ + NORM_SQL.format("question") + """) || '","source":{"path":"' || path || '","start_line":' || start_line || ',"end_line":' || end_line
@@ -327,11 +293,6 @@ def alpaca_export(spark, sf_dir):
     return qa.json_lines(qa.alpaca(_items(spark, sf_dir)), ["instruction", "input", "output", "metadata"]).select(F.sha2("value", 256).alias("line_sha256"))
 
 
-@query(chunk_sql(4_000, f"SELECT sha256({_JSON_SQL}) AS line_sha256 FROM ({_WHOLE_ITEMS})"))
-def alpaca_export_whole(spark, sf_dir):
-    return qa.json_lines(qa.alpaca(_items(spark, sf_dir, whole=True)), ["instruction", "input", "output", "metadata"]).select(F.sha2("value", 256).alias("line_sha256"))
-
-
 @query(chunk_sql(4_000, f"SELECT sha256(chunk_id || chr(0) || {NORM_SQL.format('question')}) AS id, question, answer, path, n_tags, confidence FROM ({_ITEMS_SELECT})"))
 def dataset_roundtrip(spark, sf_dir):
     from tessera import schemas
@@ -341,15 +302,6 @@ def dataset_roundtrip(spark, sf_dir):
     return read.select("id", "question", "answer", "source.path", F.size("tags").alias("n_tags"), "confidence")
 
 
-@query(chunk_sql(4_000, f"SELECT sha256(chunk_id || chr(0) || {NORM_SQL.format('question')}) AS id, question, answer, path, n_tags, confidence FROM ({_WHOLE_ITEMS})"))
-def dataset_roundtrip_whole(spark, sf_dir):
-    from tessera import schemas
-
-    lines = qa.json_lines(qa.alpaca(_items(spark, sf_dir, whole=True)), ["instruction", "input", "output", "metadata"])
-    read = qa.from_alpaca(lines.select(F.from_json("value", schemas.ALPACA).alias("r")).select("r.*"))
-    return read.select("id", "question", "answer", "source.path", F.size("tags").alias("n_tags"), "confidence")
-
-
 # caches
 
 @query(chunk_sql(4_000, "SELECT count(*)::BIGINT AS chunks, count(DISTINCT chunk_id)::BIGINT AS keys, count(DISTINCT chunk_id) FILTER (WHERE ascii(chunk_id) < 56)::BIGINT AS hits, count(DISTINCT chunk_id) FILTER (WHERE ascii(chunk_id) >= 56)::BIGINT AS misses FROM ids"))
@@ -375,7 +327,7 @@ def answers_cold_and_warm(spark, sf_dir):
     """Asks for some chunks, then for all: the first answers come out of the cache, the others from the model, all through strict parsing."""
     keyed = chunks(spark, sf_dir).withColumn("key", generation_key(GenerationConfig(), "{{chunk_text}}")).withColumn("prompt", prompts.qa_prompt("{{chunk_text}}", 1))
     keep = Written(spark)
-    folder = f"{keep.root.removeprefix('file://')}/cache"
+    folder = keep.folder("cache")
     keyed = numbered(keyed, [F.split("path", "/"), F.col("chunk_ord")], "ord", keep)
     call = Call(Echo, "echo", 0.0, completions.questions_schema(1), completions.parse_questions, 8, 0)
     ask(keyed.where("ascii(chunk_id) < 56"), call, folder, keep)
@@ -391,34 +343,62 @@ def verification_prompts(spark, sf_dir):
     return pairs.select("chunk_id", F.sha2(prompt, 256).alias("prompt_hash"))
 
 
+class Judge:
+    """A stand-in model for verification: whether an item is grounded hangs on the prompt's hash."""
+
+    def complete(self, prompt: str, model: str, temperature: float, schema: dict) -> str:
+        import hashlib
+        import json
+
+        check = lambda passed: {"passed": passed, "reason": "by its hash"}
+        return json.dumps({"grounded": check(hashlib.sha256(prompt.encode()).hexdigest() < "8"), "self_contained": check(True), "answer_relevant": check(True), "evidence": None})
+
+
+@query(chunk_sql(4_000, f"""SELECT sha256(chunk_id || chr(0) || {NORM_SQL.format('question')}) AS qa_id, item_ord, ascii(chunk_id) < 56 AS cached, CASE WHEN sha256(question || '|' || answer || '|' || body) < '8' THEN 'accepted' ELSE 'rejected' END AS verdict
+  FROM (SELECT DISTINCT i.chunk_id, i.item_ord, i.question, i.answer, ids.body FROM ({_ITEMS_SELECT}) i JOIN ids ON i.chunk_id = ids.chunk_id)"""))
+def verify_cold_and_warm(spark, sf_dir):
+    """Judges some items, then all: the first decisions come out of the verification's cache, which is apart from that of a build, the others from the model."""
+    keep = Written(spark)
+    items = _items(spark, sf_dir).dropDuplicates(["id", "item_ord"]).join(unique_chunks(chunks(spark, sf_dir)).select("chunk_id", F.col("text").alias("body")), "chunk_id")
+    template = "{{question}}|{{answer}}|{{chunk_text}}"
+    prompt = T.render_template(template, {"question": F.col("question"), "answer": F.col("answer"), "chunk_text": F.col("body")})
+    keyed = numbered(items.select("id", "item_ord", "chunk_id", verification_key(VerifierConfig(), template).alias("key"), prompt.alias("prompt")), [F.col("id"), F.col("item_ord")], "ord", keep)
+    call, folder = Call(Judge, "judge", 0.0, completions.decision_schema(), completions.parse_decision, 8, 0, "item"), cache_directory(keep.folder("repository"), "cache", verify=True)
+    ask(keyed.where("ascii(chunk_id) < 56"), call, folder, keep)
+    check = "struct<passed: boolean>"
+    found = typed(ask(keyed, call, folder, keep).rows, f"struct<checks: struct<grounded: {check}, self_contained: {check}, answer_relevant: {check}>>")
+    return keyed.select(F.col("id").alias("qa_id"), "item_ord", "key").join(found, "key").select("qa_id", "item_ord", "cached", judging.verdict(F.col("answer.checks")).alias("verdict"))
+
+
 @query(chunk_sql(4_000, """SELECT chunk_id, sha256('{"chunk_id":"' || chunk_id || '","prompt_hash":"' || sha256('t {{chunk_text}}') || '","provider":"ollama","model":"llama3.2","endpoint":null,"questions_per_chunk":3,"temperature":0.2}') AS key FROM ids"""))
 def cache_key(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", generation_key(GenerationConfig(), "t {{chunk_text}}").alias("key"))
 
 
-@query("SELECT range AS attempt, (500 * pow(2, least(range - 1, 6)))::BIGINT AS delay_ms FROM range(1, 11)")
+@query("SELECT conv_id, turn, (500 * pow(2, greatest(0, least(turn - 1, 6))))::BIGINT AS delay_ms FROM conversations")
 def retry_schedule(spark, sf_dir):
-    return spark.range(1, 11).select(F.col("id").alias("attempt"), T.retry_delay_ms(F.col("id")).alias("delay_ms"))
+    """The delay before each turn of a conversation, were it a retry of that number."""
+    return spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", T.retry_delay_ms(F.col("turn")).alias("delay_ms"))
 
 
 # verification
 
 def _changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items of the documents, and chunks of documents of which some have changed or moved since."""
-    items = _items(spark, sf_dir).where("item_ord = 1").withColumn("source", F.struct(F.col("source.path"), F.col("source.start_line"), (F.col("source.end_line") + F.when(F.length("question") % 5 == 0, 1).otherwise(0)).alias("end_line")))
+    items = _items(spark, sf_dir).withColumn("source", F.struct(F.col("source.path"), F.col("source.start_line"), (F.col("source.end_line") + F.when((F.length("source.path") + F.col("item_ord")) % 5 == 0, 1).otherwise(0)).alias("end_line")))
     docs = files(spark, sf_dir)
     now = docs.where("doc_id % 7 <> 0").select("path", F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("new\n"), "text")).otherwise(F.col("text")).alias("text"))
     return judging.reconstruct(items, chunk_documents(now))
 
 
 _CHANGED_SQL = f"SELECT {PATH_SQL} AS path, text, doc_id FROM documents"
-_CHANGED_SELECT = f"""SELECT chunk_id, path, length('About ' || path || '?') % 5 = 0 AS moved, regexp_extract(path, '([0-9]+)\\.md$', 1)::BIGINT AS doc_id FROM ids"""
+_CHANGED_SELECT = f"""SELECT chunk_id, path, k AS item_ord, (length(path) + k) % 5 = 0 AS moved, regexp_extract(path, '([0-9]+)\\.md$', 1)::BIGINT AS doc_id FROM ids, (VALUES (0), (1)) AS v(k)"""
 _REASONED = f"SELECT *, CASE WHEN doc_id % 7 = 0 OR doc_id % 10 = 3 THEN '{judging.NO_CHUNK}' WHEN moved THEN '{judging.OTHER_PLACE}' END AS reason FROM ({_CHANGED_SELECT})"
 
 
-@query(chunk_sql(4_000, f"SELECT chunk_id, path, reason IS NULL OR reason <> '{judging.NO_CHUNK}' AS reconstructed FROM ({_REASONED})"))
+@query(chunk_sql(4_000, f"SELECT chunk_id, path, item_ord, reason IS NULL OR reason <> '{judging.NO_CHUNK}' AS reconstructed FROM ({_REASONED})"))
 def verify_reconstruct(spark, sf_dir):
-    return _changed(spark, sf_dir).select("chunk_id", "source.path", F.col("chunk").isNotNull().alias("reconstructed"))
+    return _changed(spark, sf_dir).select("chunk_id", "source.path", "item_ord", F.col("chunk").isNotNull().alias("reconstructed"))
 
 
 @query(chunk_sql(4_000, f"SELECT reason, count(*)::BIGINT AS n FROM ({_REASONED}) GROUP BY reason"))
@@ -512,7 +492,7 @@ def _mixed_tree(spark: SparkSession, sf_dir: str, root: str) -> str:
     path = F.when(k == 9, F.replace("path", F.lit(".md"), F.lit(".txt"))).when(k == 2, F.replace("path", F.lit(".md"), F.lit(".MD"))).otherwise(F.col("path"))
     text = F.when(k == 1, F.replace("text", F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("text"))
     content = F.when(k == 4, F.concat(F.unhex(F.lit("FF")), F.encode(text, "UTF-8"))).otherwise(F.encode(text, "UTF-8"))
-    rules = spark.createDataFrame([(".gitignore", b"*7.md\n!*77.md\nsrc3/\n"), ("src5/.gitignore", b"*0.md\n"), (".git/info/exclude", b"src7/**\n"), (".git/x.md", b"x"), ("own-rules", b"src1/**6.md\n")], "path string, content binary")
+    rules = spark.createDataFrame([(".gitignore", b"*7.md\n!*77.md\nsrc3/\n"), ("src5/.gitignore", b"*0.md\n"), (".git/info/exclude", b"src7/**\n"), (".git/x.md", b"x"), ("own-rules", b"src1/**6.md\n"), ("ask.md", b"a prompt, which is no document")], "path string, content binary")
     return _tree(spark, root, docs.select(path.alias("path"), content.alias("content")).unionByName(rules))
 
 
@@ -528,26 +508,15 @@ SELECT path, n - 1 AS file_ord, reason, CASE WHEN reason = 'too_large' THEN byte
 
 @query(_SCAN_SQL)
 def scan_repository(spark, sf_dir):
-    """The data source over files of every kind: extensions, ignore rules of all sorts, order, limits, encoding, line ends."""
+    """The scan over files of every kind: extensions, ignore rules of all sorts, an excluded path, order, limits, encoding, line ends."""
     keep = Written(spark)
-    root = _mixed_tree(spark, sf_dir, f"{keep.root.removeprefix('file://')}/tree")
+    root = _mixed_tree(spark, sf_dir, keep.folder("tree"))
     settings = DiscoveryConfig(SCAN_LIMITS.respect_gitignore, (f"{root}/own-rules",), SCAN_LIMITS.max_files, SCAN_LIMITS.max_bytes_per_file)
-    found = keep(scan(spark, root, settings, keep=keep))
+    found = keep(scan(spark, root, settings, (f"{root}/ask.md",), keep))
     shutil.rmtree(root)
     return found.select("path", "file_ord", "reason", "bytes", F.sha2("text", 256).alias("text_sha256"))
 
 
-class Judge:
-    """A stand-in model for verification: whether an item is grounded hangs on the prompt's hash."""
-
-    def complete(self, prompt: str, model: str, temperature: float, schema: dict) -> str:
-        import hashlib
-        import json
-
-        check = lambda passed: {"passed": passed, "reason": "by its hash"}
-        return json.dumps({"grounded": check(hashlib.sha256(prompt.encode()).hexdigest() < "8"), "self_contained": check(True), "answer_relevant": check(True), "evidence": None})
-
-
 def _built(spark: SparkSession, sf_dir: str, keep: Written, folder: str) -> str:
     """A dataset of all documents below folder, built with Echo; the manifest lies beside it."""
     root = _tree(spark, f"{folder}/tree", files(spark, sf_dir).where("text IS NOT NULL").select("path", F.encode("text", "UTF-8").alias("content")))
@@ -564,7 +533,7 @@ _BUILT = "SELECT DISTINCT chunk_id, path, start_line, end_line, body, path || ':
 def build_whole(spark, sf_dir):
     """A whole build over files, from scan to export, and the strict reader over what it wrote."""
     keep = Written(spark)
-    folder = f"{keep.root.removeprefix('file://')}/build"
+    folder = keep.folder("build")
     items = keep(read_dataset(spark, f"file://{_built(spark, sf_dir, keep, folder)}", keep))
     shutil.rmtree(folder)
     return items.select("id", "question", F.sha2("answer", 256).alias("answer_sha256"), "source.path", "source.start_line", "source.end_line", F.size("tags").alias("n_tags"))
@@ -580,7 +549,7 @@ FROM (SELECT *, 'q ' || sha256(answer) AS question, doc_id % 7 = 0 OR doc_id % 1
 def verify_whole(spark, sf_dir):
     """A whole verification of such a dataset, after some files have gone and some have changed."""
     keep = Written(spark)
-    folder = f"{keep.root.removeprefix('file://')}/verify"
+    folder = keep.folder("verify")
     dataset = _built(spark, sf_dir, keep, folder)
     now = files(spark, sf_dir).where("text IS NOT NULL AND doc_id % 7 <> 0").select("path", F.encode(F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("new\n"), "text")).otherwise(F.col("text")), "UTF-8").alias("content"))
     root = _tree(spark, f"{folder}/now", now)
@@ -619,9 +588,11 @@ def _parsed(docs: DataFrame, parse: Callable[[str], object]) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, outcome string, value string")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 8 < 4 THEN 'ok' WHEN doc_id % 8 < 6 THEN 'invalid_json' ELSE 'unexpected_schema' END AS outcome,
-  CASE WHEN doc_id % 8 < 4 THEN sha256(substr(text, 1, 40) || chr(0) || substr(text, 41)) END AS items_sha256 FROM documents""")
-def strict_questions(spark, sf_dir):
+_QUESTIONS_SQL = """SELECT doc_id, CASE WHEN doc_id % 8 < 4 THEN 'ok' WHEN doc_id % 8 < 6 THEN 'invalid_json' ELSE 'unexpected_schema' END AS outcome,
+  CASE WHEN doc_id % 8 < 4 THEN sha256(substr(text, 1, 40) || chr(0) || substr(text, 41)) END AS items_sha256 FROM documents"""
+
+
+def _question_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Completions of all shapes: items, questions in a fence, a bare list, white space around; cut short, NaN; a number for text, an object for a list."""
     pair = F.to_json(F.struct(F.substring("text", 1, 40).alias("question"), F.substring(F.col("text"), F.lit(41), F.length("text")).alias("answer")))
     wrap = lambda before, after: F.concat(F.lit(before), pair, F.lit(after))
@@ -629,14 +600,29 @@ def strict_questions(spark, sf_dir):
     k, completion = F.col("doc_id") % len(shapes), F.lit(None).cast("string")
     for i, shape in enumerate(shapes):
         completion = F.when(k == i, shape).otherwise(completion)
-    found = _parsed(files(spark, sf_dir).select("doc_id", completion.alias("completion")), completions.parse_questions)
+    return files(spark, sf_dir).select("doc_id", completion.alias("completion"))
+
+
+@query(_QUESTIONS_SQL)
+def strict_questions(spark, sf_dir):
+    found = _parsed(_question_completions(spark, sf_dir), completions.parse_questions)
     item = F.from_json("value", "array<struct<question: string, answer: string>>")[0]
     return found.select("doc_id", "outcome", F.sha2(F.concat(item["question"], F.lit("\0"), item["answer"]), 256).alias("items_sha256"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 6 < 2 THEN 'ok' WHEN doc_id % 6 = 2 THEN 'invalid_json' ELSE 'unexpected_schema' END AS outcome,
-  CASE WHEN doc_id % 6 < 2 THEN sha256('r ' || text || chr(0) || CASE doc_id % 6 WHEN 1 THEN 'e ' || text ELSE '' END) END AS decision_sha256 FROM documents""")
-def strict_decisions(spark, sf_dir):
+@query(_QUESTIONS_SQL)
+def strict_questions_jvm(spark, sf_dir):
+    """The same without Python workers."""
+    found = _question_completions(spark, sf_dir).select("doc_id", variants.questions(F.col("completion")).alias("r"))
+    item = F.get("r.value", F.lit(0))
+    return found.select("doc_id", "r.outcome", F.sha2(F.concat(item["question"], F.lit("\0"), item["answer"]), 256).alias("items_sha256"))
+
+
+_DECISIONS_SQL = """SELECT doc_id, CASE WHEN doc_id % 6 < 2 THEN 'ok' WHEN doc_id % 6 = 2 THEN 'invalid_json' ELSE 'unexpected_schema' END AS outcome,
+  CASE WHEN doc_id % 6 < 2 THEN sha256('r ' || text || chr(0) || CASE doc_id % 6 WHEN 1 THEN 'e ' || text ELSE '' END) END AS decision_sha256 FROM documents"""
+
+
+def _decision_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions: evidence null, evidence given; no JSON; passed as text, a blank reason, blank evidence."""
     k = F.col("doc_id") % 6
     quoted = lambda prefix: F.expr(f"substring(to_json(array(concat('{prefix} ', text))), 2, length(to_json(array(concat('{prefix} ', text)))) - 2)")
@@ -645,17 +631,46 @@ def strict_decisions(spark, sf_dir):
     second = check(F.lit("false"), F.when(k == 4, '" \\n"').otherwise('"so"'))
     evidence = F.when(k == 1, quoted("e")).when(k == 5, '" "').otherwise("null")
     completion = F.concat(F.lit('{"grounded":'), first, F.lit(',"self_contained":'), second, F.lit(',"answer_relevant":'), second, F.lit(',"evidence":'), evidence, F.when(k == 2, "").otherwise("}"))
-    found = _parsed(files(spark, sf_dir).select("doc_id", completion.alias("completion")), completions.parse_decision)
-    decision = F.from_json("value", "struct<checks: struct<grounded: struct<reason: string>>, evidence: string>")
-    return found.select("doc_id", "outcome", F.sha2(F.when(decision.isNotNull(), F.concat(decision["checks"]["grounded"]["reason"], F.lit("\0"), F.coalesce(decision["evidence"], F.lit("")))), 256).alias("decision_sha256"))
+    return files(spark, sf_dir).select("doc_id", completion.alias("completion"))
+
+
+def _decision_digest(decision: Column) -> Column:
+    return F.sha2(F.when(decision.isNotNull(), F.concat(decision["checks"]["grounded"]["reason"], F.lit("\0"), F.coalesce(decision["evidence"], F.lit("")))), 256).alias("decision_sha256")
+
+
+@query(_DECISIONS_SQL)
+def strict_decisions(spark, sf_dir):
+    found = _parsed(_decision_completions(spark, sf_dir), completions.parse_decision)
+    return found.select("doc_id", "outcome", _decision_digest(F.from_json("value", "struct<checks: struct<grounded: struct<reason: string>>, evidence: string>")))
+
+
+@query(_DECISIONS_SQL)
+def strict_decisions_jvm(spark, sf_dir):
+    """The same without Python workers."""
+    return _decision_completions(spark, sf_dir).select("doc_id", variants.decision(F.col("completion")).alias("r")).select("doc_id", "r.outcome", _decision_digest(F.col("r.value")))
 
 
 @query(chunk_sql(4_000, f"""SELECT row_number() OVER (ORDER BY chunk_id, item_ord) - 1 AS item_ord, sha256(chunk_id || chr(0) || {NORM_SQL.format('question')}) AS id, sha256(question) AS question_sha256, sha256(answer) AS answer_sha256, path, n_tags, confidence
-  FROM ({_WHOLE_ITEMS})"""))
+  FROM ({_ITEMS_SELECT})"""))
 def dataset_strict_read(spark, sf_dir):
     """A dataset written as a folder of parts in order, and read strictly: numbers of lines across files."""
     keep = Written(spark)
-    lines = qa.json_lines(qa.alpaca(_items(spark, sf_dir, whole=True), "chunk_id", "item_ord"), ["instruction", "input", "output", "metadata"], "chunk_id", "item_ord")
-    folder = f"{keep.root.removeprefix('file://')}/lines"
-    write_folder(lines.orderBy("chunk_id", "item_ord"), folder)
+    lines = qa.json_lines(qa.alpaca(_items(spark, sf_dir), "chunk_id", "item_ord"), ["instruction", "input", "output", "metadata"], "chunk_id", "item_ord")
+    folder = keep.folder("lines")
+    write_lines(lines, [F.col("chunk_id"), F.col("item_ord")], folder, parts=True)
     return read_dataset(spark, f"file://{folder}", keep).select("item_ord", "id", F.sha2("question", 256).alias("question_sha256"), F.sha2("answer", 256).alias("answer_sha256"), "source.path", F.size("tags").alias("n_tags"), "confidence")
+
+
+@query(chunk_sql(4_000, """SELECT n AS line, CASE WHEN n % 7 = 0 THEN 'blank line' WHEN n % 11 = 0 THEN 'metadata with its source is missing' ELSE 'malformed JSON' END AS error
+  FROM (SELECT row_number() OVER (ORDER BY chunk_id, path, start_line) AS n FROM ids) WHERE n % 7 = 0 OR n % 11 = 0 OR n % 13 = 0"""))
+def dataset_bad_lines(spark, sf_dir):
+    """Every line of a damaged dataset that the strict reader cannot take, with its number and what is wrong."""
+    keep = Written(spark)
+    lines = numbered(chunks(spark, sf_dir).select("chunk_id", "path", "start_line", "text"), [F.col("chunk_id"), F.col("path"), F.col("start_line")], "n", keep).withColumn("n", F.col("n") + 1)
+    meta = F.struct(F.col("chunk_id").alias("id"), F.struct("path", "start_line", F.col("start_line").alias("end_line")).alias("source"), "chunk_id", F.lit("stub").alias("model"), F.lit("t").alias("generated_at"))
+    record = lambda meta: F.to_json(F.struct(F.col("text").alias("instruction"), F.lit("").alias("input"), F.col("text").alias("output"), meta.alias("metadata")))
+    value = F.when(F.col("n") % 7 == 0, " \t").when(F.col("n") % 11 == 0, record(F.struct("chunk_id"))).when(F.col("n") % 13 == 0, F.concat(record(meta), F.lit("}"))).otherwise(record(meta))
+    folder = keep.folder("lines")
+    write_lines(lines.select(value.alias("value"), "n"), [F.col("n")], folder, parts=True)
+    found = numbered_records(spark, f"file://{folder}", keep).where("error IS NOT NULL")
+    return found.select("line", F.when(F.col("error").isin("blank line", "metadata with its source is missing"), F.col("error")).otherwise("malformed JSON").alias("error"))

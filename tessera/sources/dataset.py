@@ -38,8 +38,8 @@ def parse_record(line: str) -> dict[str, Any]:
     }
 
 
-def read_dataset(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The dataset's QA items with item_ord, the number of the line before; a blank or malformed line, or no line, is an error with its number.
+def numbered_records(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(line, error, record) of each line of a dataset, from 1; a line has either a record or what is wrong with it.
 
     path is one file, or a folder of part files, which follow one another by the lengths of their names, then by name. Every split is parsed once and kept (keep writes a table and reads it again);
     lines are numbered within their split, and splits, a row each, are counted, put in order and joined, to tell how many lines lie before.
@@ -62,11 +62,16 @@ def read_dataset(spark: SparkSession, path: str, keep: Callable[[DataFrame], Dat
     parsed = keep(lines.mapInPandas(parse, PARSED))
     splits = parsed.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first_at"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(F.length("file"), "file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = parsed.join(splits.select("file", "block", (before - F.col("first_at")).alias("shift")), ["file", "block"]).withColumn("line", F.col("at") + F.col("shift") + 1)
+    return parsed.join(splits.select("file", "block", (before - F.col("first_at")).alias("shift")), ["file", "block"]).select((F.col("at") + F.col("shift") + 1).alias("line"), "error", "record")
+
+
+def read_dataset(spark: SparkSession, path: str, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The dataset's QA items with item_ord, the number of the line before; a blank or malformed line, or no line, is an error with its number."""
+    numbered = numbered_records(spark, path, keep)
     bad = numbered.where("error IS NOT NULL").orderBy("line").select("error", "line").limit(1).collect()
     if bad:
         raise DatasetError(bad[0]["error"], bad[0]["line"])
-    if parsed.isEmpty():
+    if numbered.isEmpty():
         raise DatasetError("the dataset has no records")
     meta = F.col("record.metadata")
     return numbered.select(

@@ -7,7 +7,7 @@ import pytest
 
 from tessera import cli
 from tessera.config import BuildConfig, CacheConfig, ChunkConfig, DiscoveryConfig, ExportConfig, GenerationConfig, VerificationConfig, build_config_from_json, to_json
-from tessera.errors import CacheError, ConfigError, DatasetError, ExportError, NoChunks, NoDocuments
+from tessera.errors import CacheError, ConfigError, DatasetError, ExportError, NoChunks, NoDocuments, StageFailed
 from tessera.plans.files import Written
 from tessera.plans.build import build_dataset, git_commit, output_paths
 from tessera.plans.verify import fails_gate, source_path, verify_dataset
@@ -144,8 +144,9 @@ def test_retry(spark, tmp_path):
 
 def test_finished_work_survives(spark, tmp_path):
     root = repo(tmp_path / "r", {"a.md": "# One\nx", "b.md": "# Two\ny"})
-    with pytest.raises(Exception, match="401"):
+    with pytest.raises(StageFailed, match="b.md:1-2.*401") as e:
         build_dataset(spark, config(root, tmp_path / "d.jsonl"), client(fail_on="Two", delays={"Two": 1.0}))
+    assert e.value.cause.status == 401
     assert spark.read.parquet(os.path.join(root, ".tessera", "segments")).count() == 1
     assert build_dataset(spark, config(root, tmp_path / "d.jsonl"), client()).model_calls == 1
 
@@ -236,6 +237,22 @@ def test_command_line():
     assert "prompt_file" not in to_json(made) and to_json(made)["discovery"]["max_files"] == 3
 
 
+def test_what_the_command_line_says(spark, tmp_path, capsys, monkeypatch):
+    root, out = repo(tmp_path / "r", {"a.md": "# A\ntext", "b.txt": "x"}), tmp_path / "d.jsonl"
+    monkeypatch.setattr(cli, "resolve_provider", lambda *_: ("m", None, client()))
+    arguments = ["--repo", root, "--out", str(out), "--max-retries", "0"]
+    assert cli.main(["build", *arguments]) == 0
+    said = capsys.readouterr()
+    assert said.out == f"2 items from 1 chunks of 1 files in {out}\nmanifest in {tmp_path / 'manifest.json'}\n"
+    assert said.err.splitlines()[2:6] == ["a.md: 1 chunks", "1 chunks to ask about, 1 at a time", "[1/1] a.md:1-2", "[1] a.md:1-2: 2 items"]
+    assert cli.main(["verify", "--dataset", str(out), "--manifest", str(tmp_path / "manifest.json"), "--repo", root, "--out", str(tmp_path / "v.jsonl"), "--fail-on", "rejected"]) == 1
+    said = capsys.readouterr()
+    assert said.out.startswith("2 items: 1 accepted, 1 rejected, 0 unverifiable\n") and ": rejected" in said.err
+    monkeypatch.setattr(cli, "resolve_provider", lambda *_: ("m", None, client(fail_on="A")))
+    assert cli.main(["build", *arguments, "--no-cache"]) == 1
+    assert capsys.readouterr().err.splitlines()[-1] == "error: no answer about a.md:1-2: the model API answered 401: no"
+
+
 def test_git_commit(tmp_path):
     assert git_commit(str(tmp_path)) is None
 

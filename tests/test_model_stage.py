@@ -182,11 +182,11 @@ def test_lines_wait_for_their_turn(spark):
         one.close()  # a lost task gives back what it held
         two.begin(6)
         two.tell("chunk_finished", {"index": 3})
-        two.fail(ApiError(401, "no"))
+        two.fail(ApiError(401, "no"), {"path": "a.md"})
         with pytest.raises(Stopped):
             two.begin(7)
         two.close()
-    assert channel.error.status == 401 and channel.finished == {3} and events[0].kind == "chunk_finished"
+    assert channel.error.status == 401 and channel.error.about == {"path": "a.md"} and channel.finished == {3} and events[0].kind == "chunk_finished"
 
 
 def test_errors_as_records():
