@@ -5,7 +5,7 @@ in numpy on windows of labelled texts and applied to all windows of every whole
 the mean over its windows, weighted by their bytes.
 
 The training sample is bounded: at most max_sample documents in all (one of each where there are more languages), shared evenly by the languages and
-chosen by a hash of doc_id, four windows of each. It is the only thing that reaches the driver. A null text, or one without a letter (category L), is "und" with score 0, and so is every text
+chosen by hashes of their texts, so that a text counts once for a language, four windows of each. It is the only thing that reaches the driver. A null text, or one without a letter (category L), is "und" with score 0, and so is every text
 when nothing is labelled. Repeated rows get equal answers; an empty table gives an empty result.
 """
 
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel
@@ -104,32 +104,41 @@ def remainder() -> Column:
 
 
 def sample(docs: DataFrame, max_sample: int = 1600) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows of at most max_sample labelled texts, their labels, and the languages."""
-    labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 1))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
-    languages = sorted(sizes)
-    if not languages:
+    """Windows of at most max_sample labelled texts (of one for each language at least), their labels, and the languages that have any.
+
+    A text counts once for a language, however often it is there: texts are grouped by their hashes, and each language's first in the order of hashes
+    are taken, as many of each as share max_sample evenly. Only these few are cut into windows.
+    """
+    labelled = docs.where((F.length("text") > 0) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 1)).select("lang", "text", F.xxhash64("text").alias("h"))
+    texts = labelled.groupBy("lang", "h").agg(F.count("*").alias("n"))
+    first = texts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))).where(F.col("r") <= max_sample)
+    ranked = first.groupBy("lang").agg(F.max("r").alias("n"))
+    n_languages = ranked.count()
+    if not n_languages:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    each = max(1, max_sample // len(languages))
-    order = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    wanted = F.coalesce(*[F.when(F.col("lang") == k, int(min(1.0, 1.5 * each / n) * (1 << 30))) for k, n in sizes.items()])
-    at = lambda j: F.substring("text", 1 + F.pmod(F.xxhash64("doc_id", F.lit(j)), F.greatest(F.lit(1), F.length("text") - 200)).cast("int"), F.lit(WINDOW))
-    rows = labelled.where(order < wanted).select("lang", order.alias("o"), "doc_id", F.array(*[at(j) for j in range(4)]).alias("parts")).sort("o", "doc_id").limit(2 * max(max_sample, len(languages))).collect()
-    taken: dict[str, int] = {}
+    each = max(1, max_sample // n_languages)
+    chosen = first.where(F.col("r") <= each).select("lang", "h")  # max_sample rows, or one for each language
+    at = lambda j: F.substring("text", 1 + F.pmod(F.xxhash64("h", F.lit(j)), F.greatest(F.lit(1), F.length("text") - 200)).cast("int"), F.lit(WINDOW))
+    cut = labelled.join(F.broadcast(chosen), ["lang", "h"]).select("lang", "h", F.array(*[at(j) for j in range(4)]).alias("parts")).dropDuplicates(["lang", "h"])
+    rows = sorted(cut.collect(), key=lambda r: (r["h"], r["lang"]))
+    languages = sorted({r["lang"] for r in rows})
     windows, labels = [], []
     for r in rows:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= each:
-            for part in r["parts"]:
-                raw = part.encode()[:WINDOW]
-                windows.append(np.frombuffer(raw.ljust(WINDOW, b"\0"), np.uint8))
-                labels.append(languages.index(r["lang"]))
+        for part in r["parts"]:
+            raw = part.encode()[:WINDOW]
+            windows.append(np.frombuffer(raw.ljust(WINDOW, b"\0"), np.uint8))
+            labels.append(languages.index(r["lang"]))
     return np.array(windows).reshape(-1, WINDOW), np.array(labels), languages
 
 
 def learn(docs: DataFrame, max_sample: int = 1600) -> Net | None:
+    """A network, or None if nothing is labelled. Languages with fewer windows than others see theirs as often in all as the others."""
     windows, labels, languages = sample(docs, max_sample)
-    return train(windows, labels, languages) if len(windows) else None
+    if not len(windows):
+        return None
+    most = int(np.bincount(labels).max())
+    even = np.concatenate([np.resize(np.flatnonzero(labels == k), most) for k in range(len(languages))])
+    return train(windows[even], labels[even], languages)
 
 
 def predict_texts(net: Net, column: pa.Array, at_once: int = 256) -> tuple[np.ndarray, np.ndarray]:
