@@ -25,7 +25,9 @@ SAMPLED = 4
 
 
 def _words(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"[{UNSPACED}]|[^\s\p{{Punct}}{UNSPACED}]+"), F.lit(0))
+    """Runs of other than white space and punctuation; where a text may hold unspaced scripts, which all lie above U+0E00, their characters one by one."""
+    single = F.regexp_extract_all(F.lower(text), F.lit(rf"[{UNSPACED}]|[^\s\p{{Punct}}{UNSPACED}]+"), F.lit(0))
+    return F.when(F.rlike(text, F.lit("[\\x{0E00}-\\x{10FFFF}]")), single).otherwise(F.filter(F.split(F.lower(text), r"[\s\p{Punct}]+"), lambda w: w != ""))
 
 
 def _is_common(word: Column) -> Column:

@@ -411,6 +411,20 @@ def test_language(spark, empty):
     assert {r["lang_pred"] for r in rows(language.identify(table, None))} == {"und"}
 
 
+def test_copies_count_once_in_training(spark):
+    """6,000 copies of one text do not take another language's place, nor does a language go without windows."""
+    r = np.random.default_rng(2)
+    made = [(k, "ba na ka the lu mo", "aa") for k in range(6000)] + [(10_000 + k, " ".join(r.choice(["zü", "ßt", "öm", "der"], 60)), "bb") for k in range(300)] + [(20_000, "", "cc"), (20_003, None, "dd"), (20_006, "x", None)]
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(7)
+    windows, labels, languages = language.sample(table)
+    learned = [d for d, _, lang in made if lang == "bb" and zlib.crc32(str(d).encode()) % 3 != 1]
+    assert languages == ["aa", "bb"] and np.bincount(labels).tolist() == [4, 4 * len(learned)] and len(windows) == len(labels)
+    net = language.learn(table)
+    assert {tuple(x)[1] for x in language.identify(table.where("doc_id % 1000 < 9"), net).collect()} >= {"aa", "bb"}
+    bounded = language.sample(table, 50)
+    assert np.bincount(bounded[1]).tolist() == [4, 4 * 25] and (bounded[0] == language.sample(table.repartition(3), 50)[0]).all()
+
+
 def test_gradient():
     rng = np.random.default_rng(1)
     w = rng.integers(0, 256, (40, language.WINDOW)).astype(np.uint8)
