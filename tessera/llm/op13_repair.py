@@ -429,3 +429,51 @@ def repair(rows: DataFrame, segment_rows: int = SEGMENT_ROWS, segment_bytes: int
 
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")))
+
+
+def _sql() -> str:
+    """The same in SQL: a recursion from each conversation's end, whose rows hold, for each state, the cheapest and least way on, {cost, edits, text}."""
+    ws = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    step = "list_reduce(list_prepend(xor(c, b), range(8)), lambda e, k: xor(e >> 1, (e & 1) * 3988292384::BIGINT))"
+    crc = f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: {step}))"
+    way = lambda cost, edit, line, on: f"{{'c': {cost} + {on}.c, 'e': '{edit}' || {on}.e, 't': {f'chr(10) || {line} || ' if line else ''}{on}.t}}"
+    after = {START: USER, SYSTEM: USER, USER: ASSISTANT, ASSISTANT: USER}
+    name = {USER: "user", ASSISTANT: "assistant"}
+
+    def options(state: int) -> str:
+        onwards = after[state]
+        found = [way(DELETE, "D", "", f"s{state}"), f"CASE WHEN NOT must THEN {way(f'{REROLE} + {TRUNCATED} * cut', 'R', f"'{name[onwards]}:' || text", f's{onwards}')} END"]
+        fits = [("s", SYSTEM)] if state == START else []
+        fits += [("a", ASSISTANT)] if state == USER else [("u", USER)]
+        found += [f"CASE WHEN NOT must AND initial = '{i}' THEN {way(f'{TRUNCATED} * cut', 'K', "role || ':' || text", f's{to}')} END" for i, to in fits]
+        return f"list_min([{', '.join(found)}]) AS o{state}"
+
+    better = lambda own, on, to: f"list_min([{own}, {way(INSERT, 'I', f"'{name[to]}:'", on)}])"
+    return f"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), kinds AS (
+  SELECT *, {crc} % 20 AS kind FROM keyed
+), damaged AS (
+  SELECT conv_id, turn, i, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM kinds, range(1, 3) AS r(i) WHERE kind <> 0 AND (i = 1 OR kind = 3)
+), placed AS (
+  SELECT *, left(role, 1) AS initial, trim(text, {ws}) AS solid, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, i) AS n FROM damaged
+), seen AS (
+  SELECT *, solid = '' AS blank, solid <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM placed
+), judged AS (
+  SELECT *, blank OR again AS must, (NOT blank AND NOT again AND right(solid, 1) NOT IN ('.', '!', '?'))::INT AS cut FROM seen
+), ways AS (
+  SELECT conv_id, max(n) + 1 AS n, {{'c': 0::BIGINT, 'e': '', 't': ''}} AS s0, {{'c': {2 * INSERT}::BIGINT, 'e': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}} AS s1, {{'c': {INSERT}::BIGINT, 'e': 'I', 't': chr(10) || 'assistant:'}} AS s2, {{'c': 0::BIGINT, 'e': '', 't': ''}} AS s3 FROM judged GROUP BY conv_id
+  UNION ALL
+  SELECT conv_id, n, {better("o0", "b2", USER)}, {better("o1", "b2", USER)}, b2, b3 FROM (
+    SELECT *, {better("o2", "o3", ASSISTANT)} AS b2, {better("o3", "o2", USER)} AS b3 FROM (
+      SELECT w.conv_id, j.n, {', '.join(map(options, range(4)))} FROM ways w JOIN judged j ON j.conv_id IS NOT DISTINCT FROM w.conv_id AND j.n = w.n - 1))
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE again) AS duplicate, sum(cut) AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
+)
+SELECT k.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.s0.c, 0)::BIGINT AS cost, coalesce(w.s0.e, '') AS audit, sha256(coalesce(substr(w.s0.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM k.conv_id LEFT JOIN ways w ON w.conv_id IS NOT DISTINCT FROM k.conv_id AND w.n = 1
+"""
+
+
+ORACLE_SQL = _sql()

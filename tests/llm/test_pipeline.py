@@ -83,7 +83,7 @@ def test_near_duplicates_between_thresholds(spark):
 def test_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "labels", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
     result = db.execute(ORACLE_SQL[name])
     columns = [c[0] for c in result.description]
