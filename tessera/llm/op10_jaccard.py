@@ -260,7 +260,8 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, judged on their whole texts. A pivot's many members are dealt out by the join on the members' side."""
+    """The pairs (a, b) that link, judged on their whole texts. pairs must be a table. Pivots of very many pairs, a bounded number, are repeated with their texts once for each
+    block of members, so that neither join brings all members of one to a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -274,9 +275,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int
                     keep.append(both > 0 and den * both >= num * (len(p) + len(q) - both))
                 yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
+    hot = _hot(pairs.groupBy("b").agg(F.count("*").alias("times"))).select("b", F.ceil(F.col("times") / MEMBERS).alias("blocks"))
+    one = lambda blocks: F.coalesce(blocks, F.lit(1).cast("long"))
     own = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    pivots = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.select("a", "b").join(pivots, "b").join(own, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    pivots = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).join(F.broadcast(hot), "b", "left").select("b", "text_b", F.explode(F.sequence(F.lit(0).cast("long"), one(F.col("blocks")) - 1)).alias("block"))
+    dealt = pairs.select("a", "b").join(F.broadcast(hot), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), one(F.col("blocks"))).alias("block"))
+    return dealt.join(pivots, ["b", "block"]).join(own, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+
+
+#: Share of all rows from which a key is hot, so that there are 1 / HOT_SHARE hot keys at most; members of a block of a hot pivot.
+HOT_SHARE, MEMBERS = 1 / 2000, 256
+
+
+def _hot(counted: DataFrame) -> DataFrame:
+    """Of keys with their number of rows (times), those with MEMBERS or more and HOT_SHARE of all."""
+    total = counted.agg(F.sum("times")).first()[0] or 0
+    return counted.where(F.col("times") >= max(MEMBERS, HOT_SHARE * total))
 
 
 def shared(p: np.ndarray, q: np.ndarray) -> int:
@@ -419,8 +433,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, width: int = 4, num
     docs = docs.select("doc_id", "text")
     found = scratch.keep(_first_pass(docs, width, rings, max(1, -(-docs.count() // bucket_docs))))
     rows = found.where("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("k1"), F.col("d").alias("k2"))
-    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    same = scratch.keep(rows.join(classes, ["k1", "k2", "n"], "left").select("doc_id", "n", "rep"))
+    filled = rows.where("n > 0")
+    classes = scratch.keep(filled.where("doc_id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("times")))
+    hot = _hot(classes).select("k1", "k2", "n", F.col("rep").alias("hot"))
+    dealt = filled.join(F.broadcast(hot), ["k1", "k2", "n"], "left").withColumn("k2", F.when(F.col("hot").isNull(), F.col("k2")).otherwise(F.xxhash64(F.coalesce("doc_id", F.monotonically_increasing_id()))))
+    alike = dealt.join(classes.drop("times"), ["k1", "k2", "n"], "left").select("doc_id", "n", F.coalesce("hot", "rep").alias("rep"))
+    same = scratch.keep(alike.unionByName(rows.where("n = 0").select("doc_id", "n", F.lit(None).cast("long").alias("rep"))))
     name = same.where("doc_id IS NOT NULL AND rep IS NOT NULL").select("doc_id", "rep").distinct()
     candidates = found.where("kind = 1").groupBy("a", "b").agg(F.sum("c").alias("times"))
     candidates = candidates.join(name.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra")), "a").join(name.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb")), "b")
