@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import itertools
 import json
 import os
@@ -22,7 +24,7 @@ OURS = "_tessera"
 
 
 class Written:
-    """Tables that live until close(): a model must not be asked again because a second action reads its answers."""
+    """Tables that live until close(), or until the driver ends: a model must not be asked again because a second action reads its answers."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
@@ -31,6 +33,7 @@ class Written:
             raise ExportError("spark.checkpoint.dir must name a folder that all machines share")
         self.root = f"{root.rstrip('/') if root else 'file://' + tempfile.gettempdir()}/tessera-{uuid.uuid4().hex}"
         self.count = 0
+        atexit.register(self._at_exit)
 
     def __call__(self, frame: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
@@ -48,6 +51,11 @@ class Written:
     def close(self) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        atexit.unregister(self._at_exit)
+
+    def _at_exit(self) -> None:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            self.close()
 
 
 def create_parent(path: str) -> None:

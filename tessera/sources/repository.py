@@ -6,7 +6,6 @@ is small enough for it, lists on the driver. With more than one machine the fold
 
 from __future__ import annotations
 
-import atexit
 import functools
 import json
 import os
@@ -237,7 +236,6 @@ def scan(spark: SparkSession, root: str, config: DiscoveryConfig = DiscoveryConf
         from tessera.plans.files import Written
 
         keep = Written(spark)
-        atexit.register(keep.close)
     root = os.path.abspath(root)
     listed = numbered(list_files(spark, root, config, keep, excluded_paths), [F.split("path", "/")], "file_ord", keep)
     over = F.lit(False) if config.max_files is None else F.col("file_ord") >= config.max_files

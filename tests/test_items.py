@@ -46,6 +46,18 @@ def test_first_question_stays_and_rejected_ones_claim_nothing(spark):
     assert (stats["generated_items"], stats["rejected_items"], stats["duplicate_items"]) == (3, 1, 1)
 
 
+def test_first_questions_are_found_by_numbers(spark):
+    rows = [(f"Q{k % 50}?" if k % 3 else "everyone asks", k // 40, k % 40, "x" * (k % 7)) for k in range(2000)]
+    items = spark.createDataFrame(rows, "question string, doc long, line int, rest string").repartition(7)
+    first = qa.first_per_question(items, ["doc", "line"])
+    want = {}
+    for q, doc, line, rest in sorted(rows, key=lambda r: r[1:3]):
+        want.setdefault(T.py_trim(q).rstrip("?").lower(), (q, doc, line, rest))
+    assert sorted(tuple(r) for r in first.collect()) == sorted(want.values()) and first.columns == items.columns
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan and "min_by" not in plan
+
+
 def test_json_lines_leave_out_what_is_empty(spark):
     rows = spark.createDataFrame([item(spark), item(spark, tags=["x"], confidence=0.5)], schemas.QA)
     lines = [json.loads(r.value) for r in qa.json_lines(qa.alpaca(rows), ["instruction", "input", "output", "metadata"]).collect()]

@@ -105,7 +105,8 @@ def test_events_come_while_the_stage_runs(spark, tmp_path, keep):
     assert sum(t < ended - 0.5 for t, _ in events) >= 6  # long before the last call
     by_index = {k: [(e.kind, e.details.get("length")) for _, e in events if e.details["index"] == k] for k in range(6)}
     assert by_index[0] == [("chunk_started", None), ("chunk_finished", 2)] and [k for k, _ in by_index[2]] == ["chunk_started", "retry_scheduled", "chunk_finished"]
-    assert events[0][1].details == {"index": 0, "total": 8, "source": "model", "place": "at 0"} and found.told == set(range(6)) and found.counts() == (7, 1)
+    begun = next(e for _, e in events if e.details["index"] == 0)
+    assert begun.details == {"index": 0, "total": 8, "source": "model", "place": "at 0"} and found.told == set(range(6)) and found.counts() == (7, 1)
 
 
 def test_a_reporter_that_raises_ends_the_stage(spark, tmp_path, keep):
