@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import kernel
-from tessera.llm.common import table
+from tessera.llm.common import Scratch, table
 
 WINDOW = 256
 _LETTER = regex.compile(r"\p{L}")
@@ -111,7 +111,11 @@ def sample(docs: DataFrame, max_sample: int = 1600) -> tuple[np.ndarray, np.ndar
     """
     labelled = docs.where((F.length("text") > 0) & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (remainder() != 1)).select("lang", "text", F.xxhash64("text").alias("h"))
     texts = labelled.groupBy("lang", "h").agg(F.count("*").alias("n"))
-    first = texts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))).where(F.col("r") <= max_sample)
+    order = [F.xxhash64("h"), F.col("h")]
+    parts = texts.withColumn("part", F.pmod("h", F.lit(64)))  # so that what one task ranks of a language does not grow with the table
+    for of in (["lang", "part"], ["lang"]):
+        parts = parts.withColumn("r", F.row_number().over(Window.partitionBy(*of).orderBy(*order))).where(F.col("r") <= max_sample)
+    first = Scratch(docs.sparkSession, "language").keep(parts.select("lang", "h", "r"))
     ranked = first.groupBy("lang").agg(F.max("r").alias("n"))
     n_languages = ranked.count()
     if not n_languages:
