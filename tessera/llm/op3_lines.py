@@ -3,7 +3,7 @@
 Lines are exploded and normalised to keys, keys are hashed (two 64-bit hashes with different seeds, 128 bits), and a partial aggregation
 finds for each hash the smallest and largest document that holds it: it is in two documents where these differ. Lines with such a key go
 from every document but the smallest; what is left is put together by position. Only (document, position, hash) is shuffled by hash. Lines that are
-HOT_SHARE of all lines or more, at most 1 / HOT_SHARE keys, are looked up in a broadcast table and then dealt evenly, so that no task gets
+HOT_SHARE of all lines in several documents or more, at most 1 / HOT_SHARE keys, are looked up in a broadcast table and then dealt evenly, so that no task gets
 all rows of a hot line; texts are shuffled once, by document.
 
 A null or empty text is one empty line. Rows with a null doc_id count for no document and lose nothing. Rows that repeat a doc_id count as one
