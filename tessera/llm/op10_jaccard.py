@@ -243,18 +243,24 @@ class _Marks:
         return (kernel.mix(values) % U(size)).astype(np.int64)
 
     def load(self) -> np.ndarray:
-        return np.unpackbits(np.frombuffer(zlib.decompress(self.sent.value), np.uint8)).view(bool)
+        """The marks, eight to a byte."""
+        return np.frombuffer(zlib.decompress(self.sent.value), np.uint8)
+
+    @staticmethod
+    def found(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """Whether the values are marked in what load() gave."""
+        place = _Marks.place(values, 8 * len(known))
+        return (known[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """docs whose doc_id is in ids (id). The marks keep most others from the shuffle; the join keeps out the rest."""
     marks = _Marks(ids, "id")
-    size, sent = marks.size, marks
 
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.load()
+        known = marks.load()
         for batch in batches:
-            yield batch.filter(pa.array(known[_Marks.place(batch.column("doc_id").fill_null(0).to_numpy().view(U), size)]))
+            yield batch.filter(pa.array(_Marks.found(known, batch.column("doc_id").fill_null(0).to_numpy().view(U))))
 
     return docs.select("doc_id", "text").mapInArrow(likely, "doc_id long, text string").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
 
@@ -388,7 +394,7 @@ def _open_cells(docs: DataFrame, reps: DataFrame, parts: DataFrame, marks: _Mark
                 part = batch.slice(x, y - x)
                 h, at = kernel.shingle_sets(part.column("text"), width)
                 key, row = regions(h, at, rings)
-                several = known[_Marks.place(key, marks.size)]
+                several = _Marks.found(known, key)
                 key, row = key[several], row[several]
                 order = np.argsort(row, kind="stable")
                 own, first = np.unique(row[order], return_index=True)
@@ -480,7 +486,7 @@ def drop_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
             known = marks.load()
             for batch in batches:
                 ids = batch.column("doc_id")
-                found = known[_Marks.place(ids.fill_null(0).to_numpy().view(U), marks.size)] & np.array(ids.is_valid())
+                found = _Marks.found(known, ids.fill_null(0).to_numpy().view(U)) & np.array(ids.is_valid())
                 yield batch.filter(pa.array(found if maybe else ~found))
 
         return docs.mapInArrow(run, docs.schema)
