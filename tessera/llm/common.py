@@ -58,9 +58,10 @@ class Scratch:
         self.made += 1
         return self.paths[-1]
 
-    def keep(self, frame: DataFrame) -> DataFrame:
+    def keep(self, frame: DataFrame, rows_per_file: int = 0) -> DataFrame:
+        """rows_per_file bounds what a reader of large rows holds at once; 0: no bound."""
         where = self.path()
-        frame.write.option("compression", "zstd").parquet(where)
+        frame.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_file).parquet(where)
         return self.spark.read.schema(frame.schema).parquet(where)
 
     def drop(self, *paths: str) -> None:

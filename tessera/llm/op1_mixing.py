@@ -15,9 +15,11 @@ predictor is antisymmetric in the two bits, so probabilities of a decision sum t
 All counts are of all training tokens and grow with the corpus. Texts are cut into chunks where they are read; a chunk's distinct tokens and
 distinct pairs (context, bits) are sorted, packed and sent to slices, ranges of hashes of bounded size, which add up the counts of all chunks and send
 back each chunk's counts and prices. Pairs of a token that is HOT_SHARE of all or more are dealt by their first HOT_BITS bits too, and a table of
-at most 1 / HOT_SHARE such tokens holds the counts of these bits. Weights and the last stage are learned online, in the order of the pairs' hashes, from the
-training occurrences of a share of all contexts that holds about learn_tokens tokens, each predicted from the counts without itself before the
-weights move; they stay fixed while texts are scored. No result depends on how rows, chunks or slices are dealt.
+at most 1 / HOT_SHARE such tokens holds the counts of these bits. Weights and the last stage are learned online from every training occurrence, each
+predicted from the counts without itself before the weights move: contexts are dealt by their hashes to groups of about learn_tokens tokens, each
+group learns in the order of its pairs' hashes, and the groups' weights are averaged by how much each gate met, what came true is added up. Those of
+bytes are learned so from all distinct training words, in groups of about learn_words. They stay fixed while texts are scored. Groups depend on the
+corpus alone, and what they tell are whole numbers, so no result depends on how rows, chunks or slices are dealt.
 
 A null text is an empty one: it is the end alone. Rows are scored each on its own, repeated ones too; a null doc_id counts as not held out. Without
 training documents every token is new. No documents give no rows. Words of any length are hashed and spelled whole.
@@ -27,7 +29,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,7 @@ GATES = (len(SEEN) + 1) * 2 * FAR
 BINS = 24
 PARTS = 16
 UNIT = 128  # prices are in parts of a bit
+WEIGHT_UNIT = 1 << 16
 _K = [kernel.mix(np.array([i], U) * U(0x9E3779B97F4A7C15))[0] | U(1) for i in range(301, 309)]
 _START, _END = kernel.mix(np.array(_K[:2], U))
 
@@ -124,6 +127,12 @@ def _pair_keys(contexts: np.ndarray, ids: np.ndarray, t: np.ndarray, first: np.n
     return (contexts[before] << U(BITS)) | (ids >> U(64 - BITS))[t]
 
 
+def _cut_out(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of some words end to end."""
+    ends = np.cumsum(size)
+    return raw[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + size, size)]
+
+
 def _byte_slots(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token, byte, contexts x bytes) of each byte of some words and of the space that ends each."""
     length = size + 1
@@ -142,7 +151,7 @@ def _byte_slots(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[n
 
 # chunks
 
-CHUNKS = "chunk long, part int, task long, counts binary, doc_id array<long>, n_bytes array<long>, n_tokens array<long>, t binary, ids binary, n binary, met binary, classes binary, new binary, pairs binary, pairs_n binary, n_pairs long, trained long, hot array<long>, hot_n array<long>"
+CHUNKS = "chunk long, part int, task long, counts binary, doc_id array<long>, n_bytes array<long>, n_tokens array<long>, t binary, ids binary, n binary, met binary, classes binary, new binary, old binary, old_sizes binary, trained long, hot array<long>, hot_context array<long>"
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
 _FIELDS = [(name, _KINDS[kind]) for name, kind in (x.split() for x in CHUNKS.split(", "))]
 CLASS_COUNTS, BYTE_COUNTS = 256 << CLASS_BITS, BYTE_ORDERS * BYTE_SLOTS * 256
@@ -169,8 +178,8 @@ def _chunk(number: int, docs: pa.Table, context_bits: int, counts: np.ndarray) -
     class_ = _classes(raw, begin[where], size[where])
     contexts = _contexts(ids, class_, context_bits)
     first = np.append(True, row[1:] != row[:-1])
-    key = _pair_keys(contexts, ids, t, first)
-    by_class = np.append(class_, int(_START >> U(56)))[np.where(first, len(ids), np.append(0, t[:-1]))]
+    before = np.where(first, len(ids), np.append(0, t[:-1]))
+    by_class = np.append(class_, int(_START >> U(56)))[before]
     counts[:CLASS_COUNTS] += np.bincount(((by_class << CLASS_BITS) | (ids >> U(64 - CLASS_BITS)).astype(np.int64)[t])[learned], minlength=CLASS_COUNTS)
     known = np.flatnonzero((n > 0) & (size[where] > 0))
     of, byte, slots = _byte_slots(raw, begin[where][known], size[where][known])
@@ -179,16 +188,10 @@ def _chunk(number: int, docs: pa.Table, context_bits: int, counts: np.ndarray) -
         counts[base : base + BYTE_SLOTS * 256] += np.bincount(slots[k] * 256 + byte, weights=n[known][of], minlength=BYTE_SLOTS * 256).astype(np.int64)
     new = np.flatnonzero((n == 0) & (size[where] > 0))
     spelled = b" ".join(raw[a : a + b].tobytes() for a, b in zip(begin[where][new].tolist(), size[where][new].tolist()))
-    both = np.sort((key << U(1)) | learned.astype(U))
-    starts = np.flatnonzero(np.append(True, (both[1:] >> U(1)) != (both[:-1] >> U(1))))
-    pairs, pairs_n = both[starts] >> U(1), np.add.reduceat((both & U(1)).astype(np.int64), starts)
-    ahead = pairs >> U(BITS)
-    begins = np.flatnonzero(np.append(True, ahead[1:] != ahead[:-1]))
-    followed = np.add.reduceat(pairs_n, begins)
-    hot = np.flatnonzero(followed >= max(1, HOT_SHARE * int(learned.sum())))
+    hot = np.flatnonzero(n >= max(1, HOT_SHARE * int(learned.sum())))  # a token that is hot in all chunks together is so in one at least
     return _row(
         chunk=number, doc_id=docs.column("doc_id").to_pylist(), n_bytes=[len(x.encode()) if x else 0 for x in text.to_pylist()], n_tokens=np.bincount(row, minlength=len(text)).tolist(), t=pack(_ranks(met)[t]), ids=pack(ids, True), n=pack(n), met=pack(met), classes=pack(class_),
-        new=zstandard.compress(spelled, 1), pairs=pack(pairs, True), pairs_n=pack(pairs_n), n_pairs=len(pairs), trained=int(learned.sum()), hot=ahead[begins[hot]].astype(np.int64).tolist(), hot_n=followed[hot].tolist(),
+        new=zstandard.compress(spelled, 1), old=zstandard.compress(_cut_out(raw, begin[where][known], size[where][known]).tobytes(), 1), old_sizes=pack(size[where][known]), trained=int(learned.sum()), hot=ids[hot].astype(np.int64).tolist(), hot_context=np.where(ids[hot] == _END, contexts[-1], contexts[hot]).astype(np.int64).tolist(),
     )
 
 
@@ -219,16 +222,42 @@ def _chunks(docs: DataFrame, context_bits: int, chunk_bytes: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, CHUNKS)
 
 
+PAIR_COLUMNS = ["doc_id", "n_tokens", "t", "ids", "met", "classes"]
+
+
+def _unfolded(one: dict, context_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: its distinct tokens; of each token its place among these, its row and its pair (context, bits)."""
+    ids = unpack(one["ids"], True)
+    t = _by_rank(unpack(one["met"]).astype(np.int64))[unpack(one["t"]).astype(np.int64)]
+    row = np.repeat(np.arange(len(one["n_tokens"])), one["n_tokens"])
+    contexts = _contexts(ids, unpack(one["classes"]).astype(np.int64), context_bits)
+    return ids, t, row, _pair_keys(contexts, ids, t, np.append(True, row[1:] != row[:-1]))
+
+
+def _counted_pairs(one: dict, context_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a chunk: the distinct pairs, ascending, and their training occurrences."""
+    _, _, row, key = _unfolded(one, context_bits)
+    learned = _trained(pa.array(one["doc_id"], pa.int64()))[row]
+    both = np.sort((key << U(1)) | learned.astype(U))
+    starts = np.flatnonzero(np.append(True, (both[1:] >> U(1)) != (both[:-1] >> U(1))))
+    return both[starts] >> U(1), np.add.reduceat((both & U(1)).astype(np.int64), starts)
+
+
 # slices
 
 SLICE = "slice int, chunk long, keys binary, n binary"
 
 
-def _units(key: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """A hash of the context of each pair, of a hot one with its first bits: pairs that are counted together have the same."""
+def _hot_places(key: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each pair: the place of its context among the hot ones, and whether it is one."""
     context = key >> U(BITS)
     at = np.searchsorted(hot, context).clip(max=max(len(hot) - 1, 0))
-    is_hot = hot[at] == context if len(hot) else np.zeros(len(key), bool)
+    return at, hot[at] == context if len(hot) else np.zeros(len(key), bool)
+
+
+def _units(key: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """A hash of the context of each pair, of a hot one with its first bits: pairs that are counted together have the same."""
+    context, is_hot = key >> U(BITS), _hot_places(key, hot)[1]
     return kernel.mix(np.where(is_hot, (key >> U(BITS - HOT_BITS)) + _K[5], context * _K[6]))
 
 
@@ -236,28 +265,50 @@ def _slices(unit: np.ndarray, slices: int) -> np.ndarray:
     return (((unit >> U(32)) * U(slices)) >> U(32)).astype(np.int32)
 
 
-def _dealt(rows: DataFrame, keys: str, n: str, slices: int, unit_of, below: float = 1.0) -> DataFrame:
-    """SLICE: the packed keys of each chunk by slices; below: the share of units that is wanted."""
-    most = U(min(2**64 - 1, int(below * 2**64)))
+def _parts(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each place that occurs, and where, in order."""
+    order = np.argsort(place, kind="stable")
+    there, at = np.unique(place[order], return_index=True)
+    return zip(there.tolist(), np.split(order, at[1:]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _rows_of(rows: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
+    """run, a generator of dicts, for each chunk's columns."""
+    kinds = pa.schema([(name, _KINDS[kind]) for name, kind in (x.split() for x in schema.split(", "))])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk, a, b in zip(batch.column("chunk").to_pylist(), batch.column(keys), batch.column(n)):
-                key, count = unpack(a.as_py(), True), unpack(b.as_py())
-                unit = unit_of(key)
-                if below < 1:
-                    wanted = unit <= most
-                    key, count, unit = key[wanted], count[wanted], unit[wanted]
-                place = _slices(unit, slices)
-                order = np.argsort(place, kind="stable")
-                there, at = np.unique(place[order], return_index=True)
-                parts = [order[x:y] for x, y in zip(at, np.append(at[1:], len(order)))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(there, pa.int32()), pa.array([chunk] * len(there), pa.int64()), pa.array([pack(key[p], True) for p in parts], pa.binary()), pa.array([pack(count[p]) for p in parts], pa.binary())],
-                    ["slice", "chunk", "keys", "n"],
-                )
-
-    return rows.where("chunk IS NOT NULL").select("chunk", keys, n).mapInArrow(run, SLICE)
+            for i in range(batch.num_rows):
+                yield from pa.Table.from_pylist(list(run(batch.slice(i, 1).to_pylist()[0])), kinds).to_batches()
+
+    return rows.where("chunk IS NOT NULL").select(*columns).mapInArrow(each, schema)
+
+
+def _dealt(rows: DataFrame, columns: list[str], counted, place_of) -> DataFrame:
+    """SLICE: the packed keys of each chunk, ascending, and their counts (counted from its columns), by slices (place_of keys)."""
+
+    def run(one: dict) -> Iterator[dict]:
+        key, n = counted(one)
+        for place, p in _parts(place_of(key)):
+            yield {"slice": place, "chunk": one["chunk"], "keys": pack(key[p], True), "n": pack(n[p])}
+
+    return _rows_of(rows, ["chunk", *columns], run, SLICE)
+
+
+SPELLED = "slice int, keys binary, sizes binary, words binary"
+
+
+def _spelled(rows: DataFrame, groups: int) -> DataFrame:
+    """SPELLED: the training words of each chunk by groups of their hashes, ascending."""
+
+    def run(one: dict) -> Iterator[dict]:
+        ids, n = unpack(one["ids"], True), unpack(one["n"])
+        ids, raw, size = ids[(n > 0) & (ids != _END)], np.frombuffer(zstandard.decompress(one["old"]), np.uint8), unpack(one["old_sizes"]).astype(np.int64)
+        begin = np.cumsum(size) - size
+        for place, p in _parts(_slices(ids, groups)):
+            yield {"slice": place, "keys": pack(ids[p], True), "sizes": pack(size[p]), "words": zstandard.compress(_cut_out(raw, begin[p], size[p]).tobytes(), 1)}
+
+    return _rows_of(rows, ["ids", "n", "old", "old_sizes"], run, SPELLED)
 
 
 def _gathered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -268,18 +319,17 @@ def _gathered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     return key, np.bincount(inverse, weights=n, minlength=len(key)).astype(np.int64), np.split(inverse, np.cumsum([len(x) for x in own])[:-1])
 
 
-ANSWERS = "chunk long, slice int, kind int, answer binary, n long, types long, once long, codes binary, codes_n binary"
+ANSWERS = "chunk long, slice int, kind int, answer binary, n long, types long, once long, codes binary, codes_n binary, hot array<long>"
 
 
-def _count_words(group: pa.Table) -> pa.Table:
-    """Kind 0: each chunk's counts; kind 1: a slice's tokens, types, types met once, and tokens by code."""
+def _count_words(group: pa.Table, hot_least: float) -> pa.Table:
+    """Kind 0: each chunk's counts; kind 1: a slice's tokens, types, types met once, tokens by code, and those met hot_least times or more."""
     id_, n, places = _gathered(group)
     slice_ = group.column("slice")[0].as_py()
     codes, at = np.unique(id_ >> U(64 - BITS), return_index=True)
     rows = [{"chunk": c, "slice": slice_, "kind": 0, "answer": pack(n[p])} for c, p in zip(group.column("chunk").to_pylist(), places)]
-    rows.append({"slice": slice_, "kind": 1, "n": int(n.sum()), "types": int((n > 0).sum()), "once": int((n == 1).sum()), "codes": pack(codes, True), "codes_n": pack(np.add.reduceat(n, at))})
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
-    return pa.Table.from_pylist(rows, pa.schema([(x, kinds[y]) for x, y in (z.split() for z in ANSWERS.split(", "))]))
+    rows.append({"slice": slice_, "kind": 1, "n": int(n.sum()), "types": int((n > 0).sum()), "once": int((n == 1).sum()), "codes": pack(codes, True), "codes_n": pack(np.add.reduceat(n, at)), "hot": id_[n >= hot_least].astype(np.int64).tolist()})
+    return pa.Table.from_pylist(rows, pa.schema([(x, _KINDS[y]) for x, y in (z.split() for z in ANSWERS.split(", "))]))
 
 
 def _tree(leaves: np.ndarray) -> np.ndarray:
@@ -290,6 +340,11 @@ def _tree(leaves: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros_like(out[-1]), *out[::-1]], -1)
 
 
+def _siblings(tree: np.ndarray) -> np.ndarray:
+    """The counts of each node's sibling in place of its own."""
+    return tree.reshape(*tree.shape[:-1], -1, 2)[..., ::-1].reshape(tree.shape)
+
+
 def _logits(tree: np.ndarray, prior: float = 0.4) -> np.ndarray:
     """Of the bit 1 at each node."""
     return np.log((tree[..., 1::2] + prior) / (tree[..., 0::2] + prior)).astype(np.float32)
@@ -307,29 +362,49 @@ class Mixer:
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Logit of the bit that came, x being the inputs for it."""
-        return np.clip(np.einsum("ij,ij->i", x, self.weights[gate]), -12, 12)
+        weights = np.ascontiguousarray(self.weights.T)
+        z = x[:, 0] * weights[0][gate]
+        for k in range(1, x.shape[1]):
+            z += x[:, k] * weights[k][gate]
+        return np.minimum(np.maximum(z, np.float32(-12)), np.float32(12))
 
     def learn(self, x: np.ndarray, gate: np.ndarray, mass: np.ndarray, rate: float = 0.02) -> None:
         """Predicts, then moves the weights."""
         z = self.mixed(x, gate)
-        at = gate * BINS + np.minimum(np.abs(z) * (BINS / 12), BINS - 1).astype(np.int64)
-        self.right += np.bincount(at, weights=mass * np.where(z > 0, 1.0, np.where(z < 0, 0.0, 0.5)), minlength=GATES * BINS).reshape(GATES, BINS)
-        self.met += np.bincount(at, weights=mass, minlength=GATES * BINS).reshape(GATES, BINS)
+        at = gate * BINS + np.minimum(np.abs(z) * np.float32(BINS / 12), np.float32(BINS - 1)).astype(np.int64)
+        met = np.bincount(at, weights=mass, minlength=GATES * BINS).reshape(GATES, BINS)
+        self.right += np.bincount(at, weights=mass * ((z > 0) + 0.5 * (z == 0)), minlength=GATES * BINS).reshape(GATES, BINS)
+        self.met += met
         error = mass / (1 + np.exp(z))
-        total = np.bincount(gate, weights=mass, minlength=GATES)[:, None]
+        total = met.sum(1, keepdims=True)
         step = np.stack([np.bincount(gate, weights=error * x[:, k], minlength=GATES) for k in range(x.shape[1])], 1) / np.maximum(total, 1e-9)
         self.speed = 0.98 * self.speed + 0.02 * step**2
         self.weights += np.where(total > 0, rate * step / (np.sqrt(self.speed) + 1e-3), 0).astype(np.float32)
 
+    def told(self) -> np.ndarray:
+        """Whole numbers that add up over mixers in any order: weights times what their gates met, predictions that came true (in halves) and all."""
+        met = self.met.sum(1, keepdims=True)
+        return np.rint(np.concatenate([x.ravel() for x in (self.weights * met * WEIGHT_UNIT, self.right * 2, self.met)])).astype(np.int64)
+
+    @classmethod
+    def mean(cls, inputs: int, told: np.ndarray) -> "Mixer":
+        """Of the sums of what mixers told; weights of gates that none met are as they begin."""
+        out = cls(inputs)
+        if len(told):
+            weights, right, met = (x.reshape(GATES, -1) for x in np.split(told, [GATES * inputs, GATES * (inputs + BINS)]))
+            out.right, out.met = right / 2, met.astype(float)
+            total = out.met.sum(1, keepdims=True)
+            out.weights = np.where(total > 0, weights / (np.maximum(total, 1) * WEIGHT_UNIT), out.weights).astype(np.float32)
+        return out
+
     def bits(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """Cost of the bit that came, refined."""
         z = self.mixed(x, gate)
-        at = np.minimum(np.abs(z) * (BINS / 12), BINS - 1).astype(np.int64)
-        met = self.met[gate, at]
-        share, trust = (self.right[gate, at] + 0.5) / (met + 1), 0.5 * met / (met + 200)
+        at = gate * BINS + np.minimum(np.abs(z) * np.float32(BINS / 12), np.float32(BINS - 1)).astype(np.int64)
+        share, trust = ((self.right + 0.5) / (self.met + 1)).astype(np.float32).ravel()[at], (0.5 * self.met / (self.met + 200)).astype(np.float32).ravel()[at]
         p = 1 / (1 + np.exp(-z))
-        p = p + np.where(z == 0, 0.0, trust * (np.where(z > 0, share, 1 - share) - p))
-        return -np.log2(np.clip(p, 1e-7, 1 - 1e-7))
+        p += np.where(z == 0, np.float32(0), trust * (np.where(z > 0, share, 1 - share) - p))
+        return -np.log2(np.minimum(np.maximum(p, np.float32(1e-7)), np.float32(1 - 1e-7)))
 
 
 _GATE_OF = (np.searchsorted(SEEN, np.arange(SEEN[-1] + 1), side="right") * 2 * FAR).astype(np.int64)
@@ -359,9 +434,15 @@ class Words:
             self.logits, self.class_logits = _logits(self.tree), _logits(self.class_tree)
         return self
 
+    def ready_to_learn(self) -> "Words":
+        """Holds, of each node, the logits for its bit that a training occurrence of it is predicted with from the others."""
+        if not hasattr(self, "others"):
+            self.others, self.class_others = ((np.log((x - np.float32(0.6)).clip(np.float32(0.4)) / (_siblings(x) + np.float32(0.4)))).astype(np.float32) for x in (self.tree, self.class_tree))
+        return self
+
     def paths(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Counts of the nodes that each of ascending distinct pairs passes, from the root to its code; of contexts that are here whole, or hot."""
-        out = np.empty((BITS + 1, len(key)), np.int64)
+        out = np.empty((BITS + 1, len(key)), np.int32 if max(n.sum(), self.hot_tree.max(initial=0)) < 2**31 else np.int64)
         for level in range(BITS + 1):
             group = key >> U(BITS - level)
             starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
@@ -381,29 +462,33 @@ class Words:
         for level in range(1, BITS + 1):
             node = (1 << level) | (code >> (BITS - level))
             same, other = paths[level] - left_out, paths[level - 1] - paths[level]
-            x = np.zeros((len(key), 3), np.float32)
-            sign = (2 * (node & 1) - 1).astype(np.float32)
+            x = np.zeros((3, len(key)), np.float32).T  # each input's values side by side
             if left_out:
-                x[:, 0] = np.log((self.tree[node] - 0.6) / (self.tree[node ^ 1] + 0.4))
+                x[:, 0] = self.others[node]
                 if level <= CLASS_BITS:
-                    x[:, 1] = np.log((self.class_tree[class_, node] - 0.6) / (self.class_tree[class_, node ^ 1] + 0.4))
+                    x[:, 1] = self.class_others.ravel()[(class_ << CLASS_BITS + 1) | node]
             else:
+                sign = (2 * (node & 1) - 1).astype(np.float32)
                 x[:, 0] = self.logits[node >> 1] * sign
                 if level <= CLASS_BITS:
-                    x[:, 1] = self.class_logits[class_, node >> 1] * sign
+                    x[:, 1] = self.class_logits.ravel()[(class_ << CLASS_BITS) | (node >> 1)] * sign
             x[:, 2] = _context_logits(same, other)
             yield x, _gates(same, other, level - 1, BITS)
 
     def learn(self, key: np.ndarray, n: np.ndarray, at_once: int = 4096) -> None:
         """One online pass over the training occurrences of the pairs."""
+        self.ready_to_learn()
         paths, order = self.paths(key, n), np.flatnonzero(n > 0)
         order = order[np.argsort(kernel.mix(key[order] + _K[7]), kind="stable")]
+        key, n = key[order], n[order].astype(float)
+        for path in paths:
+            path[: len(order)] = path[order]
         for a in range(0, len(order), at_once):
-            take = order[a : a + at_once]
-            for x, gate in self.levels(key[take], paths[:, take], 1):
-                self.mixer.learn(x, gate, n[take].astype(float))
+            b = min(a + at_once, len(order))
+            for x, gate in self.levels(key[a:b], paths[:, a:b], 1):
+                self.mixer.learn(x, gate, n[a:b])
 
-    def bits(self, key: np.ndarray, n: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+    def bits(self, key: np.ndarray, n: np.ndarray, at_once: int = 1 << 14) -> np.ndarray:
         """Cost of each pair's decisions."""
         out, context, a = np.zeros(len(key)), key >> U(BITS), 0
         while a < len(key):
@@ -422,19 +507,25 @@ class Bytes:
     mixer: Mixer
 
     def levels(self, byte: np.ndarray, slots: np.ndarray, left_out: int):
+        flat, roots = self.tree.ravel(), (slots + np.arange(BYTE_ORDERS)[:, None] * BYTE_SLOTS) * self.tree.shape[-1]
         for level in range(1, 9):
             node = (1 << level) | (byte >> (8 - level))
-            x = np.zeros((len(byte), BYTE_ORDERS), np.float32)
+            x = np.zeros((BYTE_ORDERS, len(byte)), np.float32).T
             for k in range(BYTE_ORDERS):
-                same, other = np.maximum(self.tree[k, slots[k], node] - left_out, 0), self.tree[k, slots[k], node ^ 1]
+                at = roots[k] + node
+                same, other = np.maximum(flat[at] - left_out, 0), flat[at ^ 1]
                 x[:, k] = _context_logits(same, other)
             yield x, _gates(same, other, level - 1, 8)
 
-    def learn(self, words: list[bytes], at_once: int = 512) -> None:
-        for a in range(0, len(words), at_once):
-            _, byte, slots = _byte_slots(*_spans(words[a : a + at_once]))
-            for x, gate in self.levels(byte, slots, 1):
-                self.mixer.learn(x, gate, np.ones(len(byte)))
+    def learn(self, raw: np.ndarray, size: np.ndarray, at_once: int = 512, most_bytes: int = 4096) -> None:
+        """One online pass over words, which lie in raw end to end, in steps of at most at_once words and most_bytes bytes."""
+        begin = np.cumsum(size) - size
+        for a in range(0, len(size), at_once):
+            b = min(a + at_once, len(size))
+            _, byte, slots = _byte_slots(raw[begin[a] : begin[b - 1] + size[b - 1]], begin[a:b] - begin[a], size[a:b])
+            for b in range(0, len(byte), most_bytes):
+                for x, gate in self.levels(byte[b : b + most_bytes], slots[:, b : b + most_bytes], 1):
+                    self.mixer.learn(x, gate, np.ones(len(x)))
 
     def bits(self, words: list[bytes], at_once: int = 4096) -> np.ndarray:
         out = [np.zeros(0)]
@@ -455,16 +546,13 @@ def _spans(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 # the whole
 
-def _score_chunk(rows: pa.Table, answers: pa.Table, words: Words, spelling: Bytes, slices: int, train: dict) -> pa.Table:
+def _score_chunk(rows: pa.Table, answers: pa.Table, words: Words, spelling: Bytes, place_of, train: dict) -> pa.Table:
     one = {c: rows.column(c)[0].as_py() for c in ("doc_id", "n_bytes", "n_tokens", "t", "ids", "n", "met", "classes", "new")}
-    ids = unpack(one["ids"], True)
-    t = _by_rank(unpack(one["met"]).astype(np.int64))[unpack(one["t"]).astype(np.int64)]
+    ids, t, row, key = _unfolded(one, words.context_bits)
     found = sorted(zip(answers.column("kind").to_pylist(), answers.column("slice").to_pylist(), answers.column("answer").to_pylist()), key=lambda x: x[:2])
     known = np.concatenate([unpack(a) for k, _, a in found if k == 0]).astype(np.int64)
-    contexts = _contexts(ids, unpack(one["classes"]).astype(np.int64), words.context_bits)
-    row = np.repeat(np.arange(len(one["n_tokens"])), one["n_tokens"])
-    key, inverse = np.unique(_pair_keys(contexts, ids, t, np.append(True, row[1:] != row[:-1])), return_inverse=True)
-    place = np.argsort(_slices(_units(key, words.hot), slices), kind="stable")
+    key, inverse = np.unique(key, return_inverse=True)
+    place = np.argsort(place_of(key), kind="stable")
     price = np.zeros(len(key))
     price[place] = np.concatenate([unpack(a) for k, _, a in found if k == 2]) / UNIT
     # of each distinct token: what being known and its share of its code cost, or what being new and its bytes do
@@ -499,7 +587,7 @@ def _added(group: pa.Table) -> pa.Table:
 
 
 def _total(counts: DataFrame, parts: int, at_once: int = 32) -> np.ndarray:
-    """The sums of all tasks' packed counts (part, task, counts), added up at_once at a time, however many tasks there are."""
+    """The sums of all tasks' (or groups') packed counts (part, task, counts), added up at_once at a time, however many there are."""
     tasks = (counts.agg(F.max("task")).first()[0] or 0) + 1
     while True:
         counts = counts.withColumn("task", F.floor(F.col("task") / at_once)).groupBy("part", "task").applyInArrow(_added, "part int, task long, counts binary")
@@ -510,79 +598,103 @@ def _total(counts: DataFrame, parts: int, at_once: int = 32) -> np.ndarray:
     return np.concatenate([rows[i] for i in range(parts)]) if rows else np.zeros(0, np.int64)
 
 
-def score(spark: SparkSession, docs: DataFrame, chunk_bytes: int = 6 << 20, slice_pairs: int = 700_000, learn_tokens: int = 500_000, learn_texts: int = 64) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+def score(spark: SparkSession, docs: DataFrame, chunk_bytes: int = 6 << 20, slice_pairs: int = 700_000, learn_tokens: int = 500_000, learn_words: int = 50_000) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+
+    Slices hold about slice_pairs tokens. learn_tokens, learn_words: what a group learns from; all groups together learn from all there is.
+    """
     scratch = Scratch(spark, "mixing")
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     context_bits = min(46, max(24, int((size["b"] or 0) / 6 + size["n"] + 1).bit_length() + 2))
     chunks = scratch.keep(_chunks(docs, context_bits, chunk_bytes))
-    told = chunks.where("chunk IS NOT NULL").agg(F.coalesce(F.sum("n_pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("trained"), F.lit(0)).alias("trained")).first()
-    slices = max(1, -(-told["pairs"] // slice_pairs))
+    told = chunks.where("chunk IS NOT NULL").agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(y) for x, y in ((F.aggregate("n_tokens", F.lit(0).cast("long"), lambda a, b: a + b), "tokens"), (F.col("trained"), "trained")))).first()
+    slices = max(1, -(-told["tokens"] // slice_pairs))
+    groups = max(1, -(-told["trained"] // learn_tokens))
+    together = -(-groups // slices)  # groups that learn in one slice of pairs
 
     # counts of words, and what all tasks need of them: a table of fixed size
-    answers = scratch.keep(_dealt(chunks, "ids", "n", slices, lambda ids: ids).groupBy("slice").applyInArrow(_count_words, ANSWERS))
+    own_words = lambda one: (unpack(one["ids"], True), unpack(one["n"]))
+    hot_least = max(1, HOT_SHARE * told["trained"])
+    answers = scratch.keep(_dealt(chunks, ["ids", "n"], own_words, lambda ids: _slices(ids, slices)).groupBy("slice").applyInArrow(lambda group: _count_words(group, hot_least), ANSWERS))
     leaves, train = np.zeros(1 << BITS, np.int64), {"n": 0, "types": 0, "once": 0}
     for r in answers.where("kind = 1").select("n", "types", "once", "codes", "codes_n").toLocalIterator():  # 2**BITS codes and one row per slice
         np.add.at(leaves, unpack(r["codes"], True).astype(np.int64), unpack(r["codes_n"]).astype(np.int64))
         train = {k: train[k] + r[k] for k in train}
     flat = _total(chunks.where("part IS NOT NULL").select("part", "task", "counts"), PARTS)
     flat = flat if len(flat) else np.zeros(CLASS_COUNTS + BYTE_COUNTS, np.int64)
-    hot = chunks.where("chunk IS NOT NULL").select(F.explode(F.arrays_zip("hot", "hot_n")).alias("x")).groupBy("x.hot").agg(F.sum("x.hot_n").alias("n")).where(F.col("n") >= max(1, HOT_SHARE * told["trained"])).select("hot").collect()  # 1 / HOT_SHARE rows at most
-    hot_keys = np.sort(np.array([r["hot"] for r in hot], np.int64)).astype(U)
+    hot = answers.where("kind = 1").select(F.explode("hot").alias("hot"))  # 1 / HOT_SHARE rows at most, of them the contexts that they are
+    hot = chunks.where("chunk IS NOT NULL").select(F.explode(F.arrays_zip("hot", "hot_context")).alias("x")).select("x.*").join(F.broadcast(hot), "hot").select("hot_context").distinct().collect()
+    hot_keys = np.sort(np.array([r["hot_context"] for r in hot], np.int64)).astype(U)
 
     def heated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         total = np.zeros(len(hot_keys) << HOT_BITS, np.int64)
         for batch in batches:
-            for a, b in zip(batch.column("pairs"), batch.column("pairs_n")):
-                key, n = unpack(a.as_py(), True), unpack(b.as_py()).astype(np.int64)
-                context = key >> U(BITS)
-                at = np.searchsorted(hot_keys, context).clip(max=len(hot_keys) - 1)
-                is_hot = hot_keys[at] == context
+            for i in range(batch.num_rows):
+                key, n = _counted_pairs(batch.slice(i, 1).to_pylist()[0], context_bits)
+                at, is_hot = _hot_places(key, hot_keys)
                 node = (key[is_hot] >> U(BITS - HOT_BITS)).astype(np.int64) & ((1 << HOT_BITS) - 1)
                 total += np.bincount((at[is_hot] << HOT_BITS) | node, weights=n[is_hot], minlength=len(total)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([pack(total)], pa.binary())], ["part", "task", "counts"])
 
     hot_counts = np.zeros((len(hot_keys), 1 << HOT_BITS), np.int64)
     if len(hot_keys):
-        found = chunks.where("chunk IS NOT NULL").select("pairs", "pairs_n").mapInArrow(heated, "part int, task long, counts binary")
+        found = chunks.where("chunk IS NOT NULL").select(*PAIR_COLUMNS).mapInArrow(heated, "part int, task long, counts binary")
         hot_counts[:] = _total(found, 1).reshape(hot_counts.shape)
     words = Words(context_bits, hot_keys, _tree(hot_counts), _tree(leaves), _small(_tree(flat[:CLASS_COUNTS].reshape(256, -1))), Mixer(3))
     spelling = Bytes(_small(_tree(flat[CLASS_COUNTS:].reshape(BYTE_ORDERS, BYTE_SLOTS, 256))), Mixer(BYTE_ORDERS))
+    sent = spark.sparkContext.broadcast((words, spelling))
 
-    # the weights: of bytes from the words of a few training texts, of words from a share of all contexts
-    trained = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 10 != 0, F.lit(True))
-    some = docs.where(trained & F.octet_length("text").between(1, 20_000)).orderBy(F.xxhash64("doc_id", "text")).limit(learn_texts).collect()
-    spelling.learn(sorted({w for r in some for w in r["text"].encode().lower().split()}, key=lambda w: zlib.crc32(w)))
-    sent = spark.sparkContext.broadcast(words)
+    # the weights: of words from all training pairs, by groups of contexts, of bytes from all training words, by groups of words
+    def place_of(key: np.ndarray) -> np.ndarray:
+        return _slices(_units(key, sent.value[0].hot), groups) // together
 
-    def learned(group: pa.Table) -> pa.Table:
+    def learned_pairs(group: pa.Table) -> pa.Table:
         key, n, _ = _gathered(group)
-        w = sent.value
-        w.learn(key, n)
-        m = w.mixer
-        return pa.table([pa.array([x.astype("<f8").tobytes()], pa.binary()) for x in (m.weights, m.right, m.met)], ["weights", "right", "met"])
-
-    units = lambda key: _units(key, sent.value.hot)
-    share = min(1.0, learn_tokens / max(1, told["trained"]))  # of contexts, by what the texts hold and not by how they are dealt
-    for r in _dealt(chunks, "pairs", "pairs_n", 1, units, share).groupBy("slice").applyInArrow(learned, "weights binary, right binary, met binary").collect():
-        words.mixer.weights = np.frombuffer(r["weights"], "<f8").reshape(GATES, 3).astype(np.float32)
-        words.mixer.right, words.mixer.met = (np.frombuffer(r[c], "<f8").reshape(GATES, BINS) for c in ("right", "met"))
-    final = spark.sparkContext.broadcast((words, spelling))
-
-    def priced(group: pa.Table) -> pa.Table:
-        key, n, places = _gathered(group)
-        cost = np.minimum(np.ceil(final.value[0].ready().bits(key, n) * UNIT), 2**32).astype(np.int64)
-        chunk = group.column("chunk")
-        return pa.table([chunk, group.column("slice"), pa.array(np.full(len(chunk), 2, np.int32)), pa.array([pack(cost[p]) for p in places], pa.binary())], ["chunk", "slice", "kind", "answer"])
-
-    prices = _dealt(chunks, "pairs", "pairs_n", slices, lambda key: _units(key, final.value[0].hot)).groupBy("slice").applyInArrow(priced, "chunk long, slice int, kind int, answer binary")
+        total = np.zeros(GATES * (3 + 2 * BINS), np.int64)
+        for _, own in _parts(_slices(_units(key, sent.value[0].hot), groups)):
+            one = replace(sent.value[0], mixer=Mixer(3))
+            one.learn(key[own], n[own])
+            total += one.mixer.told()
+        lists = [pa.array([group.column(c).to_pylist()], pa.list_(kind)) for c, kind in (("chunk", pa.int64()), ("keys", pa.binary()), ("n", pa.binary()))]
+        return pa.table([group.column("slice").slice(0, 1), *lists, pa.array([pack(total)], pa.binary())], ["slice", "chunk", "keys", "n", "told"])
+
+    def learned_words(group: pa.Table) -> pa.Table:
+        first = np.unique(np.concatenate([unpack(x, True) for x in group.column("keys").to_pylist()]), return_index=True)[1]
+        size = np.concatenate([unpack(x) for x in group.column("sizes").to_pylist()]).astype(np.int64)
+        raw = np.concatenate([np.frombuffer(zstandard.decompress(x), np.uint8) for x in group.column("words").to_pylist()])
+        one = replace(sent.value[1], mixer=Mixer(BYTE_ORDERS))
+        one.learn(_cut_out(raw, (np.cumsum(size) - size)[first], size[first]), size[first])
+        return pa.table([pa.array([0], pa.int32()), group.column("slice").slice(0, 1).cast(pa.int64()), pa.array([pack(one.mixer.told())], pa.binary())], ["part", "task", "counts"])
+
+    pairs = scratch.keep(
+        _dealt(chunks, PAIR_COLUMNS, lambda one: _counted_pairs(one, context_bits), place_of).groupBy("slice").applyInArrow(learned_pairs, "slice int, chunk array<long>, keys array<binary>, n array<binary>, told binary"),
+        rows_per_file=4,
+    )  # a row for each slice
+    word_groups = max(1, -(-train["types"] // learn_words))
+    told_words = scratch.keep(_spelled(chunks, word_groups).groupBy("slice").applyInArrow(learned_words, "part int, task long, counts binary"))
+    mixers = Mixer.mean(3, _total(pairs.select(F.lit(0).alias("part"), F.col("slice").cast("long").alias("task"), F.col("told").alias("counts")), 1)), Mixer.mean(BYTE_ORDERS, _total(told_words, 1))
+
+    def final() -> tuple[Words, Bytes]:
+        return tuple(replace(x, mixer=m) for x, m in zip(sent.value, mixers))
+
+    def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = final()[0].ready()
+        for batch in batches:
+            for i in range(batch.num_rows):
+                slice_, group = batch.column("slice")[i], pa.table([batch.column(c)[i].values for c in ("chunk", "keys", "n")], ["chunk", "keys", "n"])
+                key, n, places = _gathered(group)
+                cost = np.minimum(np.ceil(words.bits(key, n) * UNIT), 2**32).astype(np.int64)
+                chunk = group.column("chunk").combine_chunks()
+                yield pa.RecordBatch.from_arrays([chunk, pa.array([slice_.as_py()] * len(chunk), pa.int32()), pa.array(np.full(len(chunk), 2, np.int32)), pa.array([pack(cost[p]) for p in places], pa.binary())], ["chunk", "slice", "kind", "answer"])
+
+    prices = pairs.select("slice", "chunk", "keys", "n").mapInArrow(priced, "chunk long, slice int, kind int, answer binary")
     all_ = answers.where("kind = 0").select("chunk", "slice", "kind", "answer").unionByName(prices)
 
     def finish(rows: pa.Table, found: pa.Table) -> pa.Table:
-        return _score_chunk(rows, found, *final.value, slices, train)
+        return _score_chunk(rows, found, *final(), place_of, train)
 
     own = chunks.where("chunk IS NOT NULL").select("chunk", "doc_id", "n_bytes", "n_tokens", "t", "ids", "n", "met", "classes", "new")
     return own.groupBy("chunk").cogroup(all_.groupBy("chunk")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")

@@ -129,6 +129,48 @@ def test_hot_contexts_change_nothing(spark, monkeypatch):
     assert {d: r["score"] for d, r in plain.items()} == pytest.approx({d: r["score"] for d, r in cold.items()}, rel=0.1)
 
 
+def test_weights_learn_from_every_training_token(spark, monkeypatch):
+    texts = [(k, prose(60, 700 + k)) for k in range(80)] + [(100 + k, prose(4_000, 800 + k)) for k in range(3)] + [(200, None), (201, "")]
+    frame, told, mean = spark.createDataFrame(texts, "doc_id long, text string"), [], mixing.Mixer.mean.__func__
+    monkeypatch.setattr(mixing.Mixer, "mean", classmethod(lambda cls, inputs, x: told.append(x) or mean(cls, inputs, x)))
+    plain = by_id(score(spark, frame, learn_tokens=2_000, learn_words=200))
+    few = by_id(score(spark, frame.repartition(7), chunk_bytes=3_000, slice_pairs=400, learn_tokens=2_000, learn_words=200))
+    trained = [WORD.findall(lower(t or "")) for d, t in texts if zlib.crc32(str(d).encode()) % 10]
+    words = {w for t in trained for w in t}
+    met = [int(x[-mixing.GATES * mixing.BINS :].sum()) for x in told[:2]]
+    assert met == [mixing.BITS * sum(len(t) + 1 for t in trained), 8 * sum(len(w.encode()) + 1 for w in words)] and len(words) > 1_000
+    assert (told[0] == told[2]).all() and (told[1] == told[3]).all()
+    assert {d: r["score"] for d, r in plain.items()} == pytest.approx({d: r["score"] for d, r in few.items()}, abs=1e-9)
+
+
+def test_byte_weights_learn_from_long_texts(spark):
+    r = np.random.default_rng(12)
+    words = ["".join(r.choice(list("abcdefgh"), 4)) + "".join(r.choice(["xyz", "uvw", "rst"], 3)) for _ in range(3_000)]
+    training, held_out = [[k for k in range(1000) if (zlib.crc32(str(k).encode()) % 10 == 0) == x][:2] for x in (False, True)]
+    new = ["hhhhxyzuvwxyz", "qqqqqqqqqqqqqqqqxyz"]  # with the same last two bytes, so all but their bytes costs the same
+    texts = [(d, " ".join(words)) for d in training] + list(zip(held_out, new))
+    assert len(texts[0][1]) > 20_000
+    got = by_id(score(spark, spark.createDataFrame(texts, "doc_id long, text string")))
+    apart = (got[held_out[0]]["score"] - got[held_out[1]]["score"]) / math.log10(2)
+    distinct = sorted({w.encode() for w in words} - {w.encode() for w in new})
+    found = collections.Counter(w.encode() for w in words)
+    spans = mixing._spans(distinct)
+    of, byte, slots = mixing._byte_slots(*spans)
+    counts = np.zeros((mixing.BYTE_ORDERS, mixing.BYTE_SLOTS, 256), np.int64)
+    for k in range(mixing.BYTE_ORDERS):
+        np.add.at(counts[k], (slots[k], byte), 2 * np.array([found[w] for w in distinct])[of])
+    spelling = mixing.Bytes(mixing._tree(counts), mixing.Mixer(mixing.BYTE_ORDERS))
+    unlearned = spelling.bits([w.encode() for w in new])
+    assert abs(apart - (unlearned[1] - unlearned[0])) > 1
+    import pyarrow as pa
+
+    ids = dict(zip(distinct, mixing.tokens(pa.array([" ".join(w.decode() for w in distinct)])).id.tolist()))
+    order = sorted(distinct, key=ids.get)
+    spelling.learn(np.frombuffer(b"".join(order), np.uint8), np.array([len(w) for w in order]))
+    learned = spelling.bits([w.encode() for w in new])
+    assert apart == pytest.approx(learned[1] - learned[0], abs=0.1)
+
+
 def test_counts_of_paths():
     r = np.random.default_rng(8)
     key = np.unique((r.integers(0, 5, 2000).astype(np.uint64) << np.uint64(mixing.BITS)) | r.integers(0, 1 << mixing.BITS, 2000).astype(np.uint64))
