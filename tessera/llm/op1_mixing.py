@@ -98,9 +98,9 @@ def tokens(column: pa.Array) -> Tokens:
 
 def _classes(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Of tokens, by their last two bytes."""
-    padded = np.append(raw, np.zeros(1, np.uint8)).astype(U)
-    last = np.where(size > 0, padded[begin + np.maximum(size, 1) - 1], U(0))
-    two = np.where(size > 1, padded[begin + np.maximum(size, 2) - 2], U(0))
+    padded = np.append(raw, np.zeros(1, np.uint8))
+    last = np.where(size > 0, padded[begin + np.maximum(size, 1) - 1].astype(U), U(0))
+    two = np.where(size > 1, padded[begin + np.maximum(size, 2) - 2].astype(U), U(0))
     return (kernel.mix((two * U(257) + last + U(1)) * _K[3]) >> U(56)).astype(np.int64)
 
 
@@ -133,20 +133,29 @@ def _cut_out(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return raw[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - ends + size, size)]
 
 
+def _slots(context: np.ndarray, order: int) -> np.ndarray:
+    return (kernel.mix(context + U(order)) >> U(52)).astype(np.int64)
+
+
+_BYTE_K = np.array(_K[5:8], U) * np.array([3, 5, 7], U)
+_CONTEXTS_1 = np.arange(257, dtype=U) * _BYTE_K[0]
+_CONTEXTS_2 = (_CONTEXTS_1[:, None] + np.arange(257, dtype=U) * _BYTE_K[1]).ravel()
+_SLOTS_1, _SLOTS_2 = _slots(_CONTEXTS_1, 1), _slots(_CONTEXTS_2, 2)
+
+
 def _byte_slots(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(token, byte, contexts x bytes) of each byte of some words and of the space that ends each."""
     length = size + 1
     ends = np.cumsum(length)
     of = np.repeat(np.arange(len(size)), length)
-    nth = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - length, length)
-    padded = np.append(raw, np.zeros(1, np.uint8))
-    at = begin[of] + nth
-    byte = np.where(nth < size[of], padded[np.minimum(at, len(raw))], 32).astype(np.int64)
-    context, out = np.zeros(len(of), U), []
-    for k in range(1, BYTE_ORDERS + 1):
-        context = context + np.where(nth >= k, padded[np.maximum(at - k, 0)].astype(U) + U(1), U(0)) * _K[4 + k % 4] * U(2 * k + 1)
-        out.append((kernel.mix(context + U(k)) >> U(52)).astype(np.int64))
-    return of, byte, np.array(out).reshape(BYTE_ORDERS, -1)
+    byte = _cut_out(np.append(raw, np.zeros(1, np.uint8)), begin, length).astype(np.int64)
+    byte[ends - 1] = 32
+    before = [byte + 1]  # and then the bytes 1, 2, 3 before, more by one, 0 where the word has none
+    for _ in range(BYTE_ORDERS):
+        before.append(np.append(0, before[-1][:-1])[: len(of)])
+        before[-1][ends - length] = 0
+    two = before[1] * 257 + before[2]
+    return of, byte, np.stack([_SLOTS_1[before[1]], _SLOTS_2[two], _slots(_CONTEXTS_2[two] + before[3].astype(U) * _BYTE_K[2], 3)])
 
 
 # chunks
@@ -265,11 +274,16 @@ def _slices(unit: np.ndarray, slices: int) -> np.ndarray:
     return (((unit >> U(32)) * U(slices)) >> U(32)).astype(np.int32)
 
 
+def _in_order(place: np.ndarray) -> np.ndarray:
+    """A stable order of places; of 16 bits they are sorted faster."""
+    return np.argsort(place.astype(np.uint16) if place.max(initial=0) < 1 << 16 else place, kind="stable")
+
+
 def _parts(place: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Each place that occurs, and where, in order."""
-    order = np.argsort(place, kind="stable")
-    there, at = np.unique(place[order], return_index=True)
-    return zip(there.tolist(), np.split(order, at[1:]))
+    order = _in_order(place)
+    at = np.flatnonzero(np.diff(place[order], prepend=-1))
+    return zip(place[order[at]].tolist(), np.split(order, at[1:]))
 
 
 def _rows_of(rows: DataFrame, columns: list[str], run, schema: str) -> DataFrame:
@@ -476,17 +490,19 @@ class Words:
             yield x, _gates(same, other, level - 1, BITS)
 
     def learn(self, key: np.ndarray, n: np.ndarray, at_once: int = 4096) -> None:
-        """One online pass over the training occurrences of the pairs."""
+        """One online pass over the training occurrences of the pairs, in steps that grow up to at_once pairs, so that weights settle."""
         self.ready_to_learn()
         paths, order = self.paths(key, n), np.flatnonzero(n > 0)
         order = order[np.argsort(kernel.mix(key[order] + _K[7]), kind="stable")]
         key, n = key[order], n[order].astype(float)
         for path in paths:
             path[: len(order)] = path[order]
-        for a in range(0, len(order), at_once):
-            b = min(a + at_once, len(order))
+        a = 0
+        while a < len(order):
+            b = min(a + min(at_once, 256 + a // 16), len(order))
             for x, gate in self.levels(key[a:b], paths[:, a:b], 1):
                 self.mixer.learn(x, gate, n[a:b])
+            a = b
 
     def bits(self, key: np.ndarray, n: np.ndarray, at_once: int = 1 << 14) -> np.ndarray:
         """Cost of each pair's decisions."""
@@ -552,7 +568,7 @@ def _score_chunk(rows: pa.Table, answers: pa.Table, words: Words, spelling: Byte
     found = sorted(zip(answers.column("kind").to_pylist(), answers.column("slice").to_pylist(), answers.column("answer").to_pylist()), key=lambda x: x[:2])
     known = np.concatenate([unpack(a) for k, _, a in found if k == 0]).astype(np.int64)
     key, inverse = np.unique(key, return_inverse=True)
-    place = np.argsort(place_of(key), kind="stable")
+    place = _in_order(place_of(key))
     price = np.zeros(len(key))
     price[place] = np.concatenate([unpack(a) for k, _, a in found if k == 2]) / UNIT
     # of each distinct token: what being known and its share of its code cost, or what being new and its bytes do
