@@ -150,11 +150,11 @@ def _byte_slots(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[n
     of = np.repeat(np.arange(len(size)), length)
     byte = _cut_out(np.append(raw, np.zeros(1, np.uint8)), begin, length).astype(np.int64)
     byte[ends - 1] = 32
-    before = [byte + 1]  # and then the bytes 1, 2, 3 before, more by one, 0 where the word has none
+    before = [(byte + 1).astype(np.int16)]  # and then the bytes 1, 2, 3 before, more by one, 0 where the word has none
     for _ in range(BYTE_ORDERS):
-        before.append(np.append(0, before[-1][:-1])[: len(of)])
+        before.append(np.append(np.int16(0), before[-1][:-1])[: len(of)])
         before[-1][ends - length] = 0
-    two = before[1] * 257 + before[2]
+    two = before[1].astype(np.int32) * 257 + before[2]
     return of, byte, np.stack([_SLOTS_1[before[1]], _SLOTS_2[two], _slots(_CONTEXTS_2[two] + before[3].astype(U) * _BYTE_K[2], 3)])
 
 
