@@ -33,6 +33,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,12 +60,14 @@ _START, _END = kernel.mix(np.array(_K[:2], U))
 
 def pack(numbers: np.ndarray, ascending: bool = False) -> bytes:
     """Unsigned 64-bit numbers as planes of their bytes, compressed; of ascending ones the differences."""
-    n = np.diff(numbers.astype(U), prepend=U(0)) if ascending else numbers.astype(U)
-    return zstandard.compress(np.ascontiguousarray(n.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    n = numbers.astype("<u8", copy=False)
+    if ascending:
+        n = np.diff(n, prepend=U(0))
+    return zstandard.compress(np.ascontiguousarray(np.ascontiguousarray(n).view(np.uint8).reshape(-1, 8).T).ravel(), 1)
 
 
 def unpack(raw: bytes, ascending: bool = False) -> np.ndarray:
-    n = np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1).T).view("<u8").reshape(-1).astype(U)
+    n = np.array(np.frombuffer(zstandard.decompress(raw), np.uint8).reshape(8, -1).T, order="C").view("<u8").reshape(-1).astype(U, copy=False)
     return np.cumsum(n, dtype=U) if ascending else n
 
 
@@ -123,8 +126,9 @@ def _ranks(met: np.ndarray) -> np.ndarray:
 
 def _pair_keys(contexts: np.ndarray, ids: np.ndarray, t: np.ndarray, first: np.ndarray) -> np.ndarray:
     """(context, bits) of each token. t: each token's place in ids; first: whether it begins a text."""
-    before = np.where(first, len(ids), np.append(0, t[:-1])[: len(t)])
-    return (contexts[before] << U(BITS)) | (ids >> U(64 - BITS))[t]
+    out = (contexts << U(BITS))[np.where(first, t.dtype.type(len(ids)), np.append(t[:1], t[:-1]))]
+    out |= (ids >> U(64 - BITS))[t]
+    return out
 
 
 def _cut_out(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -170,37 +174,67 @@ def _row(**values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([values.get(name)], kind) for name, kind in _FIELDS], [name for name, _ in _FIELDS])
 
 
+def _distinct(id_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens (or pairs), ascending; where one of each is; each token's place among them; how often each is met. As np.unique, in less memory."""
+    order = np.argsort(id_)
+    ids = id_[order]
+    new = np.append(True, ids[1:] != ids[:-1])
+    ids = ids[new]
+    place = np.cumsum(new, dtype=np.int32 if len(id_) < 1 << 31 else np.int64)
+    place -= 1
+    t = np.empty_like(place)
+    t[order] = place
+    return ids, order[new], t, np.diff(np.flatnonzero(new), append=len(id_))
+
+
+def _word_pieces(size: np.ndarray, limit: int = 1 << 18) -> Iterator[slice]:
+    """Ranges of words of about limit bytes together."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(size + 1) // limit)) + 1
+    ends = [*cuts.tolist(), len(size)]
+    return map(slice, [0, *ends[:-1]], ends)
+
+
 def _chunk(number: int, docs: pa.Table, context_bits: int, counts: np.ndarray) -> pa.RecordBatch:
-    """What is told of a chunk of documents; its training tokens are added to counts, of classes and of bytes."""
+    """What is told of a chunk of documents; its training tokens are added to counts, of classes and of bytes.
+
+    Of all stages workers took most memory here, so arrays of all tokens are few and small, and go as soon as they have been used.
+    """
     text, trained = docs.column("text").combine_chunks(), _trained(docs.column("doc_id"))
-    found, raws, done = [], [], 0
+    id_, begin, size, raw, learned, first, n_tokens = ([] for _ in range(7))
+    done = 0
     for a, b in kernel.by_bytes(text):
         x = tokens(text.slice(a, b - a))
-        found.append((x.id, x.row + a, x.begin + done, x.size))
-        raws.append(x.raw)
+        for into, value in ((id_, x.id), (begin, x.begin + done), (size, x.size), (raw, x.raw), (learned, trained[a:b][x.row]), (first, np.append(True, x.row[1:] != x.row[:-1])), (n_tokens, np.bincount(x.row, minlength=b - a))):
+            into.append(value)
         done += len(x.raw)
-    id_, row, begin, size = (np.concatenate(x) for x in zip(*found))
-    raw = np.concatenate(raws)
-    ids, where, t, met = np.unique(id_, return_index=True, return_inverse=True, return_counts=True)
-    learned = trained[row]
-    n = np.bincount(t, weights=learned, minlength=len(ids)).astype(np.int64)
-    class_ = _classes(raw, begin[where], size[where])
+    del x
+    raw, learned, first, n_tokens = map(np.concatenate, (raw, learned, first, n_tokens))
+    id_ = np.concatenate(id_)
+    ids, where, t, met = _distinct(id_)
+    del id_
+    begin = np.concatenate(begin)[where]
+    size = np.concatenate(size)[where]
+    n = np.bincount(t[learned], minlength=len(ids))
+    class_ = _classes(raw, begin, size)
     contexts = _contexts(ids, class_, context_bits)
-    first = np.append(True, row[1:] != row[:-1])
-    before = np.where(first, len(ids), np.append(0, t[:-1]))
-    by_class = np.append(class_, int(_START >> U(56)))[before]
-    counts[:CLASS_COUNTS] += np.bincount(((by_class << CLASS_BITS) | (ids >> U(64 - CLASS_BITS)).astype(np.int64)[t])[learned], minlength=CLASS_COUNTS)
-    known = np.flatnonzero((n > 0) & (size[where] > 0))
-    of, byte, slots = _byte_slots(raw, begin[where][known], size[where][known])
-    for k in range(BYTE_ORDERS):
-        base = CLASS_COUNTS + k * BYTE_SLOTS * 256
-        counts[base : base + BYTE_SLOTS * 256] += np.bincount(slots[k] * 256 + byte, weights=n[known][of], minlength=BYTE_SLOTS * 256).astype(np.int64)
-    new = np.flatnonzero((n == 0) & (size[where] > 0))
-    spelled = b" ".join(raw[a : a + b].tobytes() for a, b in zip(begin[where][new].tolist(), size[where][new].tolist()))
+    before = np.where(first, t.dtype.type(len(ids)), np.append(t[:1], t[:-1]))[learned]
+    node = (np.append(class_, int(_START >> U(56))) << CLASS_BITS).astype(np.int32)[before]
+    node |= (ids >> U(64 - CLASS_BITS)).astype(np.int32)[t[learned]]
+    counts[:CLASS_COUNTS] += np.bincount(node, minlength=CLASS_COUNTS)
+    del before, node
+    known, old = np.flatnonzero((n > 0) & (size > 0)), []
+    for at in _word_pieces(size[known]):
+        part = known[at]
+        old.append(_cut_out(raw, begin[part], size[part]))
+        of, byte, slots = _byte_slots(old[-1], np.cumsum(size[part]) - size[part], size[part])
+        for k in range(BYTE_ORDERS):
+            np.add.at(counts, CLASS_COUNTS + ((k * BYTE_SLOTS + slots[k]) << 8) + byte, n[part][of])
+    new = np.flatnonzero((n == 0) & (size > 0))
+    spelled = b" ".join(raw[a : a + b].tobytes() for a, b in zip(begin[new].tolist(), size[new].tolist()))
     hot = np.flatnonzero(n >= max(1, HOT_SHARE * int(learned.sum())))  # a token that is hot in all chunks together is so in one at least
     return _row(
-        chunk=number, doc_id=docs.column("doc_id").to_pylist(), n_bytes=[len(x.encode()) if x else 0 for x in text.to_pylist()], n_tokens=np.bincount(row, minlength=len(text)).tolist(), t=pack(_ranks(met)[t]), ids=pack(ids, True), n=pack(n), met=pack(met), classes=pack(class_),
-        new=zstandard.compress(spelled, 1), old=zstandard.compress(_cut_out(raw, begin[where][known], size[where][known]).tobytes(), 1), old_sizes=pack(size[where][known]), trained=int(learned.sum()), hot=ids[hot].astype(np.int64).tolist(), hot_context=np.where(ids[hot] == _END, contexts[-1], contexts[hot]).astype(np.int64).tolist(),
+        chunk=number, doc_id=docs.column("doc_id").to_pylist(), n_bytes=pc.fill_null(pc.binary_length(text), 0).to_pylist(), n_tokens=n_tokens.tolist(), t=pack(_ranks(met).astype(U)[t]), ids=pack(ids, True), n=pack(n), met=pack(met), classes=pack(class_),
+        new=zstandard.compress(spelled, 1), old=zstandard.compress(np.concatenate(old), 1), old_sizes=pack(size[known]), trained=int(learned.sum()), hot=ids[hot].astype(np.int64).tolist(), hot_context=np.where(ids[hot] == _END, contexts[-1], contexts[hot]).astype(np.int64).tolist(),
     )
 
 
@@ -237,8 +271,10 @@ PAIR_COLUMNS = ["doc_id", "n_tokens", "t", "ids", "met", "classes"]
 def _unfolded(one: dict, context_bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a chunk: its distinct tokens; of each token its place among these, its row and its pair (context, bits)."""
     ids = unpack(one["ids"], True)
-    t = _by_rank(unpack(one["met"]).astype(np.int64))[unpack(one["t"]).astype(np.int64)]
-    row = np.repeat(np.arange(len(one["n_tokens"])), one["n_tokens"])
+    t = unpack(one["t"]).view(np.int64)
+    kind = np.int32 if len(t) < 1 << 31 else np.int64
+    t = _by_rank(unpack(one["met"]).astype(np.int64)).astype(kind)[t]
+    row = np.repeat(np.arange(len(one["n_tokens"]), dtype=kind), one["n_tokens"])
     contexts = _contexts(ids, unpack(one["classes"]).astype(np.int64), context_bits)
     return ids, t, row, _pair_keys(contexts, ids, t, np.append(True, row[1:] != row[:-1]))
 
@@ -247,7 +283,10 @@ def _counted_pairs(one: dict, context_bits: int) -> tuple[np.ndarray, np.ndarray
     """Of a chunk: the distinct pairs, ascending, and their training occurrences."""
     _, _, row, key = _unfolded(one, context_bits)
     learned = _trained(pa.array(one["doc_id"], pa.int64()))[row]
-    both = np.sort((key << U(1)) | learned.astype(U))
+    key <<= U(1)
+    key |= learned
+    key.sort()
+    both = key
     starts = np.flatnonzero(np.append(True, (both[1:] >> U(1)) != (both[:-1] >> U(1))))
     return both[starts] >> U(1), np.add.reduceat((both & U(1)).astype(np.int64), starts)
 
@@ -329,7 +368,7 @@ def _gathered(group: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     """A slice's distinct keys, their counts, and where each chunk's keys are among them."""
     own = [unpack(x, True) for x in group.column("keys").to_pylist()]
     n = np.concatenate([unpack(x) for x in group.column("n").to_pylist()]).astype(np.int64)
-    key, inverse = np.unique(np.concatenate(own), return_inverse=True)
+    key, _, inverse, _ = _distinct(np.concatenate(own))
     return key, np.bincount(inverse, weights=n, minlength=len(key)).astype(np.int64), np.split(inverse, np.cumsum([len(x) for x in own])[:-1])
 
 
@@ -567,7 +606,7 @@ def _score_chunk(rows: pa.Table, answers: pa.Table, words: Words, spelling: Byte
     ids, t, row, key = _unfolded(one, words.context_bits)
     found = sorted(zip(answers.column("kind").to_pylist(), answers.column("slice").to_pylist(), answers.column("answer").to_pylist()), key=lambda x: x[:2])
     known = np.concatenate([unpack(a) for k, _, a in found if k == 0]).astype(np.int64)
-    key, inverse = np.unique(key, return_inverse=True)
+    key, _, inverse, _ = _distinct(key)
     place = _in_order(place_of(key))
     price = np.zeros(len(key))
     price[place] = np.concatenate([unpack(a) for k, _, a in found if k == 2]) / UNIT

@@ -171,6 +171,45 @@ def test_byte_weights_learn_from_long_texts(spark):
     assert apart == pytest.approx(learned[1] - learned[0], abs=0.1)
 
 
+@pytest.mark.parametrize("kind", ["distinct words", "short words"])
+def test_chunks_are_told_in_little_memory(kind):
+    import tracemalloc
+
+    import pyarrow as pa
+    import zstandard
+
+    r = np.random.default_rng(21)
+    if kind == "distinct words":
+        texts = [" ".join(map(str, r.integers(0, 10**9, 200))) for _ in range(3_000)]
+    else:
+        texts = [" ".join(r.choice(list("abcdefG"), 2_000)) for _ in range(1_500)]
+    texts += [None, "", " \n", "One one"]
+    docs, counts = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())}), np.zeros(mixing.CLASS_COUNTS + mixing.BYTE_COUNTS, np.int64)
+    assert 5.5e6 < docs.nbytes < 6.5e6
+    tracemalloc.start()
+    told = mixing._chunk(0, docs, 30, counts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200e6  # 527 and 385 MB before
+    one, x = told.to_pylist()[0], mixing.tokens(docs.column("text").combine_chunks())
+    ids, t, row, _ = mixing._unfolded(one, 30)
+    assert (ids[t] == x.id).all() and (row == x.row).all() and one["n_bytes"] == [len((t or "").encode()) for t in texts]
+    trained = np.array([zlib.crc32(str(d).encode()) % 10 != 0 for d in range(len(texts))])
+    words = [collections.Counter(w.encode() for t, learned in zip(texts, trained.tolist()) if learned == of for w in WORD.findall(lower(t or ""))) for of in (True, False)]
+    assert set(zstandard.decompress(one["new"]).split()) == set(words[1]) - set(words[0])
+    assert (mixing.unpack(one["n"]) == np.bincount(t, weights=trained[row], minlength=len(ids))).all()
+    class_ = np.append(int(mixing._START >> np.uint64(56)), mixing._classes(x.raw, x.begin, x.size)[:-1])
+    class_[np.append(0, np.flatnonzero(np.diff(x.row)) + 1)] = int(mixing._START >> np.uint64(56))
+    expected = np.zeros((256, 1 << mixing.CLASS_BITS), np.int64)
+    np.add.at(expected, (class_[trained[x.row]], (x.id >> np.uint64(64 - mixing.CLASS_BITS)).astype(np.int64)[trained[x.row]]), 1)
+    assert (counts[: mixing.CLASS_COUNTS] == expected.ravel()).all()
+    of, byte, slots = mixing._byte_slots(*mixing._spans(list(words[0])))
+    expected = np.zeros((mixing.BYTE_ORDERS, mixing.BYTE_SLOTS, 256), np.int64)
+    for k in range(mixing.BYTE_ORDERS):
+        np.add.at(expected[k], (slots[k], byte), np.array(list(words[0].values()))[of])
+    assert (counts[mixing.CLASS_COUNTS :] == expected.ravel()).all()
+
+
 def test_counts_of_paths():
     r = np.random.default_rng(8)
     key = np.unique((r.integers(0, 5, 2000).astype(np.uint64) << np.uint64(mixing.BITS)) | r.integers(0, 1 << mixing.BITS, 2000).astype(np.uint64))
