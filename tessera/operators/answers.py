@@ -37,17 +37,25 @@ MOST_SEGMENTS, SILENT = 8, 3600
 
 
 class AnswerLog:
-    """One task's log. Lines are written whole and synced, by one thread at a time."""
+    """One task's log. Lines are written whole, by one thread at a time, and synced as soon as the disk is free, all that were written meanwhile together."""
 
     def __init__(self, folder: str):
         self.folder = folder
         self.lock, self.file = threading.Lock(), None
+        self.changed, self.syncer = threading.Condition(self.lock), None
+        self.written, self.synced, self.closed, self.error = 0, 0, False, None
 
     def earlier(self) -> dict[str, dict[str, Any]]:
         """What earlier attempts at this partition have finished."""
         return {e["key"]: e for path in glob.glob(os.path.join(glob.escape(self.folder), "*.log")) for e in read_log(path)}
 
     def append(self, entry: dict[str, Any]) -> None:
+        """An entry that is on disk when this returns."""
+        self.write(entry)
+        self.settle()
+
+    def write(self, entry: dict[str, Any]) -> None:
+        """An entry that is in the file when this returns, and will be on disk after settle()."""
         body = json.dumps(entry, ensure_ascii=False)
         line = f"{zlib.crc32(body.encode('utf-8', 'surrogatepass')):08x} {body}\n".encode("utf-8", "surrogatepass")
         try:
@@ -55,13 +63,49 @@ class AnswerLog:
                 if self.file is None:
                     os.makedirs(self.folder, exist_ok=True)
                     self.file = os.open(os.path.join(self.folder, f"{uuid.uuid4().hex}.log"), os.O_WRONLY | os.O_CREAT | os.O_APPEND)
+                    self.syncer = threading.Thread(target=self._sync, daemon=True)
+                    self.syncer.start()
                 os.write(self.file, line)
-                os.fsync(self.file)
+                self.written += 1
+                self.changed.notify_all()
         except OSError as e:
-            raise CacheError(f"cannot write to the log of answers in {self.folder}: {e}") from e
+            raise self._failed(e) from e
+
+    def _failed(self, e: OSError) -> CacheError:
+        return CacheError(f"cannot write to the log of answers in {self.folder}: {e}")
+
+    def _sync(self) -> None:
+        while True:
+            with self.changed:
+                self.changed.wait_for(lambda: self.closed or self.written > self.synced)
+                if self.written == self.synced:
+                    return
+                reached = self.written
+            try:
+                os.fsync(self.file)
+            except OSError as e:
+                with self.changed:
+                    self.error = e
+                    self.changed.notify_all()
+                return
+            with self.changed:
+                self.synced = reached
+                self.changed.notify_all()
+
+    def settle(self) -> None:
+        """Waits until all that is written by now is on disk."""
+        with self.changed:
+            reached = self.written
+            self.changed.wait_for(lambda: self.error or self.synced >= reached)
+            if self.synced < reached:
+                raise self._failed(self.error) from self.error
 
     def close(self) -> None:
         if self.file is not None:
+            with self.changed:
+                self.closed = True
+                self.changed.notify_all()
+            self.syncer.join()
             os.close(self.file)
             self.file = None
 

@@ -1,8 +1,9 @@
 """What the tasks of a running stage and the driver tell one another: who may call the model now, how far chunks are, and that there is no use in going on.
 
 Each thread of a task that calls a model has a connection to the driver. It asks before each call and gives notice after it, so that no more than a
-number of calls run at once in all tasks together, those of the earliest requests first; a connection that breaks gives back what it held. Events come in as they
-happen and go to the reporter. An error that no retry mends ends the stage: nobody may call any more, and its jobs are cancelled.
+number of calls run at once in all tasks together, those of the earliest requests first; a connection that breaks gives back what it held. A leave to call holds for
+some milliseconds of short calls, one after another, so that these do not each wait for the driver. Events come in as they
+happen and go to the reporter. An error that no retry mends ends the stage: nobody may call any more, who still has leave is told, and its jobs are cancelled.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import json
 import secrets
 import socket
 import threading
+import time
 import uuid
 from typing import Any
 
@@ -22,6 +24,9 @@ from pyspark.sql import SparkSession
 from tessera.errors import ModelError, from_record, to_record
 from tessera.progress import Event, Reporter, silent
 
+#: Seconds after which a thread asks again for leave to call, however short its calls are.
+LEAVE = 0.02
+
 
 class Stopped(Exception):
     """The stage has failed elsewhere; nothing more is to be done."""
@@ -34,25 +39,48 @@ class Line:
         self.socket = socket.create_connection(address, timeout=60)
         self.socket.settimeout(None)
         self.socket.setsockopt(socket.SOL_SOCKET, socket.SO_KEEPALIVE, 1)
+        self.socket.setsockopt(socket.IPPROTO_TCP, socket.TCP_NODELAY, 1)  # else a message waits until the one before is acknowledged
+        self.until: float | None = None  # how long the leave to call holds, if there is one
         self.replies = self.socket.makefile("r", encoding="utf-8")
         self.socket.sendall(f"{secret}\n".encode())
 
     def _send(self, **message: Any) -> None:
         self.socket.sendall((json.dumps(message) + "\n").encode())
 
+    def _told(self) -> bool:
+        """Whether there is word from the driver, which comes unasked only when the stage has ended."""
+        try:
+            self.socket.recv(1, socket.MSG_PEEK | socket.MSG_DONTWAIT)
+        except BlockingIOError:
+            return False
+        return True
+
     def begin(self, order: int) -> None:
-        """Waits until a call may be made."""
+        """Waits until a call may be made; no wait while the leave for an earlier one holds."""
+        if self.until is not None and time.monotonic() < self.until and not self._told():
+            return
+        self.rest()
         self._send(op="begin", order=order)
         if self.replies.readline().strip() != "go":
             raise Stopped
+        self.until = time.monotonic() + LEAVE
 
     def end(self) -> None:
-        self._send(op="end")
+        """After a call: the leave is given back if its time is over; else the next call follows at once, or rest()."""
+        if self.until is not None and time.monotonic() >= self.until:
+            self.rest()
+
+    def rest(self) -> None:
+        """Gives back the leave to call: there is nothing to call for just now."""
+        if self.until is not None:
+            self.until = None
+            self._send(op="end")
 
     def tell(self, kind: str, details: dict[str, Any]) -> None:
         self._send(op="event", kind=kind, details=details)
 
     def fail(self, error: ModelError, about: dict[str, Any]) -> None:
+        self.until = None
         self._send(op="fail", error=to_record(error), about=about)
 
     def close(self) -> None:
@@ -69,6 +97,7 @@ class Channel:
         self.error: Exception | None = None
         self.finished: set[int] = set()
         self.waiting: list[tuple[int, int, asyncio.Future]] = []
+        self.calling: set[asyncio.StreamWriter] = set()
         self.numbers = itertools.count()
         self.loop = asyncio.new_event_loop()
         host = self.context.getConf().get("spark.driver.host", "localhost")
@@ -106,6 +135,8 @@ class Channel:
     def _end(self, error: Exception) -> None:
         if self.error is None:
             self.error = error
+            for writer in self.calling:
+                writer.write(b"stop\n")
             self.loop.run_in_executor(None, self.context.cancelJobsWithTag, self.tag)
 
     async def _serve(self, reader: asyncio.StreamReader, writer: asyncio.StreamWriter) -> None:
@@ -121,6 +152,10 @@ class Channel:
                     heapq.heappush(self.waiting, (message["order"], next(self.numbers), turn))
                     self._next()
                     holds = await turn
+                    if holds and self.error:  # the stage has ended between
+                        self.free, holds = self.free + 1, False
+                    if holds:
+                        self.calling.add(writer)
                     writer.write(b"go\n" if holds else b"stop\n")
                     await writer.drain()
                 elif op == "event":
@@ -137,10 +172,12 @@ class Channel:
                         self._end(error)
                     self.free += holds
                     holds = False
+                    self.calling.discard(writer)
                     self._next()
         except (OSError, asyncio.IncompleteReadError):
             pass
         finally:
             self.free += holds
+            self.calling.discard(writer)
             self._next()
             writer.close()

@@ -5,11 +5,11 @@ from __future__ import annotations
 import contextlib
 import datetime
 import json
-import threading
+import queue
 import uuid
 from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessera.errors import CacheError, ModelError
 from tessera.functions.text import py_retry_delay
 from tessera.operators.answers import AnswerStore
-from tessera.operators.clients import ClientFactory, with_retries
+from tessera.operators.clients import ClientFactory, ModelClient, with_retries
 from tessera.plans.channel import Channel, Line, Stopped
 from tessera.progress import Event, Reporter, silent
 
@@ -110,15 +110,37 @@ def _ask(missing: DataFrame, n: int, requests: DataFrame, call: Call, store: Ans
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             log = store.log(run_id) if store else None
             before = log.earlier() if log else {}  # there is something if this task has been lost before
-            own, lines = threading.local(), []
-
-            def one(key: str, order: int, prompt: str, place: str) -> tuple:
-                if entry := before.get(key):
-                    return key, entry["answer"], entry["answered_at"], False, entry["retries"]
-                if not hasattr(own, "line"):
-                    own.line, own.client = Line(address, secret), call.factory()
-                    lines.append(own.line)
-                line, again = own.line, 0
+            todo, lines = queue.SimpleQueue(), []
+
+            def work() -> None:
+                """One thread, which takes requests until there is None, and gives back its leave to call while there are none."""
+                line = client = None
+                while True:
+                    try:
+                        job = todo.get_nowait()
+                    except queue.Empty:
+                        if line is not None:
+                            with contextlib.suppress(OSError):  # the next request will say so
+                                line.rest()
+                        job = todo.get()
+                    if job is None:
+                        return
+                    row, done = job
+                    try:
+                        if entry := before.get(row[0]):
+                            done.set_result((row[0], entry["answer"], entry["answered_at"], False, entry["retries"]))
+                            continue
+                        if line is None:
+                            line = Line(address, secret)
+                            lines.append(line)
+                        if client is None:
+                            client = call.factory()
+                        done.set_result(one(line, client, *row))
+                    except BaseException as e:
+                        done.set_exception(e)
+
+            def one(line: Line, client: ModelClient, key: str, order: int, prompt: str, place: str) -> tuple:
+                again = 0
                 details = {"index": order, "source": "model"} | json.loads(place)
                 if loud:
                     line.tell(f"{call.kind}_started", {"total": total} | details)
@@ -126,15 +148,15 @@ def _ask(missing: DataFrame, n: int, requests: DataFrame, call: Call, store: Ans
                 def once() -> Any:
                     line.begin(order)
                     try:
-                        answer = call.parse(own.client.complete(prompt, call.model, call.temperature, call.schema))
+                        answer = call.parse(client.complete(prompt, call.model, call.temperature, call.schema))
                     except ModelError as e:
                         if not e.retryable or again >= call.max_retries:
                             line.fail(e, json.loads(place))  # while the call still counts, so that no other begins
                             raise Stopped from e
-                        line.end()
+                        line.rest()
                         raise
                     except BaseException:
-                        line.end()
+                        line.rest()
                         raise
                     line.end()
                     return answer
@@ -148,27 +170,40 @@ def _ask(missing: DataFrame, n: int, requests: DataFrame, call: Call, store: Ans
                 answer = with_retries(once, call.max_retries, retry)
                 entry = {"key": key, "answer": json.dumps(answer, ensure_ascii=False), "answered_at": now(), "retries": again}
                 if log:
-                    log.append(entry)
+                    log.write(entry)
                 if loud:
                     line.tell(f"{call.kind}_finished", details | call.finished(answer))
                 return key, entry["answer"], entry["answered_at"], False, again
 
+            def handed_on(rows: list[tuple]) -> pd.DataFrame:
+                if log:
+                    log.settle()
+                return pd.DataFrame(rows, columns=["key", "answer", "answered_at", "cached", "retries"])
+
             threads = ThreadPoolExecutor(pool)
             try:
+                for _ in range(pool):
+                    threads.submit(work)
                 with contextlib.suppress(Stopped):
                     for batch in batches:
                         rows, pending = [], deque()
                         for row in zip(batch["key"].tolist(), batch["ord"].tolist(), batch["prompt"].tolist(), batch["about"].tolist()):
-                            pending.append(threads.submit(one, *row))
-                            if len(pending) > 2 * pool:
+                            pending.append(Future())
+                            todo.put((row, pending[-1]))
+                            if len(pending) > max(2 * pool, HANDED_ON):
                                 rows.append(pending.popleft().result())
                             if len(rows) >= HANDED_ON:
-                                yield pd.DataFrame(rows, columns=["key", "answer", "answered_at", "cached", "retries"])
+                                yield handed_on(rows)
                                 rows = []
                         rows += [p.result() for p in pending]
-                        yield pd.DataFrame(rows, columns=["key", "answer", "answered_at", "cached", "retries"])
+                        yield handed_on(rows)
             finally:
-                threads.shutdown(wait=True, cancel_futures=True)
+                with contextlib.suppress(queue.Empty):
+                    while True:
+                        todo.get_nowait()
+                for _ in range(pool):
+                    todo.put(None)
+                threads.shutdown(wait=True)
                 for line in lines:
                     line.close()
                 if log:

@@ -326,11 +326,12 @@ class Echo:
 def answers_cold_and_warm(spark, sf_dir):
     """Asks for some chunks, then for all: the first answers come out of the cache, the others from the model, all through strict parsing."""
     keyed = chunks(spark, sf_dir).withColumn("key", generation_key(GenerationConfig(), "{{chunk_text}}")).withColumn("prompt", prompts.qa_prompt("{{chunk_text}}", 1))
-    keep = Written(spark)
+    keep, cold = Written(spark), Written(spark)
     folder = keep.folder("cache")
-    keyed = numbered(keyed, [F.split("path", "/"), F.col("chunk_ord")], "ord", keep)
+    keyed = numbered(keyed.select("chunk_id", "key", "prompt", "path", "chunk_ord"), [F.split("path", "/"), F.col("chunk_ord")], "ord", keep)
     call = Call(Echo, "echo", 0.0, completions.questions_schema(1), completions.parse_questions, 8, 0)
-    ask(keyed.where("ascii(chunk_id) < 56"), call, folder, keep)
+    ask(keyed.where("ascii(chunk_id) < 56"), call, folder, cold)
+    cold.close()  # its answers are in the cache
     found = typed(ask(keyed, call, folder, keep).rows, "array<struct<question: string, answer: string, tags: array<string>, confidence: float>>")
     item = F.get("answer", F.lit(0))
     return keyed.select("chunk_id", "key").join(found, "key").select("chunk_id", "cached", item["question"].alias("question"), F.sha2(item["answer"], 256).alias("answer_hash"), F.size("answer").cast("long").alias("n_items"))
