@@ -171,7 +171,8 @@ class AnswerStore:
                 os.remove(path)
 
     def _write(self, entries: DataFrame) -> None:
-        dealt = entries.selectExpr("key", "answer", "answered_at", "retries", f"substring(key, 1, {BUCKET}) AS bucket").repartition("bucket").sortWithinPartitions("bucket", "key")
+        tasks = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # stated, as small tables too make a file for each bucket, which takes its time
+        dealt = entries.selectExpr("key", "answer", "answered_at", "retries", f"substring(key, 1, {BUCKET}) AS bucket").repartition(tasks, "bucket").sortWithinPartitions("bucket", "key")
         dealt.write.mode("append").partitionBy("bucket").option("compression", "zstd").option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"file://{self.segments}")
 
     def seal(self, spark: SparkSession, run: str) -> None:

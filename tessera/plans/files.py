@@ -38,7 +38,7 @@ class Written:
     def __call__(self, frame: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
         self.count += 1
-        frame.write.parquet(path)
+        frame.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def folder(self, name: str) -> str:

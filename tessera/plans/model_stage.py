@@ -99,10 +99,10 @@ def _ask(missing: DataFrame, n: int, requests: DataFrame, call: Call, store: Ans
     tasks = min(-(-n // TASK_REQUESTS), max(int(spark.conf.get("spark.sql.shuffle.partitions")), call.concurrency))
     at_once = min(tasks, max(1, spark.sparkContext.defaultParallelism))
     pool = -(-call.concurrency // at_once) + (tasks > 1)  # a thread more, so that no call waits for a task that has run out of requests
-    total = requests.count() if report is not silent else 0
+    total = requests.count()
     run_id, loud = uuid.uuid4().hex, report is not silent
     place = F.to_json(F.struct(*about)) if about else F.lit("{}")
-    dealt = missing.join(requests.select("ord", "prompt", place.alias("about")), "ord").repartitionByRange(tasks, "ord").sortWithinPartitions("ord").select("key", "ord", "prompt", "about")
+    dealt = dealt_out(missing, requests.select("ord", "prompt", place.alias("about")), tasks, most=2 * n >= total)
 
     with Channel(spark, call.concurrency, report) as channel:
         address, secret = channel.address, channel.secret
@@ -227,6 +227,17 @@ def _ask(missing: DataFrame, n: int, requests: DataFrame, call: Call, store: Ans
     return asked, channel.finished
 
 
+def dealt_out(missing: DataFrame, prompts: DataFrame, tasks: int, most: bool) -> DataFrame:
+    """(key, ord, prompt, about) of missing (key, ord), in as many ranges of ord. If most of prompts (ord, prompt, about) are asked for, they move once, and meet their keys in their range;
+    else those that are asked for are picked first."""
+    columns = ["key", "ord", "prompt", "about"]
+    if not most:
+        return missing.join(prompts, "ord").repartitionByRange(tasks, "ord").sortWithinPartitions("ord").select(columns)
+    both = missing.unionByName(prompts, allowMissingColumns=True).repartitionByRange(tasks, "ord").sortWithinPartitions("ord")
+    met = both.groupBy("ord").agg(*[F.max(c).alias(c) for c in columns if c != "ord"])
+    return met.where("key IS NOT NULL").sortWithinPartitions("ord").select(columns)
+
+
 def report_others(places: DataFrame, answers: Answers, kind: str, total: int, report: Reporter, finished: dict[str, str]) -> None:
     """Events of the requests of which the stage told none itself, cached ones, further ones of a key, and those without a key, in order. places: key, ord and what events tell; finished:
     what the last event tells besides, by the column of places or of answers that holds it."""

@@ -1,4 +1,4 @@
-"""Many short calls: what the driver is asked for, what it may still stop, and how often answers are synced. Lines are pairs of sockets here, no port is opened."""
+"""Many short calls: what the driver is asked for, what it may still stop, how often answers are synced, and how prompts and answers move. Lines are pairs of sockets here, no port is opened."""
 
 import asyncio
 import os
@@ -8,11 +8,13 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.errors import ApiError, CacheError
-from tessera.operators.answers import AnswerLog, read_log
+from tessera.operators.answers import AnswerLog, AnswerStore, read_log
 from tessera.plans import channel as ch
 from tessera.plans.channel import Channel, Line, Stopped
+from tessera.plans.model_stage import dealt_out
 
 
 @pytest.fixture
@@ -171,3 +173,27 @@ def test_a_sync_that_fails_is_an_error(tmp_path, monkeypatch):
     with pytest.raises(CacheError, match="disk"):
         log.append({"key": "k", "answer": "1", "answered_at": "t", "retries": 0})
     log.close()
+
+
+@pytest.mark.parametrize("asked", [range(0, 60), range(0, 60, 2), [3, 58]])
+def test_prompts_move_once_if_most_are_asked_for(spark, asked):
+    prompts = spark.range(60).select(F.col("id").alias("ord"), F.concat(F.lit("p"), "id").alias("prompt"), F.lit("{}").alias("about"))
+    missing = spark.createDataFrame([(f"k{k}", k) for k in asked], "key string, ord long")
+    want = [(f"k{k}", k, f"p{k}", "{}") for k in asked]
+    for most in (True, False):
+        dealt = dealt_out(missing, prompts, 3, most)
+        parts = dealt.withColumn("part", F.spark_partition_id()).collect()
+        assert sorted(tuple(r)[:4] for r in parts) == sorted(want)
+        ordered = [r["ord"] for r in sorted(parts, key=lambda r: r["part"])]  # rows of a task stay as they come
+        assert ordered == sorted(asked)
+    assert dealt_out(missing, prompts, 3, True)._jdf.queryExecution().sparkPlan().toString().count("Exchange") == 1
+    assert len({r["part"] for r in dealt_out(missing, prompts, 3, True).withColumn("part", F.spark_partition_id()).collect()}) == min(3, len(want))
+
+
+def test_a_small_table_of_answers_is_written_by_several_tasks(spark, tmp_path):
+    keys = spark.range(300).select(F.sha2(F.col("id").cast("string"), 256).alias("key"), F.lit("1").alias("answer"), F.lit("t").alias("answered_at"), F.lit(0).alias("retries"))
+    store = AnswerStore(str(tmp_path))
+    store.add(keys)
+    names = [n for d in os.listdir(store.segments) if d.startswith("bucket=") for n in os.listdir(store.bucket(d.removeprefix("bucket="))) if n.startswith("part-")]
+    assert len({n.split("-")[1] for n in names}) == 4 and len(names) == len({r.key[:2] for r in keys.collect()})
+    assert store.lookup(keys.select("key")).count() == 300
