@@ -57,7 +57,7 @@ def generated_batches(chunks: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def build_dataset(spark: SparkSession, config: BuildConfig, factory: ClientFactory, report: Reporter = silent) -> BuildResult:
-    """Writes the dataset and its manifest. Model answers are kept in a table before anything reads them twice."""
+    """Writes the dataset and its manifest. Model answers are kept in a table before anything reads them twice; tables go when their step is over."""
     config.check()
     prompt = load_prompt(QA_VERSION, config.repository, config.prompt_file)
     output, manifest_path = output_paths(config.export.output, config.export.parts)
@@ -65,21 +65,22 @@ def build_dataset(spark: SparkSession, config: BuildConfig, factory: ClientFacto
     if config.export.parts:
         check_folder(output)
     report(Event("discovery_started", {"repository": config.repository}))
-    keep = Written(spark)
+    scanning, asking, keep = Written(spark), Written(spark), Written(spark)
     try:
-        scanned = keep(scan(spark, config.repository, config.discovery, (prompt.path,) if prompt.path else (), keep))
+        scanned = scanning(scan(spark, config.repository, config.discovery, (prompt.path,) if prompt.path else (), scanning))
         counted = scanned.agg(F.count("*").alias("n"), F.count_if(F.col("reason").isNull()).alias("read")).first()
         if not counted["read"]:
             raise NoDocuments(f"no Markdown documents in {config.repository}")
         report(Event("discovery_finished", {"discovered": counted["n"], "skipped": counted["n"] - counted["read"]}))
         docs = documents(scanned)
         g = config.generation
-        ordered = numbered(chunk_documents(docs, config.chunking.max_characters), [F.split("path", "/"), F.col("chunk_ord")], "ord", keep)
+        ordered = numbered(chunk_documents(docs, config.chunking.max_characters), [F.split("path", "/"), F.col("chunk_ord")], "ord", asking)
         chunks = ordered.withColumn("key", generation_key(g, prompt.template)).withColumn("prompt", qa_prompt(prompt.template, g.questions_per_chunk))
         n_chunks = chunks.count()
         if report is not silent:
             for row in chunks_per_file(docs, chunks).orderBy(F.split("path", "/")).toLocalIterator():
                 report(Event("file_chunked", row.asDict()))
+        scanning.close()
         if not n_chunks:
             raise NoChunks("the documents have no text")
         report(Event("generation_started", {"chunks": n_chunks, "concurrency": g.concurrency}))
@@ -87,12 +88,13 @@ def build_dataset(spark: SparkSession, config: BuildConfig, factory: ClientFacto
         call = Call(factory, g.model, g.temperature, questions_schema(g.questions_per_chunk), parse_questions, g.concurrency, g.max_retries, "chunk", lambda answer: {"generated_items": len(answer)})
         places = ("path", "start_line", "end_line")
         try:
-            answers = ask(chunks, call, cache, keep, report, places)
+            answers = ask(chunks, call, cache, asking, report, places)
         except ModelError as e:
             raise StageFailed("{path}:{start_line}-{end_line}".format(**e.about), e) from e
         report_others(chunks.select("key", "ord", *places), answers, "chunk", n_chunks, report, {"generated_items": "items"})
         calls, retries = answers.counts()
         items = keep(qa.explode_batches(generated_batches(chunks, answers.rows), g.model))
+        asking.close()
         report(Event("generation_finished", {"model_calls": calls, "retries": retries}))
         valid, _ = qa.validate(items)
         accepted = qa.first_per_question(valid)
@@ -108,4 +110,5 @@ def build_dataset(spark: SparkSession, config: BuildConfig, factory: ClientFacto
         report(Event("finished", {"output": output, "stats": stats}))
         return BuildResult(manifest, output, manifest_path, calls, retries)
     finally:
-        keep.close()
+        for made in (scanning, asking, keep):
+            made.close()

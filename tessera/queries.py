@@ -532,7 +532,9 @@ def _built(spark: SparkSession, sf_dir: str, keep: Written, folder: str) -> str:
     with open(f"{folder}/ask", "w", encoding="utf-8") as f:
         f.write("{{path}}:{{start_line}} {{chunk_text}}")
     settings = BuildConfig(root, prompt_file=f"{folder}/ask", export=ExportConfig(output=f"{folder}/dataset", parts=True), generation=GenerationConfig(model="echo", questions_per_chunk=1, concurrency=8), cache=CacheConfig(False))
-    return build_dataset(spark, settings, Echo).output
+    output = build_dataset(spark, settings, Echo).output
+    shutil.rmtree(root)
+    return output
 
 
 _BUILT = "SELECT DISTINCT chunk_id, path, start_line, end_line, body, path || ':' || start_line || ' ' || body AS answer FROM ids"
