@@ -63,7 +63,9 @@ def referenced_documents(items: DataFrame, repository: str, max_bytes: int) -> D
                     continue
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string())], ["path", "text"])
 
-    return items.select("source.path").distinct().mapInArrow(run, "path string, text string")
+    # the number of tasks is stated: paths are so few bytes that Spark would take them together, and one task would read all files
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return items.select("source.path").repartition(tasks, "path").distinct().mapInArrow(run, "path string, text string")
 
 
 def verify_dataset(spark: SparkSession, config: VerificationConfig, factory: ClientFactory, report: Reporter = silent) -> VerificationOutcome:

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.config import BuildConfig, CacheConfig, ExportConfig, GenerationConfig, VerificationConfig, VerifierConfig
 from tessera.plans import build, model_stage, verify
@@ -74,3 +75,12 @@ def test_only_what_is_written_is_left(spark, tmp_path, alone, seen):
     assert done.stats["total_items"] == 5 and done.stats["unverifiable_items"] == 0 and len(open(done.output).readlines()) == 5
     assert {name: sum(left) for name, left in seen.items()} == {build.__name__: 1, verify.__name__: 1}
     assert all(len(left) > 1 for left in seen.values())
+
+
+def test_files_are_read_by_several_tasks(spark, tmp_path):
+    for k in range(40):
+        (tmp_path / f"{k}.md").write_text(f"text {k}")
+    items = spark.range(80).select(F.struct(F.concat((F.col("id") % 40).cast("string"), F.lit(".md")).alias("path")).alias("source"))
+    read = verify.referenced_documents(items, str(tmp_path), 100).select("*", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.path, r.text) for r in read) == sorted((f"{k}.md", f"text {k}") for k in range(40))
+    assert len({r.task for r in read}) == 4
